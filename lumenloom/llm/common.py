@@ -59,3 +59,26 @@ def worker_cached(key: str, make: Callable[[], Any]) -> Any:
     if not hasattr(store, key):
         setattr(store, key, make())
     return getattr(store, key)
+
+
+def add_columns(df: DataFrame, text_col: str, fields: str, compute: Callable[[list[str | None]], list[Any]]) -> DataFrame:
+    """df without text_col, plus the columns that compute(texts) returns for each Arrow batch.
+
+    fields: their names and types as DDL. Other columns pass as they are, nulls included; those that
+    clash with a new name are replaced.
+    """
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    new = StructType.fromDDL(fields)
+    rest = [c for c in df.columns if c != text_col and c.lower() not in {n.lower() for n in new.names}]
+    schema = StructType([*(df.schema[c] for c in rest), *new.fields])
+    types = [f.type for f in to_arrow_schema(new)]
+
+    def run(batches):
+        for batch in batches:
+            made = compute(batch.column(text_col).to_pylist())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), *(pa.array(v, t) for v, t in zip(made, types))], names=schema.names)
+
+    return df.select(*rest, text_col).mapInArrow(run, schema)
