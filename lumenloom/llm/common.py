@@ -53,6 +53,11 @@ def fold(doc_id: Column | str, modulus: int, held: int) -> Column:
     return F.coalesce(F.crc32(col.cast("string").cast("binary")) % modulus == held, F.lit(False))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value evaluated once, even where body uses it inside a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def worker_cached(key: str, make: Callable[[], Any]) -> Any:
     """One object per Python worker process, kept between tasks."""
     store = sys.modules.setdefault("_lumenloom_worker_cache", types.ModuleType("_lumenloom_worker_cache"))

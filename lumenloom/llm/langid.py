@@ -147,14 +147,14 @@ def train(docs: DataFrame, allowed: Column, sample: int = SAMPLE) -> Model:
     return fit([(r.lang, np.array(r.idx), np.array(r.counts)) for r in rows])
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """docs without text, plus lang_pred and score."""
+def predict(docs: DataFrame, model: Model, text_col: str = "text", prefix: str = "") -> DataFrame:
+    """docs without text_col, plus lang_pred and score (after the prefix)."""
 
     def run(texts: list[str | None]) -> list[list]:
         found = [model.predict(t) for t in texts]
         return [[f[0] for f in found], [f[1] for f in found]]
 
-    return add_columns(docs, "text", "lang_pred string, score double", run)
+    return add_columns(docs, text_col, f"{prefix}lang_pred string, {prefix}score double", run)
 
 
 HELD = (4, 2)

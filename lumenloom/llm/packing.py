@@ -19,7 +19,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,22 +59,26 @@ def _load(paths: tuple[str, str]):
 
 def tokenized_pieces(docs: DataFrame, window: int = WINDOW, end_id: int = 0, paths: tuple[str, str] | None = None) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens: one row for each piece of at most `window` tokens."""
-    id_type = docs.schema["doc_id"].dataType.simpleString()
+    id_type = docs.schema["doc_id"].dataType
     paths = paths or default_tokenizer()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = worker_cached(f"bpe:{paths}", lambda: _load(paths))
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                ids = np.array(encode(text or ""), dtype="<u4")
-                ids = np.append(ids, np.array([end_id], dtype="<u4"))
+            row, start, length, crc, tokens = [], [], [], [], []
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                ids = np.array([*encode(text or ""), end_id], dtype="<u4")
                 for at in range(0, len(ids), window):
                     piece = ids[at : at + window]
-                    rows.append((doc_id, at, len(piece), zlib.crc32(piece.tobytes()), len(ids)))
-            yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                    row.append(i)
+                    start.append(at)
+                    length.append(len(piece))
+                    crc.append(zlib.crc32(piece.tobytes()))
+                    tokens.append(len(ids))
+            numbers = [pa.array(x, pa.int64()) for x in (start, length, crc, tokens)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row, pa.int64())), *numbers], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {id_type}, start long, length long, ids_crc32 long, doc_tokens long")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 class TightestFit:
@@ -130,22 +134,22 @@ def best_fit_decreasing(lengths: np.ndarray, window: int = WINDOW) -> tuple[np.n
 def pack(docs: DataFrame, window: int = WINDOW, end_id: int = 0, paths: tuple[str, str] | None = None) -> DataFrame:
     """The pieces plus sequence_id (unique over all partitions) and offset in the sequence."""
     pieces = tokenized_pieces(docs, window, end_id, paths)
-    names = pieces.columns
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         held = list(batches)
         if not held:
             return
-        rows = pd.concat(held, ignore_index=True)
         # a total order, so that a task run again gives the same windows
-        rows = rows.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable", ignore_index=True)
-        sequence, offset = best_fit_decreasing(rows["length"].to_numpy(), window)
-        yield rows.assign(sequence_id=sequence + (TaskContext.get().partitionId() << 40), offset=offset)[[*names, "sequence_id", "offset"]]
+        order = [("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")]
+        rows = pa.Table.from_batches(held).sort_by(order)
+        sequence, offset = best_fit_decreasing(rows.column("length").to_numpy(), window)
+        rows = rows.append_column("sequence_id", pa.array(sequence + (TaskContext.get().partitionId() << 40)))
+        yield from rows.append_column("offset", pa.array(offset)).to_batches(max_chunksize=50_000)
 
-    return pieces.repartition(F.xxhash64("doc_id", "start")).mapInPandas(run, schema)
+    return pieces.repartition(F.xxhash64("doc_id", "start")).mapInArrow(run, schema)
 
 
 def padding(packed: DataFrame, window: int = WINDOW) -> DataFrame:

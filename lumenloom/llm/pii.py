@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenloom.llm.common import let
+
 LOCAL = "A-Za-z0-9._%+-"
 EMAIL = rf"(?:\G|(?<![{LOCAL}]))[{LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
@@ -135,17 +137,20 @@ def mask_pii(df: DataFrame, text_col: str = "text", threshold: float = THRESHOLD
     tmp = "__pii_spans"
     ordered = F.array_sort(F.transform(F.col(tmp), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("neg_end"), s["kind"].alias("kind"))))
 
-    def step(acc: Column, s: Column) -> Column:
-        end = -s["neg_end"]
-        fresh = F.array_append(F.array_append(acc["out"], F.substring(F.col(text_col), acc["at"] + 1, s["start"] - acc["at"])), F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">")))
-        return (
-            F.when(s["start"] >= acc["at"], F.struct(end.alias("at"), fresh.alias("out")))
-            .otherwise(F.struct(F.greatest(acc["at"], end).alias("at"), acc["out"].alias("out")))
-        )
-
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    masked = F.aggregate(ordered, zero, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(F.col(text_col), acc["at"] + 1)))
-    return find_pii(df, text_col, tmp, threshold).withColumn(text_col, F.when(F.size(tmp) > 0, masked).otherwise(F.col(text_col))).drop(tmp)
+    def masked(text: Column) -> Column:
+        def step(acc: Column, s: Column) -> Column:
+            end = -s["neg_end"]
+            out = F.array_append(F.array_append(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"])), F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">")))
+            return (
+                F.when(s["start"] >= acc["at"], F.struct(end.alias("at"), out.alias("out")))
+                .otherwise(F.struct(F.greatest(acc["at"], end).alias("at"), acc["out"].alias("out")))
+            )
+
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+        return F.aggregate(ordered, zero, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(text, acc["at"] + 1)))
+
+    found = find_pii(df, text_col, tmp, threshold)
+    return found.withColumn(text_col, F.when(F.size(tmp) > 0, let(F.col(text_col), masked)).otherwise(F.col(text_col))).drop(tmp)
 
 
 def pii_report(df: DataFrame, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -76,3 +76,23 @@ SELECT d.doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coa
        coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM d LEFT JOIN g USING (doc_id)
 """
+
+
+DECONTAMINATE = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+t AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
+dg AS (SELECT doc_id, len(w) AS nd, i - 1 AS pos, array_to_string(w[i:i + 4], ' ') AS g FROM d, unnest(range(1, len(w) - 3)) AS r(i)),
+tg AS (SELECT item_id, len(w) AS n, i - 1 AS q, array_to_string(w[i:i + 4], ' ') AS g FROM t, unnest(range(1, len(w) - 3)) AS r(i)),
+win AS (
+  SELECT DISTINCT doc_id, item_id, n, least(n, nd) AS len, greatest(0, least(pos - q, nd - least(n, nd))) AS start
+  FROM dg JOIN tg USING (g)),
+tc AS (SELECT item_id, g, count(*) AS c FROM tg GROUP BY ALL),
+wc AS (SELECT win.doc_id, win.item_id, start, len, g, count(*) AS c FROM win JOIN dg ON dg.doc_id = win.doc_id AND pos BETWEEN start AND start + len - 5 GROUP BY ALL),
+s AS (
+  SELECT doc_id, wc.item_id, start, len, n, sum(least(wc.c, coalesce(tc.c, 0))) AS common
+  FROM wc LEFT JOIN tc ON tc.item_id = wc.item_id AND tc.g = wc.g JOIN (SELECT DISTINCT item_id, n FROM tg) x ON x.item_id = wc.item_id
+  GROUP BY ALL),
+j AS (SELECT *, common / (len - 4 + n - 4 - common) AS similarity FROM s WHERE common / (len - 4 + n - 4 - common) >= 0.8)
+SELECT doc_id, item_id, start, len AS n_words, similarity FROM j
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) = 1
+"""

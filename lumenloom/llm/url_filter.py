@@ -19,9 +19,12 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenloom.llm.common import let
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -34,7 +37,7 @@ class Level:
     words: list[int]
 
     def test(self, key: Column) -> Column:
-        words = F.lit(self.words) if self.words else F.array().cast("array<bigint>")
+        words = F.lit(np.array(self.words, dtype=np.int64))
         one = lambda p: F.getbit(F.element_at(words, (F.floor(p / 64) + 1).cast("int")), (p % 64).cast("int")) == 1
         tests = [one(p) for p in _positions(key, self)]
         out = tests[0]
@@ -106,8 +109,7 @@ def split_url(url: Column) -> tuple[Column, Column]:
 
 def _keys(host: Column, path: Column, lengths: list[int]) -> Column:
     """Every (host suffix + path prefix) that a rule could be, longest first."""
-    labels = F.split(host, r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    suffixes = let(F.split(host, r"\."), lambda s: F.transform(s, lambda _, i: F.array_join(F.slice(s, i + 1, F.size(s)), ".")))
     wide = [n for n in sorted(set(lengths), reverse=True)]
     each = F.transform(F.filter(F.array(*[F.lit(n) for n in wide]), lambda n: F.length(path) >= n), lambda n: F.left(path, n))
     keys = F.flatten(F.transform(suffixes, lambda s: F.transform(each, lambda p: F.concat(s, p))))
