@@ -7,10 +7,11 @@
    so are neighbours; a region of more than REGION documents is cut at DEEP values instead (and, if
    that isn't enough, by a hash). Within a region sketches are compared block by block, and pairs
    that could reach the threshold (four standard deviations of slack) are candidates.
-3. First each document's best candidate is checked on full sets, which joins most of each group;
-   then, between documents still in different components only, up to 16 candidates of each; then all
-   that are left. So a group of thousands of near copies never becomes all its pairs, and no
-   candidate between different components goes unchecked.
+3. First each document's best candidate is checked on full sets, which joins most of each group.
+   Then only candidates in different components matter: a document with up to FEW of them in a region
+   gets those checked; the members of a region where one has more are sent there with their sets and
+   compared in place, where only links come out. So a group of thousands of near copies never
+   becomes rows for all its pairs, and no candidate between different components goes unchecked.
 
 Two sets with similarity J share a region of one tree with probability J**3: with 16 trees a pair
 at 0.85 is missed once in 4 million times, at 0.8 once in 90,000 (in regions of over REGION
@@ -38,6 +39,8 @@ from lumenloom.llm.components import components
 TREES, SHALLOW, DEEP, VALUES = 16, 3, 6, 128
 #: Documents of one region that are compared with each other.
 REGION = 4096
+#: Candidates in other components that a document may have in a region before the region is compared in place.
+FEW = 4
 #: Tables of at most so many ids (8 bytes each) are broadcast; larger ones are joined by a shuffle.
 BROADCAST_IDS = 200_000
 
@@ -149,9 +152,9 @@ def _agreement(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _region_candidates(rep, comp, size, sketch, cut, ratio, most):
-    """Pairs (i, j, estimate) of one region: for each row its `most` best partners in other components."""
-    out = []
-    m = len(rep)
+    """Of one region: pairs (i, j) of each row with its `most` best partners in other components. If some row has
+    more than `most`, the members that have partners; for most > 1 these come instead of the pairs."""
+    m, pairs, partners = len(rep), [], np.zeros(len(rep), "i4")
     step = max(1, min(m, (1 << 20) // m))
     for at in range(0, m, step):
         rows = slice(at, min(m, at + step))
@@ -159,20 +162,21 @@ def _region_candidates(rep, comp, size, sketch, cut, ratio, most):
         a, b = size[rows, None], size[None, :]
         est[(np.minimum(a, b) < ratio * np.maximum(a, b)) | (comp[rows, None] == comp[None, :])] = -1
         est[est < cut] = -1
-        if most < m:
-            best = np.argpartition(-est, most - 1, axis=1)[:, :most] if most > 1 else est.argmax(axis=1)[:, None]
-            i = np.repeat(np.arange(est.shape[0]), best.shape[1])
-            j = best.ravel()
-            ok = est[i, j] > 0
-            i, j = i[ok], j[ok]
-        else:
-            i, j = np.nonzero(est > 0)
-        out.append((rep[rows][i], rep[j], est[i, j]))
-    return [np.concatenate(x) for x in zip(*out)]
+        partners[rows] = (est > 0).sum(axis=1)
+        best = np.argsort(-est, axis=1, kind="stable")[:, :most] if most > 1 else est.argmax(axis=1)[:, None]
+        i, j = np.repeat(np.arange(est.shape[0]), best.shape[1]), best.ravel()
+        ok = est[i, j] > 0
+        pairs.append((rep[rows][i[ok]], rep[j[ok]], est[i[ok], j[ok]]))
+    crowd = np.flatnonzero(partners > 0) if (partners > most).any() else np.zeros(0, "i8")
+    pairs = [np.concatenate(x) for x in zip(*pairs)]
+    return [x[:0] for x in pairs] if most > 1 and len(crowd) else pairs, crowd
 
 
 def candidates(entries: DataFrame, similarity: float, most: int) -> DataFrame:
-    """i, j, estimate from entries (tree, shallow, deep, rep, comp, n, s0..s3); i's own best come with i first."""
+    """i, j, estimate from entries (tree, shallow, deep, rep, comp, n, s0..s3): the `most` best of each i.
+
+    Rows without j tell the members of regions (tree, shallow, part) where that isn't all.
+    """
     cut = similarity - 4 * (0.04 if similarity < 0.9 else 0.03)
     region = ["tree", "shallow", "part"]
     crowded = entries.groupBy("tree", "shallow").agg(F.count("*").alias("c")).where(F.col("c") > REGION).select("tree", "shallow", F.lit(1).alias("crowded"))
@@ -189,6 +193,7 @@ def candidates(entries: DataFrame, similarity: float, most: int) -> DataFrame:
         entries = entries.withColumn("part", F.when(F.col("crowded").isNotNull(), cut_up).otherwise(F.lit(0)))
     else:
         entries = entries.withColumn("part", F.lit(0).cast("long"))
+    names = ["i", "j", "estimate", *region]
     wanted = [*region, "rep", "comp", "n", "s0", "s1", "s2", "s3"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,14 +203,20 @@ def candidates(entries: DataFrame, similarity: float, most: int) -> DataFrame:
             key = np.stack(cols[:3], axis=1)
             new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1), [True]]))
             sketch = np.stack([c.view(U8) for c in cols[6:]], axis=1)
-            found = []
+            found, crowds = [], []
             for lo, hi in zip(new[:-1][np.diff(new) > 1], new[1:][np.diff(new) > 1]):
-                got = _region_candidates(cols[3][lo:hi], cols[4][lo:hi], cols[5][lo:hi], sketch[lo:hi], cut, similarity, most)
-                if len(got[0]):
-                    found.append(got)
+                got, crowd = _region_candidates(cols[3][lo:hi], cols[4][lo:hi], cols[5][lo:hi], sketch[lo:hi], cut, similarity, most)
+                found.append(got)
+                crowds.append(lo + crowd)
             if not found:
                 return None
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], names=["i", "j", "estimate"])
+            i, j, est = [np.concatenate(x) for x in zip(*found)]
+            crowd = np.concatenate(crowds)
+            none = pa.nulls(len(i), pa.int64())
+            pairs = pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(est), none, none, none], names=names)
+            gone = pa.nulls(len(crowd), pa.int64())
+            members = pa.RecordBatch.from_arrays([pa.array(cols[3][crowd]), gone, pa.nulls(len(crowd), pa.float64()), *(pa.array(c[crowd]) for c in cols[:3])], names=names)
+            return pa.Table.from_batches([pairs, members]).combine_chunks()
 
         for batch in batches:
             cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
@@ -218,12 +229,12 @@ def candidates(entries: DataFrame, similarity: float, most: int) -> DataFrame:
             at = last[-1] + 1 if len(last) else 0
             rest = [c[at:] for c in cols]
             if at and (out := done([c[:at] for c in cols])) is not None:
-                yield out
+                yield from out.to_batches(max_chunksize=100_000)
         if rest is not None and (out := done(rest)) is not None:
-            yield out
+            yield from out.to_batches(max_chunksize=100_000)
 
     ordered = entries.select(*[F.col(c).cast("long") for c in wanted]).repartition(*region).sortWithinPartitions(*region, "rep")
-    return ordered.mapInArrow(run, "i long, j long, estimate double")
+    return ordered.mapInArrow(run, ", ".join(f"{n} {'double' if n == 'estimate' else 'long'}" for n in names))
 
 
 def _full_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
@@ -256,6 +267,48 @@ def _confirm(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _confirm_in_place(members: DataFrame, comps: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links a, b between different components among the members (i) of each region, found on full sets."""
+    hundredths = round(100 * similarity)
+    region = ["tree", "shallow", "part"]
+    rows = members.select(*region, F.col("i").alias("rep")).join(comps.withColumnRenamed("node", "rep"), "rep", "left").join(sets, "rep")
+    rows = rows.select(*region, "rep", F.coalesce("component", "rep").alias("comp"), "shingles")
+
+    def links(rep, comp, held) -> Iterator[tuple[int, int]]:
+        sizes = np.array([len(x) for x in held])
+        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        ids = np.unique(np.concatenate(held), return_inverse=True)[1]
+        mark = np.zeros(int(ids.max()) + 1, "i4")
+        for i in range(1, len(rep)):
+            own = ids[starts[i] : starts[i] + sizes[i]]
+            mark[own] = 1
+            common = np.add.reduceat(mark[ids[: starts[i]]], starts[:i])
+            mark[own] = 0
+            hit = np.flatnonzero((100 * common >= hundredths * (sizes[i] + sizes[:i] - common)) & (comp[:i] != comp[i]))
+            for j in hit:
+                if comp[j] != comp[i]:  # one link joins two components
+                    yield rep[i], rep[j]
+                    comp[comp == comp[j]] = comp[i]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(group) -> pa.RecordBatch:
+            found = list(links(np.array([g[0] for g in group]), np.array([g[1] for g in group]), [np.frombuffer(g[2], U8) for g in group]))
+            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        key, group = None, []
+        for batch in batches:
+            for *k, rep, comp, shingles in zip(*(c.to_pylist() for c in batch.columns)):
+                if k != key and group:
+                    yield done(group)
+                    group = []
+                key = k
+                group.append((rep, comp, shingles))
+        if group:
+            yield done(group)
+
+    return rows.repartition(*region).sortWithinPartitions(*region, "rep").mapInArrow(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable by links) and kept (is that id)."""
     made = materialize(features(docs, size), "features")
@@ -270,26 +323,23 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) ->
         each = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(t.alias("tree"), F.get("labels", 2 * t).alias("shallow"), F.get("labels", 2 * t + 1).alias("deep")))
         return of.select("rep", "comp", "n", *[F.get("sketch", F.lit(i)).alias(f"s{i}") for i in range(4)], F.explode(each).alias("e")).select("e.*", "rep", "comp", "n", "s0", "s1", "s2", "s3")
 
-    first = candidates(entries(reps.withColumn("comp", F.col("rep"))), similarity, 1)
+    pair = [F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")]
+    first = candidates(entries(reps.withColumn("comp", F.col("rep"))), similarity, 1).where("j is not null")
     best = materialize(first.groupBy("i").agg(F.max_by("j", "estimate").alias("j")), "best")
     involved = materialize(best.select(F.col("i").alias("rep")).union(best.select(F.col("j").alias("rep"))).distinct(), "involved")
     sets = materialize(_full_sets(docs, involved, size), "sets")
     few = F.broadcast(involved) if involved.count() <= BROADCAST_IDS else involved
     active = materialize(reps.join(few, "rep", "left_semi"), "active")
-    tested = materialize(best.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct(), "pairs")
+    tested = materialize(best.select(*pair).distinct(), "pairs")
     links = materialize(_confirm(tested, sets, similarity), "confirmed")
     comps = materialize(components(links), "components")
-    for most in (16, REGION):
-        now = active.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
-        more = candidates(entries(now), similarity, most).select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
-        more = materialize(more.join(tested, ["a", "b"], "left_anti"), "pairs")
-        if more.isEmpty():
-            break
-        added = materialize(_confirm(more, sets, similarity), "confirmed")
-        tested = tested.union(more)
-        if not added.isEmpty():
-            links = links.union(added)
-            comps = materialize(components(links), "components")
+    now = active.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
+    more = materialize(candidates(entries(now), similarity, FEW), "candidates")
+    crowded = more.where("j is null")
+    apart = more.where("j is not null").select(*pair).distinct().join(tested, ["a", "b"], "left_anti")
+    added = materialize(_confirm(apart, sets, similarity).union(_confirm_in_place(crowded, comps, sets, similarity)), "confirmed")
+    if not added.isEmpty():
+        comps = materialize(components(links.union(added)), "components")
     discard(sets, active)
     of_set = reps.select("digest", "rep").join(comps, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     out = made.select("doc_id", "n_shingles", "digest").join(of_set, "digest", "left")
