@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenloom.llm import decontaminate, langid, minhash, packing, pii, sql, url_filter
+from lumenloom.llm import decontaminate, langid, minhash, packing, pii, quality, sql, toxicity, url_filter
 from lumenloom.llm.common import table
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -33,17 +33,27 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_report(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op3_packing": op3_packing,
     "op4_url_filter": op4_url_filter,
     "op5_minhash": op5_minhash,
     "op7_langid": op7_langid,
+    "op8_toxicity": op8_toxicity,
     "op9_pii": op9_pii,
+    "op10_quality": op10_quality,
 }
 
 ORACLES: dict[str, str] = {
