@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenloom.llm import decontaminate, langid, minhash, packing, pii, quality, sql, toxicity, url_filter
+from lumenloom.llm import cover_tree, decontaminate, langid, minhash, packing, pii, quality, sql, toxicity, url_filter
 from lumenloom.llm.common import table
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -29,6 +29,10 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=3, similarity=0.85)
 
 
+def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.linked_vectors(table(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op4_url_filter": op4_url_filter,
     "op5_minhash": op5_minhash,
+    "op6_embeddings": op6_embeddings,
     "op7_langid": op7_langid,
     "op8_toxicity": op8_toxicity,
     "op9_pii": op9_pii,
@@ -59,5 +64,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_decontamination": sql.DECONTAMINATE,
     "op4_url_filter": sql.URL_FILTER,
+    "op6_embeddings": sql.EMBEDDINGS,
     "op9_pii": sql.PII,
 }

@@ -96,3 +96,21 @@ j AS (SELECT *, common / (len - 4 + n - 4 - common) AS similarity FROM s WHERE c
 SELECT doc_id, item_id, start, len AS n_words, similarity FROM j
 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) = 1
 """
+
+
+EMBEDDINGS = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CASE WHEN len(embedding) > 0 AND list_bool_and(list_transform(embedding, lambda x: coalesce(isfinite(x), false)))
+                      THEN list_transform(embedding, lambda x: CAST(x AS DOUBLE)) END AS e
+  FROM embeddings),
+u AS (SELECT vec_id, e FROM v WHERE e IS NOT NULL AND list_inner_product(e, e) > 0),
+l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a, least(a, min(b)) AS component_id FROM r GROUP BY a),
+n AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, coalesce(component_id, vec_id) AS component_id,
+       coalesce(component_id, vec_id) = vec_id AS kept
+FROM v LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.a = vec_id
+"""
