@@ -71,9 +71,10 @@ class _Powers:
         return self.powers, self.inverse
 
 
-def word_hashes(text: str) -> np.ndarray:
+def word_hashes(text: str, lower: bool = True) -> np.ndarray:
     """A 64-bit hash of each word ([^\\x20\\x09-\\x0D]+, A-Z in lower case), from prefix sums over the bytes."""
-    raw = np.frombuffer(text.encode("utf-8", "surrogatepass").lower(), np.uint8)
+    data = text.encode("utf-8", "surrogatepass")
+    raw = np.frombuffer(data.lower() if lower else data, np.uint8)
     gap = np.concatenate([[True], (raw == 32) | ((raw >= 9) & (raw <= 13)), [True]])
     edges = np.flatnonzero(gap[1:] != gap[:-1])
     starts, ends = edges[::2], edges[1::2]

@@ -114,3 +114,15 @@ SELECT vec_id, coalesce(n_links, 0) AS n_links, coalesce(component_id, vec_id) A
        coalesce(component_id, vec_id) = vec_id AS kept
 FROM v LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.a = vec_id
 """
+
+
+SUBSTRING_DEDUP = r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS r, list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\v\f\r]+'), lambda x: x <> '') AS w FROM documents),
+win AS (SELECT r, i, md5(array_to_string(w[i:i + 34], ' ')) AS g FROM d, unnest(range(1, len(w) - 33)) AS t(i)),
+dup AS (SELECT r, i FROM win WHERE g IN (SELECT g FROM win GROUP BY g HAVING count(*) > 1)),
+gone AS (SELECT DISTINCT r, i + k AS p FROM dup, range(0, 35) AS t(k)),
+per AS (SELECT r, list(p) AS ps FROM gone GROUP BY r),
+kept AS (SELECT doc_id, w, list_filter(w, lambda x, i: NOT list_contains(coalesce(ps, CAST([] AS BIGINT[])), i)) AS k FROM d LEFT JOIN per USING (r))
+SELECT doc_id, len(w) AS n_words, len(w) - len(k) AS n_removed, sha256(array_to_string(k, ' ')) AS kept_sha256 FROM kept
+"""
