@@ -1,5 +1,59 @@
 """Registered queries of the library and the SQL that checks them."""
 
-QUERIES = {}
-ORACLES = {}
-FLAGSHIP = ""
+from lumenloom.plans import queries as q
+from lumenloom.plans.oracles import ORACLES
+
+FLAGSHIP = "contrast_matrix"
+NAMES = [
+    "contrast_matrix",
+    "contrast_summary",
+    "contrast_pivot",
+    "color_lab",
+    "color_nearest",
+    "stacked_copies",
+    "colour_uses",
+    "palette_merge",
+    "palette_roles",
+    "typography_by_role",
+    "first_screen_shares",
+    "site_domain_rollup",
+    "page_key_dedupe",
+    "page_titles",
+    "page_links",
+    "page_text",
+    "page_locale_filter",
+    "choose_pages_topk",
+    "official_site_rank",
+    "line_dedupe",
+    "excerpt_budget",
+    "excerpt_pick",
+    "word_count",
+    "normalise_text",
+    "quote_check",
+    "quote_summary",
+    "mentions_semi",
+    "unquoted_anti",
+    "numbered_names",
+    "prompt_build",
+    "job_state_latest",
+    "job_steps_pivot",
+    "reuse_asof_24h",
+    "daily_limit",
+    "sliding_limiter",
+    "usage_cost",
+    "fallback_answer",
+    "retention_filter",
+    "lru_finished",
+    "set_ops_links",
+    "scale_labels",
+    "merged_reads",
+    "export_css",
+    "export_tailwind",
+    "export_voice",
+    "export_tokens",
+    "export_json",
+    "events_state_stream",
+]
+QUERIES = {name: getattr(q, name) for name in NAMES}
+
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
