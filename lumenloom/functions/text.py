@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Characters that take no space, scripts written without spaces, quote marks read as plain ones.
 INVISIBLE = "­​‌‍⁠﻿"
@@ -129,12 +130,16 @@ def confidence_level(value: Column) -> Column:
     return F.when(value >= 0.8, F.lit("high")).when(value >= 0.5, F.lit("medium")).otherwise("low")
 
 
-@F.pandas_udf("string")
-def ascii_folded(values: pd.Series) -> pd.Series:
+def ascii_folded(text: Column) -> Column:
     """NFKD and what of it is ASCII (Spark has no normalisation)."""
-    import unicodedata
 
-    return values.map(lambda v: None if v is None else unicodedata.normalize("NFKD", v).encode("ascii", "ignore").decode())
+    @F.pandas_udf(StringType())
+    def fold(values: pd.Series) -> pd.Series:
+        import unicodedata
+
+        return values.map(lambda v: None if v is None else unicodedata.normalize("NFKD", v).encode("ascii", "ignore").decode())
+
+    return fold(text)
 
 
 def slug(text: Column, limit: int = 60) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 MAX_LOGOS, BONUS, HIDDEN, CONFIRMED_MAX = 5, 0.05, 0.15, 0.95
 SAFE_TAGS = ["svg", "g", "defs", "symbol", "use", "title", "path", "rect", "circle", "ellipse", "line", "polyline", "polygon", "lineargradient", "radialgradient", "stop", "clippath", "mask"]
@@ -84,7 +85,7 @@ def pixel_statistics(pixels: DataFrame) -> DataFrame:
     return size.join(found, "image_id", "left").select("image_id", F.coalesce(F.col("ink_n") / F.col("pixels"), F.lit(0.0)).alias("ink"), (F.col("ink_n") / F.col("area")).alias("fill"), "main_colour", F.transform("c", lambda x: x["code"]).alias("colours"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def clean_svg(markup: pd.Series) -> pd.Series:
     """An SVG rebuilt from allowed elements and attributes only; null if it doesn't parse or paints nothing.
 
