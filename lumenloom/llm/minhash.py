@@ -190,7 +190,7 @@ def candidates(entries: DataFrame, similarity: float, most: int) -> DataFrame:
         deep = deep.select("tree", "shallow", "deep", (F.col("c") / REGION + 1).cast("int").alias("cuts"))
         deep = materialize(deep, "deep")
         entries = entries.join(F.broadcast(deep) if deep.count() <= BROADCAST_IDS else deep, ["tree", "shallow", "deep"], "left")
-        cut_up = F.when(F.col("cuts").isNotNull(), F.xxhash64("deep", F.pmod(F.xxhash64("rep"), F.col("cuts")))).otherwise(F.col("deep"))
+        cut_up = F.when(F.col("cuts").isNotNull(), F.xxhash64("deep", F.pmod(F.xxhash64("rep", "tree"), F.col("cuts")))).otherwise(F.col("deep"))
         entries = entries.withColumn("part", F.when(F.col("crowded").isNotNull(), cut_up).otherwise(F.lit(0)))
     else:
         entries = entries.withColumn("part", F.lit(0).cast("long"))
