@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lumenloom.functions.text import let
+
 # sRGB to linear light, luminance weights, D65 white, WCAG thresholds.
 KNEE, SLOPE, OFFSET, GAMMA = 0.04045, 12.92, 0.055, 2.4
 LUMINANCE = (0.2126, 0.7152, 0.0722)
@@ -24,13 +26,16 @@ def linear(channel: Column) -> Column:
     return F.when(c <= KNEE, c / SLOPE).otherwise(F.pow((c + OFFSET) / (1 + OFFSET), F.lit(GAMMA)))
 
 
-def _mix(code: Column, weights: tuple[float, float, float]) -> Column:
-    channels = rgb(code)
-    return sum((linear(channels[i]) * w for i, w in enumerate(weights)), F.lit(0.0))
+def _linear_rgb(code: Column) -> Column:
+    return F.transform(rgb(code), linear)
+
+
+def _dot(channels: Column, weights: tuple[float, float, float]) -> Column:
+    return sum((channels[i] * w for i, w in enumerate(weights)), F.lit(0.0))
 
 
 def luminance(code: Column) -> Column:
-    return _mix(code, LUMINANCE)
+    return let(_linear_rgb(code), lambda c: _dot(c, LUMINANCE))
 
 
 def ratio_of_luminances(a: Column, b: Column) -> Column:
@@ -51,8 +56,9 @@ def wcag_level(ratio: Column) -> Column:
 def lab(code: Column) -> Column:
     """struct<l,a,b> under D65."""
     f = lambda t: F.when(t > (6 / 29) ** 3, F.pow(t, F.lit(1 / 3))).otherwise(t / (3 * (6 / 29) ** 2) + 4 / 29)
-    x, y, z = f(_mix(code, TO_X) / WHITE_X), f(luminance(code)), f(_mix(code, TO_Z) / WHITE_Z)
-    return F.struct((116 * y - 16).alias("l"), (500 * (x - y)).alias("a"), (200 * (y - z)).alias("b"))
+    white = lambda c: F.array(_dot(c, TO_X) / WHITE_X, _dot(c, LUMINANCE), _dot(c, TO_Z) / WHITE_Z)
+    bent = F.transform(let(_linear_rgb(code), white), f)
+    return let(bent, lambda v: F.struct((116 * v[1] - 16).alias("l"), (500 * (v[0] - v[1])).alias("a"), (200 * (v[1] - v[2])).alias("b")))
 
 
 def distance(p: Column, q: Column) -> Column:
@@ -61,12 +67,11 @@ def distance(p: Column, q: Column) -> Column:
 
 
 def delta_e(a: Column, b: Column) -> Column:
-    return distance(lab(a), lab(b))
+    return let(F.struct(lab(a).alias("p"), lab(b).alias("q")), lambda s: distance(s["p"], s["q"]))
 
 
 def chroma(code: Column) -> Column:
-    p = lab(code)
-    return F.hypot(p["a"], p["b"])
+    return let(lab(code), lambda p: F.hypot(p["a"], p["b"]))
 
 
 def lightness(code: Column) -> Column:

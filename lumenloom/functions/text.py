@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,6 +15,11 @@ UNSPACED = r"[\x{3040}-\x{30ff}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{0e00}-\x{0e7
 QUOTES_FROM, QUOTES_TO = "‘’‚‛“”„‟", "''''\"\"\"\""
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value evaluated once, however often body uses it: nested expressions stay small."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def squeeze(text: Column) -> Column:
     """White space, Unicode's included, to single spaces; trimmed."""
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))

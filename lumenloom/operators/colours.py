@@ -130,42 +130,64 @@ def palette_roles(colours: DataFrame) -> DataFrame:
     """site_id, role, hex: roles picked one after the other, each from the colours not taken before.
 
     colours: by_colour() rows with is_background. background, text, primary, link, secondary, accent,
-    text-muted, surface, border.
+    text-muted, surface, border. What a pick needs (distance terms, contrast, shares) is computed by
+    Spark for all sites at once; the picks depend on each other, so they are a fold over one site's
+    few colours, and sites are spread over tasks.
     """
-    c = colours.withColumn("p", color.lab(F.col("hex")))
-    page = c.where("is_background").select("site_id", F.col("hex").alias("page"))
-    c = c.join(page, "site_id").withColumn("contrast", color.contrast_ratio(F.col("hex"), F.col("page"))).withColumn("chroma", F.hypot("p.a", "p.b"))
-    c = c.withColumn("brand", F.col("weight") - F.col("page_weight")).withColumn("text_total", F.sum("text_on_page").over(Window.partitionBy("site_id")))
-    c = c.where(~F.col("hex").isin(BROWSER_LINKS) | F.col("is_background"))
-    text_like = (F.col("chroma") < COLOURFUL) | (F.col("p.l") < 25)
-    promo = (F.col("promo_fill") > 0) | ((F.col("promo_weight") > 0) & (F.col("promo_weight") >= 0.5 * F.col("brand")))
-    taken = page.select("site_id", F.lit("background").alias("role"), F.col("page").alias("hex"))
-    colourful = F.col("chroma") >= COLOURFUL
-
-    def pick(free: DataFrame, role: str, where: Column, *order: Column) -> DataFrame:
-        best = Window.partitionBy("site_id").orderBy(*order, "first_pos", "hex")
-        return free.where(where).withColumn("__n", F.row_number().over(best)).where("__n = 1").select("site_id", F.lit(role).alias("role"), "hex")
-
-    def free() -> DataFrame:
-        return c.join(taken.select("site_id", "hex"), ["site_id", "hex"], "left_anti")
-
-    def apart(rows: DataFrame) -> DataFrame:
-        """Rows at least DISTINCT away from every colourful colour that has a role."""
-        chosen = taken.where("role <> 'background'").join(c.select("site_id", "hex", F.col("p").alias("q"), "chroma"), ["site_id", "hex"]).where(colourful).select("site_id", "q")
-        near = rows.join(chosen, "site_id").where(color.distance(F.col("p"), F.col("q")) < DISTINCT).select("site_id", "hex")
-        return rows.join(near, ["site_id", "hex"], "left_anti")
-
-    taken = taken.union(pick(free(), "text", text_like & (F.col("text_on_page") > 0) & (F.col("text_on_page") >= TEXT_SHARE * F.col("text_total")), F.desc("contrast")))
-    strong = text_like & (F.col("button_weight") > 0) & (F.col("contrast") >= 3)
-    tier = F.when(colourful & (F.col("button_weight") > 0), 1).when(strong, 2).when(colourful & (F.col("header_weight") > 0), 3).when(colourful & ~promo, 4)
-    by = F.when(tier <= 2, F.col("button_weight")).when(tier == 3, F.col("header_weight")).otherwise(F.col("brand"))
-    taken = taken.union(pick(free().withColumn("tier", tier), "primary", F.col("tier").isNotNull(), F.col("tier"), by.desc()))
-    taken = taken.union(pick(free(), "link", colourful & ~promo & (F.col("links") > 0), F.desc("links")))
-    for role in ("secondary", "accent"):
-        taken = taken.union(pick(apart(free()), role, colourful & (F.col("brand") >= MIN_BRAND), F.desc("brand")))
-    taken = taken.union(pick(free(), "text-muted", text_like & (F.col("text_on_page") > 0) & (F.col("text_on_page") >= MUTED_SHARE * F.col("text_total")), F.desc("text_on_page")))
-    taken = taken.union(pick(free(), "surface", (F.col("chroma") < COLOURFUL) & (F.col("background_weight") > 0), F.desc("background_weight")))
-    return taken.union(pick(free(), "border", F.col("border_weight") > 0, F.desc("border_weight")))
+    site = Window.partitionBy("site_id")
+    c = colours.withColumn("page", F.max(F.when(F.col("is_background"), F.col("hex"))).over(site)).where("page is not null")
+    c = c.withColumn("text_total", F.sum("text_on_page").over(site)).where(~F.col("hex").isin(BROWSER_LINKS) | F.col("is_background"))
+    c = c.withColumn("p", color.lab(F.col("hex"))).withColumn("contrast", color.contrast_ratio(F.col("hex"), F.col("page")))
+    chroma, brand = F.hypot("p.a", "p.b"), F.col("weight") - F.col("page_weight")
+    colourful = chroma >= COLOURFUL
+    text_like = ~colourful | (F.col("p.l") < 25)
+    promo = (F.col("promo_fill") > 0) | ((F.col("promo_weight") > 0) & (F.col("promo_weight") >= 0.5 * brand))
+    buttons = F.col("button_weight") > 0
+    tier = F.when(colourful & buttons, 1).when(text_like & buttons & (F.col("contrast") >= 3), 2).when(colourful & (F.col("header_weight") > 0), 3).when(colourful & ~promo, 4)
+    read = F.col("text_on_page") > 0
+    share = lambda least: text_like & read & (F.col("text_on_page") >= least * F.col("text_total"))
+    # for each role the figure it is picked by, null where the colour can't have it
+    ready = c.select(
+        "site_id", "hex", "is_background", "first_pos", "p.l", "p.a", "p.b", colourful.alias("colourful"),
+        F.when(share(TEXT_SHARE), F.col("contrast")).alias("text"), tier.alias("tier"),
+        F.when(tier <= 2, F.col("button_weight")).when(tier == 3, F.col("header_weight")).when(tier == 4, brand).alias("primary"),
+        F.when(colourful & ~promo & (F.col("links") > 0), F.col("links")).alias("link"),
+        F.when(colourful & (brand >= MIN_BRAND), brand).alias("accent"),
+        F.when(share(MUTED_SHARE), F.col("text_on_page")).alias("muted"),
+        F.when(~colourful & (F.col("background_weight") > 0), F.col("background_weight")).alias("surface"),
+        F.when(F.col("border_weight") > 0, F.col("border_weight")).alias("border"),
+    )
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        left = sorted(rows.itertuples(), key=lambda r: (r.first_pos, r.hex))
+        chosen, out = [], []
+
+        def give(role: str, r) -> None:
+            if r is not None:
+                left.remove(r)
+                out.append((r.site_id, role, r.hex))
+                if r.colourful and role != "background":
+                    chosen.append(r)
+
+        def best(column: str, among: list):
+            fit = [r for r in among if pd.notna(getattr(r, column))]
+            return max(fit, key=lambda r: getattr(r, column), default=None)  # the first seen on ties
+
+        def apart() -> list:
+            return [r for r in left if all(((r.l - q.l) ** 2 + (r.a - q.a) ** 2 + (r.b - q.b) ** 2) ** 0.5 >= DISTINCT for q in chosen)]
+
+        give("background", next(r for r in left if r.is_background))
+        give("text", best("text", left))
+        tiers = [r.tier for r in left if pd.notna(r.tier)]
+        give("primary", best("primary", [r for r in left if r.tier == min(tiers)]) if tiers else None)
+        give("link", best("link", left))
+        give("secondary", best("accent", apart()))
+        give("accent", best("accent", apart()))
+        for role, column in (("text-muted", "muted"), ("surface", "surface"), ("border", "border")):
+            give(role, best(column, left))
+        return pd.DataFrame(out, columns=["site_id", "role", "hex"])
+
+    return ready.groupBy("site_id").applyInPandas(fold, f"site_id {colours.schema['site_id'].dataType.simpleString()}, role string, hex string")
 
 
 def contrast_pairs(foregrounds: DataFrame, backgrounds: DataFrame, keys: list[str]) -> DataFrame:

@@ -29,7 +29,7 @@ def contrast_summary(spark: SparkSession, d: str) -> DataFrame:
 
 def contrast_pivot(spark: SparkSession, d: str) -> DataFrame:
     levels = ["AAA", "AA", "AA-large", "fail"]
-    wide = contrast_matrix(spark, d).groupBy("fg").pivot("level", levels).agg(F.count("*")).na.fill(0, levels)
+    wide = contrast_matrix(spark, d).groupBy("fg").pivot("level", levels).agg(F.count(F.lit(1))).na.fill(0, levels)
     return wide.select("fg", F.col("AAA").alias("aaa"), F.col("AA").alias("aa"), F.col("AA-large").alias("aa_large"), F.col("fail").alias("fail"))
 
 
