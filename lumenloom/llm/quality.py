@@ -78,7 +78,7 @@ def fit(rows: list[tuple[int, str]], epochs: int = 6, batch: int = 16, rate: flo
     net = _new(seed)
     n = len(rows)
     share = sum(y for y, _ in rows) / n if n else 0.5
-    if not 0 < share < 1:
+    if not n or not 0 < share < 1:
         net.out[:] = 0
         net.out_bias = float(np.log((share * n + 0.5) / ((1 - share) * n + 0.5))) if n else 0.0
         return net
