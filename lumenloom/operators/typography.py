@@ -29,7 +29,8 @@ def role(kind: Column, size: Column, chars: Column, region: Column, first: Colum
 def typography(elements: DataFrame, loaded: DataFrame | None = None, screen: int = 900) -> DataFrame:
     """site_id, role, family, weights, sizes, elements, is_webfont.
 
-    elements also has font and weight. loaded: site_id, family of the page's web fonts.
+    elements also has font and weight. Amounts are compared to six digits, so that the order in which
+    sums are made decides no tie. loaded: site_id, family of the page's web fonts.
     """
     e = elements.where("font is not null and chars > 0 and size > 0").withColumn("stack", stack(F.col("font"))).where("size(stack) > 0")
     if loaded is not None:
@@ -46,12 +47,12 @@ def typography(elements: DataFrame, loaded: DataFrame | None = None, screen: int
     )
     key = ["site_id", "role", "family"]
     total = rows.groupBy(*key).agg(F.sum("amount").alias("amount"), F.count("*").alias("elements"), F.bool_or("is_web").alias("is_webfont"))
-    best = Window.partitionBy("site_id", "role").orderBy(F.desc("amount"), "family")
+    best = Window.partitionBy("site_id", "role").orderBy(F.round("amount", 6).desc(), "family")
     winners = total.withColumn("__n", F.row_number().over(best)).where("__n = 1").drop("__n", "amount")
 
     def top(column: str, limit: int, out: str, ascending: bool) -> DataFrame:
         each = rows.groupBy(*key, column).agg(F.sum("amount").alias("amount"))
-        order = Window.partitionBy(*key).orderBy(F.desc("amount"), column)
+        order = Window.partitionBy(*key).orderBy(F.round("amount", 6).desc(), column)
         kept = each.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= limit)
         return kept.groupBy(*key).agg(F.sort_array(F.collect_list(column), ascending).alias(out))
 

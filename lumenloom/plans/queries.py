@@ -14,6 +14,11 @@ from lumenloom.plans.derive import elements, hex_of, links, searches, table
 from lumenloom.streaming import limits
 
 
+def _rounded(name, digits):
+    """Rounded so that the order in which a sum was made decides no tie."""
+    return F.round(F.col(name) + 10.0 ** -(digits + 3 if digits > 3 else digits + 4), digits).alias(name)
+
+
 def _part_colours(spark, d, remainder):
     p = table(spark, d, "part").where(F.col("p_partkey") % 2 == remainder)
     return p.select(F.col("p_brand").alias("site_id"), hex_of(F.col("p_partkey") % 200).alias("hex"))
@@ -53,7 +58,7 @@ def stacked_copies(spark: SparkSession, d: str) -> DataFrame:
 
 def colour_uses(spark: SparkSession, d: str) -> DataFrame:
     u = colours.colour_uses(elements(spark, d))
-    return u.select("site_id", "hex", "label", *[F.round(c, 3).alias(c) for c in ("weight", "text_on_page", "links")], "elements", "buttons", "first_pos")
+    return u.select("site_id", "hex", "label", *[_rounded(c, 3) for c in ("weight", "text_on_page", "links")], "elements", "buttons", "first_pos")
 
 
 def _site_colours(spark, d):
@@ -204,11 +209,12 @@ def sliding_limiter(spark: SparkSession, d: str) -> DataFrame:
 def usage_cost(spark: SparkSession, d: str) -> DataFrame:
     prices = spark.createDataFrame([("1-URGENT", 3.0, 15.0), ("2-HIGH", 0.5, 2.0), ("5-LOW", 0.1, 0.4)], "model string, input_price double, output_price double")
     o = table(spark, d, "orders").select("o_orderkey", F.col("o_orderpriority").alias("model"), (F.col("o_orderkey") % 10000).alias("input_tokens"), (F.col("o_custkey") % 3000).alias("output_tokens"))
-    return jobs.usage_cost(o, prices).select("o_orderkey", F.round("cost", 6).alias("cost"))
+    return jobs.usage_cost(o, prices).select("o_orderkey", _rounded("cost", 6))
 
 
 def fallback_answer(spark: SparkSession, d: str) -> DataFrame:
-    a = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("job_id"), (F.col("l_linenumber") * 100000 + F.col("l_partkey")).alias("ord"), F.col("l_quantity").alias("seconds"), (F.col("l_returnflag") == "A").alias("ok"), F.col("l_partkey").alias("answer"), F.col("l_linestatus").alias("reason")).dropDuplicates(["job_id", "ord"])
+    a = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("job_id"), (F.col("l_linenumber") * 100000 + F.col("l_partkey")).alias("ord"), F.col("l_quantity").alias("seconds"), (F.col("l_returnflag") == "A").alias("ok"), F.col("l_partkey").alias("answer"), F.col("l_linestatus").alias("reason"))
+    a = a.groupBy("job_id", "ord").agg(F.min("seconds").alias("seconds"), F.bool_or("ok").alias("ok"), F.min("answer").alias("answer"), F.min("reason").alias("reason"))
     return jobs.first_usable(a, 60.0).select("job_id", "answer", F.array_join("reasons", ",").alias("reasons"))
 
 
@@ -278,7 +284,7 @@ def events_state_stream(spark: SparkSession, d: str) -> DataFrame:
     schema = table(spark, d, "events").schema
     folder = d if d.startswith(("hdfs", "s3", "viewfs", "file")) else f"file://{d}"
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
-    hits = stream.select(F.col("user_id").cast("string").alias("k"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"), F.col("event_id").alias("id"))
+    hits = stream.select(F.col("user_id").cast("string").alias("k"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"), F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"))
     base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lumenloom-")
     out = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
     run = limits.sliding_limit(hits, 3, 86400.0).writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").outputMode("append").trigger(availableNow=True).start()

@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def sliding_limit(hits: DataFrame, limit: int, window_s: float) -> DataFrame:
-    """k, id, allowed, wait_s for a stream of hits (k, id, t in seconds): only accepted hits count.
+def sliding_limit(hits: DataFrame, limit: int, window_s: float, delay: str = "1 hour") -> DataFrame:
+    """k, id, allowed, wait_s for a stream of hits (k, id, t in seconds, ts the same as a timestamp).
 
-    The state of a key is at most `limit` times, and goes after a window without hits.
+    Only accepted hits count. The state of a key is at most `limit` times; it goes when the watermark has
+    passed its last hit by a window (event time, so that a run over what is there ends). Hits that come
+    later than `delay` are dropped by the watermark.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -30,10 +32,12 @@ def sliding_limit(hits: DataFrame, limit: int, window_s: float) -> DataFrame:
             if ok:
                 times.append(float(t))
         state.update((times,))
-        state.setTimeoutDuration(max(1, int(window_s * 1000)))
+        ends = int((float(rows["t"].max()) + window_s) * 1000)
+        state.setTimeoutTimestamp(max(ends, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["k", "id", "allowed", "wait_s"])
 
-    return hits.groupBy("k").applyInPandasWithState(step, "k string, id long, allowed boolean, wait_s double", "times array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    keyed = hits.withWatermark("ts", delay).groupBy("k")
+    return keyed.applyInPandasWithState(step, "k string, id long, allowed boolean, wait_s double", "times array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def recent_results(made: DataFrame, hours: int = 24) -> DataFrame:
