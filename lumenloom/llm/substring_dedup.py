@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenloom.llm.common import materialize, worker_cached
+from lumenloom.llm.common import discard, materialize, worker_cached
 from lumenloom.llm.fm_index import FMIndex
 from lumenloom.llm.minhash import U8, _mix, _Powers, _signed, word_hashes
 
@@ -163,9 +163,10 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, gram: int = ANCHOR) -> Dat
     """doc_id, n_words, n_removed, kept_sha256 and kept (the text that is left, words joined by one space)."""
     rows = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("d"), F.hash("text").alias("h"))
     read = rows.select("d", "h", "text")
-    places = _places(read, size, gram)
-    shared = places.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
-    places = materialize(places.join(shared, "anchor"), "places")
+    every = materialize(_places(read, size, gram), "segments")
+    shared = every.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
+    places = materialize(every.join(shared, "anchor"), "places")
+    discard(every)
     distinct = places.groupBy("anchor", "segment").agg(F.count("*").cast("int").alias("copies"), F.min("d").alias("d"), F.min_by("h", "d").alias("h"), F.min_by("pos", "d").alias("pos"), F.first("windows").alias("windows"))
     distinct = materialize(distinct, "segments")
     crowds = materialize(distinct.groupBy("anchor").count().where(F.col("count") > CROWD).select("anchor", F.lit(True).alias("crowded")), "crowds")
