@@ -3,19 +3,22 @@
 1. Each text becomes the set of its hashed shingles, a digest of the set, 128 MinHash values, a
    sketch (two bits of each value) and a label of SHALLOW and of DEEP values for each of TREES trees.
    Texts with equal sets fall together by digest; from here on one of them stands for all.
-2. Every tree orders the labels. Documents with a common prefix of SHALLOW values form a region, and
-   so are neighbours; a region of more than REGION documents is cut at DEEP values instead (and, if
-   that isn't enough, by a hash). Within a region sketches are compared block by block, and pairs
-   that could reach the threshold (four standard deviations of slack) are candidates.
-3. First each document's best candidate is checked on full sets, which joins most of each group.
-   Then only candidates in different components matter: a document with up to FEW of them in a region
-   gets those checked; the members of a region where one has more are sent there with their sets and
-   compared in place, where only links come out. So a group of thousands of near copies never
-   becomes rows for all its pairs, and no candidate between different components goes unchecked.
-
-Two sets with similarity J share a region of one tree with probability J**3: with 16 trees a pair
-at 0.85 is missed once in 4 million times, at 0.8 once in 90,000 (in regions of over REGION
-documents: J**6, once in 1,900 and in 120).
+2. In every tree documents with equal labels of SHALLOW values form a region. Within a region sketches
+   are compared block by block, and pairs that could reach the threshold (four standard deviations of
+   slack) are candidates.
+3. First each document's best candidate is checked on full sets, which joins most of each group. Only
+   for this a region of more than REGION documents is cut (at DEEP values and, if that isn't enough, by
+   a hash); all its members go on to the next step.
+4. Then only candidates in different components matter, and no region is cut: one of more than REGION
+   documents becomes blocks, and each two blocks are a task of their own, unless both hold one and the
+   same component. A document with up to FEW candidates in a task gets those checked; the members of
+   a task where one has more are sent there with their sets and compared in place, where only links
+   come out. So a group of thousands of near copies never becomes rows for all its pairs, and no
+   candidate between different components goes unchecked.
+
+Two sets with similarity J share a region of one tree with probability J**3, whatever its size: with
+16 trees a pair at 0.85 is missed once in 4 million times, at 0.8 once in 90,000. The work grows with
+the square of a region's documents where these are near misses that no link joins.
 
 Defined results: a null text, an empty one or white space is an empty set, linked with nothing; a text
 of fewer words than a shingle is one shingle; repeated rows get equal results; a null id gets a null
@@ -30,14 +33,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenloom.llm.common import add_columns, discard, materialize, worker_cached
 from lumenloom.llm.components import components
 
 TREES, SHALLOW, DEEP, VALUES = 16, 3, 6, 128
-#: Documents of one region that are compared with each other.
+#: Documents that are compared with each other in one task; a larger region becomes several blocks.
 REGION = 4096
 #: Candidates in other components that a document may have in a region before the region is compared in place.
 FEW = 4
@@ -152,50 +155,98 @@ def _agreement(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (1 - np.bitwise_count(d).sum(axis=2, dtype="i4") / VALUES - 0.25) / 0.75
 
 
-def _region_candidates(rep, comp, size, sketch, cut, ratio, most):
-    """Of one region: pairs (i, j) of each row with its `most` best partners in other components. If some row has
-    more than `most`, the members that have partners; for most > 1 these come instead of the pairs."""
+def _region_candidates(rep, comp, size, sketch, left, cut, ratio, most):
+    """Of one region, or of the first `left` rows with the others: pairs (i, j) of each row with its `most` best
+    partners in other components. If some row has more than `most`, the members that have partners; for most > 1
+    these come instead of the pairs."""
     m, pairs, partners = len(rep), [], np.zeros(len(rep), "i4")
-    step = max(1, min(m, (1 << 20) // m))
-    for at in range(0, m, step):
-        rows = slice(at, min(m, at + step))
-        est = _agreement(sketch[rows], sketch)
-        a, b = size[rows, None], size[None, :]
-        est[(np.minimum(a, b) < ratio * np.maximum(a, b)) | (comp[rows, None] == comp[None, :])] = -1
+    top, across = (m, slice(0, m)) if left in (0, m) else (left, slice(left, m))
+    step = max(1, min(top, (1 << 20) // m))
+    for at in range(0, top, step):
+        rows = slice(at, min(top, at + step))
+        est = _agreement(sketch[rows], sketch[across])
+        a, b = size[rows, None], size[None, across]
+        est[(np.minimum(a, b) < ratio * np.maximum(a, b)) | (comp[rows, None] == comp[None, across])] = -1
         est[est < cut] = -1
         partners[rows] = (est > 0).sum(axis=1)
+        if top < m:
+            partners[across] += (est > 0).sum(axis=0, dtype="i4")
         best = np.argsort(-est, axis=1, kind="stable")[:, :most] if most > 1 else est.argmax(axis=1)[:, None]
         i, j = np.repeat(np.arange(est.shape[0]), best.shape[1]), best.ravel()
         ok = est[i, j] > 0
-        pairs.append((rep[rows][i[ok]], rep[j[ok]], est[i[ok], j[ok]]))
-    crowd = np.flatnonzero(partners > 0) if (partners > most).any() else np.zeros(0, "i8")
+        pairs.append((rep[rows][i[ok]], rep[across][j[ok]], est[i[ok], j[ok]]))
+    crowd = np.flatnonzero(partners > 0) if (partners[:top] > most).any() else np.zeros(0, "i8")
     pairs = [np.concatenate(x) for x in zip(*pairs)]
     return [x[:0] for x in pairs] if most > 1 and len(crowd) else pairs, crowd
 
 
-def candidates(entries: DataFrame, similarity: float, most: int) -> DataFrame:
-    """i, j, estimate from entries (tree, shallow, deep, rep, comp, n, s0..s3): the `most` best of each i.
+def _few(rows: DataFrame) -> DataFrame:
+    return F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
 
-    Rows without j tell the members of regions (tree, shallow, part) where that isn't all.
+
+def crowded_regions(entries: DataFrame) -> DataFrame:
+    """tree, shallow and number of documents of the regions with more than REGION."""
+    return materialize(entries.groupBy("tree", "shallow").agg(F.count("*").alias("c")).where(F.col("c") > REGION), "crowded")
+
+
+def _cut(entries: DataFrame, crowded: DataFrame) -> DataFrame:
+    """entries with part: crowded regions are cut at their deep labels, and those by a hash. Loses pairs."""
+    entries = entries.join(_few(crowded.select("tree", "shallow", F.lit(1).alias("crowded"))), ["tree", "shallow"], "left")
+    deep = entries.where("crowded = 1").groupBy("tree", "shallow", "deep").agg(F.count("*").alias("c")).where(F.col("c") > REGION)
+    deep = materialize(deep.select("tree", "shallow", "deep", (F.col("c") / REGION + 1).cast("int").alias("cuts")), "deep")
+    entries = entries.join(_few(deep), ["tree", "shallow", "deep"], "left")
+    cut_up = F.when(F.col("cuts").isNotNull(), F.xxhash64("deep", F.pmod(F.xxhash64("rep", "tree"), F.col("cuts")))).otherwise(F.col("deep"))
+    return entries.withColumn("part", F.when(F.col("crowded").isNotNull(), cut_up).otherwise(F.lit(0))).withColumn("side", F.lit(0))
+
+
+def _dealt(rows: DataFrame, part: str) -> DataFrame:
+    """Each row once for every task that compares its block with a block: the task's number as `part`, and side 1 in the second block.
+
+    The row's group has `blocks` blocks from the number `first` on, of `total`; `alone`: they aren't compared with each other.
+    """
+    of = F.col("first") + F.pmod(F.xxhash64("rep", "tree"), F.col("blocks"))
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("total") - 1), lambda o: ~F.col("alone") | (o < F.col("first")) | (o >= F.col("first") + F.col("blocks")))
+    rows = rows.withColumn("block", of).withColumn("other", F.explode(others))
+    rows = rows.withColumn(part, F.least("block", "other") * F.col("total") + F.greatest("block", "other"))
+    return rows.withColumn("side", (F.col("block") > F.col("other")).cast("int"))
+
+
+def _blocks(entries: DataFrame, crowded: DataFrame) -> DataFrame:
+    """entries with part and side: crowded regions as tasks that together hold each pair of different components.
+
+    A large component has blocks of its own, so none of its own pairs are visited.
+    """
+    region = ["tree", "shallow"]
+    per = entries.join(_few(crowded.select(*region)), region, "left_semi").groupBy(*region, "comp").agg(F.count("*").alias("c"))
+    large = materialize(per.where(F.col("c") >= max(2, REGION // 2)).withColumn("alone", F.lit(True)), "large")
+    rest = crowded.join(large.groupBy(*region).agg(F.sum("c").alias("gone")), region, "left").select(*region, (F.col("c") - F.coalesce("gone", F.lit(0))).alias("c"))
+    groups = large.unionByName(rest.where("c > 0").select(*region, F.lit(0).cast("long").alias("comp"), "c", F.lit(False).alias("alone")))
+    groups = groups.withColumn("blocks", F.floor(F.col("c") / REGION) + 1)
+    every = Window.partitionBy(*region)
+    before = every.orderBy("alone", "comp").rowsBetween(Window.unboundedPreceding, -1)
+    groups = groups.withColumn("first", F.coalesce(F.sum("blocks").over(before), F.lit(0))).withColumn("total", F.sum("blocks").over(every)).drop("c")
+    groups = materialize(groups, "groups")
+    own = entries.join(_few(large.select(*region, "comp", "alone")), [*region, "comp"], "left").withColumn("alone", F.coalesce("alone", F.lit(False)))
+    own = own.withColumn("own", F.when(F.col("alone"), F.col("comp")).otherwise(F.lit(0).cast("long")))
+    own = own.join(_few(groups.withColumnRenamed("comp", "own")), [*region, "alone", "own"], "left")
+    one = own.select(*[F.coalesce(c, F.lit(v)).cast("long").alias(c) for c, v in (("blocks", 1), ("first", 0), ("total", 1))], "alone", *entries.columns)
+    return _dealt(one, "part")
+
+
+def candidates(entries: DataFrame, similarity: float, most: int, crowded: DataFrame) -> DataFrame:
+    """i, j, estimate from entries (tree, shallow, deep, rep, comp, n, s0..s3): the `most` best of each i in a task.
+
+    Rows without j tell the members of tasks (tree, shallow, part, side) where that isn't all. For most = 1
+    crowded regions are cut.
     """
     cut = similarity - 4 * (0.04 if similarity < 0.9 else 0.03)
     region = ["tree", "shallow", "part"]
-    crowded = entries.groupBy("tree", "shallow").agg(F.count("*").alias("c")).where(F.col("c") > REGION).select("tree", "shallow", F.lit(1).alias("crowded"))
-    crowded = materialize(crowded, "crowded")
-    deep = None
-    if not crowded.isEmpty():
-        few = crowded.count() <= BROADCAST_IDS
-        entries = entries.join(F.broadcast(crowded) if few else crowded, ["tree", "shallow"], "left")
-        deep = entries.where("crowded = 1").groupBy("tree", "shallow", "deep").agg(F.count("*").alias("c")).where(F.col("c") > REGION)
-        deep = deep.select("tree", "shallow", "deep", (F.col("c") / REGION + 1).cast("int").alias("cuts"))
-        deep = materialize(deep, "deep")
-        entries = entries.join(F.broadcast(deep) if deep.count() <= BROADCAST_IDS else deep, ["tree", "shallow", "deep"], "left")
-        cut_up = F.when(F.col("cuts").isNotNull(), F.xxhash64("deep", F.pmod(F.xxhash64("rep", "tree"), F.col("cuts")))).otherwise(F.col("deep"))
-        entries = entries.withColumn("part", F.when(F.col("crowded").isNotNull(), cut_up).otherwise(F.lit(0)))
+    if crowded.isEmpty():
+        entries = entries.withColumn("part", F.lit(0)).withColumn("side", F.lit(0))
     else:
-        entries = entries.withColumn("part", F.lit(0).cast("long"))
-    names = ["i", "j", "estimate", *region]
-    wanted = [*region, "rep", "comp", "n", "s0", "s1", "s2", "s3"]
+        entries = (_cut if most == 1 else _blocks)(entries, crowded)
+    names = ["i", "j", "estimate", *region, "side"]
+    wanted = [*region, "side", "rep", "comp", "n", "s0", "s1", "s2", "s3"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -203,10 +254,11 @@ def candidates(entries: DataFrame, similarity: float, most: int) -> DataFrame:
         def done(cols):
             key = np.stack(cols[:3], axis=1)
             new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1), [True]]))
-            sketch = np.stack([c.view(U8) for c in cols[6:]], axis=1)
+            sketch = np.stack([c.view(U8) for c in cols[7:]], axis=1)
             found, crowds = [], []
             for lo, hi in zip(new[:-1][np.diff(new) > 1], new[1:][np.diff(new) > 1]):
-                got, crowd = _region_candidates(cols[3][lo:hi], cols[4][lo:hi], cols[5][lo:hi], sketch[lo:hi], cut, similarity, most)
+                left = int((cols[3][lo:hi] == 0).sum())
+                got, crowd = _region_candidates(cols[4][lo:hi], cols[5][lo:hi], cols[6][lo:hi], sketch[lo:hi], left, cut, similarity, most)
                 found.append(got)
                 crowds.append(lo + crowd)
             if not found:
@@ -214,9 +266,9 @@ def candidates(entries: DataFrame, similarity: float, most: int) -> DataFrame:
             i, j, est = [np.concatenate(x) for x in zip(*found)]
             crowd = np.concatenate(crowds)
             none = pa.nulls(len(i), pa.int64())
-            pairs = pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(est), none, none, none], names=names)
+            pairs = pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(est), none, none, none, none], names=names)
             gone = pa.nulls(len(crowd), pa.int64())
-            members = pa.RecordBatch.from_arrays([pa.array(cols[3][crowd]), gone, pa.nulls(len(crowd), pa.float64()), *(pa.array(c[crowd]) for c in cols[:3])], names=names)
+            members = pa.RecordBatch.from_arrays([pa.array(cols[4][crowd]), gone, pa.nulls(len(crowd), pa.float64()), *(pa.array(c[crowd]) for c in cols[:4])], names=names)
             return pa.Table.from_batches([pairs, members]).combine_chunks()
 
         for batch in batches:
@@ -234,14 +286,13 @@ def candidates(entries: DataFrame, similarity: float, most: int) -> DataFrame:
         if rest is not None and (out := done(rest)) is not None:
             yield from out.to_batches(max_chunksize=100_000)
 
-    ordered = entries.select(*[F.col(c).cast("long") for c in wanted]).repartition(*region).sortWithinPartitions(*region, "rep")
+    ordered = entries.select(*[F.col(c).cast("long") for c in wanted]).repartition(*region).sortWithinPartitions(*region, "side", "rep")
     return ordered.mapInArrow(run, ", ".join(f"{n} {'double' if n == 'estimate' else 'long'}" for n in names))
 
 
 def _full_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     """rep, shingles (the whole sorted set) of the documents with those ids."""
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    wanted = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("rep"), "left_semi")
+    wanted = docs.select("doc_id", "text").join(_few(ids), F.col("doc_id") == F.col("rep"), "left_semi")
 
     def run(texts: list[str | None]) -> list:
         return [[shingle_set(t, size).tobytes() for t in texts]]
@@ -269,23 +320,25 @@ def _confirm(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def _confirm_in_place(members: DataFrame, comps: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Links a, b between different components among the members (i) of each region, found on full sets."""
+    """Links a, b between different components among the members (i) of each task of candidates(), found on full sets."""
     hundredths = round(100 * similarity)
     region = ["tree", "shallow", "part"]
-    rows = members.select(*region, F.col("i").alias("rep")).join(comps.withColumnRenamed("node", "rep"), "rep", "left").join(sets, "rep")
-    rows = rows.select(*region, "rep", F.coalesce("component", "rep").alias("comp"), "shingles")
+    rows = members.select(*region, "side", F.col("i").alias("rep")).join(comps.withColumnRenamed("node", "rep"), "rep", "left").join(sets, "rep")
+    rows = rows.select(*region, "side", "rep", F.coalesce("component", "rep").alias("comp"), "shingles")
 
-    def links(rep, comp, held) -> Iterator[tuple[int, int]]:
+    def links(side, rep, comp, held) -> Iterator[tuple[int, int]]:
         sizes = np.array([len(x) for x in held])
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         ids = np.unique(np.concatenate(held), return_inverse=True)[1]
         mark = np.zeros(int(ids.max()) + 1, "i4")
-        for i in range(1, len(rep)):
+        left = int((side == 0).sum()) % len(rep)  # 0: one block with itself
+        for i in range(left or 1, len(rep)):
+            n = left or i
             own = ids[starts[i] : starts[i] + sizes[i]]
             mark[own] = 1
-            common = np.add.reduceat(mark[ids[: starts[i]]], starts[:i])
+            common = np.add.reduceat(mark[ids[: starts[n]]], starts[:n])
             mark[own] = 0
-            hit = np.flatnonzero((100 * common >= hundredths * (sizes[i] + sizes[:i] - common)) & (comp[:i] != comp[i]))
+            hit = np.flatnonzero((100 * common >= hundredths * (sizes[i] + sizes[:n] - common)) & (comp[:n] != comp[i]))
             for j in hit:
                 if comp[j] != comp[i]:  # one link joins two components
                     yield rep[i], rep[j]
@@ -293,21 +346,21 @@ def _confirm_in_place(members: DataFrame, comps: DataFrame, sets: DataFrame, sim
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(group) -> pa.RecordBatch:
-            found = list(links(np.array([g[0] for g in group]), np.array([g[1] for g in group]), [np.frombuffer(g[2], U8) for g in group]))
+            found = list(links(*(np.array([g[k] for g in group]) for k in range(3)), [np.frombuffer(g[3], U8) for g in group]))
             return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
         key, group = None, []
         for batch in batches:
-            for *k, rep, comp, shingles in zip(*(c.to_pylist() for c in batch.columns)):
+            for *k, side, rep, comp, shingles in zip(*(c.to_pylist() for c in batch.columns)):
                 if k != key and group:
                     yield done(group)
                     group = []
                 key = k
-                group.append((rep, comp, shingles))
+                group.append((side, rep, comp, shingles))
         if group:
             yield done(group)
 
-    return rows.repartition(*region).sortWithinPartitions(*region, "rep").mapInArrow(run, "a long, b long")
+    return rows.repartition(*region).sortWithinPartitions(*region, "side", "rep").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -325,20 +378,26 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) ->
         return of.select("rep", "comp", "n", *[F.get("sketch", F.lit(i)).alias(f"s{i}") for i in range(4)], F.explode(each).alias("e")).select("e.*", "rep", "comp", "n", "s0", "s1", "s2", "s3")
 
     pair = [F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")]
-    first = candidates(entries(reps.withColumn("comp", F.col("rep"))), similarity, 1).where("j is not null")
+    each = entries(reps.withColumn("comp", F.col("rep")))
+    crowded = crowded_regions(each)
+    first = candidates(each, similarity, 1, crowded).where("j is not null")
     best = materialize(first.groupBy("i").agg(F.max_by("j", "estimate").alias("j")), "best")
     involved = materialize(best.select(F.col("i").alias("rep")).union(best.select(F.col("j").alias("rep"))).distinct(), "involved")
     sets = materialize(_full_sets(docs, involved, size), "sets")
-    few = F.broadcast(involved) if involved.count() <= BROADCAST_IDS else involved
-    active = materialize(reps.join(few, "rep", "left_semi"), "active")
+    inside = [] if crowded.isEmpty() else [each.join(_few(crowded.select("tree", "shallow")), ["tree", "shallow"], "left_semi").select("rep")]
+    again = materialize(involved.union(inside[0]).distinct(), "again") if inside else involved
+    active = materialize(reps.join(_few(again), "rep", "left_semi"), "active")
     tested = materialize(best.select(*pair).distinct(), "pairs")
     links = materialize(_confirm(tested, sets, similarity), "confirmed")
     comps = materialize(components(links), "components")
     now = active.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
-    more = materialize(candidates(entries(now), similarity, FEW), "candidates")
-    crowded = more.where("j is null")
+    more = materialize(candidates(entries(now), similarity, FEW, crowded), "candidates")
+    if inside:  # members that had no candidate in the cut regions
+        late = more.select(F.col("i").alias("rep")).union(more.where("j is not null").select("j")).distinct().join(involved, "rep", "left_anti")
+        sets = sets.union(materialize(_full_sets(docs, materialize(late, "late"), size), "sets"))
+    members = more.where("j is null")
     apart = more.where("j is not null").select(*pair).distinct().join(tested, ["a", "b"], "left_anti")
-    added = materialize(_confirm(apart, sets, similarity).union(_confirm_in_place(crowded, comps, sets, similarity)), "confirmed")
+    added = materialize(_confirm(apart, sets, similarity).union(_confirm_in_place(members, comps, sets, similarity)), "confirmed")
     if not added.isEmpty():
         comps = materialize(components(links.union(added)), "components")
     discard(sets, active)

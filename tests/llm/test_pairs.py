@@ -75,6 +75,21 @@ def test_overfull_regions_still_join(spark, monkeypatch):
     assert {r.component_id for r in got} == {1} and sum(r.kept for r in got) == 1
 
 
+def test_pairs_inside_overfull_groups_of_near_misses(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "REGION", 4)
+    base, texts = prose(400, 1).split(), []
+    for a in range(12):  # five words changed; two documents share one place at most, and pairs one new word
+        for b in range(13):
+            w = list(base)
+            for k in range(5):
+                w[5 + 6 * (13 * k + (a * k + b) % 13)] = f"y{a}x{b}x{k}" if k else f"p{a // 2}x{b}"
+            texts.append((13 * a + b, " ".join(w)))
+    sets = sets_of(texts, 5)
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    assert len(links) == 78
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs(spark, texts)).collect()} == roots(sorted(sets), links)
+
+
 def test_components(spark):
     rng = random.Random(1)
     links = [(0, i) for i in range(1, 300)] + [(i, i + 1) for i in range(1000, 1200)] + [(rng.randrange(2000, 2300), rng.randrange(2000, 2300)) for _ in range(150)]
