@@ -8,8 +8,9 @@
 3. The distinct segments are dealt into shards by anchor. A shard becomes a compressed FM-index, and its
    segments are streamed through it by backward search over the wavelet matrix: matching statistics
    give, from each end, how far to the left the words still occur twice. Every window inside such a
-   stretch is a repeat. An anchor with more than CROWD distinct segments is dealt as single windows
-   by their own hash instead, so a passage that very many documents share is spread over shards.
+   stretch is a repeat. The windows of an anchor with more than CROWD distinct segments are counted
+   one by one instead: equal ones are added up before the shuffle, so a passage that very many
+   documents share is one row for each window, and the result goes back to their segments.
 4. The repeats go back to all places of their segment, and each document drops the words they cover.
 
 Segments carry the words themselves to the index, so no hash decides that two windows are equal;
@@ -83,7 +84,9 @@ def _places(rows: DataFrame, size: int, gram: int) -> DataFrame:
 
 
 def _words_of(rows: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """anchor, part, segment, off, copies, words: the words of each distinct segment, read from one place of it."""
+    """anchor, part, segment, off, copies, words: the words of each distinct segment, read from one place of it.
+
+    Of crowded anchors each window is a row, with its hash as part; part is null for the rest."""
     lists = wanted.groupBy("d", "h").agg(F.collect_list(F.struct("anchor", "segment", "pos", "windows", "copies", "crowded")).alias("list"))
     both = rows.join(lists, ["d", "h"]).select("text", "list")
 
@@ -101,7 +104,7 @@ def _words_of(rows: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                             part = int.from_bytes(hashlib.blake2b(window, digest_size=8).digest(), "little", signed=True)
                             out.append((x["anchor"], part, x["segment"], k, x["copies"], window))
                     else:
-                        out.append((x["anchor"], 0, x["segment"], 0, x["copies"], b" ".join(words[at : at + n + size - 1])))
+                        out.append((x["anchor"], None, x["segment"], 0, x["copies"], b" ".join(words[at : at + n + size - 1])))
             types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(types)], names=names)
 
@@ -141,13 +144,13 @@ def _shards(words: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(rows: list[tuple]) -> pa.RecordBatch:
             masks = repeats([r[5].split() for r in rows], [r[4] for r in rows], size)
-            hit = [(r[0], r[2], m << r[3]) for r, m in zip(rows, masks) if m]
+            hit = [(r[0], r[2], m) for r, m in zip(rows, masks) if m]
             return pa.RecordBatch.from_arrays([pa.array([h[i] for h in hit], pa.int64()) for i in range(3)], names=["anchor", "segment", "mask"])
 
         rows, n = [], 0
         for batch in batches:
             for r in zip(*(c.to_pylist() for c in batch.columns)):
-                if n >= SHARD_WORDS and r[:2] != rows[-1][:2]:
+                if n >= SHARD_WORDS and r[0] != rows[-1][0]:
                     yield done(rows)
                     rows, n = [], 0
                 rows.append(r)
@@ -155,8 +158,24 @@ def _shards(words: DataFrame, size: int) -> DataFrame:
         if rows:
             yield done(rows)
 
-    ordered = words.repartition("anchor", "part").sortWithinPartitions("anchor", "part", "segment", "off")
-    return ordered.mapInArrow(run, "anchor long, segment long, mask long").groupBy("anchor", "segment").agg(F.bit_or("mask").alias("mask"))
+    ordered = words.repartition("anchor").sortWithinPartitions("anchor", "segment")
+    return ordered.mapInArrow(run, "anchor long, segment long, mask long")
+
+
+def _counted(windows: DataFrame) -> DataFrame:
+    """anchor, segment, mask from single windows: those whose words occur twice or more."""
+    key = ["anchor", "part"]
+    equal = windows.groupBy(*key, "words").agg(F.sum("copies").alias("copies"))
+    kinds = materialize(equal.groupBy(*key).agg(F.count("*").alias("kinds"), F.max("copies").alias("copies")).where("kinds > 1 or copies > 1"), "windows")
+    again = kinds.where("kinds = 1").select(*key)
+    again = F.broadcast(again) if again.count() <= BROADCAST_ROWS else again
+    hits = windows.join(again, key, "left_semi").select("anchor", "segment", "off")
+    clash = kinds.where("kinds > 1").select(*key)  # different words with one hash
+    if not clash.isEmpty():
+        within = windows.join(clash, key, "left_semi")
+        of = within.groupBy(*key, "words").agg(F.sum("copies").alias("n")).where("n > 1").select(*key, "words")
+        hits = hits.union(within.join(of, [*key, "words"], "left_semi").select("anchor", "segment", "off"))
+    return hits.groupBy("anchor", "segment").agg(F.bit_or(F.expr("shiftleft(1L, off)")).alias("mask"))
 
 
 def remove_repeats(docs: DataFrame, size: int = SIZE, gram: int = ANCHOR) -> DataFrame:
@@ -170,9 +189,16 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, gram: int = ANCHOR) -> Dat
     distinct = places.groupBy("anchor", "segment").agg(F.count("*").cast("int").alias("copies"), F.min("d").alias("d"), F.min_by("h", "d").alias("h"), F.min_by("pos", "d").alias("pos"), F.first("windows").alias("windows"))
     distinct = materialize(distinct, "segments")
     crowds = materialize(distinct.groupBy("anchor").count().where(F.col("count") > CROWD).select("anchor", F.lit(True).alias("crowded")), "crowds")
-    few = F.broadcast(crowds) if crowds.count() <= BROADCAST_ROWS else crowds
+    n_crowds = crowds.count()
+    few = F.broadcast(crowds) if n_crowds <= BROADCAST_ROWS else crowds
     wanted = distinct.join(few, "anchor", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False)))
-    masks = materialize(_shards(_words_of(read, wanted, size), size), "masks")
+    words = _words_of(read, wanted, size)
+    if n_crowds:
+        words = materialize(words, "words")
+        masks = materialize(_shards(words.where("part is null"), size).union(_counted(words.where("part is not null"))), "masks")
+        discard(words)
+    else:
+        masks = materialize(_shards(words, size), "masks")
     hits = places.join(masks, ["anchor", "segment"]).groupBy("d", "h").agg(F.collect_set(F.struct("pos", "mask")).alias("hits"))
     both = rows.join(hits, ["d", "h"], "left").select("doc_id", "text", "hits")
 

@@ -119,6 +119,22 @@ def test_substring_dedup(spark, monkeypatch, crowd):
     assert all(hashlib.sha256(r.kept.encode()).hexdigest() == r.kept_sha256 for r in got)
 
 
+def test_windows_of_a_crowded_passage_reach_the_index_once(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "CROWD", 2)
+    given, shards = [], substring_dedup._shards
+    monkeypatch.setattr(substring_dedup, "_shards", lambda words, size: given.append(words.select("anchor", "words").collect()) or shards(words, size))
+    texts = [(i, f"{prose(20, 200 + i)} {prose(80, 50)} {prose(20, 300 + i)}") for i in range(40)] + [(90, prose(60, 90)), (91, prose(60, 91) + " " + prose(60, 91))]
+    got = substring_dedup.remove_repeats(docs(spark, texts)).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == repeats(texts, 35)
+    assert max(Counter(tuple(r) for r in given[0]).values(), default=0) <= 2
+
+
+def test_equal_hashes_of_different_windows_are_told_apart(spark):
+    rows = [(1, 7, 10, 0, 1, b"a"), (1, 7, 11, 2, 1, b"a"), (1, 7, 12, 1, 1, b"b"), (1, 8, 12, 2, 1, b"c"), (1, 9, 13, 3, 2, b"d"), (1, 9, 13, 1, 2, b"d"), (2, 8, 14, 0, 1, b"c")]
+    windows = spark.createDataFrame(rows, "anchor long, part long, segment long, off int, copies int, words binary")
+    assert {(r.segment, r.mask) for r in substring_dedup._counted(windows).collect()} == {(10, 1), (11, 4), (13, 10)}
+
+
 def test_substring_dedup_of_nothing(spark):
     assert substring_dedup.remove_repeats(docs(spark, [])).count() == 0
 
