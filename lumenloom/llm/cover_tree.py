@@ -2,32 +2,38 @@
 
 On the unit sphere cosine >= c is distance <= sqrt(2 - 2c), so the triangle inequality holds.
 
-1. Vectors are normalised in double precision; equal ones fall together and one stands for all.
-2. The top of the tree is a net of pivots (one for each BLOCK vectors, collected: a few hundred bytes
-   each); every vector goes to its nearest pivot, and a cell of more than BLOCK vectors is cut by a
-   hash. A vector visits a block only if its distance to the block's centre is at most the block's
-   radius plus the threshold distance.
-3. Where two blocks meet, each becomes a cover tree: nested levels whose radii halve. Both trees are
-   descended together; a pair of nodes whose centres are further apart than both radii and the
-   threshold is dropped, one that lies wholly inside the threshold is counted without looking at its
-   vectors, the others are opened, and vectors are compared at the bottom.
-4. A meeting returns, for each vector, its number of links, and the links that join components there:
+1. Vectors are scaled by a power of two, which is exact; equal ones fall together, and one stands for all.
+2. The top of the tree is a net: pivots chosen farthest first from a sample with a few vectors for each
+   block (collected: a few hundred bytes each). Every vector goes to its nearest pivot. A cell of up to
+   `block` vectors is one block; a larger one is cut into shells of halving radii, and a shell that is
+   still too large by a hash. Two blocks that lie wholly inside the threshold are counted as they are.
+3. Each block becomes a cover tree once: nested levels of nets with halving radii, as long as a net
+   holds clearly fewer nodes than vectors. Vectors carry their nodes' numbers from there on.
+4. Each two blocks that can hold a link meet once. A block is host to half of the others, VISITS of them
+   in one task; a vector goes there only if it is close enough to the other block. Both trees are
+   descended level by level: node pairs further apart than their covering radii and the threshold are
+   dropped, those wholly inside it are counted, the rest is opened, and vectors are compared at the
+   bottom, by products in single precision. What lies within the error bound of these is decided by
+   the plain cosine in double precision.
+5. A meeting returns, for each vector, its number of links, and the links that join components there:
    a cluster of thousands costs rows in its size, not in its pairs.
 
-Work: where vectors have no structure (distances all alike), every block must meet every other one,
-as any exact method must there; then it is one matrix product for each pair of blocks.
+Work: where vectors have no structure (distances all alike) no covering radius can prune, and every
+block meets every other one, as in any exact method: then the work is half a matrix product of all
+vectors with each other, in even tasks.
 
 Defined results: null vectors, empty or zero ones, and those with null or non-finite components link
-with nothing, and neither do vectors of different lengths; equal vectors link with each other; a null
-id gets no links, a null component and isn't kept; an empty table gives an empty table; other
-columns are ignored, labels too.
+with nothing, and neither do vectors of different lengths; equal vectors link with each other; a cosine
+of exactly the threshold links; rows that share an id have links of their own, but are one node in the
+components; a null id gets no links, a null component and isn't kept; an empty table gives an empty
+table; other columns are ignored, labels too.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -35,37 +41,48 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenloom.llm.common import materialize
+from lumenloom.llm.common import discard, materialize
 from lumenloom.llm.components import components
 
-BLOCK = 8192
-#: Nodes with fewer vectors aren't split any further.
-LEAF = 16
-SMALLEST = 0.02
+BLOCK, SMALL_BLOCK = 8192, 1024
+#: Blocks that the vectors are dealt into at least, as far as blocks of SMALL_BLOCK vectors allow.
+SPREAD = 12
+#: Other blocks that meet a host in one task.
+VISITS = 4
+#: Nodes with fewer vectors aren't split any further, and neither are those below the smallest radius.
+LEAF, SMALLEST = 16, 0.02
+#: Sampled vectors for each pivot.
+DRAWS = 4
+SHELLS = 6
+MOST_PARTITIONS = 20_000
 SLACK = 1e-9
 
 
-@dataclass
-class Node:
-    members: np.ndarray
-    centre: np.ndarray
-    radius: float
-    children: list[Node] = field(default_factory=list)
+def _unit(v: np.ndarray) -> np.ndarray:
+    return v / np.sqrt((v * v).sum(axis=1))[:, None]
 
 
 def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(2 - 2 * (x @ y.T), 0))
 
 
-def _net(points: np.ndarray, radius: float) -> tuple[list[int], np.ndarray]:
-    """Greedy net: centres further than `radius` apart, and for each point the number of one that covers it."""
-    owner, centres = np.full(len(points), -1), []
+def _farthest_first(points: np.ndarray, n: int) -> np.ndarray:
+    """The n points chosen one by one, each furthest from those before it (fewer if points run out)."""
+    chosen, far = [0], _distances(points, points[:1])[:, 0]
+    while len(chosen) < n and far.max() > SLACK:
+        chosen.append(int(far.argmax()))
+        far = np.minimum(far, _distances(points, points[chosen[-1:]])[:, 0])
+    return points[chosen]
+
+
+def _net(points: np.ndarray, radius: float) -> np.ndarray | None:
+    """Greedy net: for each point the number of a centre that covers it; None if most points would be centres."""
+    owner, n = np.full(len(points), -1), 0
     left = np.arange(len(points))
     while len(left):
         batch = left[:256]
         near = _distances(points[batch], points[batch]) <= radius
-        chosen = []
-        covered = np.zeros(len(batch), bool)
+        chosen, covered = [], np.zeros(len(batch), bool)
         for i in range(len(batch)):
             if not covered[i]:
                 chosen.append(batch[i])
@@ -73,110 +90,172 @@ def _net(points: np.ndarray, radius: float) -> tuple[list[int], np.ndarray]:
         close = _distances(points[left], points[chosen])
         best = close.argmin(axis=1)
         inside = close[np.arange(len(left)), best] <= radius
-        owner[left[inside]] = len(centres) + best[inside]
-        for k, c in enumerate(chosen):
-            owner[c] = len(centres) + k
-        centres.extend(chosen)
+        inside[: len(batch)] = True
+        owner[left[inside]] = n + best[inside]
+        owner[chosen] = n + np.arange(len(chosen))
+        n += len(chosen)
+        if 2 * n > (owner >= 0).sum():
+            return None
         left = left[owner[left] < 0]
-    return centres, owner
-
-
-def build(points: np.ndarray, members: np.ndarray, centre: np.ndarray, level: float) -> Node:
-    """The cover tree of points[members], covered by `centre` within `level`."""
-    own = points[members]
-    node = Node(members, centre, float(_distances(own, centre[None])[:, 0].max()) + SLACK)
-    if len(members) <= LEAF or node.radius <= SMALLEST:
-        return node
-    while level > node.radius:
-        level /= 2
-    centres, owner = _net(own, level)
-    if len(centres) == 1:
-        centres, owner = _net(own, level / 2)
-        level /= 2
-    order = np.argsort(owner, kind="stable")
-    cuts = np.searchsorted(owner[order], np.arange(len(centres) + 1))
-    singles = cuts[1:] - cuts[:-1] == 1
-    for k in np.flatnonzero(~singles):
-        node.children.append(build(points, members[order[cuts[k] : cuts[k + 1]]], own[centres[k]], level / 2))
-    if singles.any():  # points that cover nothing but themselves stay together, as vectors
-        rest = members[order[cuts[:-1][singles]]]
-        node.children.append(Node(rest, node.centre, node.radius))
-    return node
+    return owner
+
+
+def cover_tree(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the vectors in which each node is an interval, and in that order their nodes' numbers by level."""
+    order, paths, number = [], [], 0
+    stack = [(np.arange(len(unit)), 1.0, ())]
+    while stack:
+        members, radius, path = stack.pop()
+        path, number = (*path, number), number + 1
+        owner = None
+        while len(members) > LEAF and radius >= SMALLEST:
+            owner = _net(unit[members], radius)
+            radius /= 2
+            if owner is None or owner.max() > 0:
+                break
+        if owner is None or owner.max() == 0:
+            order.append(members)
+            paths.extend([path] * len(members))
+            continue
+        sizes = np.bincount(owner)
+        for k in np.flatnonzero(sizes > 1):
+            stack.append((members[owner == k], radius, path))
+        single = members[sizes[owner] == 1]  # these cover nothing but themselves and stay together
+        if len(single):
+            order.append(single)
+            paths.extend([(*path, number)] * len(single))
+            number += 1
+    deep = max(map(len, paths), default=1)
+    return np.concatenate(order), np.array([p + p[-1:] * (deep - len(p)) for p in paths], "i4")
+
+
+@dataclass
+class Level:
+    """The nodes of one level: intervals of vectors, centres and covering radii."""
+
+    starts: np.ndarray
+    ends: np.ndarray
+    centre: np.ndarray
+    radius: np.ndarray
+
+
+def _levels(unit: np.ndarray, paths: np.ndarray) -> list[Level]:
+    out: list[Level] = []
+    for k in range(paths.shape[1]):
+        starts = np.flatnonzero(np.concatenate([[True], paths[1:, k] != paths[:-1, k]]))
+        if out and len(starts) == len(out[-1].starts):
+            continue
+        ends = np.append(starts[1:], len(unit))
+        centre = np.add.reduceat(unit, starts) / (ends - starts)[:, None]
+        off = unit - np.repeat(centre, ends - starts, axis=0)
+        out.append(Level(starts, ends, centre, np.sqrt(np.maximum.reduceat((off * off).sum(axis=1), starts)) + SLACK))
+    return out
+
+
+class Block:
+    def __init__(self, v: np.ndarray, weight: np.ndarray, paths: np.ndarray) -> None:
+        self.v, self.weight = v, weight
+        unit = _unit(v)
+        self.single, self.levels = unit.astype("f4"), _levels(unit, paths)
+
+
+def _children(levels: list[Level], depth: int, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and number of the nodes below `nodes`; a node of the last level stays itself."""
+    if depth + 1 >= len(levels):
+        return nodes, np.ones(len(nodes), "i8")
+    level, below = levels[depth], levels[depth + 1]
+    first = np.searchsorted(below.starts, level.starts[nodes])
+    return first, np.searchsorted(below.starts, level.ends[nodes]) - first
 
 
 class Meeting:
-    """Links between two sets of vectors; counts are weighted by the copies each vector stands for."""
+    """Links between two blocks, or within one; counts are weighted by the copies each vector stands for."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, wx: np.ndarray, wy: np.ndarray, cosine: float, same: bool) -> None:
-        self.x, self.y, self.wx, self.wy, self.cosine, self.same = x, y, wx, wy, cosine, same
+    def __init__(self, x: Block, y: Block, cosine: float) -> None:
+        self.x, self.y, self.cosine, self.same = x, y, cosine, x is y
         self.reach = float(np.sqrt(2 - 2 * cosine))
-        self.nx, self.ny = np.zeros(len(x), "i8"), np.zeros(len(y), "i8")
-        self.parent = np.arange(len(x) + (0 if same else len(y)))
+        self.error = (x.v.shape[1] + 8) * 6e-8  # of a product in single precision
+        self.nx, self.ny = np.zeros(len(x.v), "i8"), np.zeros(len(y.v), "i8")
+        self.label = np.arange(len(x.v) + (0 if self.same else len(y.v)))
         self.links: list[tuple[int, int]] = []
-
-    def _root(self, i: int) -> int:
-        while self.parent[i] != i:
-            self.parent[i] = self.parent[self.parent[i]]
-            i = self.parent[i]
-        return i
-
-    def _join(self, i: int, j: int) -> None:
-        a, b = self._root(i), self._root(j if self.same else j + len(self.x))
-        if a != b:
-            self.parent[max(a, b)] = min(a, b)
-            self.links.append((i, j))
+        self._descend()
+
+    def _join(self, i: int, js: np.ndarray) -> None:
+        """Puts row i and the columns js into one component and keeps the links that this takes."""
+        at = js if self.same else js + len(self.x.v)
+        labels, first = np.unique(self.label[at], return_index=True)
+        new = labels != self.label[i]
+        if new.any():
+            every = np.append(labels, self.label[i])
+            self.label[np.isin(self.label, every)] = every.min()
+            self.links.extend((i, int(j)) for j in js[first[new]])
 
     def _compare(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Vectors in the rows a against those in the rows b."""
         for at in range(0, len(a), 1024):
             rows = a[at : at + 1024]
-            hit = self.x[rows] @ self.y[b].T >= self.cosine
+            score = self.x.single[rows] @ self.y.single[b].T
+            hit = score >= self.cosine - self.error
             if self.same:
-                hit &= rows[:, None] != b[None, :]
-            if not hit.any():
+                hit &= rows[:, None] < b[None, :]
+            some = np.flatnonzero(hit.any(axis=1))
+            if not len(some):
                 continue
-            self.nx[rows] += hit @ self.wy[b]
-            self.ny[b] += self.wx[rows] @ hit
-            for i in np.flatnonzero(hit.any(axis=1)):
-                for j in np.flatnonzero(hit[i]):
-                    self._join(rows[i], b[j])
-
-    def _all(self, a: np.ndarray, b: np.ndarray) -> None:
-        self.nx[a] += self.wy[b].sum()
-        self.ny[b] += self.wx[a].sum()
-        for i in a:
-            self._join(i, b[0])
-        for j in b[1:]:
-            self._join(a[0], j)
-
-    def descend(self, a: Node, b: Node) -> None:
-        stack = [(a, b)]
-        while stack:
-            a, b = stack.pop()
-            if not a.children and not b.children:
-                self._compare(a.members, b.members)
-                continue
-            left, right = a.children or [a], b.children or [b]
-            far = _distances(np.stack([n.centre for n in left]), np.stack([n.centre for n in right]))
-            radii = np.array([n.radius for n in left])[:, None] + np.array([n.radius for n in right])[None, :]
-            for i, j in zip(*np.nonzero(far <= radii + self.reach + SLACK)):
-                if far[i, j] + radii[i, j] <= self.reach - SLACK and not self.same:
-                    self._all(left[i].members, right[j].members)
-                else:
-                    stack.append((left[i], right[j]))
-
-
-def meet(x: np.ndarray, y: np.ndarray | None, wx: np.ndarray, wy: np.ndarray | None, cosine: float) -> Meeting:
-    """Links between x and y, or within x if y is None (then each pair is seen from both ends)."""
-    same = y is None
-    m = Meeting(x, x if same else y, wx, wx if same else wy, cosine, same)
-    tree = lambda p: build(p, np.arange(len(p)), p[0], 2.0)
-    a = tree(x)
-    m.descend(a, a if same else tree(y))
-    return m
-
-
-def _unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """vec_id, v (bytes of the unit vector, null if it has none), dim, digest."""
+            rows, hit, score = rows[some], hit[some], score[some]
+            i, j = np.nonzero(hit & (score <= self.cosine + self.error))
+            for lo in range(0, len(i), 50_000):
+                p, q = self.x.v[rows[i[lo : lo + 50_000]]], self.y.v[b[j[lo : lo + 50_000]]]
+                plain = (p * q).sum(axis=1) / np.sqrt((p * p).sum(axis=1) * (q * q).sum(axis=1))
+                hit[i[lo : lo + 50_000], j[lo : lo + 50_000]] = plain >= self.cosine
+            self.nx[rows] += hit @ self.y.weight[b]
+            self.ny[b] += self.x.weight[rows] @ hit
+            for k in np.flatnonzero(hit.any(axis=1)):
+                self._join(rows[k], b[hit[k]])
+
+    def _all(self, a: np.ndarray, b: np.ndarray, one: bool) -> None:
+        """All vectors in a link with all in b; one: a and b are one node."""
+        self.nx[a] += self.y.weight[b].sum() - (self.x.weight[a] if one else 0)
+        if not one:
+            self.ny[b] += self.x.weight[a].sum()
+        self._join(a[0], b[1:] if one else b)
+        for i in [] if one else a[1:]:
+            self._join(i, b[:1])
+
+    def _descend(self) -> None:
+        x, y = self.x.levels, self.y.levels
+        i = j = np.zeros(1, "i8")
+        bottom: list[tuple] = []
+        for depth in range(max(len(x), len(y))):
+            a, b = x[min(depth, len(x) - 1)], y[min(depth, len(y) - 1)]
+            off = a.centre[i] - b.centre[j]
+            far, radii = np.sqrt((off * off).sum(axis=1)), a.radius[i] + b.radius[j]
+            whole = far + radii <= self.reach - SLACK
+            for k in np.flatnonzero(whole):
+                left, right = np.arange(a.starts[i[k]], a.ends[i[k]]), np.arange(b.starts[j[k]], b.ends[j[k]])
+                self._all(left, right, self.same and i[k] == j[k])
+            open_ = ~whole & (far <= radii + self.reach + SLACK)
+            i, j = i[open_], j[open_]
+            (first_a, n_a), (first_b, n_b) = _children(x, depth, i), _children(y, depth, j)
+            pairs = (a.ends[i] - a.starts[i]) * (b.ends[j] - b.starts[j])
+            end = (n_a * n_b == 1) & (depth + 1 >= len(x)) & (depth + 1 >= len(y)) | (n_a * n_b * 256 > pairs)
+            bottom.append((a.starts[i[end]], a.ends[i[end]], b.starts[j[end]], b.ends[j[end]]))
+            first_a, n_a, first_b, n_b = (z[~end] for z in (first_a, n_a, first_b, n_b))
+            of = np.repeat(np.arange(len(n_a)), n_a * n_b)
+            at = np.arange(len(of)) - np.repeat(np.cumsum(n_a * n_b) - n_a * n_b, n_a * n_b)
+            i, j = first_a[of] + at // n_b[of], first_b[of] + at % n_b[of]
+            if self.same:
+                i, j = i[i <= j], j[i <= j]
+        starts, ends, lows, highs = (np.concatenate(z) for z in zip(*bottom))
+        order = np.lexsort((lows, ends, starts))
+        cuts = np.flatnonzero(np.concatenate([[True], np.diff(starts[order]) + np.diff(ends[order]) != 0, [True]])) if len(order) else []
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            same_rows = order[lo:hi]
+            columns = np.concatenate([np.arange(lows[k], highs[k]) for k in same_rows])
+            self._compare(np.arange(starts[same_rows[0]], ends[same_rows[0]]), columns)
+
+
+def _scaled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """vec_id, v (bytes of the vector times a power of two, null if it has none), dim, digest."""
     for batch in batches:
         lists = batch.column(1)
         flat = lists.flatten().to_numpy(zero_copy_only=False).astype("f8")
@@ -187,8 +266,7 @@ def _unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             v = flat[e - n : e]
             most = np.abs(v).max() if n else 0.0
             if n and np.isfinite(most) and most > 0:
-                v = v / most
-                raw = (v / np.sqrt(v @ v) + 0.0).tobytes()  # + 0.0: no negative zero
+                raw = (np.ldexp(v, -int(np.frexp(most)[1])) + 0.0).tobytes()  # + 0.0: no negative zero
                 out.append(raw)
                 digest.append(hashlib.blake2b(raw, digest_size=16).digest())
             else:
@@ -201,17 +279,56 @@ def _matrix(column) -> np.ndarray:
     return np.stack([np.frombuffer(b, "f8") for b in column.to_pylist()])
 
 
-def linked_vectors(vectors: DataFrame, cosine: float = 0.9, block: int = BLOCK) -> DataFrame:
-    """vec_id, n_links, component_id (smallest vec_id reachable) and kept, from vec_id and embedding."""
-    reach = float(np.sqrt(2 - 2 * cosine))
-    plain = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    units = materialize(plain.mapInArrow(_unit, "vec_id long, v binary, dim long, digest binary"), "units")
-    reps = units.where("digest is not null and vec_id is not null").groupBy("digest", "dim").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("v").alias("v"))
-    reps = materialize(reps, "representatives")
-    pivots: dict[int, list[np.ndarray]] = {}
-    for dim, n in reps.groupBy("dim").count().collect():
-        few = reps.where(F.col("dim") == dim).orderBy(F.xxhash64("rep", F.lit(3)), "rep").limit(-(-n // block)).select("v")
-        pivots[dim] = [np.frombuffer(r.v, "f8") for r in few.collect()]
+def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The rows of each value of the key columns, which must come in order, as one table."""
+    parts, last = [], None
+    for batch in batches:
+        cols = np.stack([batch.column(k).to_numpy() for k in keys], axis=1)
+        if not len(cols):
+            continue
+        new = np.flatnonzero(np.concatenate([[True], (cols[1:] != cols[:-1]).any(axis=1)]))
+        for lo, hi in zip(new, [*new[1:], len(cols)]):
+            key = tuple(cols[lo])
+            if parts and key != last:
+                yield pa.Table.from_batches(parts).combine_chunks()
+                parts = []
+            last = key
+            parts.append(batch.slice(lo, hi - lo))
+    if parts:
+        yield pa.Table.from_batches(parts).combine_chunks()
+
+
+@dataclass
+class Cells:
+    """The blocks of all vectors: for each length the pivots, and for each cell and shell its blocks' first number, their number and radius."""
+
+    pivots: dict[int, np.ndarray]
+    shells: dict[tuple[int, int, int], tuple[int, int, float]]
+    blocks: int
+
+    def centres(self, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Centre, radius and number of each block of vectors of that length."""
+        of = [(c, r, b) for (d, c, _), (first, n, r) in self.shells.items() if d == dim for b in range(first, first + n)]
+        cell, radius, block = zip(*of)
+        return self.pivots[dim][list(cell)], np.array(radius), np.array(block)
+
+
+def _shell(far: np.ndarray) -> np.ndarray:
+    return np.clip(np.floor(-np.log2(np.maximum(far, 1e-12))), 0, SHELLS).astype("i8")
+
+
+def _dealt(reps: DataFrame, block: int) -> tuple[DataFrame, Cells]:
+    """reps with the number of their block, and what blocks there are."""
+    sizes = {dim: n for dim, n in reps.groupBy("dim").count().collect()}
+    wide = {dim: max(min(block, SMALL_BLOCK), min(block, -(-n // SPREAD))) for dim, n in sizes.items()}
+    drawn: dict[int, list[np.ndarray]] = {}
+    draw = F.pmod(F.xxhash64("digest"), F.lit(min(wide.values(), default=1))) < DRAWS
+    for r in reps.where(draw).select("dim", "v").union(reps.groupBy("dim").agg(F.min("v"))).collect():
+        drawn.setdefault(r.dim, []).append(np.frombuffer(r.v, "f8"))
+    pivots = {}
+    for dim, found in drawn.items():
+        points = np.unique(np.stack(found), axis=0)  # in an order of their own
+        pivots[dim] = _farthest_first(_unit(points), -(-sizes[dim] // wide[dim]))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -219,83 +336,158 @@ def linked_vectors(vectors: DataFrame, cosine: float = 0.9, block: int = BLOCK)
             cell, far = np.zeros(len(dims), "i8"), np.zeros(len(dims))
             for dim in np.unique(dims):
                 at = np.flatnonzero(dims == dim)
-                d = _distances(_matrix(batch.column("v").take(pa.array(at))), np.stack(pivots[int(dim)]))
-                cell[at], far[at] = d.argmin(axis=1), d.min(axis=1)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("rep", "copies", "v", "dim")), pa.array(cell), pa.array(far)], names=["rep", "copies", "v", "dim", "cell", "far"])
+                u = _unit(_matrix(batch.column("v").take(pa.array(at))))
+                cell[at] = (u @ pivots[int(dim)].T).argmax(axis=1)
+                off = u - pivots[int(dim)][cell[at]]
+                far[at] = np.sqrt((off * off).sum(axis=1))
+            cols = [*batch.columns, pa.array(cell), pa.array(_shell(far)), pa.array(far)]
+            yield pa.RecordBatch.from_arrays(cols, names=[*batch.schema.names, "cell", "shell", "far"])
+
+    placed = materialize(reps.select("node", "rep", "copies", "v", "dim").mapInArrow(assign, "node long, rep long, copies long, v binary, dim long, cell long, shell long, far double"), "placed")
+    held: dict[tuple[int, int], list] = {}
+    for dim, cell, shell, n, radius in placed.groupBy("dim", "cell", "shell").agg(F.count("*"), F.max("far")).collect():
+        held.setdefault((dim, cell), []).append((shell, n, radius))
+    shells, number = {}, 0
+    for (dim, cell), parts in sorted(held.items()):
+        if (n := sum(p[1] for p in parts)) <= wide[dim]:
+            parts = [(-1, n, max(p[2] for p in parts))]
+        for shell, n, radius in sorted(parts):
+            cuts = -(-n // wide[dim])
+            shells[dim, cell, shell] = (number, cuts, radius + SLACK)
+            number += cuts
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = []
+            for dim, cell, shell, node in zip(*(batch.column(c).to_pylist() for c in ("dim", "cell", "shell", "node"))):
+                first, cuts, _ = shells.get((dim, cell, -1)) or shells[dim, cell, shell]
+                own.append(first + (node * 0x9E3779B97F4A7C15 % (1 << 64) >> 32) % cuts)
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), *(batch.column(c) for c in ("node", "rep", "copies", "v", "dim"))], names=["block", "node", "rep", "copies", "v", "dim"])
+
+    return placed.mapInArrow(name, "block long, node long, rep long, copies long, v binary, dim long"), Cells(pivots, shells, number)
+
+
+def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each block's vectors in the order of its cover tree, with their place and their nodes by level."""
+    for rows in _runs(batches, ["block"]):
+        order, paths = cover_tree(_unit(_matrix(rows.column("v"))))
+        rows = rows.take(pa.array(order)).append_column("place", pa.array(np.arange(len(order), dtype="i4")))
+        nodes = pa.ListArray.from_arrays(pa.array(np.arange(len(order) + 1, dtype="i4") * paths.shape[1]), pa.array(paths.ravel()))
+        yield from rows.append_column("nodes", nodes).to_batches(max_chunksize=10_000)
+
+
+def _inside(cells: Cells, trees: DataFrame, reach: float) -> dict[int, list[tuple[int, int, int]]]:
+    """For each block the blocks all whose vectors link with all of its own: number, weight (copies) and smallest id."""
+    pairs: dict[int, list[int]] = {}
+    for dim in cells.pivots:
+        centre, radius, block = cells.centres(dim)
+        for k in np.flatnonzero(radius < reach):
+            off = centre - centre[k]
+            near = np.sqrt((off * off).sum(axis=1)) + radius + radius[k] <= reach - SLACK
+            if near.any():
+                pairs[int(block[k])] = block[near].tolist()
+    if not pairs:
+        return {}
+    held = {b: (b, w, r) for b, w, r in trees.where(F.col("block").isin(list(pairs))).groupBy("block").agg(F.sum("copies"), F.min("rep")).collect()}
+    return {b: [held[o] for o in others if o in held] for b, others in pairs.items()}
+
 
-    placed = reps.select("rep", "copies", "v", "dim").mapInArrow(assign, "rep long, copies long, v binary, dim long, cell long, far double")
-    placed = materialize(placed, "placed")
-    blocks: dict[int, list[tuple[int, float, int]]] = {}  # dim -> cell, radius, cuts
-    for dim, cell, radius, n in placed.groupBy("dim", "cell").agg(F.max("far"), F.count("*")).orderBy("dim", "cell").collect():
-        blocks.setdefault(dim, []).append((cell, radius, -(-n // block)))
+def linked_vectors(vectors: DataFrame, cosine: float = 0.9, block: int = BLOCK) -> DataFrame:
+    """vec_id, n_links, component_id (smallest vec_id reachable) and kept, from vec_id and embedding."""
+    reach = float(np.sqrt(2 - 2 * cosine))
+    plain = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    units = materialize(plain.mapInArrow(_scaled, "vec_id long, v binary, dim long, digest binary"), "units")
+    reps = units.where("digest is not null and vec_id is not null").groupBy("digest", "dim").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("v").alias("v"))
+    reps = materialize(reps.withColumn("node", F.monotonically_increasing_id()), "representatives")
+    dealt, cells = _dealt(reps, block)
+    kinds = "block long, node long, rep long, copies long, v binary, dim long, place int, nodes array<int>"
+    trees = materialize(dealt.repartition("block").sortWithinPartitions("block", "node").mapInArrow(_trees, kinds), "trees")
+    inside = _inside(cells, trees, reach)
+    blocks, groups = cells.blocks, -(-(cells.blocks // 2 + 1) // VISITS)
+    partitions = max(1, min(blocks * groups, MOST_PARTITIONS))
+
+    geometry = {dim: cells.centres(dim) for dim in cells.pivots}
+    settled: dict[int, list[int]] = {}  # for each block those that are counted as a whole
+    for b, others in inside.items():
+        for other, _, _ in others:
+            settled.setdefault(other, []).append(b)
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = {}  # dim, cell -> number of its first block
-        number = 0
-        for dim, cells in blocks.items():
-            for cell, _, cuts in cells:
-                first[dim, cell] = (number, cuts)
-                number += cuts
-        for batch in batches:
-            dims, cells, ids = (batch.column(c).to_numpy() for c in ("dim", "cell", "rep"))
-            row, p, q, own = [], [], [], []
-            for i, (dim, cell, rep) in enumerate(zip(dims.tolist(), cells.tolist(), ids.tolist())):
-                start, cuts = first[dim, cell]
-                own.append(start + (rep * 0x9E3779B97F4A7C15 % (1 << 64) >> 32) % cuts)
+        """Each vector once for every task that it takes part in, as the host's (guest 0) or as a guest's."""
+        names = ["part", "task", "guest", "node", "rep", "copies", "v", "place", "nodes"]
+        step = max(1, 50_000 // max(1, blocks))
+        for batch in (whole.slice(lo, step) for whole in batches for lo in range(0, len(whole), step)):
+            own, dims = batch.column("block").to_numpy(), batch.column("dim").to_numpy()
+            row, task, guest = [], [], []
             for dim in np.unique(dims).tolist():
                 at = np.flatnonzero(dims == dim)
-                centres = np.stack([pivots[dim][c] for c, _, _ in blocks[dim]])
-                d = _distances(_matrix(batch.column("v").take(pa.array(at))), centres)
-                ok = d <= np.array([r for _, r, _ in blocks[dim]])[None, :] + reach + SLACK
-                for k, (cell, _, cuts) in enumerate(blocks[dim]):
-                    for i in at[ok[:, k]].tolist():
-                        for b in range(first[dim, cell][0], first[dim, cell][0] + cuts):
-                            row.append(i)
-                            p.append(min(own[i], b))
-                            q.append(max(own[i], b))
-            take = pa.array(row, pa.int64())
-            side = pa.array([own[i] for i in row], pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(p, pa.int64()), pa.array(q, pa.int64()), side, *(batch.column(c).take(take) for c in ("rep", "copies", "v"))], names=["p", "q", "side", "rep", "copies", "v"])
-
-    def pair_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(p: int, q: int, parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            rows = pa.Table.from_batches(parts).combine_chunks()
-            side, rep, copies = (rows.column(c).to_numpy() for c in ("side", "rep", "copies"))
-            v = _matrix(rows.column("v"))
-            a, b = np.flatnonzero(side == p), np.flatnonzero(side == q)
-            if p == q:
-                m, b = meet(v, None, copies, None, cosine), a
-            elif len(a) and len(b):
-                m = meet(v[a], v[b], copies[a], copies[b], cosine)
-            else:
-                return
-            ids, counts = (rep[a], m.nx) if p == q else (np.concatenate([rep[a], rep[b]]), np.concatenate([m.nx, m.ny]))
-            some = counts > 0
-            none = pa.nulls(int(some.sum()), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(ids[some]), none, pa.array(counts[some])], names=["a", "b", "n"])
-            left, right = np.array([x for x, _ in m.links], "i8"), np.array([y for _, y in m.links], "i8")
-            yield pa.RecordBatch.from_arrays([pa.array(rep[a][left]), pa.array(rep[b][right]), pa.nulls(len(left), pa.int64())], names=["a", "b", "n"])
-
-        key, parts = None, []
+                centre, radius, number = geometry[dim]
+                close = _distances(_unit(_matrix(batch.column("v").take(pa.array(at)))), centre) <= radius + reach + 1e-6
+                for k in np.flatnonzero(close.any(axis=0)):
+                    other = int(number[k])
+                    rows = at[close[:, k]]
+                    rows = rows[~np.isin(own[rows], settled[other])] if other in settled else rows
+                    ahead = (other - own[rows]) % blocks  # how far the other block is from the own one, round the circle
+                    host = (2 * ahead < blocks) | (2 * ahead == blocks) & (own[rows] < other)
+                    apart = np.where(host, ahead, blocks - ahead)
+                    row.append(rows)
+                    task.append(np.where(host, own[rows], other) * groups + apart // VISITS)
+                    guest.append(np.where(host, 0, apart))
+            row, task, guest = (np.concatenate(z) if z else np.zeros(0, "i8") for z in (row, task, guest))
+            once = np.unique(np.stack([row, task, guest], axis=1), axis=0)  # a host's vector is in a task once
+            take = pa.array(once[:, 0])
+            cols = [pa.array((once[:, 1] % partitions).astype("i4")), pa.array(once[:, 1]), pa.array(once[:, 2]), *(batch.column(c).take(take) for c in names[3:])]
+            yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    def found(ids: np.ndarray, reps: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        some = counts > 0
+        return pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.nulls(int(some.sum()), pa.int64()), pa.nulls(int(some.sum()), pa.int64()), pa.array(counts[some])], names=["node", "a", "b", "n"])
+
+    def linked(a, b) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.nulls(len(a), pa.int64())], names=["node", "a", "b", "n"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        host, of = None, None
+        for rows in _runs(batches, ["task", "guest"]):
+            task, guest = rows.column("task")[0].as_py(), rows.column("guest")[0].as_py()
+            node, rep, copies = (rows.column(c).to_numpy() for c in ("node", "rep", "copies"))
+            one = Block(_matrix(rows.column("v")), copies, np.array(rows.column("nodes").to_pylist()))
+            if guest == 0:
+                host, of = (one, node, rep), task
+                own = task // groups
+                if task % groups == 0 and own not in settled.get(own, ()):  # the host's own vectors meet here
+                    m = Meeting(one, one, cosine)
+                    yield found(node, rep, m.nx + m.ny)
+                    yield linked([rep[i] for i, _ in m.links], [rep[j] for _, j in m.links])
+            elif of == task:
+                m = Meeting(host[0], one, cosine)
+                yield found(host[1], host[2], m.nx)
+                yield found(node, rep, m.ny)
+                yield linked([host[2][i] for i, _ in m.links], [rep[j] for _, j in m.links])
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Links with whole blocks: a number for each vector, and as few links as join the blocks."""
         for batch in batches:
-            p, q = batch.column("p").to_numpy(), batch.column("q").to_numpy()
-            new = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1]) | (q[1:] != q[:-1])])) if len(p) else []
-            for lo, hi in zip(new, [*new[1:], len(p)]):
-                if (p[lo], q[lo]) != key and parts:
-                    yield from done(*key, parts)
-                    parts = []
-                key = (p[lo], q[lo])
-                parts.append(batch.slice(lo, hi - lo))
-        if parts:
-            yield from done(*key, parts)
-
-    visits = placed.mapInArrow(visit, "p long, q long, side long, rep long, copies long, v binary")
-    found = visits.repartition("p", "q").sortWithinPartitions("p", "q", "rep").mapInArrow(pair_up, "a long, b long, n long")
-    found = materialize(found, "found")
-    counts = found.where("n is not null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
-    comps = components(found.where("b is not null")).withColumnRenamed("node", "rep")
-    of_rep = reps.select("digest", "dim", "rep", "copies").join(counts, "rep", "left").join(comps, "rep", "left")
+            node, rep, copies, own = (batch.column(c).to_numpy() for c in ("node", "rep", "copies", "block"))
+            for b in np.unique(own).tolist():
+                others = inside[b]
+                at = np.flatnonzero(own == b)
+                total = sum(w for _, w, _ in others) - np.where(any(o == b for o, _, _ in others), copies[at], 0)
+                yield found(node[at], rep[at], total)
+                yield linked(rep[at].tolist(), [others[0][2]] * len(at))
+                yield linked([others[0][2]] * len(others), [r for _, _, r in others])
+
+    shape = "node long, a long, b long, n long"
+    visits = trees.mapInArrow(visit, "part int, task long, guest long, node long, rep long, copies long, v binary, place int, nodes array<int>")
+    pairs = visits.repartitionById(partitions, "part").sortWithinPartitions("task", "guest", "place").mapInArrow(meet, shape)
+    if inside:
+        pairs = pairs.union(trees.where(F.col("block").isin(list(inside))).select("block", "node", "rep", "copies").mapInArrow(counted, shape))
+    pairs = materialize(pairs, "found")
+    counts = pairs.where("n is not null").groupBy("node").agg(F.sum("n").alias("n"))
+    comps = components(pairs.where("b is not null and a <> b")).withColumnRenamed("node", "rep")
+    of_rep = reps.select("digest", "dim", "node", "rep", "copies").join(counts, "node", "left").join(comps, "rep", "left")
     of_rep = of_rep.select("digest", "dim", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     out = units.select("vec_id", "dim", F.when(F.col("vec_id").isNotNull(), F.col("digest")).alias("digest")).join(of_rep, ["digest", "dim"], "left")
+    discard(trees)
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))

@@ -179,28 +179,50 @@ def test_decontamination_of_nothing(spark):
     assert decontaminate.contaminated(docs(spark, []), spark.createDataFrame([(1, prose(40))], bench.schema)).count() == 0
 
 
-def test_embeddings(spark, monkeypatch):
+def linked(rows):
+    """Links, nodes and components of vectors by brute force; rows with one id are one node."""
+    sound = lambda i, v: i is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v)
+    good = [(p, i, v) for p, (i, v, _) in enumerate(rows) if sound(i, v)]
+    good = [(p, i, v if 1e-99 < max(map(abs, v)) < 1e99 else [x / max(map(abs, v)) for x in v]) for p, i, v in good]
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b))
+    hit = lambda a, b: len(a) == len(b) and dot(a, b) / math.sqrt(dot(a, a) * dot(b, b)) >= 0.9
+    pairs = [(p, q, a, b) for k, (p, a, x) in enumerate(good) for q, b, y in good[k + 1 :] if hit(x, y)]
+    degree = Counter(n for p, q, _, _ in pairs for n in (p, q))
+    return degree, roots({i for i, _, _ in rows if i is not None}, [(a, b) for _, _, a, b in pairs])
+
+
+def check_linked(spark, rows, **sizes):
+    degree, comps = linked(rows)
+    got = cover_tree.linked_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), **sizes).collect()
+    want = Counter((i, degree[p], comps.get(i), i is not None and comps[i] == i) for p, (i, _, _) in enumerate(rows))
+    assert Counter((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == want
+
+
+@pytest.mark.parametrize("block", [8192, 25])
+def test_embeddings(spark, block):
     rng = random.Random(3)
     vecs = []
     for c in range(6):
         centre = [rng.gauss(0, 1) for _ in range(8)]
         vecs += [[x + rng.gauss(0, rng.choice([0.01, 0.2, 0.5])) for x in centre] for _ in range(30)]
-    vecs += [vecs[0], [2 * x for x in vecs[1]], [0.0] * 8, None, [], [1.0, None] * 4, [math.nan] * 8, [1.0, 0.0], [math.inf] * 8, [2.0, 0.0]]
-    rows = [(i, v, i % 3) for i, v in enumerate(vecs)] + [(None, vecs[0], 1)]
-    good = {i: v for i, v, _ in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v)}
-    cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a) * sum(x * x for x in b))
-    links = [(a, b) for a in good for b in good if a < b and len(good[a]) == len(good[b]) and cos(good[a], good[b]) >= 0.9]
-    degree = defaultdict(int)
-    for a, b in links:
-        degree[a] += 1
-        degree[b] += 1
-    want = roots(range(len(vecs)), links)
-    for block in (8192, 25):
-        got = cover_tree.linked_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), block=block).collect()
-        assert len(got) == len(rows)
-        for r in got:
-            if r.vec_id is None:
-                assert (r.n_links, r.component_id, r.kept) == (0, None, False)
-            else:
-                assert (r.n_links, r.component_id, r.kept) == (degree[r.vec_id], want[r.vec_id], want[r.vec_id] == r.vec_id), r
+    vecs += [vecs[0], [2 * x for x in vecs[1]], [0.0] * 8, None, [], [1.0, None] * 4, [math.nan] * 8, [1.0, 0.0], [math.inf] * 8, [2.0, 0.0], [1e200] * 8, [1e-200] * 8]
+    check_linked(spark, [(i, v, i % 3) for i, v in enumerate(vecs)] + [(None, vecs[0], 1)], block=block)
+
+
+@pytest.mark.parametrize("block", [8192, 12])
+def test_embeddings_in_tight_groups(spark, block):
+    rng = random.Random(8)
+    near = lambda centre, by: [x + rng.gauss(0, by) for x in centre]
+    a, b = [rng.gauss(0, 1) for _ in range(6)], [rng.gauss(0, 1) for _ in range(6)]
+    vecs = [near(a, 0.01) for _ in range(90)] + [near(b, 0.0001) for _ in range(60)] + [near(a, 0.3) for _ in range(40)] + [near([0] * 6, 1) for _ in range(40)]
+    check_linked(spark, list(zip(range(len(vecs)), vecs, vecs and [1] * len(vecs))), block=block)
+
+
+def test_embeddings_at_the_threshold_and_with_repeated_ids(spark):
+    tie = [(1, [1.0, 0.0, 0.0, 0.0], 0), (2, [9.0, 3.0, 3.0, 1.0], 0), (3, [18.0, 6.0, 6.0, 2.0], 0), (4, [8.999999, 3.0, 3.0, 1.0], 0), (5, [27.0, -9.0, 9.0, 3.0], 0)]
+    check_linked(spark, tie)
+    check_linked(spark, [*tie, (1, [0.0, 0.0, 0.0, 5.0], 0), (9, [0.0, 0.0, 0.1, 5.0], 0), (9, [0.0, 0.0, 0.1, 5.0], 0)])
+
+
+def test_embeddings_of_nothing(spark):
     assert cover_tree.linked_vectors(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
