@@ -7,11 +7,16 @@ is listed if the first level that rejects it is an even one (or none rejects it
 odd). No join is needed to look a key up; the filters are literals in the plan, whose size is a
 few bytes for each listed key, whatever the size of the corpus.
 
+Keys of a url are host suffixes (up to the length of the longest listed host; longer ones can't be
+listed) with path prefixes of the lengths that rules have, so their number depends on the rules alone.
+The filters go into the plan, so a list may hold MOST_LISTED keys at most; beyond that filter_urls raises.
+
 Level 1 has a false positive rate of about listed / universe, so that level 2 is no larger than
 level 1; the later levels use one half.
 
 Defined results: a null url, or one without "://", has an empty host and path and no rule; repeated
-urls are judged alike; an empty table gives an empty table; no rule at all means the default verdict.
+urls are judged alike; of rules with equal host and path the last one counts; an empty table gives an
+empty table; no rule at all means the default verdict.
 """
 
 from __future__ import annotations
@@ -23,10 +28,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenloom.llm.common import let
+from lumenloom.llm.common import let, materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
+#: Listed keys at most (two bytes of filter each at a false positive rate of one in a million).
+MOST_LISTED = 2_000_000
 
 
 @dataclass
@@ -91,11 +98,12 @@ def build_cascade(listed: DataFrame, universe: DataFrame, n_universe: int, seed:
         return Cascade()
     cascade = Cascade([_encode(listed, n, min(0.5, n / (math.sqrt(2) * max(1, n_universe))), seed)])
     inside = listed
-    outside = universe.select("key").where(F.col("key").isNotNull() & cascade.levels[0].test(F.col("key"))).distinct().join(listed, "key", "left_anti")
+    mistaken = universe.select("key").where(F.col("key").isNotNull() & cascade.levels[0].test(F.col("key"))).distinct()
+    outside = materialize(mistaken.join(listed, "key", "left_anti"), "mistaken")
     left = outside.count()
     while left:
         cascade.levels.append(_encode(outside, left, 0.5, seed + len(cascade.levels)))
-        inside, outside = outside, inside.where(cascade.levels[-1].test(F.col("key")))
+        inside, outside = outside, materialize(inside.where(cascade.levels[-1].test(F.col("key"))), "mistaken")
         left = outside.count()
     return cascade
 
@@ -107,10 +115,12 @@ def split_url(url: Column) -> tuple[Column, Column]:
     return host, F.regexp_extract(url, URL, 2)
 
 
-def _keys(host: Column, path: Column, lengths: list[int]) -> Column:
-    """Every (host suffix + path prefix) that a rule could be, longest first."""
-    suffixes = let(F.split(host, r"\."), lambda s: F.transform(s, lambda _, i: F.array_join(F.slice(s, i + 1, F.size(s)), ".")))
-    wide = [n for n in sorted(set(lengths), reverse=True)]
+def _keys(host: Column, path: Column, widest: int, lengths: list[int]) -> Column:
+    """Every (host suffix + path prefix) that a rule could be, longest first; `widest`: the longest listed host."""
+    tail = F.split(F.right(host, F.lit(widest + 1)), r"\.")
+    labels = F.when(F.length(host) > widest + 1, F.slice(tail, 2, F.greatest(F.size(tail) - 1, F.lit(0)))).otherwise(tail)
+    suffixes = let(labels, lambda s: F.transform(s, lambda _, i: F.array_join(F.slice(s, i + 1, F.size(s)), ".")))
+    wide = sorted(set(lengths), reverse=True)
     each = F.transform(F.filter(F.array(*[F.lit(n) for n in wide]), lambda n: F.length(path) >= n), lambda n: F.left(path, n))
     keys = F.flatten(F.transform(suffixes, lambda s: F.transform(each, lambda p: F.concat(s, p))))
     longest = F.array_sort(keys, lambda a, b: F.length(b) - F.length(a))
@@ -128,8 +138,11 @@ def filter_urls(df: DataFrame, rules: list[tuple[str, str, str]], url_col: str =
     parts = df.drop("host", "path", "rule", "verdict").withColumns({"host": host, "path": path})
     if not rules:
         return parts.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
-    lengths = [len(p) for _, p, _ in rules]
-    keyed = parts.withColumn("__keys", _keys(F.col("host"), F.col("path"), lengths))
+    if len(rules) > MOST_LISTED:
+        raise ValueError(f"{len(rules)} rules: filters of more than {MOST_LISTED} don't belong into a plan")
+    rules = [(h, p, v) for (h, p), v in {(h, p): v for h, p, v in rules}.items()]
+    keys = _keys(F.col("host"), F.col("path"), max(len(h) for h, _, _ in rules), [len(p) for _, p, _ in rules])
+    keyed = parts.withColumn("__keys", keys)
     universe = keyed.select(F.explode("__keys").alias("key"))
     n_universe = universe.agg(F.approx_count_distinct("key")).first()[0]
     found, verdict = F.lit(None).cast("string"), F.lit(default)

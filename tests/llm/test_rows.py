@@ -116,10 +116,12 @@ def judged(url):
 
 
 def test_url_filter(spark):
-    urls = [None, "", "no scheme", "http://", "https://a.NET/x", "https://example.net/en/page?q#f", "https://example.net/en", "http://x.example.com/de/", "http://notexample.com/de/", "http://a.org/fr/x", "http://org/fr/", "http://a.org/FR/", "x://a://b.net/c", "http://a.net", "http://net.com/", "http://a..net/", "HTTP://ÄB.Net/ü?", "http://a.net/\nb"] + [f"http://h{i}.example.{t}/{p}/{i}" for i in range(200) for t in ("net", "com", "org") for p in ("en", "de", "fr")]
+    urls = [None, "", "no scheme", "http://", "https://a.NET/x", "https://example.net/en/page?q#f", "https://example.net/en", "http://x.example.com/de/", "http://notexample.com/de/", "http://a.org/fr/x", "http://org/fr/", "http://a.org/FR/", "x://a://b.net/c", "http://a.net", "http://net.com/", "http://a..net/", "HTTP://ÄB.Net/ü?", "http://a.net/\nb", "http://a.net/\nb", "http://" + "a." * 8000 + "net/", "http://" + "x" * 100_000 + ".net/" + "y" * 100_000, "http://xexample.net/en/", "http://aaaa.example.net/en/", "http://" + "b." * 500 + "example.com/de/" + "/" * 5000, "http://q.xexample.com/de/"] + [f"http://h{i}.example.{t}/{p}/{i}" for i in range(200) for t in ("net", "com", "org") for p in ("en", "de", "fr")]
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").selectExpr("*", "'clash' AS rule", "1 AS verdict")
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.filter_urls(df, URL_RULES).collect()}
     assert got == {i: judged(u) for i, u in enumerate(urls)}
+    other = [("b.example.com", "/de/", "block"), ("b.example.com", "/de/", "allow"), ("example.com", "/", "block")]
+    assert [(r.rule, r.verdict) for r in url_filter.filter_urls(df.where("url like 'http://b.%'"), other).collect()] == [("b.example.com/de/", "allow")]
     assert url_filter.filter_urls(df.limit(0), URL_RULES).count() == 0
     assert {r.verdict for r in url_filter.filter_urls(df, []).select("verdict").distinct().collect()} == {"allow"}
 
