@@ -1,9 +1,10 @@
 """PII detection and masking with DataFrame functions only.
 
 Regular expressions propose spans, validators (octet range, Luhn, digit count, mod-97) confirm
-them, and words in the text just before a span adjust its score. Four base kinds (email, ip,
-card, phone) are kept whatever their context; three added kinds (iban, ssn, tel) need their
-validator or a context word to reach the threshold.
+them, and whole words in the CONTEXT_CHARS characters before and after a span, up to the next match
+of its kind, raise its score. Four base kinds (email, ip, card, phone) are kept whatever their
+context; three added kinds (iban, ssn, tel) need their validator or a context word to reach the
+threshold. The work is linear in the text and nearly so in the number of spans.
 
 The patterns below match what the plain patterns of the contract match, but in linear time on
 any text: possessive quantifiers and look-behinds stop the engine from retrying inside a run of
@@ -11,11 +12,14 @@ characters that it has already rejected, and chains of digits that can't be a ca
 without becoming candidates.
 
 Defined results: a null text is an empty text (no spans); an empty text has no spans; repeated
-spans are each reported; columns named like the outputs are replaced; other columns stay.
+spans are each reported, repeated rows and rows without an id each by themselves; columns named like
+the outputs are replaced; other columns stay.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +38,7 @@ BASE_KINDS = ("email", "ip", "card", "phone")
 ADDED_KINDS = ("iban", "ssn", "tel")
 CONTEXT_CHARS = 40
 CONTEXT = {
-    "email": ("mail", "contact", "write"),
+    "email": ("mail", "email", "contact", "write"),
     "ip": ("ip", "address", "server", "host"),
     "card": ("card", "visa", "payment", "carte", "karte", "tarjeta"),
     "phone": ("phone", "tel", "call", "mobile"),
@@ -53,6 +57,8 @@ SCORES = {
     "tel": (0.3, 0.7),
 }
 THRESHOLD = 0.5
+#: Spans of one text that a running sum takes in one go.
+RUN = 256
 SPAN = "array<struct<kind:string,start:int,end:int,score:double>>"
 
 
@@ -93,33 +99,60 @@ RULES = {
 }
 
 
+def _runs(of: Column) -> Column:
+    """An array as an array of runs of RUN elements."""
+    return let(of, lambda x: F.transform(F.sequence(F.lit(1), F.greatest(F.size(x), F.lit(1)), F.lit(RUN)), lambda i: F.slice(x, i, F.lit(RUN))))
+
+
+def _running(numbers: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """For each number what the step makes of 0 and those before it: within runs first, then over the runs."""
+
+    def each(of: Column, first: Column) -> Column:
+        zero = F.struct(first.cast("int").alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(of, zero, lambda acc, n: F.struct(step(acc["at"], n).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")), lambda acc: acc["out"])
+
+    def both(runs: Column) -> Column:
+        totals = F.transform(runs, lambda r: F.aggregate(r, F.lit(0), step))
+        return F.flatten(F.zip_with(runs, each(totals, F.lit(0)), each))
+
+    return let(_runs(numbers), both)
+
+
+def _near(piece: Column, kind: str, before: bool) -> Column:
+    """Whether one of the kind's context words is a whole word in the end (before a span) or the beginning of a piece of text."""
+    part = F.right(piece, F.lit(CONTEXT_CHARS)) if before else F.left(piece, F.lit(CONTEXT_CHARS))
+    torn = F.regexp_replace(part, r"^[\p{L}\p{N}]+" if before else r"[\p{L}\p{N}]+$", "")  # a word that the cut may have torn
+    part = F.when(F.length(piece) > CONTEXT_CHARS, torn).otherwise(part)
+    return F.lower(part).rlike(rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(CONTEXT[kind])})(?![\p{{L}}\p{{N}}])")
+
+
 def _spans(text: Column, kind: str, threshold: float) -> Column:
     """Spans of one kind: the texts between matches and the matches themselves give the offsets."""
     pattern, valid = RULES[kind]
     bare, with_context = SCORES[kind]
     edge = r"[A-Za-z0-9]" if kind == "iban" else r"[0-9-]"
-    pieces = F.split(text, pattern, -1)
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    around = F.zip_with(
-        F.transform(pieces, lambda p: F.struct(F.length(p).alias("gap"), F.right(p, F.lit(CONTEXT_CHARS)).alias("before"))),
-        F.zip_with(hits, F.transform(F.slice(pieces, 2, F.greatest(F.size(hits), F.lit(1))), lambda p: F.left(p, F.lit(1))), lambda h, after: F.struct(h.alias("hit"), after.alias("after"))),
-        lambda p, h: F.struct(p["gap"].alias("gap"), p["before"].alias("before"), h["hit"].alias("hit"), h["after"].alias("after")),
-    )
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        end = start + F.length(x["hit"])
-        near = F.lower(x["before"])
-        score = F.when(F.exists(F.array(*[F.lit(w) for w in CONTEXT[kind]]), lambda w: F.contains(near, w)), F.lit(with_context)).otherwise(F.lit(bare))
-        keep = F.when(valid(x["hit"]), score >= threshold).otherwise(False) if kind in ADDED_KINDS else valid(x["hit"])
-        if kind in ADDED_KINDS:
-            keep = keep & ~F.right(x["before"], F.lit(1)).rlike(edge) & ~x["after"].rlike(edge)
-        span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), score.alias("score"))
-        return F.when(x["hit"].isNull(), acc).otherwise(F.struct(end.alias("at"), F.when(F.coalesce(keep, F.lit(False)), F.array_append(acc["found"], span)).otherwise(acc["found"]).alias("found")))
+    def between(hits: Column) -> Column:
+        def of(gaps: Column) -> Column:
+            sizes = F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda g, h: F.length(g["text"]) + F.length(h))
+            rows = F.arrays_zip(hits.alias("hit"), _running(sizes, lambda acc, n: acc + n).alias("at"), F.slice(gaps, 1, F.size(hits)).alias("left"), F.slice(gaps, 2, F.size(hits)).alias("right"))
+
+            def judged(x: Column) -> Column:
+                start = x["at"] + F.length(x["left"]["text"])
+                score = F.when(x["left"]["before"] | x["right"]["after"], F.lit(with_context)).otherwise(F.lit(bare))
+                keep = valid(x["hit"])
+                if kind in ADDED_KINDS:
+                    keep = F.when(keep, score >= threshold).otherwise(False)
+                    keep = keep & ~F.right(x["left"]["text"], F.lit(1)).rlike(edge) & ~F.left(x["right"]["text"], F.lit(1)).rlike(edge)
+                return F.struct(F.lit(kind).alias("kind"), start.alias("start"), (start + F.length(x["hit"])).alias("end"), score.alias("score"), F.coalesce(keep, F.lit(False)).alias("keep"))
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("found"))
-    found = F.aggregate(around, zero, step, lambda acc: acc["found"])
-    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(SPAN))
+            kept = F.filter(F.transform(rows, judged), lambda s: s["keep"])
+            return F.transform(kept, lambda s: F.struct(*[s[c].alias(c) for c in ("kind", "start", "end", "score")]))
+
+        pieces = F.split(text, pattern, -1)
+        return let(F.transform(pieces, lambda p: F.struct(p.alias("text"), _near(p, kind, True).alias("before"), _near(p, kind, False).alias("after"))), of)
+
+    return F.when(text.rlike(pattern), let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), between)).otherwise(F.array().cast(SPAN))
 
 
 def find_pii(df: DataFrame, text_col: str = "text", out: str = "pii", threshold: float = THRESHOLD) -> DataFrame:
@@ -137,24 +170,28 @@ def mask_pii(df: DataFrame, text_col: str = "text", threshold: float = THRESHOLD
     tmp = "__pii_spans"
     ordered = F.array_sort(F.transform(F.col(tmp), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("neg_end"), s["kind"].alias("kind"))))
 
-    def masked(text: Column) -> Column:
-        def step(acc: Column, s: Column) -> Column:
-            end = -s["neg_end"]
-            out = F.array_append(F.array_append(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"])), F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">")))
-            return (
-                F.when(s["start"] >= acc["at"], F.struct(end.alias("at"), out.alias("out")))
-                .otherwise(F.struct(F.greatest(acc["at"], end).alias("at"), acc["out"].alias("out")))
-            )
+    def labelled(text: Column, run: Column) -> Column:
+        first = F.get(run, F.lit(0))["at"]
+        reach = F.substring(text, first + 1, F.element_at(run, -1)["span"]["start"] - first)
+        label = lambda x: F.concat(F.lit("<"), F.upper(x["span"]["kind"]), F.lit(">"))
+        cut = lambda part, at: F.transform(run, lambda x: F.concat(F.substring(part, x["at"] - at + 1, x["span"]["start"] - x["at"]), label(x)))
+        return let(F.struct(reach.alias("part"), first.alias("at")), lambda r: cut(r["part"], r["at"]))
+
+    def masked(text: Column, spans: Column, ends: Column) -> Column:
+        rows = F.arrays_zip(spans.alias("span"), _running(ends, lambda acc, n: F.greatest(acc, n)).alias("at"))
+        fresh = F.filter(rows, lambda x: x["span"]["start"] >= x["at"])  # `at`: where the spans before it end
+        parts = F.flatten(F.transform(_runs(fresh), lambda run: labelled(text, run)))
+        return F.concat(F.array_join(parts, ""), F.substr(text, F.array_max(ends) + 1))
 
-        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-        return F.aggregate(ordered, zero, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(text, acc["at"] + 1)))
+    def replaced(text: Column) -> Column:
+        return let(ordered, lambda spans: let(F.transform(spans, lambda s: -s["neg_end"]), lambda ends: masked(text, spans, ends)))
 
     found = find_pii(df, text_col, tmp, threshold)
-    return found.withColumn(text_col, F.when(F.size(tmp) > 0, let(F.col(text_col), masked)).otherwise(F.col(text_col))).drop(tmp)
+    return found.withColumn(text_col, F.when(F.size(tmp) > 0, let(F.col(text_col), replaced)).otherwise(F.col(text_col))).drop(tmp)
 
 
 def pii_report(df: DataFrame, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, counts of the base kinds, the digest of the base spans, and all spans as text."""
+    """doc_id, counts of the base kinds, the digest of the base spans, and all spans and their scores as text."""
     tagged = find_pii(df.select("doc_id", F.col(text_col).alias("__text")), "__text", "pii", threshold)
     label = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
     count = lambda k: F.size(F.filter("pii", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
@@ -164,4 +201,5 @@ def pii_report(df: DataFrame, text_col: str = "text", threshold: float = THRESHO
         *[count(k) for k in BASE_KINDS],
         F.sha2(F.array_join(F.transform(base, label), ","), 256).alias("base_sha256"),
         F.array_join(F.transform("pii", label), ",").alias("spans"),
+        F.array_join(F.transform("pii", lambda s: s["score"].cast("string")), ",").alias("scores"),
     )

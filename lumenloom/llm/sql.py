@@ -15,11 +15,19 @@ SELECT u.page_id, u.host, u.path, f.rule, coalesce(f.verdict, 'allow') AS verdic
 """
 
 
-def _kind(name: str, pattern: str, valid: str) -> str:
+def _near(*words: str) -> str:
+    """Whether a whole word stands in the 40 characters before or after, as far as the text between two matches goes."""
+    any_of = rf"(^|[^\p{{L}}\p{{N}}])({'|'.join(words)})([^\p{{L}}\p{{N}}]|$)"
+    before = r"CASE WHEN length(piece) > 40 THEN regexp_replace(right(piece, 40), '^[\p{L}\p{N}]+', '') ELSE piece END"
+    after = r"CASE WHEN length(after) > 40 THEN regexp_replace(left(after, 40), '[\p{L}\p{N}]+$', '') ELSE after END"
+    return f"(regexp_matches(lower({before}), '{any_of}') OR regexp_matches(lower({after}), '{any_of}'))"
+
+
+def _kind(name: str, pattern: str, valid: str, bare: str, with_word: str, words: tuple[str, ...]) -> str:
     """A subquery with the spans of one kind: pieces between matches and matches give the offsets."""
     return f"""
-  SELECT doc_id, i, '{name}' AS kind, start, start + length(hit) AS stop, hit, text FROM (
-    SELECT doc_id, text, i, hits[i] AS hit,
+  SELECT doc_id, '{name}' AS kind, start, start + length(hit) AS stop, CASE WHEN {_near(*words)} THEN '{with_word}' ELSE '{bare}' END AS score FROM (
+    SELECT doc_id, i, hits[i] AS hit, pieces[i] AS piece, pieces[i + 1] AS after,
            list_sum(list_transform(pieces[:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[:i - 1], lambda x: length(x))), 0) AS start
     FROM (SELECT doc_id, text, regexp_extract_all(text, '{pattern}') AS hits, regexp_split_to_array(text, '{pattern}') AS pieces FROM d) s,
          unnest(range(1, len(hits) + 1)) AS r(i)) m
@@ -30,18 +38,9 @@ _LUHN = """(list_sum(list_transform(range(1, length(regexp_replace(hit, '[ -]',
       CASE WHEN k % 2 = 1 THEN CAST(reverse(regexp_replace(hit, '[ -]', '', 'g'))[k] AS INT)
            ELSE CAST('0246813579'[CAST(reverse(regexp_replace(hit, '[ -]', '', 'g'))[k] AS INT) + 1] AS INT) END)) % 10 = 0)"""
 
-def _words(*words: str) -> str:
-    return "(" + " OR ".join(f"contains(before, '{w}')" for w in words) + ")"
-
-
-def _added(name: str, pattern: str, valid: str, edge: str) -> str:
-    return f"""
-  SELECT doc_id, i, '{name}' AS kind, start, start + length(hit) AS stop FROM (
-    SELECT doc_id, i, hits[i] AS hit, lower(right(pieces[i], 40)) AS before, pieces[i] AS piece, pieces[i + 1] AS after,
-           list_sum(list_transform(pieces[:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[:i - 1], lambda x: length(x))), 0) AS start
-    FROM (SELECT doc_id, regexp_extract_all(text, '{pattern}') AS hits, regexp_split_to_array(text, '{pattern}') AS pieces FROM d) s,
-         unnest(range(1, len(hits) + 1)) AS r(i)) m
-  WHERE NOT regexp_matches(right(piece, 1), '{edge}') AND NOT regexp_matches(left(after, 1), '{edge}') AND {valid}"""
+_EDGE = "NOT regexp_matches(right(piece, 1), '{0}') AND NOT regexp_matches(left(after, 1), '{0}') AND "
+_CALL = ("phone", "tel", "call", "mobile")
+_SSN = ("ssn", "social security")
 
 
 _MOD97 = """(list_reduce(list_prepend(0, list_transform(range(1, length(replace(hit, ' ', '')) + 1), lambda k:
@@ -51,29 +50,29 @@ _MOD97 = """(list_reduce(list_prepend(0, list_transform(range(1, length(replace(
 PII = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 base AS (
-  SELECT doc_id, kind, 1 AS k, start, stop FROM ({_kind("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true")})
+  SELECT *, 1 AS k FROM ({_kind("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true", "0.8", "0.95", ("mail", "email", "contact", "write"))})
   UNION ALL
-  SELECT doc_id, kind, 2, start, stop FROM ({_kind("ip", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "list_bool_and(list_transform(string_split(hit, '.'), lambda p: length(ltrim(p, '0')) <= 3 AND coalesce(TRY_CAST(ltrim(p, '0') AS INT), 0) <= 255))")})
+  SELECT *, 2 FROM ({_kind("ip", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "list_bool_and(list_transform(string_split(hit, '.'), lambda p: length(ltrim(p, '0')) <= 3 AND coalesce(TRY_CAST(ltrim(p, '0') AS INT), 0) <= 255))", "0.6", "0.8", ("ip", "address", "server", "host"))})
   UNION ALL
-  SELECT doc_id, kind, 3, start, stop FROM ({_kind("card", r"[0-9](?:[ -]?[0-9])+", f"length(regexp_replace(hit, '[ -]', '', 'g')) BETWEEN 13 AND 19 AND {_LUHN}")})
+  SELECT *, 3 FROM ({_kind("card", r"[0-9](?:[ -]?[0-9])+", f"length(regexp_replace(hit, '[ -]', '', 'g')) BETWEEN 13 AND 19 AND {_LUHN}", "0.8", "0.95", ("card", "visa", "payment", "carte", "karte", "tarjeta"))})
   UNION ALL
-  SELECT doc_id, kind, 4, start, stop FROM ({_kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", "length(regexp_replace(hit, '[^0-9]', '', 'g')) BETWEEN 9 AND 15")})),
+  SELECT *, 4 FROM ({_kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", "length(regexp_replace(hit, '[^0-9]', '', 'g')) BETWEEN 9 AND 15", "0.7", "0.9", _CALL)})),
 added AS (
-  SELECT doc_id, kind, 5 AS k, start, stop FROM ({_added("iban", r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?", _MOD97, "[A-Za-z0-9]")})
+  SELECT *, 5 AS k FROM ({_kind("iban", r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?", _EDGE.format("[A-Za-z0-9]") + _MOD97, "0.7", "0.95", ("iban", "account", "konto", "compte", "cuenta"))})
   UNION ALL
-  SELECT doc_id, kind, 6, start, stop FROM ({_added("ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", _words("ssn", "social security"), "[0-9-]")})
+  SELECT *, 6 FROM ({_kind("ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", _EDGE.format("[0-9-]") + _near(*_SSN), "0.3", "0.8", _SSN)})
   UNION ALL
-  SELECT doc_id, kind, 7, start, stop FROM ({_added("tel", r"\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}", _words("phone", "tel", "call", "mobile", "fax"), "[0-9-]")})),
+  SELECT *, 7 FROM ({_kind("tel", r"\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}", _EDGE.format("[0-9-]") + _near(*_CALL, "fax"), "0.3", "0.7", (*_CALL, "fax"))})),
 spans AS (SELECT *, true AS is_base FROM base UNION ALL SELECT *, false FROM added),
 g AS (
   SELECT doc_id,
          count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip,
          count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
          string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY k, start) FILTER (is_base) AS base,
-         string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY k, start) AS spans
+         string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY k, start) AS spans, string_agg(score, ',' ORDER BY k, start) AS scores
   FROM spans GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card,
-       coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+       coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(scores, '') AS scores
 FROM d LEFT JOIN g USING (doc_id)
 """
 

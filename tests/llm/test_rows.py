@@ -1,5 +1,6 @@
 """Operators on single documents against brute force, round trips and held-out accuracy."""
 
+import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -88,9 +89,17 @@ def base_spans(text):
 
 
 def test_pii_report(spark):
-    texts = [(i, t) for i, t in EDGES if i not in (None, 8)] + list(enumerate(HARD, 100))
-    got = {r.doc_id: r for r in pii.pii_report(docs(spark, texts)).collect()}
-    import hashlib
+    texts = [*EDGES, *enumerate(HARD, 100), (120, "a@b.cd 1.2.3.4 " * 10_000), (121, HARD[0]), (121, HARD[0]), (None, HARD[1])]
+    rows = pii.pii_report(docs(spark, texts)).collect()
+    got = {r.doc_id: r for r in rows}
+
+    def told(i, t):
+        spans = base_spans(t)
+        text = ",".join(f"{k}:{a}:{b}" for k, v in spans.items() for a, b in v)
+        return i, *map(len, spans.values()), hashlib.sha256(text.encode()).hexdigest()
+
+    assert Counter((r.doc_id, r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) for r in rows) == Counter(told(i, t) for i, t in texts)
+    texts = [(i, t) for i, t in texts if i not in (None, 8)]
 
     for i, t in texts:
         want = base_spans(t)
@@ -101,6 +110,28 @@ def test_pii_report(spark):
     assert pii.pii_report(docs(spark, [])).count() == 0
 
 
+def test_pii_context(spark):
+    texts = [(1, "hotel 123-45-6789 recall 555-123-4567"), (2, "ssn: 123-45-6789"), (3, "555-123-4567 is my phone"), (4, "phone " + "x" * 36 + " 555-123-4567"), (5, "phone " + "x" * 30 + " 555-123-4567"), (6, "a ship 1.2.3.4 or host 1.2.3.4"), (7, "Write: a@b.cd")]
+    got = {r.doc_id: (r.spans, r.scores) for r in pii.pii_report(docs(spark, texts)).collect()}
+    assert got == {1: ("", ""), 2: ("ssn:5:16", "0.8"), 3: ("tel:0:12", "0.7"), 4: ("", ""), 5: ("tel:37:49", "0.7"), 6: ("ip:7:14,ip:23:30", "0.8,0.8"), 7: ("email:7:13", "0.95")}
+
+
+def masked(text):
+    """What masking makes of a text, from its spans."""
+    spans = sorted((a, -b, k) for k, v in base_spans(text).items() for a, b in v)
+    out, at = "", 0
+    for a, b, k in spans:
+        if a >= at:
+            out += text[at:a] + f"<{k.upper()}>"
+        at = max(at, -b)
+    return out + text[at:]
+
+
+def test_pii_masking_of_many_and_overlapping_spans(spark):
+    texts = [(i, t) for i, t in enumerate([*HARD[:2], HARD[2], "🙂 a@b.cd 1.2.3.4 " * 3000, "+49 30 4111 1111 1111 1111 " * 900, "1.2.3.4@a.b " * 700], 1)]
+    assert {r.doc_id: r.text for r in pii.mask_pii(docs(spark, texts)).collect()} == {i: masked(t) for i, t in texts}
+
+
 def test_pii_masking(spark):
     texts = [(1, None), (2, "write to a@b.cd or 1.2.3.4 🙂 a@b.cd."), (3, "nothing")]
     df = pii.mask_pii(docs(spark, texts))
