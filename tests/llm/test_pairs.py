@@ -152,25 +152,58 @@ def found_items(texts, items, size=5, least=0.8):
                 continue
             grams = lambda x: Counter(tuple(x[j : j + k]) for j in range(len(x) - k + 1))
             b = grams(v)
-            for s in range(len(w) - n + 1):
+            shared = [j for j in range(len(w) - k + 1) if tuple(w[j : j + k]) in b]
+            for s in sorted({s for j in shared for s in range(max(0, j - n), min(j, len(w) - n) + 1)}):
                 a = grams(w[s : s + n])
                 common = sum((a & b).values())
                 sim = common / (sum(a.values()) + sum(b.values()) - common)
-                if sim >= least - 1e-12 and common and (d, i) not in out or (d, i) in out and sim > out[d, i][1]:
+                if sim >= least - 1e-12 and common and ((d, i) not in out or (sim, -s) > (out[d, i][1], -out[d, i][0])):
                     out[d, i] = (s, sim)
     return out
 
 
-def test_decontamination(spark):
-    items = [(1, prose(30, 400)), (2, prose(60, 401)), (3, "tiny item here"), (4, None), (5, ""), (6, prose(30, 400))]
-    changed = prose(60, 401).split()
-    changed[30] = "other"
-    texts = [e for e in EDGES if e[0] not in (6, None)] + [(30, f"{prose(50, 30)} {prose(30, 400).upper()}! {prose(9, 31)}"), (31, " ".join(changed)), (32, "so: Tiny, item. Here?"), (33, prose(300, 33)), (34, prose(25, 400))]
+def check_found(spark, texts, items):
     bench = spark.createDataFrame([(*i, "clash") for i in items], "item_id long, text string, doc_id string")
     got = {(r.doc_id, r.item_id): (r.start, r.similarity) for r in decontaminate.contaminated(docs(spark, texts), bench).collect()}
     want = found_items(texts, items)
-    assert got.keys() == want.keys() and {(30, 1), (30, 6), (31, 2), (32, 3)} <= got.keys()
+    assert got.keys() == want.keys()
     assert all(got[k][0] == want[k][0] and math.isclose(got[k][1], want[k][1]) for k in got)
+    return got.keys()
+
+
+def test_decontamination(spark, monkeypatch):
+    items = [(1, prose(30, 400)), (2, prose(60, 401)), (3, "tiny item here"), (4, None), (5, ""), (6, prose(30, 400)), (7, "one two three four five six " * 5), (8, prose(30, 402)), (8, prose(31, 403)), (None, prose(30, 404))]
+    changed = prose(60, 401).split()
+    changed[30] = "other"
+    long = prose(60_000, 9).split()
+    for at in (4000, 4096, 8190, 59_960):
+        long[at : at + 30] = prose(30, 400).split()
+    texts = [*EDGES, (30, f"{prose(50, 30)} {prose(30, 400).upper()}! {prose(9, 31)}"), (31, " ".join(changed)), (32, "so: Tiny, item. Here?"), (33, prose(300, 33)), (34, prose(25, 400)), (35, " ".join(long))]
+    texts += [(36, "x " + "one two three four five six " * 5), (37, "one two three four five six " * 3 + "a b c"), (38, prose(30, 402)), (39, prose(31, 403)), (40, prose(30, 404))]
+    assert {(30, 1), (30, 6), (31, 2), (32, 3), (35, 1), (36, 7), (38, 8), (39, 8), (40, None)} <= check_found(spark, texts, items)
+    monkeypatch.setattr(decontaminate, "BROADCAST_SHINGLES", 0)
+    check_found(spark, texts, items)
+
+
+def test_decontamination_of_repeated_and_missing_ids(spark):
+    items = [(1, prose(40, 410)), (2, prose(40, 411)), (3, prose(41, 412))]
+    texts = [(None, prose(40, 410)), (None, prose(40, 411)), (None, prose(40, 411)), (5, prose(40, 410)), (5, prose(40, 411)), (6, prose(40, 412)), (6, prose(70, 413))]
+    assert check_found(spark, texts, items) == {(None, 1), (None, 2), (5, 1), (5, 2), (6, 3)}
+
+
+def test_blocks_find_every_fingerprint_within_the_radius(spark):
+    rng = random.Random(6)
+    base = [rng.getrandbits(64) for _ in range(300)]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    other = [b ^ sum(1 << i for i in rng.sample(range(64), rng.choice([0, 8, 23, 23, 24, 30]))) for b in base]
+    items = spark.createDataFrame([(i, 1, signed(b)) for i, b in enumerate(base)], "item long, n int, fp long")
+    probes = spark.createDataFrame([(i, signed(b)) for i, b in enumerate(other)], "id long, probe long")
+    held = decontaminate._entered(items, 23)
+    from pyspark.sql import functions as F
+
+    looked = probes.select("id", "probe", F.posexplode(F.array(*decontaminate._blocks(F.col("probe")))).alias("block", "value"))
+    got = {(r.item, r.id) for r in looked.join(held, ["block", "value"]).where("bit_count(probe ^ item_fp) <= 23").select("item", "id").distinct().collect()}
+    assert got == {(i, j) for i, b in enumerate(base) for j, o in enumerate(other) if (b ^ o).bit_count() <= 23}
 
 
 def test_decontamination_of_nothing(spark):
