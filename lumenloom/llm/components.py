@@ -3,7 +3,8 @@
 Each round runs union-find inside every partition, which turns its links into stars, and then links
 the roots that one node got in several partitions. The links that are left join roots alone, so the
 rounds shrink fast; the answers are composed on the way back. A node with very many links costs one
-row for each partition, not one group.
+row for each partition, not one group. A task holds NODES nodes at most: then it writes what it has and
+begins anew, which costs a few more links for the next round.
 """
 
 from __future__ import annotations
@@ -17,6 +18,9 @@ from pyspark.sql import functions as F
 from lumenloom.llm.common import materialize
 
 
+NODES = 1_000_000
+
+
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     parent: dict = {}
 
@@ -28,6 +32,13 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             parent[x], x = top, parent[x]
         return top
 
+    def written() -> Iterator[pa.RecordBatch]:
+        nodes = list(parent)
+        for at in range(0, len(nodes), 100_000):
+            part = nodes[at : at + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([root(x) for x in part], pa.int64())], names=["node", "root"])
+        parent.clear()
+
     for batch in batches:
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             parent.setdefault(a, a)
@@ -35,10 +46,9 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a, b = root(a), root(b)
             if a != b:
                 parent[max(a, b)] = min(a, b)
-    nodes = list(parent)
-    for at in range(0, len(nodes), 100_000):
-        part = nodes[at : at + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([root(x) for x in part], pa.int64())], names=["node", "root"])
+            if len(parent) >= NODES:
+                yield from written()
+    yield from written()
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -10,6 +10,7 @@ import pytest
 
 from edges import EDGES, docs, prose
 from lumenloom.llm import cover_tree, decontaminate, minhash, substring_dedup
+from lumenloom.llm import components as components_of
 from lumenloom.llm.components import components
 
 
@@ -90,7 +91,9 @@ def test_pairs_inside_overfull_groups_of_near_misses(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs(spark, texts)).collect()} == roots(sorted(sets), links)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("most", [1_000_000, 20])
+def test_components(spark, monkeypatch, most):
+    monkeypatch.setattr(components_of, "NODES", most)
     rng = random.Random(1)
     links = [(0, i) for i in range(1, 300)] + [(i, i + 1) for i in range(1000, 1200)] + [(rng.randrange(2000, 2300), rng.randrange(2000, 2300)) for _ in range(150)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long").repartition(7)).collect()}
