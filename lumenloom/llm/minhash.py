@@ -1,34 +1,39 @@
 """Near-duplicate documents by word shingles: an LSH forest proposes pairs, full sets confirm them.
 
-1. Each text becomes the set of its hashed shingles, a digest of the set, 128 MinHash values, a
-   sketch (two bits of each value) and a label of SHALLOW and of DEEP values for each of TREES trees.
-   Texts with equal sets fall together by digest; from here on one of them stands for all.
-2. In every tree documents with equal labels of SHALLOW values form a region. Within a region sketches
-   are compared block by block, and pairs that could reach the threshold (four standard deviations of
-   slack) are candidates.
-3. First each document's best candidate is checked on full sets, which joins most of each group. Only
-   for this a region of more than REGION documents is cut (at DEEP values and, if that isn't enough, by
-   a hash); all its members go on to the next step.
-4. Then only candidates in different components matter, and no region is cut: one of more than REGION
-   documents becomes blocks, and each two blocks are a task of their own, unless both hold one and the
-   same component. A document with up to FEW candidates in a task gets those checked; the members of
-   a task where one has more are sent there with their sets and compared in place, where only links
-   come out. So a group of thousands of near copies never becomes rows for all its pairs, and no
-   candidate between different components goes unchecked.
+1. Each text becomes the set of its hashed shingles (64 bits; similarities are those of these sets), a
+   digest of the set, VALUES MinHash values, a sketch (two bits of each value) and for each of TREES
+   trees a signature of DEEP values. Texts with equal sets fall together by digest; from here on one of
+   them stands for all.
+2. Each tree is the documents sorted by their signatures; those that agree in the first SHALLOW values
+   are a region. A document's neighbours in that order have the longest common prefixes with it: the
+   NEIGHBOURS before and after it in its region are compared by their sketches, and the best one over
+   all trees is checked on full sets. That joins most of each group. A region of more than REGION
+   documents is split over tasks one value deeper, and each part again as long as it is too large, so
+   the depth adapts to each region.
+3. Then the search goes back up: documents whose region reaches further than their neighbours, and those
+   that found a partner, are compared with their whole regions at SHALLOW values, by sketches, and only
+   pairs in different components matter. Regions of more than REGION documents or SHINGLES shingles
+   become blocks, and each two blocks are a task of their own, unless both hold one and the same
+   component. A document with up to FEW candidates in a task gets those checked; the members of a task
+   where one has more are sent there with their sets and compared in place, where only links come out.
+   So a group of thousands of near copies never becomes rows for all its pairs, and no candidate between
+   different components goes unchecked.
 
 Two sets with similarity J share a region of one tree with probability J**3, whatever its size: with
-16 trees a pair at 0.85 is missed once in 4 million times, at 0.8 once in 90,000. The work grows with
-the square of a region's documents where these are near misses that no link joins.
+16 trees a pair at 0.85 is missed once in 4 million times, at 0.8 once in 90,000. Sketches drop one pair
+in a million at the threshold itself (five standard deviations). The work grows with the square of a
+region's documents where these are near misses that no link joins.
 
 Defined results: a null text, an empty one or white space is an empty set, linked with nothing; a text
-of fewer words than a shingle is one shingle; repeated rows get equal results; a null id gets a null
-component and isn't kept; an empty table gives an empty table; columns other than the id and the text
+of fewer words than a shingle is one shingle; repeated rows get equal results; rows that share an id are one
+node of the components; a null id gets a null component and isn't kept; an empty table gives an empty table; columns other than the id and the text
 are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,8 +45,10 @@ from lumenloom.llm.common import add_columns, discard, materialize, worker_cache
 from lumenloom.llm.components import components
 
 TREES, SHALLOW, DEEP, VALUES = 16, 3, 6, 128
-#: Documents that are compared with each other in one task; a larger region becomes several blocks.
-REGION = 4096
+#: Documents and shingles of a block; a larger region becomes several blocks.
+REGION, SHINGLES = 4096, 4_000_000
+#: Rows before and after a document in a tree that it is compared with first.
+NEIGHBOURS = 16
 #: Candidates in other components that a document may have in a region before the region is compared in place.
 FEW = 4
 #: Tables of at most so many ids (8 bytes each) are broadcast; larger ones are joined by a shuffle.
@@ -57,31 +64,45 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U8(31))
 
 
-class _Powers:
-    """BASE**i and its inverse modulo 2**64 for i up to the longest text seen."""
+#: Powers that a worker keeps; longer tables are made for one call.
+POWERS = 1 << 21
+#: Bytes of a text that are hashed in one go.
+PIECE = 1 << 20
 
-    def __init__(self) -> None:
-        self.n = 0
 
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n > self.n:
-            self.n = max(n, 2 * self.n, 1 << 16)
-            steps = np.full(self.n, BASE, U8)
-            steps[0] = 1
-            self.powers = np.multiply.accumulate(steps)
-            steps[1:] = pow(BASE, -1, 1 << 64)
-            self.inverse = np.multiply.accumulate(steps)
-        return self.powers, self.inverse
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    steps = np.full(n, BASE, U8)
+    steps[0] = 1
+    powers = np.multiply.accumulate(steps)
+    steps[1:] = pow(BASE, -1, 1 << 64)
+    return powers, np.multiply.accumulate(steps)
+
+
+def powers_upto(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE**i and its inverse modulo 2**64 for i below n at least."""
+    return worker_cached("powers", lambda: _powers(POWERS)) if n <= POWERS else _powers(n)
 
 
 def word_hashes(text: str, lower: bool = True) -> np.ndarray:
     """A 64-bit hash of each word ([^\\x20\\x09-\\x0D]+, A-Z in lower case), from prefix sums over the bytes."""
     data = text.encode("utf-8", "surrogatepass")
-    raw = np.frombuffer(data.lower() if lower else data, np.uint8)
+    if len(data) <= PIECE:
+        return _hashes(data.lower() if lower else data)
+    out, at = [], 0
+    while at < len(data):
+        rest = re.compile(rb"[\x20\x09-\x0d]").search(data, at + PIECE)
+        end = rest.start() if rest else len(data)
+        out.append(_hashes(data[at:end].lower() if lower else data[at:end]))
+        at = end
+    return np.concatenate(out)
+
+
+def _hashes(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(data, np.uint8)
     gap = np.concatenate([[True], (raw == 32) | ((raw >= 9) & (raw <= 13)), [True]])
     edges = np.flatnonzero(gap[1:] != gap[:-1])
     starts, ends = edges[::2], edges[1::2]
-    powers, inverse = worker_cached("powers", _Powers).upto(len(raw) + 1)
+    powers, inverse = powers_upto(len(raw) + 1)
     sums = np.zeros(len(raw) + 1, U8)
     np.cumsum((raw.astype(U8) + U8(1)) * powers[: len(raw)], out=sums[1:])
     return _mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(U8))
@@ -126,14 +147,10 @@ def _sketch(values: np.ndarray) -> np.ndarray:
 
 
 def _labels(values: np.ndarray) -> np.ndarray:
-    """For each row the shallow and the deep label of every tree, in turn."""
-    v = values[:, : TREES * DEEP].reshape(len(values), TREES, DEEP)
-    h, out = np.zeros(v.shape[:2], U8), []
-    for i in range(DEEP):
-        h = _mix(h * U8(0x9E3779B97F4A7C15) + v[:, :, i] + U8(1))
-        if i + 1 in (SHALLOW, DEEP):
-            out.append(h)
-    return np.stack(out, axis=2).reshape(len(values), 2 * TREES)
+    """For each row the signature of every tree, in turn: 21 bits of each value, SHALLOW values in a number and then the deeper ones."""
+    v = (values[:, : TREES * DEEP] >> U8(11)).reshape(len(values), TREES, 2, SHALLOW)
+    packed = (v << np.array([42, 21, 0], U8)).sum(axis=3, dtype=U8)
+    return packed.reshape(len(values), 2 * TREES)
 
 
 def features(docs: DataFrame, size: int) -> DataFrame:
@@ -155,10 +172,15 @@ def _agreement(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (1 - np.bitwise_count(d).sum(axis=2, dtype="i4") / VALUES - 0.25) / 0.75
 
 
-def _region_candidates(rep, comp, size, sketch, left, cut, ratio, most):
-    """Of one region, or of the first `left` rows with the others: pairs (i, j) of each row with its `most` best
-    partners in other components. If some row has more than `most`, the members that have partners; for most > 1
-    these come instead of the pairs."""
+def least_estimate(similarity: float) -> float:
+    """What a sketch must tell of a pair that could reach the similarity: five standard deviations less."""
+    agree = similarity + 0.25 * (1 - similarity)
+    return similarity - 5 * (agree * (1 - agree) / VALUES) ** 0.5 / 0.75
+
+
+def _region_candidates(rep, comp, size, sketch, left, cut, ratio):
+    """Of one region, or of the first `left` rows with the others: pairs (i, j) of each row with its FEW best
+    partners in other components; or, if some row has more, the members that have partners."""
     m, pairs, partners = len(rep), [], np.zeros(len(rep), "i4")
     top, across = (m, slice(0, m)) if left in (0, m) else (left, slice(left, m))
     step = max(1, min(top, (1 << 20) // m))
@@ -171,13 +193,14 @@ def _region_candidates(rep, comp, size, sketch, left, cut, ratio, most):
         partners[rows] = (est > 0).sum(axis=1)
         if top < m:
             partners[across] += (est > 0).sum(axis=0, dtype="i4")
-        best = np.argsort(-est, axis=1, kind="stable")[:, :most] if most > 1 else est.argmax(axis=1)[:, None]
+        best = np.argsort(-est, axis=1, kind="stable")[:, :FEW]
         i, j = np.repeat(np.arange(est.shape[0]), best.shape[1]), best.ravel()
         ok = est[i, j] > 0
-        pairs.append((rep[rows][i[ok]], rep[across][j[ok]], est[i[ok], j[ok]]))
-    crowd = np.flatnonzero(partners > 0) if (partners[:top] > most).any() else np.zeros(0, "i8")
+        pairs.append((rep[rows][i[ok]], rep[across][j[ok]]))
     pairs = [np.concatenate(x) for x in zip(*pairs)]
-    return [x[:0] for x in pairs] if most > 1 and len(crowd) else pairs, crowd
+    if (partners[:top] > FEW).any():
+        return [x[:0] for x in pairs], np.flatnonzero(partners > 0)
+    return pairs, np.zeros(0, "i8")
 
 
 def _few(rows: DataFrame) -> DataFrame:
@@ -185,18 +208,71 @@ def _few(rows: DataFrame) -> DataFrame:
 
 
 def crowded_regions(entries: DataFrame) -> DataFrame:
-    """tree, shallow and number of documents of the regions with more than REGION."""
-    return materialize(entries.groupBy("tree", "shallow").agg(F.count("*").alias("c")).where(F.col("c") > REGION), "crowded")
+    """tree, shallow, number of documents and of shingles of the regions with more than a block takes."""
+    held = entries.groupBy("tree", "shallow").agg(F.count("*").alias("c"), F.sum("n").alias("w"))
+    return materialize(held.where((F.col("c") > REGION) | (F.col("w") > SHINGLES)), "crowded")
+
+
+def _deepened(entries: DataFrame, crowded: DataFrame) -> DataFrame:
+    """entries with part: crowded regions are split one value deeper, and each part again while it is too large.
 
+    Documents with equal signatures that are still too many are dealt out by a hash; the second step meets all their pairs."""
+    region = ["tree", "shallow"]
+    inside = entries.join(_few(crowded.select(*region)), region, "left_semi")
+    counts = materialize(inside.groupBy(*region, "deep").agg(F.count("*").alias("c")), "depths")
+    entries = entries.join(_few(crowded.select(*region, F.lit(True).alias("in0"))), region, "left")
+    part = F.when(F.col("in0").isNull(), F.lit(0).cast("long"))
+    for depth, shift in enumerate((42, 21, 0), 1):
+        prefix = F.shiftright("deep", shift)
+        full = counts.groupBy(*region, prefix.alias("prefix")).agg(F.sum("c").alias(f"in{depth}")).where(F.col(f"in{depth}") > REGION)
+        entries = entries.withColumn("prefix", prefix).join(_few(materialize(full, "full")), [*region, "prefix"], "left").drop("prefix")
+        part = part.when(F.col(f"in{depth}").isNull(), F.xxhash64(F.lit(depth), prefix))
+    salted = F.xxhash64("deep", F.pmod(F.xxhash64("rep", "tree"), F.floor(F.col("in3") / REGION) + 1))
+    return entries.withColumn("part", part.otherwise(salted))
+
+
+def neighbours(entries: DataFrame, similarity: float, crowded: DataFrame) -> DataFrame:
+    """i, j, estimate: each document with the best of its neighbours in a tree; a row without j for one whose part reaches further."""
+    cut = least_estimate(similarity)
+    entries = entries.withColumn("part", F.lit(0).cast("long")) if crowded.isEmpty() else _deepened(entries, crowded)
+    key = ["tree", "shallow", "part"]
 
-def _cut(entries: DataFrame, crowded: DataFrame) -> DataFrame:
-    """entries with part: crowded regions are cut at their deep labels, and those by a hash. Loses pairs."""
-    entries = entries.join(_few(crowded.select("tree", "shallow", F.lit(1).alias("crowded"))), ["tree", "shallow"], "left")
-    deep = entries.where("crowded = 1").groupBy("tree", "shallow", "deep").agg(F.count("*").alias("c")).where(F.col("c") > REGION)
-    deep = materialize(deep.select("tree", "shallow", "deep", (F.col("c") / REGION + 1).cast("int").alias("cuts")), "deep")
-    entries = entries.join(_few(deep), ["tree", "shallow", "deep"], "left")
-    cut_up = F.when(F.col("cuts").isNotNull(), F.xxhash64("deep", F.pmod(F.xxhash64("rep", "tree"), F.col("cuts")))).otherwise(F.col("deep"))
-    return entries.withColumn("part", F.when(F.col("crowded").isNotNull(), cut_up).otherwise(F.lit(0))).withColumn("side", F.lit(0))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = None
+        for batch in batches:
+            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            kept = 0 if before is None else len(before[0])
+            if kept:
+                cols = [np.concatenate([a, b]) for a, b in zip(before, cols)]
+            before = [c[-NEIGHBOURS - 1 :] for c in cols]
+            rep, size, sketch = cols[4], cols[5], np.stack([c.view(U8) for c in cols[6:]], axis=1)
+            best, partner = np.zeros(len(rep)), np.zeros(len(rep), "i8")
+            wide = np.zeros(len(rep), bool)
+            at = np.arange(len(rep))
+            for k in range(1, NEIGHBOURS + 2):
+                at = at[at >= k]
+                at = at[np.logical_and.reduce([c[at] == c[at - k] for c in cols[:3]])]
+                i = at[at >= kept]
+                j = i - k
+                if k > NEIGHBOURS:
+                    wide[i] = wide[j] = True
+                    break
+                d = sketch[i] ^ sketch[j]
+                d = (d | (d >> U8(1))) & U8(0x5555555555555555)
+                est = (1 - np.bitwise_count(d).sum(axis=1, dtype="i4") / VALUES - 0.25) / 0.75
+                ok = (est >= cut) & (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]))
+                i, j, est = i[ok], j[ok], est[ok]
+                for a, b in ((i, j), (j, i)):
+                    more = est > best[a]
+                    best[a[more]], partner[a[more]] = est[more], rep[b[more]]
+            some = np.flatnonzero(best > 0)
+            none = int(wide.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(rep[some]), pa.array(partner[some]), pa.array(best[some])], names=["i", "j", "estimate"])
+            yield pa.RecordBatch.from_arrays([pa.array(rep[wide]), pa.nulls(none, pa.int64()), pa.nulls(none, pa.float64())], names=["i", "j", "estimate"])
+
+    wanted = [*key, "deep", "rep", "n", "s0", "s1", "s2", "s3"]
+    ordered = entries.select(*[F.col(c).cast("long") for c in wanted]).repartition(*key).sortWithinPartitions(*key, "deep", "rep")
+    return ordered.mapInArrow(run, "i long, j long, estimate double")
 
 
 def _dealt(rows: DataFrame, part: str) -> DataFrame:
@@ -217,14 +293,16 @@ def _blocks(entries: DataFrame, crowded: DataFrame) -> DataFrame:
     A large component has blocks of its own, so none of its own pairs are visited.
     """
     region = ["tree", "shallow"]
-    per = entries.join(_few(crowded.select(*region)), region, "left_semi").groupBy(*region, "comp").agg(F.count("*").alias("c"))
-    large = materialize(per.where(F.col("c") >= max(2, REGION // 2)).withColumn("alone", F.lit(True)), "large")
-    rest = crowded.join(large.groupBy(*region).agg(F.sum("c").alias("gone")), region, "left").select(*region, (F.col("c") - F.coalesce("gone", F.lit(0))).alias("c"))
-    groups = large.unionByName(rest.where("c > 0").select(*region, F.lit(0).cast("long").alias("comp"), "c", F.lit(False).alias("alone")))
-    groups = groups.withColumn("blocks", F.floor(F.col("c") / REGION) + 1)
+    per = entries.join(_few(crowded.select(*region)), region, "left_semi").groupBy(*region, "comp").agg(F.count("*").alias("c"), F.sum("n").alias("w"))
+    large = per.where((F.col("c") >= max(2, REGION // 2)) | (F.col("w") >= SHINGLES // 2) & (F.col("c") > 1))
+    large = materialize(large.withColumn("alone", F.lit(True)), "large")
+    gone = large.groupBy(*region).agg(F.sum("c").alias("gone"), F.sum("w").alias("gone_w"))
+    rest = crowded.join(gone, region, "left").select(*region, *[(F.col(x) - F.coalesce(y, F.lit(0))).alias(x) for x, y in (("c", "gone"), ("w", "gone_w"))])
+    groups = large.unionByName(rest.where("c > 0").select(*region, F.lit(0).cast("long").alias("comp"), "c", "w", F.lit(False).alias("alone")))
+    groups = groups.withColumn("blocks", F.floor(F.greatest(F.col("c") / REGION, F.col("w") / SHINGLES)) + 1)
     every = Window.partitionBy(*region)
     before = every.orderBy("alone", "comp").rowsBetween(Window.unboundedPreceding, -1)
-    groups = groups.withColumn("first", F.coalesce(F.sum("blocks").over(before), F.lit(0))).withColumn("total", F.sum("blocks").over(every)).drop("c")
+    groups = groups.withColumn("first", F.coalesce(F.sum("blocks").over(before), F.lit(0))).withColumn("total", F.sum("blocks").over(every)).drop("c", "w")
     groups = materialize(groups, "groups")
     own = entries.join(_few(large.select(*region, "comp", "alone")), [*region, "comp"], "left").withColumn("alone", F.coalesce("alone", F.lit(False)))
     own = own.withColumn("own", F.when(F.col("alone"), F.col("comp")).otherwise(F.lit(0).cast("long")))
@@ -233,19 +311,18 @@ def _blocks(entries: DataFrame, crowded: DataFrame) -> DataFrame:
     return _dealt(one, "part")
 
 
-def candidates(entries: DataFrame, similarity: float, most: int, crowded: DataFrame) -> DataFrame:
-    """i, j, estimate from entries (tree, shallow, deep, rep, comp, n, s0..s3): the `most` best of each i in a task.
+def candidates(entries: DataFrame, similarity: float, crowded: DataFrame) -> DataFrame:
+    """i, j from entries (tree, shallow, rep, comp, n, s0..s3): the FEW best partners of each i in a task.
 
-    Rows without j tell the members of tasks (tree, shallow, part, side) where that isn't all. For most = 1
-    crowded regions are cut.
+    Rows without j tell the members of tasks (tree, shallow, part, side) where that isn't all.
     """
-    cut = similarity - 4 * (0.04 if similarity < 0.9 else 0.03)
+    cut = least_estimate(similarity)
     region = ["tree", "shallow", "part"]
     if crowded.isEmpty():
         entries = entries.withColumn("part", F.lit(0)).withColumn("side", F.lit(0))
     else:
-        entries = (_cut if most == 1 else _blocks)(entries, crowded)
-    names = ["i", "j", "estimate", *region, "side"]
+        entries = _blocks(entries, crowded)
+    names = ["i", "j", *region, "side"]
     wanted = [*region, "side", "rep", "comp", "n", "s0", "s1", "s2", "s3"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,17 +335,17 @@ def candidates(entries: DataFrame, similarity: float, most: int, crowded: DataFr
             found, crowds = [], []
             for lo, hi in zip(new[:-1][np.diff(new) > 1], new[1:][np.diff(new) > 1]):
                 left = int((cols[3][lo:hi] == 0).sum())
-                got, crowd = _region_candidates(cols[4][lo:hi], cols[5][lo:hi], cols[6][lo:hi], sketch[lo:hi], left, cut, similarity, most)
+                got, crowd = _region_candidates(cols[4][lo:hi], cols[5][lo:hi], cols[6][lo:hi], sketch[lo:hi], left, cut, similarity)
                 found.append(got)
                 crowds.append(lo + crowd)
             if not found:
                 return None
-            i, j, est = [np.concatenate(x) for x in zip(*found)]
+            i, j = [np.concatenate(x) for x in zip(*found)]
             crowd = np.concatenate(crowds)
             none = pa.nulls(len(i), pa.int64())
-            pairs = pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(est), none, none, none, none], names=names)
+            pairs = pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), none, none, none, none], names=names)
             gone = pa.nulls(len(crowd), pa.int64())
-            members = pa.RecordBatch.from_arrays([pa.array(cols[4][crowd]), gone, pa.nulls(len(crowd), pa.float64()), *(pa.array(c[crowd]) for c in cols[:4])], names=names)
+            members = pa.RecordBatch.from_arrays([pa.array(cols[4][crowd]), gone, *(pa.array(c[crowd]) for c in cols[:4])], names=names)
             return pa.Table.from_batches([pairs, members]).combine_chunks()
 
         for batch in batches:
@@ -287,7 +364,7 @@ def candidates(entries: DataFrame, similarity: float, most: int, crowded: DataFr
             yield from out.to_batches(max_chunksize=100_000)
 
     ordered = entries.select(*[F.col(c).cast("long") for c in wanted]).repartition(*region).sortWithinPartitions(*region, "side", "rep")
-    return ordered.mapInArrow(run, ", ".join(f"{n} {'double' if n == 'estimate' else 'long'}" for n in names))
+    return ordered.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def _full_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
@@ -380,21 +457,25 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) ->
     pair = [F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")]
     each = entries(reps.withColumn("comp", F.col("rep")))
     crowded = crowded_regions(each)
-    first = candidates(each, similarity, 1, crowded).where("j is not null")
-    best = materialize(first.groupBy("i").agg(F.max_by("j", "estimate").alias("j")), "best")
+    first = materialize(neighbours(each, similarity, crowded).groupBy("i").agg(F.max_by("j", "estimate").alias("j"), F.max(F.col("j").isNull()).alias("wide")), "first")
+    best = first.where("j is not null")
     involved = materialize(best.select(F.col("i").alias("rep")).union(best.select(F.col("j").alias("rep"))).distinct(), "involved")
     sets = materialize(_full_sets(docs, involved, size), "sets")
-    inside = [] if crowded.isEmpty() else [each.join(_few(crowded.select("tree", "shallow")), ["tree", "shallow"], "left_semi").select("rep")]
-    again = materialize(involved.union(inside[0]).distinct(), "again") if inside else involved
-    active = materialize(reps.join(_few(again), "rep", "left_semi"), "active")
     tested = materialize(best.select(*pair).distinct(), "pairs")
     links = materialize(_confirm(tested, sets, similarity), "confirmed")
     comps = materialize(components(links), "components")
+    # back up: whole regions, for those that found a partner and those that didn't meet all of their region
+    again = involved.union(first.where("wide").select(F.col("i").alias("rep")))
+    if not crowded.isEmpty():
+        again = again.union(each.join(_few(crowded.select("tree", "shallow")), ["tree", "shallow"], "left_semi").select("rep"))
+    again = materialize(again.distinct(), "again")
+    active = materialize(reps.join(_few(again), "rep", "left_semi"), "active")
     now = active.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
-    more = materialize(candidates(entries(now), similarity, FEW, crowded), "candidates")
-    if inside:  # members that had no candidate in the cut regions
-        late = more.select(F.col("i").alias("rep")).union(more.where("j is not null").select("j")).distinct().join(involved, "rep", "left_anti")
-        sets = sets.union(materialize(_full_sets(docs, materialize(late, "late"), size), "sets"))
+    more = materialize(candidates(entries(now), similarity, crowded), "candidates")
+    late = more.select(F.col("i").alias("rep")).union(more.where("j is not null").select("j")).distinct().join(involved, "rep", "left_anti")
+    late = materialize(late, "late")
+    if not late.isEmpty():
+        sets = sets.union(materialize(_full_sets(docs, late, size), "sets"))
     members = more.where("j is null")
     apart = more.where("j is not null").select(*pair).distinct().join(tested, ["a", "b"], "left_anti")
     added = materialize(_confirm(apart, sets, similarity).union(_confirm_in_place(members, comps, sets, similarity)), "confirmed")

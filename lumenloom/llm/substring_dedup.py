@@ -31,9 +31,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenloom.llm.common import discard, materialize, worker_cached
+from lumenloom.llm.common import discard, materialize
 from lumenloom.llm.fm_index import FMIndex
-from lumenloom.llm.minhash import U8, _mix, _Powers, _signed, word_hashes
+from lumenloom.llm.minhash import U8, _mix, _signed, powers_upto, word_hashes
 
 SIZE, ANCHOR = 35, 12
 CROWD = 2000
@@ -56,7 +56,7 @@ def segments(words: np.ndarray, size: int, gram: int) -> tuple[np.ndarray, ...]:
     place = np.arange(n) + np.lib.stride_tricks.sliding_window_view(g, reach).argmin(axis=1)
     first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
     count = np.diff(np.concatenate([first, [n]]))
-    powers, inverse = worker_cached("powers", _Powers).upto(len(words) + 1)
+    powers, inverse = powers_upto(len(words) + 1)
     sums = np.concatenate([np.zeros(1, U8), np.cumsum(words * powers[: len(words)], dtype=U8)])
     ends = first + count + size - 1
     own = (sums[ends] - sums[first]) * inverse[first] + (count * 1000 + place[first] - first).astype(U8)

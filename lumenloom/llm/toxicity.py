@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenloom.llm.common import add_columns, fold, worker_cached
-from lumenloom.llm.minhash import U8, _mix, _Powers
+from lumenloom.llm.minhash import U8, _mix, powers_upto
 
 BUCKETS = 1 << 18
 #: Rows of each kind (positive, unlabelled) that training sees at most.
@@ -45,7 +45,7 @@ def buckets(text: str | None) -> np.ndarray:
     inside = np.concatenate([[False], worker_cached("word_bytes", _word_bytes)[raw], [False]])
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = edges[::2], edges[1::2]
-    powers, inverse = worker_cached("powers", _Powers).upto(len(raw) + 1)
+    powers, inverse = powers_upto(len(raw) + 1)
     sums = np.zeros(len(raw) + 1, U8)
     np.cumsum((raw.astype(U8) + U8(1)) * powers[: len(raw)], out=sums[1:])
     out = []

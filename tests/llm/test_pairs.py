@@ -91,7 +91,7 @@ def test_pairs_inside_overfull_groups_of_near_misses(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs(spark, texts)).collect()} == roots(sorted(sets), links)
 
 
-@pytest.mark.parametrize("most", [1_000_000, 20])
+@pytest.mark.parametrize("most", [1_000_000, 100])
 def test_components(spark, monkeypatch, most):
     monkeypatch.setattr(components_of, "NODES", most)
     rng = random.Random(1)
