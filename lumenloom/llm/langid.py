@@ -2,25 +2,29 @@
 
 Features are the 1- to 3-grams of code points of the whole text in lower case, everything but
 letters read as a space, hashed into 2**16 buckets; a feature is its relative frequency times its
-inverse document frequency. Training is follow-the-regularised-leader (proximal, one learning rate
-for each coordinate) with L1 and L2 penalties, on a bounded sample of labelled documents: SAMPLE
-rows, as many of each language where there are enough. A fifth of the sample is kept apart to fit
-one temperature, which calibrates the probabilities.
+inverse document frequency, which Spark counts over all documents that may be learned from. Training is
+follow-the-regularised-leader (proximal, one learning rate for each coordinate) with L1 and L2 penalties,
+on a bounded sample of labelled documents: about SAMPLE rows by a hash of the id, twice as many at most,
+as many of each language where there are enough. A fifth of the sample is kept apart to fit one
+temperature, which calibrates the probabilities.
 
 The score of a text is linear in its n-grams, so a text of any length is read in blocks and each
 block adds to the sums; scoring needs no shuffle and holds one block at a time.
 
 Defined results: a null text or one without a letter is `und` with score 0; if nothing can be
 learned (no labelled text), every text is `und`; ties between languages go to the first by name;
-repeated documents get equal rows; columns named like the outputs are replaced.
+repeated documents get equal rows; a row without an id may be learned from; columns named like the
+outputs are replaced.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,8 +32,10 @@ from lumenloom.llm.common import add_columns, fold, worker_cached
 
 BUCKETS = 1 << 16
 BLOCK = 1 << 20
-#: Rows that training sees at most.
+#: Rows that training sees, about; twice as many at most.
 SAMPLE = 3000
+#: Tasks that read the sampled texts.
+TASKS = 32
 UNKNOWN = "und"
 SCALE = 30.0
 
@@ -38,22 +44,28 @@ def _letters() -> np.ndarray:
     return np.array([chr(c).isalpha() for c in range(0x110000)])
 
 
-def _grams(text: str) -> list[np.ndarray]:
-    """Buckets of the 1-, 2- and 3-grams, one array for each block of the text; [] without letters."""
+def _grams(text: str) -> Iterator[np.ndarray]:
+    """Buckets of the 1-, 2- and 3-grams, one array for each block of the text; nothing without letters."""
     alpha = worker_cached("alpha", _letters)
+    if not any(map(str.isalpha, text)):
+        return
     points = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), "<u4")
-    out, found = [], False
     for at in range(0, max(1, len(points) - 2), BLOCK):
         block = points[at : at + BLOCK + 2]
-        is_letter = alpha[block]
-        found = found or bool(is_letter.any())
-        x = np.where(is_letter, block, 32).astype("u4")
+        x = np.where(alpha[block], block, 32).astype("u4")
         one = x * np.uint32(2654435761)
         two = (one[:-1] ^ (one[1:] >> np.uint32(3))) * np.uint32(2246822519)
         three = (two[:-1] ^ (one[2:] >> np.uint32(5))) * np.uint32(3266489917)
         n = len(three)
-        out.append(np.concatenate([one[:n] >> np.uint32(16), two[:n] >> np.uint32(16), three >> np.uint32(16)]))
-    return out if found else []
+        yield np.concatenate([one[:n] >> np.uint32(16), two[:n] >> np.uint32(16), three >> np.uint32(16)])
+
+
+def _counts(text: str | None) -> np.ndarray:
+    """How often each bucket occurs in a text."""
+    total = np.zeros(BUCKETS, "i8")
+    for block in _grams(text or ""):
+        total += np.bincount(block, minlength=BUCKETS)
+    return total
 
 
 @dataclass
@@ -64,11 +76,13 @@ class Model:
     temperature: float
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        blocks = _grams(text) if text and self.langs else []
-        if not blocks:
+        total, n = np.zeros(len(self.langs)), 0
+        for block in _grams(text) if text and self.langs else ():
+            total += np.take(self.weights, block, axis=0).sum(axis=0, dtype="f8")
+            n += len(block)
+        if not n:
             return UNKNOWN, 0.0
-        total = sum(np.take(self.weights, b, axis=0).sum(axis=0, dtype="f8") for b in blocks)
-        logits = (SCALE * total / sum(map(len, blocks)) + self.bias) / self.temperature
+        logits = (SCALE * total / n + self.bias) / self.temperature
         p = np.exp(logits - logits.max())
         p /= p.sum()
         best = int(p.argmax())
@@ -80,16 +94,13 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return p / p.sum()
 
 
-def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.1, epochs: int = 2) -> Model:
-    """rows: (lang, buckets, counts), in a fixed order."""
+def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], seen: np.ndarray, documents: int, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.1, epochs: int = 2) -> Model:
+    """rows: (lang, buckets, counts), in a fixed order; seen: in how many of the documents each bucket occurs."""
     langs = sorted({lang for lang, _, _ in rows})
     if len(langs) < 1:
         return Model([], np.zeros((0, 0), "f4"), np.zeros(0), 1.0)
     k, at = len(langs), {lang: i for i, lang in enumerate(langs)}
-    seen = np.zeros(BUCKETS)
-    for _, idx, _ in rows:
-        seen[idx] += 1
-    idf = np.log((1 + len(rows)) / (1 + seen)) + 1
+    idf = np.log((1 + documents) / (1 + seen)) + 1
     data = [(at[lang], idx, SCALE * idf[idx] * counts / counts.sum()) for lang, idx, counts in rows]
     kept_apart = [d for i, d in enumerate(data) if i % 5 == 4]
     training = [d for i, d in enumerate(data) if i % 5 != 4]
@@ -116,35 +127,55 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], alpha: float = 0.5, beta
     return Model(langs, (w[:BUCKETS] * idf[:, None]).astype("f4"), w[BUCKETS], temperature)
 
 
+def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
+    """In how many texts each bucket occurs, and in how many any does; added up in each task first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(BUCKETS + 1, "i8")  # the last one counts documents
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                own = np.zeros(BUCKETS + 1, bool)
+                for block in _grams(text or ""):
+                    own[block] = own[BUCKETS] = True
+                seen += own
+        some = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype("i4")), pa.array(seen[some])], names=["bucket", "n"])
+
+    seen = np.zeros(BUCKETS + 1, "i8")
+    for bucket, n in docs.select("text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n")).collect():
+        seen[bucket] = n
+    return seen[:BUCKETS], int(seen[BUCKETS])
+
+
 def train(docs: DataFrame, allowed: Column, sample: int = SAMPLE) -> Model:
-    """Fit on at most `sample` of the documents for which `allowed` holds and lang is known.
+    """Fit on about `sample` of the documents for which `allowed` holds and lang is known.
 
     The sample is chosen by a hash of the id, at a rate for each language that its count gives;
     its n-gram counts are made on the executors.
     """
-    pool = docs.where(allowed & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    counts = dict(pool.groupBy("lang").count().collect())
+    pool = docs.where(allowed & F.col("text").isNotNull()).select("doc_id", "lang", "text")
+    known = pool.where("lang is not null")
+    counts = dict(known.groupBy("lang").count().collect())
     if not counts:
-        return fit([])
+        return fit([], np.zeros(BUCKETS), 0)
     quota = sample / len(counts)
     rate = F.lit(0.0)
     for lang, n in counts.items():
         rate = F.when(F.col("lang") == lang, F.lit(min(1.0, quota / n))).otherwise(rate)
     dice = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1_000_000)) / 1e6
-    chosen = pool.where(dice < rate).limit(sample)
+    chosen = known.where(dice < rate).orderBy(dice, F.xxhash64("text")).limit(2 * sample).repartition(TASKS, F.xxhash64("text"))
 
     def features(texts: list[str | None]) -> list[list]:
         idx, counts = [], []
         for t in texts:
-            blocks = _grams(t or "")
-            i, c = np.unique(np.concatenate(blocks), return_counts=True) if blocks else (np.zeros(0, "u4"), np.zeros(0, "i8"))
-            idx.append(i.tolist())
-            counts.append(c.tolist())
+            n = _counts(t)
+            idx.append(np.flatnonzero(n).tolist())
+            counts.append(n[idx[-1]].tolist())
         return [idx, counts]
 
     rows = add_columns(chosen, "text", "idx array<int>, counts array<int>", features).where("size(idx) > 0").collect()
-    rows.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), str(r.doc_id), r.lang))
-    return fit([(r.lang, np.array(r.idx), np.array(r.counts)) for r in rows])
+    rows.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), str(r.doc_id), r.lang, r.idx, r.counts))
+    return fit([(r.lang, np.array(r.idx), np.array(r.counts)) for r in rows], *document_frequencies(pool))
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", prefix: str = "") -> DataFrame:

@@ -5,9 +5,10 @@ Its activations are max-pooled over chunks of 512 bytes that overlap by half; th
 mean and the maximum over its chunks of each filter, and a hidden layer combines them into one
 probability. A document is read in blocks, so memory doesn't depend on its length.
 
-Training (Adam, back-propagation by hand) takes a bounded sample of SAMPLE labelled rows, whole texts,
-with the rarer label repeated so that both weigh the same; a last step shifts the logit back to the
-labels' rates.
+Training (Adam, back-propagation by hand) takes a bounded sample of labelled rows, whole texts, in the
+order of a hash of the id: about SAMPLE rows, twice as many at most, and only as many as SAMPLE_BYTES
+hold together. The rarer label weighs more, so that both weigh the same; a last step shifts the logit
+back to the labels' rates.
 
 Defined results: a null or empty text is one chunk of padding; without labels every score is 0.5; repeated
 documents get equal rows; columns named like the outputs are replaced.
@@ -22,10 +23,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenloom.llm.common import add_columns, fold
+from lumenloom.llm.common import add_columns, fold, materialize
 
-#: Labelled rows that training sees at most.
-SAMPLE = 2000
+#: Labelled rows that training sees, about (twice as many at most), and bytes of their texts.
+SAMPLE, SAMPLE_BYTES = 2000, 1 << 26
 WIDTH, STEP, DIM, FILTERS, HIDDEN = 8, 4, 8, 32, 16
 HOP = 256  # bytes; a chunk is two hops
 BLOCK = 1 << 20
@@ -144,16 +145,22 @@ def _backward(net: Network, y: int, padded: np.ndarray, weight: float, grads: di
     np.add.at(grads["emb"], padded, d_rows.reshape(-1, DIM))
 
 
-def train(docs: DataFrame, labels: DataFrame, allowed: Column, sample: int = SAMPLE) -> Network:
+def train(docs: DataFrame, labels: DataFrame, allowed: Column, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Network:
     """Fit on at most 2 * `sample` labelled documents for which `allowed` holds, about `sample` by a hash of the id."""
     known = labels.select("doc_id", "quality").where(allowed & F.col("quality").isNotNull())
     counts = {q: n for q, n in known.groupBy("quality").count().collect()}
     dice = F.pmod(F.xxhash64("doc_id", F.lit(31)), F.lit(1_000_000)) / 1e6
     rate = F.when(F.col("quality") == 1, F.lit(min(1.0, sample / 2 / max(1, counts.get(1, 0))))).otherwise(min(1.0, sample / 2 / max(1, counts.get(0, 0))))
     # at most 2 * sample ids, whatever the size of the tables
-    chosen = known.where(dice < rate).limit(2 * sample)
-    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").limit(2 * sample).collect()
-    rows.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), str(r.doc_id)))
+    chosen = known.where(dice < rate).orderBy(dice, "doc_id", "quality").limit(2 * sample)
+    order = [F.xxhash64("doc_id", F.lit(31)), "size", "hash"]
+    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")
+    rows = rows.select("doc_id", "quality", "text", F.octet_length("text").alias("size"), F.xxhash64("text", "quality").alias("hash"))
+    rows = materialize(rows.orderBy(*order).limit(2 * sample), "training")
+    sizes = [r.size for r in rows.orderBy(*order).select("size").collect()]
+    fitting = int(np.searchsorted(np.cumsum(sizes), sample_bytes, side="right"))
+    rows = rows.orderBy(*order).limit(fitting).collect()
+    rows.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), str(r.doc_id), r.text))
     return fit([(int(r.quality), r.text) for r in rows])
 
 

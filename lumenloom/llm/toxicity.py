@@ -7,8 +7,10 @@ the training rows). The risk of a linear classifier f is prior * E_P[loss(f)] +
 falls below zero the step goes the other way, which keeps f from overfitting. Three classifiers with
 different seeds are averaged.
 
-Features are hashes of each whole word and of its first 4, 5 and 6 bytes, present or not, over the
-whole text; only those that tell positives from unlabelled text by four standard errors get a weight. Training takes a bounded sample: at most SAMPLE positives and SAMPLE unlabelled rows.
+Features are hashes of each whole word and of its first 4, 5 and 6 bytes, present or not, over the whole
+text; only those that tell positives from unlabelled text by four standard errors get a weight. Training
+takes a bounded sample by a hash of the id: about SAMPLE positives and SAMPLE unlabelled rows, twice as
+many at most.
 
 Defined results: a null or empty text gets the score of a text without features (the bias alone); with no
 positive example every score is the prior, 0 if there are no labels; repeated documents get equal
@@ -28,8 +30,10 @@ from lumenloom.llm.common import add_columns, fold, worker_cached
 from lumenloom.llm.minhash import U8, _mix, powers_upto
 
 BUCKETS = 1 << 18
-#: Rows of each kind (positive, unlabelled) that training sees at most.
+#: Rows of each kind (positive, unlabelled) that training sees, about; twice as many at most.
 SAMPLE = 2000
+#: Tasks that read the sampled texts.
+TASKS = 32
 PREFIXES = (4, 5, 6)
 
 
@@ -59,12 +63,11 @@ def buckets(text: str | None) -> np.ndarray:
 class Model:
     weights: np.ndarray | None
     bias: float
-    temperature: float = 1.0
 
     def score(self, text: str | None) -> float:
         idx = buckets(text)
         f = self.bias + (float(self.weights[idx].sum(dtype="f8")) if self.weights is not None and len(idx) else 0.0)
-        return float(1 / (1 + np.exp(-np.clip(f / self.temperature, -30, 30))))
+        return float(1 / (1 + np.exp(-np.clip(f, -30, 30))))
 
 
 def _telling(positive: list, unlabelled: list, least: float) -> np.ndarray:
@@ -77,6 +80,23 @@ def _telling(positive: list, unlabelled: list, least: float) -> np.ndarray:
     return np.flatnonzero((np.abs(z) >= least) & (p + u >= 5))
 
 
+def _risk(f: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -> tuple[float, float, np.ndarray]:
+    """The positives' part of the risk, the rest of it (which may be negative) and the step's gradient by f; p, u: which rows are positive, unlabelled."""
+    s = 1 / (1 + np.exp(-np.clip(f, -30, 30)))
+    k_p, k_u = max(1, p.sum()), max(1, u.sum())
+    as_negative = np.logaddexp(0, f)
+    own = prior * np.logaddexp(0, -f)[p].sum() / k_p
+    rest = as_negative[u].sum() / k_u - prior * as_negative[p].sum() / k_p
+    g = np.zeros(len(f))
+    if rest >= 0:
+        g[p] = -prior / k_p  # -(1 - s) as a positive, -s no longer as a negative
+        g[u] = s[u] / k_u
+    else:  # step back on the part that went negative
+        g[p] = prior * s[p] / k_p
+        g[u] = -s[u] / k_u
+    return own, rest, g
+
+
 def _train_one(positive: list, unlabelled: list, prior: float, seed: int, steps: int, rate: float, l2: float) -> tuple[np.ndarray, float]:
     """Gradient steps on the non-negative risk with a logistic loss, over a random 9 tenths of the rows at a time."""
     docs = positive + unlabelled
@@ -87,21 +107,10 @@ def _train_one(positive: list, unlabelled: list, prior: float, seed: int, steps:
     w, bias = np.zeros(BUCKETS), 0.0
     squares, bias_squares = np.full(BUCKETS, 1e-8), 1e-8
     for _ in range(steps):
-        use = rng.random(len(docs)) < 0.9
-        f = np.bincount(row, weights=w[idx], minlength=len(docs)) + bias
-        s = 1 / (1 + np.exp(-np.clip(f, -30, 30)))
-        p, u = use.copy(), use.copy()
+        p, u = (use := rng.random(len(docs)) < 0.9).copy(), use.copy()
         p[n_p:], u[:n_p] = False, False
-        k_p, k_u = max(1, p.sum()), max(1, u.sum())
-        as_negative = np.logaddexp(0, f)
-        rest = as_negative[u].sum() / k_u - prior * as_negative[p].sum() / k_p
-        g = np.zeros(len(docs))
-        if rest >= 0:
-            g[p] = -prior / k_p  # -(1 - s) as a positive, -s no longer as a negative
-            g[u] = s[u] / k_u
-        else:  # step back on the part that went negative
-            g[p] = prior * s[p] / k_p
-            g[u] = -s[u] / k_u
+        f = np.bincount(row, weights=w[idx], minlength=len(docs)) + bias
+        g = _risk(f, p, u, prior)[2]
         gw = np.bincount(idx, weights=g[row], minlength=BUCKETS) + l2 * w
         gb = g.sum()
         squares = 0.95 * squares + 0.05 * gw * gw
@@ -125,7 +134,7 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
 def _sample(df: DataFrame, n: int, limit: int) -> DataFrame:
     """About `limit` of the n rows by a hash of the id, never more than twice as many."""
     dice = F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(1_000_000)) / 1e6
-    return df.where(dice < min(1.0, limit / max(1, n))).limit(2 * limit)
+    return df.where(dice < min(1.0, limit / max(1, n))).orderBy(dice, "doc_id").limit(2 * limit)
 
 
 def train(docs: DataFrame, labels: DataFrame, allowed: Column, sample: int = SAMPLE) -> Model:
@@ -138,12 +147,13 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column, sample: int = SAM
     make = lambda texts: [[buckets(t).tolist() for t in texts]]
 
     def features(df: DataFrame) -> list[np.ndarray]:
-        rows = add_columns(df, "text", "idx array<int>", make).collect()
-        rows.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), str(r.doc_id)))
+        rows = add_columns(df.repartition(TASKS, F.xxhash64("text")), "text", "idx array<int>", make).collect()
+        rows.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), str(r.doc_id), r.idx))
         return [np.array(r.idx, "i8") for r in rows]
 
     # the chosen ids are at most 2 * sample rows, whatever the size of the tables
-    positive = features(pool.join(F.broadcast(chosen), "doc_id", "left_semi").limit(2 * sample))
+    found = pool.join(F.broadcast(chosen), "doc_id", "left_semi")
+    positive = features(found.orderBy(F.xxhash64("doc_id", F.lit(29)), F.xxhash64("text")).limit(2 * sample))
     unlabelled = features(_sample(pool, pool.count(), sample))
     return fit(positive, unlabelled, prior)
 
