@@ -13,8 +13,9 @@
    documents share is one row for each window, and the result goes back to their segments.
 4. The repeats go back to all places of their segment, and each document drops the words they cover.
 
-Segments carry the words themselves to the index, so no hash decides that two windows are equal;
-hashes only say which may be.
+Segments carry the words themselves to the index, so it compares words. Only equal segments are told by
+hashes alone, by those of their anchor and of all their words (64 bits each): two different segments
+would have to agree in both. A row is known by its id and two hashes of its text (64 and 32 bits).
 
 Defined results: a null or empty text has no words; windows never span documents; a document shorter
 than a window keeps all; repeated rows, also of one id, are documents of their own, so both lose what
@@ -64,7 +65,7 @@ def segments(words: np.ndarray, size: int, gram: int) -> tuple[np.ndarray, ...]:
 
 
 def _places(rows: DataFrame, size: int, gram: int) -> DataFrame:
-    """d, h, anchor, segment, pos, windows: every segment of every document."""
+    """d, h, c, anchor, segment, pos, windows: every segment of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -77,18 +78,18 @@ def _places(rows: DataFrame, size: int, gram: int) -> DataFrame:
                 continue
             anchor, seg, first, count = [np.concatenate(x) for x in zip(*found)]
             take = pa.array(np.concatenate(of))
-            cols = [batch.column("d").take(take), batch.column("h").take(take), *(pa.array(c) for c in (_signed(anchor), _signed(seg), first.astype("i4"), count.astype("i4")))]
-            yield pa.RecordBatch.from_arrays(cols, names=["d", "h", "anchor", "segment", "pos", "windows"])
+            cols = [*(batch.column(k).take(take) for k in ("d", "h", "c")), *(pa.array(c) for c in (_signed(anchor), _signed(seg), first.astype("i4"), count.astype("i4")))]
+            yield pa.RecordBatch.from_arrays(cols, names=["d", "h", "c", "anchor", "segment", "pos", "windows"])
 
-    return rows.mapInArrow(run, "d long, h int, anchor long, segment long, pos int, windows int")
+    return rows.mapInArrow(run, "d long, h long, c int, anchor long, segment long, pos int, windows int")
 
 
 def _words_of(rows: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """anchor, part, segment, off, copies, words: the words of each distinct segment, read from one place of it.
 
     Of crowded anchors each window is a row, with its hash as part; part is null for the rest."""
-    lists = wanted.groupBy("d", "h").agg(F.collect_list(F.struct("anchor", "segment", "pos", "windows", "copies", "crowded")).alias("list"))
-    both = rows.join(lists, ["d", "h"]).select("text", "list")
+    lists = wanted.groupBy("d", "h", "c").agg(F.collect_list(F.struct("anchor", "segment", "pos", "windows", "copies", "crowded")).alias("list"))
+    both = rows.join(lists, ["d", "h", "c"]).select("text", "list")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["anchor", "part", "segment", "off", "copies", "words"]
@@ -180,13 +181,14 @@ def _counted(windows: DataFrame) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, size: int = SIZE, gram: int = ANCHOR) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and kept (the text that is left, words joined by one space)."""
-    rows = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("d"), F.hash("text").alias("h"))
-    read = rows.select("d", "h", "text")
+    rows = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("d"), F.xxhash64("text").alias("h"), F.hash("text").alias("c"))
+    read = rows.select("d", "h", "c", "text")
     every = materialize(_places(read, size, gram), "segments")
-    shared = every.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
+    shared = every.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
     places = materialize(every.join(shared, "anchor"), "places")
     discard(every)
-    distinct = places.groupBy("anchor", "segment").agg(F.count("*").cast("int").alias("copies"), F.min("d").alias("d"), F.min_by("h", "d").alias("h"), F.min_by("pos", "d").alias("pos"), F.first("windows").alias("windows"))
+    distinct = places.groupBy("anchor", "segment").agg(F.count("*").cast("int").alias("copies"), F.min(F.struct("d", "h", "c", "pos", "windows")).alias("one"))
+    distinct = distinct.select("anchor", "segment", "copies", "one.*")
     distinct = materialize(distinct, "segments")
     crowds = materialize(distinct.groupBy("anchor").count().where(F.col("count") > CROWD).select("anchor", F.lit(True).alias("crowded")), "crowds")
     n_crowds = crowds.count()
@@ -199,8 +201,8 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, gram: int = ANCHOR) -> Dat
         discard(words)
     else:
         masks = materialize(_shards(words, size), "masks")
-    hits = places.join(masks, ["anchor", "segment"]).groupBy("d", "h").agg(F.collect_set(F.struct("pos", "mask")).alias("hits"))
-    both = rows.join(hits, ["d", "h"], "left").select("doc_id", "text", "hits")
+    hits = places.join(masks, ["anchor", "segment"]).groupBy("d", "h", "c").agg(F.collect_set(F.struct("pos", "mask")).alias("hits"))
+    both = rows.join(hits, ["d", "h", "c"], "left").select("doc_id", "text", "hits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
