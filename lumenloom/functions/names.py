@@ -15,12 +15,11 @@ COMPANY_WORDS = [
 ENOUGH = 0.7
 
 
-def name_words(name: Column, folded: bool = False) -> Column:
-    """Words of a name in lower-case ASCII, without company words unless nothing else is left."""
-    plain = F.lower(name if folded else ascii_folded(F.translate(name, "’‘`", "'''")))
+def name_words(name: Column) -> Column:
+    """Words of a name in lower-case ASCII, without company words; none if it has nothing else."""
+    plain = F.lower(ascii_folded(F.translate(name, "’‘`", "'''")))
     words = F.regexp_extract_all(F.translate(plain, "'.", ""), F.lit("([a-z0-9]+|&)"), F.lit(1))
-    kept = F.filter(words, lambda w: ~w.isin(COMPANY_WORDS))
-    return F.when(F.size(kept) > 0, kept).otherwise(words)
+    return F.filter(words, lambda w: ~w.isin(COMPANY_WORDS))
 
 
 def match_words(words: Column, label: Column) -> Column:

@@ -211,3 +211,28 @@ def first_screen(points: DataFrame) -> DataFrame:
     """Sampled points (site_id, hex or null on an image) -> counts, images apart, and shares."""
     counts = points.groupBy("site_id", "hex").count()
     return counts.withColumn("share", F.round(F.col("count") / F.sum("count").over(Window.partitionBy("site_id")), 3))
+
+
+#: Radii, in units of Lab, that the search for a nearest colour grows through; the last one spans the space.
+RADII = (6, 18, 54, 400)
+
+
+def nearest(wanted: DataFrame, held: DataFrame) -> DataFrame:
+    """hex, near, de: for each colour (hex) the closest one of `held` (near), the smaller code on ties.
+
+    Lab space is cut into cubes as wide as a radius. A colour looks into the cubes around its own, by an
+    equi-join; a colour that has one within the radius is settled, as nothing outside those cubes is
+    closer. The rest goes on with a larger radius, so work follows how many colours lie near each other.
+    """
+    cube = lambda lab, r, by=(0, 0, 0): F.struct(*[(F.floor(lab[c] / r) + d).alias(c) for c, d in zip("lab", by)])
+    left = wanted.select("hex").distinct().withColumn("p", color.lab(F.col("hex"))).where("p.l is not null")
+    held = held.select("near").distinct().withColumn("q", color.lab(F.col("near"))).where("q.l is not null")
+    around = [(x, y, z) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1)]
+    out = None
+    for r in RADII:
+        asked = left.select("hex", "p", F.explode(F.array(*[cube(F.col("p"), r, by) for by in around])).alias("cube"))
+        both = asked.join(held.withColumn("cube", cube(F.col("q"), r)), "cube").select("hex", "near", color.distance(F.col("p"), F.col("q")).alias("de"))
+        best = both.groupBy("hex").agg(F.min(F.struct(F.round("de", 9).alias("de"), "near")).alias("b")).where(F.col("b.de") <= r).select("hex", "b.near", "b.de")
+        out = best if out is None else out.union(best)
+        left = left.join(best, "hex", "left_anti")
+    return out

@@ -110,20 +110,35 @@ def usable(host: Column, path: Column, domain: Column, home_key: Column, home_pa
     )
 
 
-def choose_pages(links: DataFrame, limit: int = MAX_PAGES) -> DataFrame:
+def platforms_own(host: Column, path: Column, domain: Column) -> Column:
+    """On a platform's main host a page must name a kind of page in every part of its address, a language part aside."""
+    parts = urls.path_parts(path)
+    told = F.when(F.coalesce(urls.is_locale(F.get(parts, F.lit(0))), F.lit(False)), F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))).otherwise(parts)
+    any_kind = "|".join(f"(?:{PATHS[k[0]]})" for k in KINDS)
+    return (urls.without_www(F.lower(host)) != domain) | ((F.size(told) > 0) & F.forall(told, lambda p: p.rlike(_full(any_kind))))
+
+
+def choose_pages(links: DataFrame, homes: DataFrame | None = None, limit: int = MAX_PAGES) -> DataFrame:
     """site_id, rank, url, kind, origin, score from candidate links (site_id, pos, url, text, place, origin).
 
-    The best score for each page key (the first on ties; a homepage link keeps its origin), at most a few of
-    each kind, at most `limit` of each site. Three windows over the same site key.
+    homes (site_id, domain, home_url, requested_url, language): if given, links must be usable on their site,
+    and on a platform be its own. The best score for each page key (the first on ties; a homepage link keeps
+    its origin), at most a few of each kind, at most `limit` of each site. One row for each key is a grouped
+    maximum, which combines before the shuffle.
     """
     found = classify(links).where("kind is not null")
+    if homes is not None:
+        home_path = F.when(urls.path(F.col("home_url")) == "", F.lit("/")).otherwise(urls.path(F.col("home_url")))
+        fits = usable(F.col("host"), F.col("path"), F.col("domain"), urls.page_key(F.col("home_url")), home_path, F.col("language"))
+        own = ~urls.is_platform(F.col("domain")) | platforms_own(F.col("host"), F.col("path"), F.col("domain"))
+        asked = urls.page_key(F.col("url")) != urls.page_key(F.coalesce("requested_url", "home_url"))
+        found = found.join(homes, "site_id").where(fits & asked & own).select(*found.columns)
     depth = F.greatest(F.size(urls.path_parts(F.col("path"))) - 1, F.lit(0))
     place = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in PLACES.items() for x in kv]), F.col("place")), F.lit(0.0))
     scored = found.withColumn("score", F.col("match") + place - DEPTH * depth).withColumn("key", urls.page_key(F.col("url")))
-    same = Window.partitionBy("site_id", "key")
-    scored = scored.withColumn("__best", F.row_number().over(same.orderBy(F.desc("score"), "pos")))
-    scored = scored.withColumn("first_pos", F.min("pos").over(same)).withColumn("any_link", F.max((F.col("origin") == "link").cast("int")).over(same))
-    one = scored.where("__best = 1").withColumn("origin", F.when(F.col("any_link") == 1, F.lit("link")).otherwise(F.col("origin")))
+    best = F.max_by(F.struct("url", "host", "path", "kind", "origin", "score"), F.struct("score", -F.col("pos"))).alias("best")
+    one = scored.groupBy("site_id", "key").agg(best, F.min("pos").alias("first_pos"), F.bool_or(F.col("origin") == "link").alias("linked")).select("site_id", "first_pos", "linked", "best.*")
+    one = one.withColumn("origin", F.when(F.col("linked"), F.lit("link")).otherwise(F.col("origin")))
     caps = F.element_at(F.create_map(*[F.lit(x) for k in KINDS for x in (k[0], k[3])]), F.col("kind"))
     order = [F.desc("score"), "first_pos"]
     kept = one.withColumn("__k", F.row_number().over(Window.partitionBy("site_id", "kind").orderBy(*order))).where(F.col("__k") <= caps)
@@ -132,19 +147,29 @@ def choose_pages(links: DataFrame, limit: int = MAX_PAGES) -> DataFrame:
     return ranked.select("site_id", "rank", address.alias("url"), "kind", "origin", "score")
 
 
-def official_sites(results: DataFrame, folded: bool = False) -> DataFrame:
-    """query_id, url, host, name_matches: the search result most like the company's own site.
+def named_site(words: Column) -> Column:
+    """The platform whose whole name the words of a name are, null for other names."""
+    platforms = [s for s in urls.NOT_OFFICIAL if s.count(".") == 1]
+    plain = F.array_join(F.filter(words, lambda w: w != "&"), "")
+    spelled = F.array_join(F.transform(words, lambda w: F.when(w == "&", F.lit("and")).otherwise(w)), "")
+    return F.coalesce(*[F.when((plain == s.split(".")[0]) | (spelled == s.split(".")[0]), F.lit(s)) for s in platforms])
+
+
+def official_sites(results: DataFrame) -> DataFrame:
+    """query_id, url, host, score, name_matches: the front door of the site most like the company's own.
 
-    results: query_id, name, position, url. Score: 10 x name match - 0.3 x position - 1.5 on a subdomain
-    + 0.5 for a shallow path; the first wins ties.
+    results: query_id, name, position, url. Results that nobody can reach and listed sites (encyclopedias,
+    social networks) are out, but for one whose name is asked for; results on a platform that is named
+    outright go before all others. Score: 10 x name match - 0.3 x position - 1.5 on a subdomain + 0.5 for a
+    shallow path; the first wins ties.
     """
-    host = urls.host(F.col("url"))
-    r = results.withColumn("host", host).withColumn("domain", urls.site_domain(host))
-    bad = F.array(*[F.lit(s) for s in urls.NOT_OFFICIAL])
-    r = r.where(~F.arrays_overlap(urls.host_suffixes(F.col("host")), bad))
-    match = names.match_words(names.name_words(F.col("name"), folded), urls.main_label(F.col("host")))
-    sub = ~urls.without_www(F.col("host")).eqNullSafe(F.col("domain"))
-    score = 10 * match - 0.3 * F.col("position") - F.when(sub, 1.5).otherwise(0.0) + F.when(F.size(urls.path_parts(urls.path(F.col("url")))) <= 1, 0.5).otherwise(0.0)
-    r = r.withColumn("match", match).withColumn("score", score)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "position")
-    return r.withColumn("__n", F.row_number().over(best)).where("__n = 1").select("query_id", "url", "host", "score", (F.col("match") >= names.ENOUGH).alias("name_matches"))
+    r = results.withColumn("host", urls.public_host(F.col("url"))).where("host is not null").withColumn("words", names.name_words(F.col("name")))
+    r = r.withColumn("match", names.match_words(F.col("words"), urls.main_label(F.col("host")))).where(~urls.is_listed(F.col("host")) | (F.col("match") >= names.ENOUGH))
+    sub = urls.without_www(F.col("host")) != urls.site_domain(F.col("host"))
+    shallow = F.size(F.split(F.trim(urls.path(F.col("url")), F.lit("/")), "/")) == 1
+    score = 10 * F.col("match") - 0.3 * F.col("position") - F.when(sub, 1.5).otherwise(0.0) + F.when(shallow, 0.5).otherwise(0.0)
+    at_home = F.coalesce(urls.same_site(F.col("host"), named_site(F.col("words"))), F.lit(False))
+    front = F.concat(urls.scheme(F.col("url")), F.lit("://"), F.col("host"), F.lit("/"))
+    found = F.struct(front.alias("url"), "host", score.alias("score"), (F.col("match") >= names.ENOUGH).alias("name_matches"))
+    best = r.groupBy("query_id").agg(F.max_by(found, F.struct(at_home, score, -F.col("position"))).alias("best"))
+    return best.select("query_id", "best.*")

@@ -11,14 +11,37 @@ MIN_WORDS = 3
 KEY_WORDS = 3
 
 
+#: Keys of one site's quotes that are compared inside a line's row; with more of them, ids meet ids.
+FEW_KEYS = 1000
+
+
 def page_lines(pages: DataFrame) -> DataFrame:
     """site_id, ord, url, key, line_no, line: the normalised lines of each page, so that no quote spans two.
 
-    pages: site_id, ord, url, text (Markdown). Of pages with one key the first counts.
+    pages: site_id, ord, url, text (Markdown). Of pages with one key the first counts: it is chosen by its
+    numbers alone and its text is fetched after.
+    """
+    keyed = pages.withColumn("key", urls.page_key(F.col("url")))
+    first = keyed.groupBy("site_id", "key").agg(F.min("ord").alias("ord"))
+    once = keyed.join(first, ["site_id", "key", "ord"], "left_semi").withColumn("text", text.composed(F.col("text")))
+    return once.select("site_id", "ord", "url", "key", F.posexplode(F.transform(text.plain_lines(F.col("text")), text.as_compared)).alias("line_no", "line"))
+
+
+def lines_with(lines: DataFrame, wanted: DataFrame, keys: Column, place: list[str]) -> DataFrame:
+    """lines (site_id, line, `place`) with `gram`: one row for each key of a line that is wanted on its site.
+
+    wanted: site_id, gram. `keys`: the keys of a line. Few wanted keys go along with their site and meet the
+    line's keys inside its row, so nothing but hits is exploded; many meet the exploded keys, which
+    carry the line's place, not the line.
     """
-    first = Window.partitionBy("site_id", "key").orderBy("ord")
-    once = pages.withColumn("key", urls.page_key(F.col("url"))).withColumn("__n", F.row_number().over(first)).where("__n = 1")
-    return once.select("site_id", "ord", "url", "key", F.posexplode(F.transform(text.plain_lines(F.col("text")), text.normalise)).alias("line_no", "line"))
+    wanted = wanted.select("site_id", "gram").where("gram is not null").distinct()
+    sizes = wanted.groupBy("site_id").agg(F.count("*").alias("n")).agg(F.max("n"), F.sum("n")).first()
+    if (sizes[0] or 0) <= FEW_KEYS and (sizes[1] or 0) <= 100 * FEW_KEYS:
+        held = wanted.groupBy("site_id").agg(F.collect_list("gram").alias("grams"))
+        hits = F.array_intersect(keys, F.col("grams"))
+        return lines.join(F.broadcast(held), "site_id").withColumn("gram", F.explode(hits)).drop("grams")
+    placed = lines.select("site_id", *place, F.explode(keys).alias("gram")).join(wanted, ["site_id", "gram"])
+    return lines.join(placed, ["site_id", *place])
 
 
 def shingle_keys(line: Column) -> Column:
@@ -32,16 +55,16 @@ def check_quotes(quotes: DataFrame, pages: DataFrame, min_words: int = MIN_WORDS
     """Every quote with found_url: the first page that has it as whole words in one line, the claimed page first.
 
     quotes: site_id, item, quote, claimed_url. A quote in quote marks is compared without them, one final
-    full stop is forgiven, and fewer than min_words words are never found. Quotes meet lines through
-    an equi-join on a run of three words (a quote's first run), not site by site on everything; quotes
-    of fewer words, possible for a smaller min_words, meet all lines of their site.
+    full stop is forgiven, and fewer than min_words words are never found. Quotes meet lines by a run of
+    three words (a quote's first run), not site by site on everything; quotes of fewer words, possible
+    for a smaller min_words, meet all lines of their site.
     """
     q = quotes.withColumn("__id", F.xxhash64("site_id", "item", "quote", "claimed_url")).withColumn("wanted", text.unquoted(text.normalise(F.col("quote"))))
     q = q.withColumn("words", text.word_count(F.col("wanted"))).withColumn("claimed", urls.page_key(F.col("claimed_url")))
     able = q.where(F.col("words") >= min_words).select("__id", "site_id", "wanted", "claimed", F.get(shingle_keys(F.col("wanted")), F.lit(0)).alias("gram")).distinct()
     lines = page_lines(pages)
     fits = text.contains_words(F.col("line"), F.col("wanted")) | (F.endswith("wanted", F.lit(".")) & text.contains_words(F.col("line"), F.regexp_replace("wanted", r"\.$", "")))
-    by_gram = lines.select("*", F.explode(shingle_keys(F.col("line"))).alias("gram"))
+    by_gram = lines_with(lines, able, shingle_keys(F.col("line")), ["ord", "line_no"])
     found = able.where("gram is not null").join(by_gram, ["site_id", "gram"]).where(fits).select("__id", "url", "ord", "key", "claimed")
     if min_words < KEY_WORDS:
         short = able.where("gram is null").join(lines, "site_id").where(fits).select("__id", "url", "ord", "key", "claimed")
@@ -61,10 +84,12 @@ def mentioned(phrases: DataFrame, pages: DataFrame) -> DataFrame:
     """
     words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
     p = phrases.withColumn("wanted", F.lower(text.normalise(F.col("phrase")))).withColumn("gram", F.get(words(F.col("wanted")), F.lit(0)))
-    lines = page_lines(pages).select("site_id", F.lower("line").alias("line")).distinct()
-    lines = lines.select("site_id", "line", F.explode(F.array_distinct(words(F.col("line")))).alias("gram"))
-    hit = p.alias("p").join(lines.alias("l"), (F.col("p.site_id") == F.col("l.site_id")) & (F.col("p.gram") == F.col("l.gram")) & text.contains_words(F.col("l.line"), F.col("p.wanted")), "left_semi")
-    return hit.drop("wanted", "gram")
+    lines = page_lines(pages).withColumn("line", F.lower("line"))
+    found = lines_with(lines, p, F.array_distinct(words(F.col("line"))), ["ord", "line_no"])
+    asked = p.select("site_id", "gram", "wanted").distinct()
+    fits = text.contains_words(F.col("line"), F.col("wanted"))
+    seen = asked.join(found.select("site_id", "gram", "line"), ["site_id", "gram"]).where(fits).select("site_id", "wanted").distinct()
+    return p.join(seen, ["site_id", "wanted"], "left_semi").select(*phrases.columns)
 
 
 def capped(found: DataFrame, group: list[str], cap: int, order: str = "pos") -> DataFrame:

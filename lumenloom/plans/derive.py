@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 KINDS = ["heading", "link", "button", "box", "text"]
 REGIONS = ["header", "main", "footer", "nav", "page"]
-PATH_WORDS = ["about", "careers", "newsroom", "blog", "pricing", "products", "our-story", "jobs", "logos", "login"]
+PATH_WORDS = ["about", "careers", "newsroom", "blog", "pricing", "products", "our-story", "jobs", "logos", "login", "tea", "a.pdf"]
+LINK_WORDS = ["", "About us", "Careers at the mill", "Our mission", "Press kit", "News", "See our plans"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,11 +49,20 @@ def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     deep = F.when(F.col("page_id") % 2 == 0, F.lit("/en/")).otherwise("/")
     return p.select(
         urls.site_domain(host).alias("site_id"), F.col("page_id").alias("pos"),
-        F.concat(F.lit("https://"), host, deep, pick(PATH_WORDS, F.col("page_id") % 10)).alias("url"), F.lit("").alias("text"),
+        F.concat(F.lit("https://"), host, deep, pick(PATH_WORDS, F.col("page_id") % 12)).alias("url"), pick(LINK_WORDS, F.col("page_id") % 7).alias("text"),
         F.when(F.col("page_id") % 3 == 0, F.lit("top")).otherwise("footer").alias("place"), F.when(F.col("page_id") % 5 == 0, F.lit("link")).otherwise("search").alias("origin"),
     )
 
 
+def homes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A homepage for each site of the candidate links."""
+    from lumenloom.functions import urls
+
+    site = urls.site_domain(urls.host(F.col("url")))
+    d = table(spark, sf_dir, "pages").select(site.alias("site_id")).distinct()
+    return d.select("site_id", F.col("site_id").alias("domain"), F.concat(F.lit("https://"), "site_id", F.lit("/")).alias("home_url"), F.concat(F.lit("https://www."), "site_id", F.lit("/en/about")).alias("requested_url"), F.lit("en").alias("language"))
+
+
 def searches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search results: each supplier's name against the hosts of suppliers of its nation."""
     s = table(spark, sf_dir, "supplier")
@@ -60,6 +70,6 @@ def searches(spark: SparkSession, sf_dir: str) -> DataFrame:
     host = F.when(F.col("o") % 6 == 0, F.lit("www.wikipedia.org")).otherwise(F.concat(F.when(F.col("o") % 4 == 0, F.lit("shop.")).otherwise("www."), F.col("label"), F.lit(".com")))
     both = s.select("s_nationkey", "s_suppkey").join(other, "s_nationkey")
     return both.select(
-        F.col("s_suppkey").alias("query_id"), F.concat(F.lit("Brand "), (F.col("s_suppkey") % 40).cast("string"), F.lit(" Inc")).alias("name"),
+        F.col("s_suppkey").alias("query_id"), F.when(F.col("s_suppkey") % 15 == 0, F.lit("Wikipedia")).otherwise(F.concat(F.lit("Bränd "), (F.col("s_suppkey") % 40).cast("string"), F.lit(" Inc"))).alias("name"),
         (F.col("o") + 1).alias("position"), F.concat(F.lit("https://"), host, F.when(F.col("o") % 2 == 0, F.lit("/a/b")).otherwise("/")).alias("url"),
     )

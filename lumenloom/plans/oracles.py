@@ -1,9 +1,13 @@
 """DuckDB SQL for the rows of the registered queries, written independently of the operators."""
 
-from lumenloom.functions.text import INVISIBLE, QUOTES_FROM, QUOTES_TO, UNSPACED
-from lumenloom.functions.urls import ADDRESS, LANGUAGE_CODES
-
-_DB_UNSPACED = UNSPACED
+INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
+_SINGLE, _DOUBLE = "\u2018\u2019\u201a\u201b\u2032", "\u201c\u201d\u201e\u201f\u2033"
+ADDRESS = r"^([A-Za-z][A-Za-z0-9+.-]*)://(?:[^/?#@]*@)?([^/?#:]*)(?::[0-9]*)?([^?#]*)"
+_CODES = "'de fr es it pt nl sv da no nb fi pl cs sk ru ja ko zh tr ar he hu ro el id th vi bg hr sl lt lv et ms hi'"
+_DB_UNSPACED = (
+    r"[\x{0e00}-\x{0eff}\x{1000}-\x{109f}\x{1780}-\x{17ff}\x{3040}-\x{30ff}\x{31f0}-\x{31ff}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}"
+    r"\x{f900}-\x{faff}\x{ff66}-\x{ff9f}\x{20000}-\x{3134f}]"
+)
 _SPACE = r"[\s\x{0b}\x{85}\p{Z}]+"
 
 
@@ -26,7 +30,7 @@ def _host(url: str) -> str:
 
 
 def _path(url: str) -> str:
-    return f"regexp_extract({url}, '{ADDRESS}', 4)"
+    return f"regexp_extract({url}, '{ADDRESS}', 3)"
 
 
 def _dot(x: float, y: float, z: float) -> str:
@@ -44,7 +48,7 @@ lab AS (SELECT hex, lum, 116 * f[2] - 16 AS l, 500 * (f[1] - f[2]) AS a, 200 * (
 
 
 _CONTRAST = f"""
-WITH src AS (SELECT p_brand AS site_id, p_partkey % 2 AS half, {_hex("p_partkey % 200")} AS hex FROM part),
+WITH src AS (SELECT p_partkey // 16 AS site_id, p_partkey % 2 AS half, {_hex("p_partkey")} AS hex FROM part),
 {_colours("src")},
 side AS (SELECT DISTINCT site_id, half, hex, lum FROM src JOIN lab USING (hex)),
 r AS (
@@ -104,8 +108,8 @@ fl AS (SELECT site_id, f.ord AS ord, f.line_no AS line_no, f.line AS line FROM f
 
 
 def _normal(x: str) -> str:
-    quoted = QUOTES_TO.replace("'", "''")
-    return _squeeze(f"translate(translate({x}, '{QUOTES_FROM}', '{quoted}'), '{INVISIBLE}', '')")
+    plain = "''" * len(_SINGLE) + '"' * len(_DOUBLE)
+    return _squeeze(f"translate(translate(nfc_normalize({x}), '{_SINGLE}{_DOUBLE}', '{plain}'), '{INVISIBLE}', '')")
 
 
 _BULLET = r"^\s*(?:#{1,6}\s+|(?:>\s?)+|[-*+]\s+|[0-9]{1,3}[.)]\s+)"
@@ -118,15 +122,16 @@ def _whole(text: str, wanted: str) -> str:
 
 
 _QUOTES = rf"""
-WITH q AS (SELECT item_id AS item, split_part(text, chr(10), 1) AS quote FROM benchmark),
+WITH b AS (SELECT item_id, string_split(text, chr(10)) AS ls FROM benchmark),
+q AS (SELECT item_id || '.' || (i - 1) AS item, item_id, ls[i] AS quote FROM b, unnest(range(1, len(ls) + 1)) AS r(i)),
 n AS (
-  SELECT item, quote, trim(regexp_replace({_normal("quote")}, '^(?:"(.*)"|''(.*)'')$', '\1\2')) AS wanted FROM q),
+  SELECT item, item_id, quote, trim(regexp_replace({_normal("quote")}, '^(?:"(.*)"|''(.*)'')$', '\1\2')) AS wanted FROM q),
 c AS (SELECT *, len(list_filter(string_split({_squeeze("wanted")}, ' '), lambda x: regexp_matches(x, '[\p{{L}}\p{{N}}]'))) AS words FROM n),
 dl AS (
   SELECT doc_id, unnest(list_transform(string_split(translate(text, '{INVISIBLE}', ''), chr(10)), lambda x: {_normal(f"regexp_replace(x, '{_BULLET}', '')")})) AS line
   FROM documents),
 f AS (
-  SELECT item, arg_min(doc_id, (CASE WHEN doc_id = item THEN 0 ELSE 1 END) * 1000000000000 + doc_id) AS doc_id
+  SELECT item, arg_min(doc_id, (CASE WHEN doc_id = item_id THEN 0 ELSE 1 END) * 1000000000000 + doc_id) AS doc_id
   FROM c JOIN dl ON words >= 3 AND ({_whole("line", "wanted")} OR (ends_with(wanted, '.') AND {_whole("line", "regexp_replace(wanted, '[.]$', '')")}))
   GROUP BY item),
 checked AS (SELECT c.item, CAST(words AS BIGINT) AS words, CASE WHEN f.doc_id IS NOT NULL THEN 'https://s/doc/' || f.doc_id END AS found_url FROM c LEFT JOIN f USING (item))
@@ -155,12 +160,12 @@ ORACLES = {
        count(*) FILTER (level = 'AA-large') AS aa_large, count(*) FILTER (level = 'fail') AS fail FROM pairs GROUP BY fg""",
     "color_lab": f"""WITH src AS (SELECT p_partkey, {_hex("p_partkey")} AS hex FROM part), {_colours("src")}
 SELECT p_partkey, hex, round(l, 4) AS l, round(a, 4) AS a, round(b, 4) AS b, round(sqrt(a * a + b * b), 4) AS chroma FROM src JOIN lab USING (hex)""",
-    "color_nearest": f"""WITH p AS (SELECT DISTINCT {_hex("p_partkey % 500")} AS hex, p_partkey % 500 % 10 AS g FROM part),
-s AS (SELECT DISTINCT {_hex("s_suppkey")} AS hex, s_suppkey % 10 AS g FROM supplier), src AS (SELECT hex FROM p UNION SELECT hex FROM s), {_colours("src")},
+    "color_nearest": f"""WITH p AS (SELECT DISTINCT {_hex("p_partkey")} AS hex FROM part),
+s AS (SELECT DISTINCT {_hex("s_suppkey")} AS hex FROM supplier), src AS (SELECT hex FROM p UNION SELECT hex FROM s), {_colours("src")},
 d AS (
-  SELECT p.hex, s.hex AS near, round(sqrt((x.l - y.l) * (x.l - y.l) + (x.a - y.a) * (x.a - y.a) + (x.b - y.b) * (x.b - y.b)), 4) AS de
-  FROM p JOIN s USING (g) JOIN lab x ON x.hex = p.hex JOIN lab y ON y.hex = s.hex)
-SELECT hex, near, de FROM d QUALIFY row_number() OVER (PARTITION BY hex ORDER BY de, near) = 1""",
+  SELECT x.hex, y.hex AS near, round(sqrt((x.l - y.l) * (x.l - y.l) + (x.a - y.a) * (x.a - y.a) + (x.b - y.b) * (x.b - y.b)), 9) AS de
+  FROM p JOIN lab x USING (hex) CROSS JOIN s JOIN lab y ON y.hex = s.hex)
+SELECT hex, near, round(de, 4) AS de FROM d QUALIFY row_number() OVER (PARTITION BY hex ORDER BY de, near) = 1""",
     "stacked_copies": f"""WITH {_ELEMENTS},
 n AS (SELECT *, row_number() OVER (PARTITION BY site_id, x, y, w, h, chars ORDER BY pos DESC) AS n FROM e)
 SELECT site_id, count(*) AS kept, CAST(sum(pos) AS BIGINT) AS pos_sum FROM n WHERE chars <= 0 OR n = 1 GROUP BY site_id""",
@@ -205,35 +210,46 @@ SELECT page_id, pos, href, url, text FROM z WHERE url IS NOT NULL QUALIFY row_nu
 q AS (SELECT page_id, replace(lower(parts[1]), '_', '-') AS one, lower(parts[2]) AS two FROM p)
 SELECT page_id, CASE WHEN one IS NULL OR NOT regexp_full_match(one, '[a-z][a-z](-[a-z][a-z])?') THEN false
   WHEN contains(one, '-') THEN split_part(one, '-', 1) <> 'en' WHEN regexp_full_match(coalesce(two, ''), '[a-z][a-z]') THEN two <> 'en' AND one <> 'en'
-  ELSE one IN ({", ".join(f"'{c}'" for c in LANGUAGE_CODES)}) END AS other_language FROM q""",
+  ELSE list_contains(string_split({_CODES}, ' '), one) END AS other_language FROM q""",
     "choose_pages_topk": rf"""WITH l AS (
   SELECT page_id AS pos, {_host("url")} AS host, page_id % 2 = 0 AS deep, page_id % 3 = 0 AS top, page_id % 5 = 0 AS link,
-         (['about', 'careers', 'newsroom', 'blog', 'pricing', 'products', 'our-story', 'jobs', 'logos', 'login'])[CAST(page_id % 10 AS INT) + 1] AS word FROM pages),
+         (['about', 'careers', 'newsroom', 'blog', 'pricing', 'products', 'our-story', 'jobs', 'logos', 'login', 'tea', 'a.pdf'])[CAST(page_id % 12 AS INT) + 1] AS word,
+         (['', 'about', 'careers', 'mission', 'brand', 'press', 'pricing'])[CAST(page_id % 7 AS INT) + 1] AS said FROM pages),
 k AS (
   SELECT *, array_to_string(string_split(host, '.')[-2:], '.') AS site_id, CASE WHEN deep THEN '/en/' ELSE '/' END || word AS path,
-         split_part(host, '.', 1) = 'blog' AS sub,
          CASE WHEN word IN ('about', 'our-story') THEN 'about' WHEN word IN ('careers', 'jobs') THEN 'careers' WHEN word = 'newsroom' THEN 'press'
-              WHEN word = 'blog' OR (word = 'login' AND split_part(host, '.', 1) = 'blog') THEN 'blog' WHEN word = 'pricing' THEN 'pricing'
-              WHEN word = 'products' THEN 'product' WHEN word = 'logos' THEN 'brand' END AS kind FROM l),
+              WHEN word IN ('blog', 'pricing') THEN word WHEN word = 'products' THEN 'product' WHEN word = 'logos' THEN 'brand' ELSE '' END AS named,
+         CASE WHEN split_part(host, '.', 1) = 'blog' THEN 'blog' ELSE '' END AS sub FROM l),
+kinds(i, kind, value) AS (VALUES (0, 'brand', 10), (1, 'about', 9), (2, 'mission', 8), (3, 'product', 6), (4, 'careers', 5), (5, 'press', 5), (6, 'blog', 4), (7, 'pricing', 3)),
+e AS (
+  SELECT k.*, i, kind, value,
+         CASE WHEN named = kind OR sub = kind THEN 3 ELSE 0 END + CASE WHEN named = kind THEN 1 ELSE 0 END + CASE WHEN said = kind THEN 2 ELSE 0 END
+           + CASE WHEN kind = 'press' AND word = 'newsroom' THEN 1 ELSE 0 END AS points,
+         value + (CASE WHEN named = kind THEN 1.5::DOUBLE ELSE 0 END + CASE WHEN sub = kind THEN 2 ELSE 0 END + CASE WHEN said = kind THEN 1 ELSE 0 END
+           + CASE WHEN kind = 'press' AND word = 'newsroom' THEN 2 ELSE 0 END) AS match
+  FROM k CROSS JOIN kinds WHERE word NOT IN ('login', 'a.pdf')),
 s AS (
-  SELECT *, CASE kind WHEN 'brand' THEN 10 WHEN 'about' THEN 9 WHEN 'product' THEN 6 WHEN 'careers' THEN 5 WHEN 'press' THEN 5 WHEN 'blog' THEN 4 ELSE 3 END
-       + (CASE WHEN word <> 'login' THEN 1.5::DOUBLE ELSE 0 END + CASE WHEN kind = 'blog' AND sub THEN 2 ELSE 0 END + CASE WHEN kind = 'press' THEN 2 ELSE 0 END)
-       + CASE WHEN top THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END - 0.6::DOUBLE * CASE WHEN deep THEN 1 ELSE 0 END AS score,
-       regexp_replace(host, '^www\.', '') || path AS key FROM k WHERE kind IS NOT NULL),
+  SELECT *, match + CASE WHEN top THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END - 0.6::DOUBLE * CASE WHEN deep THEN 1 ELSE 0 END AS score,
+         regexp_replace(host, '^www\.', '') || path AS key
+  FROM e WHERE points > 0 AND regexp_replace(host, '^www\.', '') || path <> site_id || '/en/about' QUALIFY row_number() OVER (PARTITION BY pos ORDER BY points DESC, i) = 1),
 o AS (
   SELECT *, row_number() OVER (PARTITION BY site_id, key ORDER BY score DESC, pos) AS n, min(pos) OVER (PARTITION BY site_id, key) AS first_pos,
          bool_or(link) OVER (PARTITION BY site_id, key) AS any_link FROM s),
-c AS (SELECT * FROM o WHERE n = 1 QUALIFY row_number() OVER (PARTITION BY site_id, kind ORDER BY score DESC, first_pos) <= CASE WHEN kind = 'about' THEN 2 ELSE 1 END),
+c AS (SELECT * FROM o WHERE n = 1 QUALIFY row_number() OVER (PARTITION BY site_id, kind ORDER BY score DESC, first_pos) <= CASE WHEN kind IN ('about', 'mission') THEN 2 ELSE 1 END),
 r AS (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY score DESC, first_pos) AS rank FROM c)
 SELECT site_id, rank, 'https://' || host || path AS url, kind, CASE WHEN any_link THEN 'link' ELSE 'search' END AS origin, round(score, 4) AS score FROM r WHERE rank <= 9""",
     "official_site_rank": """WITH r AS (
-  SELECT s.s_suppkey AS query_id, s.s_suppkey % 40 AS n, o.s_suppkey AS o, o.s_suppkey % 40 AS m FROM supplier s JOIN supplier o USING (s_nationkey) WHERE o.s_suppkey % 6 <> 0),
+  SELECT s.s_suppkey AS query_id, s.s_suppkey % 15 = 0 AS wiki, s.s_suppkey % 40 AS n, o.s_suppkey AS o, o.s_suppkey % 6 = 0 AS there, o.s_suppkey % 40 AS m
+  FROM supplier s JOIN supplier o USING (s_nationkey)),
 m AS (
-  SELECT *, CASE WHEN n = m THEN 1.0::DOUBLE WHEN contains('brand' || m, 'brand' || n) OR contains('brand' || n, 'brand' || m) THEN 0.8::DOUBLE ELSE 0.4::DOUBLE END AS x FROM r),
+  SELECT *, CASE WHEN wiki THEN CASE WHEN there THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END WHEN n = m THEN 1.0::DOUBLE
+              WHEN contains('brand' || m, 'brand' || n) OR contains('brand' || n, 'brand' || m) THEN 0.8::DOUBLE ELSE 0.4::DOUBLE END AS x
+  FROM r WHERE wiki OR NOT there),
 s AS (
-  SELECT *, 10 * x - 0.3::DOUBLE * (o + 1) - CASE WHEN o % 4 = 0 THEN 1.5::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN o % 2 = 0 THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END AS score FROM m)
-SELECT query_id, CASE WHEN o % 4 = 0 THEN 'shop.' ELSE 'www.' END || 'brand' || m || '.com' AS host, round(score, 4) AS score, x >= 0.7 AS name_matches
-FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, o) = 1""",
+  SELECT *, 10 * x - 0.3::DOUBLE * (o + 1) - CASE WHEN o % 4 = 0 AND NOT there THEN 1.5::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN o % 2 = 0 THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END AS score,
+         CASE WHEN there THEN 'www.wikipedia.org' ELSE CASE WHEN o % 4 = 0 THEN 'shop.' ELSE 'www.' END || 'brand' || m || '.com' END AS host FROM m)
+SELECT query_id, 'https://' || host || '/' AS url, host, round(score, 4) AS score, x >= 0.7 AS name_matches
+FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY wiki AND there DESC, score DESC, o) = 1""",
     "line_dedupe": _LINES + "SELECT site_id, count(*) AS lines, CAST(sum(length(line)) AS BIGINT) AS chars FROM fl GROUP BY site_id",
     "excerpt_budget": _LINES + """, u AS (SELECT site_id, ord, line_no, CAST(sum(length(line) + 1) OVER (PARTITION BY site_id ORDER BY ord, line_no ROWS UNBOUNDED PRECEDING) AS BIGINT) AS used FROM fl)
 SELECT * FROM u WHERE used <= 5000""",
@@ -244,7 +260,8 @@ SELECT * FROM u WHERE used <= 5000""",
     "quote_summary": _QUOTES + "SELECT 1 AS site_id, count(*) AS checked, count(found_url) AS verified FROM checked",
     "unquoted_anti": _QUOTES + "SELECT item FROM checked WHERE found_url IS NULL",
     "mentions_semi": rf"""
-WITH p AS (SELECT item_id AS item, lower({_normal("array_to_string(string_split(text, ' ')[1:3], ' ')")}) AS wanted FROM benchmark),
+WITH b AS (SELECT item_id, string_split(text, chr(10)) AS ls FROM benchmark),
+p AS (SELECT item_id || '.' || (i - 1) AS item, lower({_normal("ls[i]")}) AS wanted FROM b, unnest(range(1, len(ls) + 1)) AS r(i)),
 dl AS (SELECT DISTINCT unnest(list_transform(string_split(translate(text, '{INVISIBLE}', ''), chr(10)), lambda x: lower({_normal(f"regexp_replace(x, '{_BULLET}', '')")}))) AS line FROM documents),
 c AS MATERIALIZED (SELECT item, wanted, line FROM p JOIN dl ON contains(line, wanted))
 SELECT DISTINCT item FROM c WHERE {_whole("line", "wanted")}""",
@@ -275,9 +292,9 @@ SELECT 'union' AS op, host FROM (FROM en UNION FROM fr) UNION ALL SELECT 'inters
     "scale_labels": """WITH v AS (SELECT p_partkey, greatest(0, least(100, p_size * 4 - 50)) AS value FROM part)
 SELECT p_partkey, value, CASE WHEN value <= 15 THEN 'strongly left' WHEN value <= 35 THEN 'leans left' WHEN value >= 85 THEN 'strongly right' WHEN value >= 65 THEN 'leans right' ELSE 'balanced' END AS lean,
   CASE WHEN value >= 80 THEN 'high' WHEN value >= 50 THEN 'medium' ELSE 'low' END AS confidence FROM v""",
-    "merged_reads": """WITH a AS (SELECT doc_id, source, lang, md5(text) AS t FROM documents WHERE doc_id % 3 <> 0), b AS (SELECT doc_id, left(text, 20) AS title, source, md5(text) AS t FROM documents WHERE doc_id % 2 = 0)
-SELECT coalesce(b.doc_id, a.doc_id) AS site_id, coalesce(nullif(title, ''), CASE WHEN a.doc_id IS NOT NULL THEN 'structure' END) AS title,
-  coalesce(nullif(b.source, ''), a.source) AS description, lang AS language, coalesce(nullif(b.t, ''), a.t) AS text FROM a FULL JOIN b USING (doc_id)""",
+    "merged_reads": """WITH d AS (SELECT doc_id, split_part(text, chr(10), 1) AS title, source, lang, md5(text) AS t FROM documents)
+SELECT doc_id AS site_id, CASE WHEN source = 'src2' OR title = '' THEN 'structure ' || title ELSE title END AS title, source AS description,
+  lang AS language, CASE WHEN source = 'src2' THEN '' ELSE t END AS text FROM d""",
     "export_css": _export(":root", "color", "font"),
     "export_tailwind": _export("@theme", "color-brand", "font-brand"),
     "export_voice": r"""SELECT c_custkey AS site_id, CASE WHEN c_custkey % 2 = 0 THEN '# Write like ' || replace(c_name, '#', '\#') || chr(10) || chr(10) || '## Tone of voice' || chr(10) || chr(10)

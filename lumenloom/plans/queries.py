@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lumenloom.functions import color, text, urls
 from lumenloom.operators import colours, discover, excerpts, exports, jobs, pages, quotes, typography
-from lumenloom.plans.derive import elements, hex_of, links, searches, table
+from lumenloom.plans.derive import elements, hex_of, homes, links, searches, table
 from lumenloom.streaming import limits
 
 
@@ -20,8 +20,9 @@ def _rounded(name, digits):
 
 
 def _part_colours(spark, d, remainder):
+    """Sites of 16 parts, half of which are text colours."""
     p = table(spark, d, "part").where(F.col("p_partkey") % 2 == remainder)
-    return p.select(F.col("p_brand").alias("site_id"), hex_of(F.col("p_partkey") % 200).alias("hex"))
+    return p.select(F.floor(F.col("p_partkey") / 16).alias("site_id"), hex_of(F.col("p_partkey")).alias("hex"))
 
 
 def contrast_matrix(spark: SparkSession, d: str) -> DataFrame:
@@ -44,12 +45,10 @@ def color_lab(spark: SparkSession, d: str) -> DataFrame:
 
 
 def color_nearest(spark: SparkSession, d: str) -> DataFrame:
-    """Each part colour's nearest colour of the suppliers of its group."""
-    p = table(spark, d, "part").select(hex_of(F.col("p_partkey") % 500).alias("hex"), (F.col("p_partkey") % 500 % 10).alias("g")).distinct().withColumn("p", color.lab(F.col("hex")))
-    s = table(spark, d, "supplier").select(hex_of(F.col("s_suppkey")).alias("near"), (F.col("s_suppkey") % 10).alias("g")).distinct().withColumn("q", color.lab(F.col("near")))
-    both = p.join(s, "g").select("hex", "near", F.round(color.distance(F.col("p"), F.col("q")), 4).alias("de"))
-    best = both.groupBy("hex").agg(F.min(F.struct("de", "near")).alias("b"))
-    return best.select("hex", F.col("b.near").alias("near"), F.col("b.de").alias("de"))
+    """Each part colour's nearest supplier colour."""
+    parts = table(spark, d, "part").select(hex_of(F.col("p_partkey")).alias("hex")).distinct()
+    held = table(spark, d, "supplier").select(hex_of(F.col("s_suppkey")).alias("near")).distinct()
+    return colours.nearest(parts, held).select("hex", "near", F.round("de", 4).alias("de"))
 
 
 def stacked_copies(spark: SparkSession, d: str) -> DataFrame:
@@ -113,11 +112,11 @@ def page_locale_filter(spark: SparkSession, d: str) -> DataFrame:
 
 
 def choose_pages_topk(spark: SparkSession, d: str) -> DataFrame:
-    return discover.choose_pages(links(spark, d)).select("site_id", F.col("rank").cast("long").alias("rank"), "url", "kind", "origin", F.round("score", 4).alias("score"))
+    return discover.choose_pages(links(spark, d), homes(spark, d)).select("site_id", F.col("rank").cast("long").alias("rank"), "url", "kind", "origin", F.round("score", 4).alias("score"))
 
 
 def official_site_rank(spark: SparkSession, d: str) -> DataFrame:
-    return discover.official_sites(searches(spark, d), folded=True).select("query_id", "host", F.round("score", 4).alias("score"), "name_matches")
+    return discover.official_sites(searches(spark, d)).select("query_id", "url", "host", F.round("score", 4).alias("score"), "name_matches")
 
 
 def line_dedupe(spark: SparkSession, d: str) -> DataFrame:
@@ -145,8 +144,10 @@ def normalise_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _quotes(spark, d):
-    b = table(spark, d, "benchmark")
-    return b.select(F.lit(1).alias("site_id"), F.col("item_id").alias("item"), F.substring_index("text", "\n", 1).alias("quote"), F.concat(F.lit("https://s/doc/"), F.col("item_id").cast("string")).alias("claimed_url"))
+    """Every line of every benchmark text is a quote."""
+    b = table(spark, d, "benchmark").select("item_id", F.posexplode(F.split("text", "\n")).alias("n", "quote"))
+    item = F.concat_ws(".", F.col("item_id").cast("string"), F.col("n").cast("string"))
+    return b.select(F.lit(1).alias("site_id"), item.alias("item"), "quote", F.concat(F.lit("https://s/doc/"), F.col("item_id").cast("string")).alias("claimed_url"))
 
 
 def _doc_pages(spark, d):
@@ -162,7 +163,7 @@ def quote_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def mentions_semi(spark: SparkSession, d: str) -> DataFrame:
-    phrases = table(spark, d, "benchmark").select(F.lit(1).alias("site_id"), F.col("item_id").alias("item"), F.array_join(F.slice(F.split("text", " "), 1, 3), " ").alias("phrase"))
+    phrases = _quotes(spark, d).select("site_id", "item", F.col("quote").alias("phrase"))
     return quotes.mentioned(phrases, _doc_pages(spark, d)).select("item")
 
 
@@ -243,11 +244,12 @@ def scale_labels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def merged_reads(spark: SparkSession, d: str) -> DataFrame:
+    """Two reads that hold all documents between them: each lacks one source and leaves some fields empty."""
     doc = table(spark, d, "documents")
-    read = lambda keep: doc.where(keep).select(F.col("doc_id").alias("site_id"), F.substring("text", 1, 20).alias("title"), F.col("source").alias("description"), F.col("lang").alias("language"), F.md5(F.col("text").cast("binary")).alias("text"))
-    a = read(F.col("doc_id") % 3 != 0).withColumn("title", F.lit("structure"))
-    b = read(F.col("doc_id") % 2 == 0).withColumn("language", F.lit(""))
-    return pages.merged_reads(a, b)
+    read = doc.select(F.col("doc_id").alias("site_id"), F.substring_index("text", "\n", 1).alias("title"), F.col("source").alias("description"), F.col("lang").alias("language"), F.md5(F.col("text").cast("binary")).alias("text"))
+    structure = read.where("description <> 'src1'").withColumn("title", F.concat(F.lit("structure "), "title")).withColumn("text", F.lit(""))
+    content = read.where("description <> 'src2'").withColumn("language", F.when(F.col("description") != "src1", F.lit("")).otherwise(F.col("language")))
+    return pages.merged_reads(structure, content)
 
 
 def _guides(spark, d):
@@ -285,7 +287,10 @@ def events_state_stream(spark: SparkSession, d: str) -> DataFrame:
     folder = d if d.startswith(("hdfs", "s3", "viewfs", "file")) else f"file://{d}"
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
     hits = stream.select(F.col("user_id").cast("string").alias("k"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"), F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"))
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lumenloom-")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir isn't set: a stream's state needs a folder that all executors share")
+    base = base or tempfile.mkdtemp(prefix="lumenloom-")
     out = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
     run = limits.sliding_limit(hits, 3, 86400.0).writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").outputMode("append").trigger(availableNow=True).start()
     run.awaitTermination()

@@ -42,7 +42,7 @@ def search_results(landed: DataFrame, allow: list[str] | None = None, deny: list
         kept = kept.where(F.arrays_overlap(suffixes, lit(allow)))
     if deny:
         kept = kept.where(~F.arrays_overlap(suffixes, lit(deny)))
-    return kept
+    return kept.orderBy("position")
 
 
 def image_kind(content: Column) -> Column:
