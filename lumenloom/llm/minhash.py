@@ -65,9 +65,9 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 #: Powers that a worker keeps; longer tables are made for one call.
-POWERS = 1 << 21
+POWERS = 1 << 18
 #: Bytes of a text that are hashed in one go.
-PIECE = 1 << 20
+PIECE = 1 << 17
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -56,7 +56,6 @@ def _load(paths: tuple[str, str]):
     from tokenizers import Tokenizer
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    whole = Tokenizer.from_file(paths[0])
     with open(paths[1], "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -65,6 +64,7 @@ def _load(paths: tuple[str, str]):
 
     def encode(text: str) -> list[int]:
         if SPECIAL in text or len(text) >= LONG_RUN and run.search(text):
+            whole = worker_cached(f"whole:{paths[0]}", lambda: Tokenizer.from_file(paths[0]))  # few workers ever need it
             return whole.encode(text, add_special_tokens=False).ids
         return fast.encode_ordinary(text)
 
