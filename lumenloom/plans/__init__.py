@@ -1,6 +1,7 @@
 """Registered queries of the library and the SQL that checks them."""
 
 from lumenloom.plans import queries as q
+from lumenloom.plans.more_oracles import MORE
 from lumenloom.plans.oracles import ORACLES
 
 FLAGSHIP = "contrast_matrix"
@@ -53,7 +54,23 @@ NAMES = [
     "export_tokens",
     "export_json",
     "events_state_stream",
+    "read_outcomes",
+    "retry_set",
+    "skip_warnings",
+    "kinds_linked",
+    "gaps_filled",
+    "page_icons",
+    "site_names",
+    "durations",
+    "font_stacks",
+    "safe_addresses",
+    "empty_sections",
+    "model_rounds",
+    "paper_colours",
+    "contrast_grid",
+    "token_contrast",
 ]
+ORACLES = {**ORACLES, **MORE}
 QUERIES = {name: getattr(q, name) for name in NAMES}
 
 __all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]

@@ -8,9 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumenloom.functions import color, text, urls
-from lumenloom.operators import colours, discover, excerpts, exports, jobs, pages, quotes, typography
-from lumenloom.plans.derive import elements, hex_of, homes, links, searches, table
+from lumenloom.functions import color, labels, text, urls
+from lumenloom.operators import colours, discover, excerpts, exports, head, jobs, pages, quotes, reading, typography
+from lumenloom.plans.derive import elements, hex_of, homes, links, pick, searches, table
 from lumenloom.streaming import limits
 
 
@@ -281,6 +281,144 @@ def export_json(spark: SparkSession, d: str) -> DataFrame:
     return exports.export(_guides(spark, d), "json")
 
 
+ERRORS = ["", "timeout", "page_not_found", "bot_blocked", "target_http_error", "odd_error"]
+STATUSES = [0, 401, 402, 403, 404, 429, 500, 503]
+
+
+def _fetched(spark, d):
+    """The pages as if they were fetched: some fail, some land on other sites."""
+    p = table(spark, d, "pages")
+    n = F.col("page_id")
+    site = urls.site_domain(urls.host(F.col("url")))
+    error = F.nullif(F.when(n % 3 == 0, pick(ERRORS, F.floor(n / 3) % 6)).otherwise(""), F.lit(""))
+    label = F.substring_index(site, ".", 1)
+    final = F.when(n % 7 == 0, F.lit("https://www.elsewhere.net/x")).when(n % 7 == 1, F.concat(F.lit("https://about."), label, F.lit("/login"))).when(n % 7 == 2, F.concat(F.lit("https://about."), label, F.lit("/story"))).otherwise("")
+    return p.select(site.alias("site_id"), "url", F.when(n % 2 == 0, F.lit("about")).alias("kind"), final.alias("final_url"), error.alias("error"), pick_int(STATUSES, n % 8).alias("status"), F.lit("t").alias("text"))
+
+
+def pick_int(values, index):
+    return F.element_at(F.array(*[F.lit(v) for v in values]), index.cast("int") + 1)
+
+
+def read_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    f = _fetched(spark, d)
+    r = reading.read_pages(f, homes(spark, d))
+    no_site = F.coalesce(reading.means_no_site(F.col("error"), F.col("status")), F.lit(False))
+    return r.select("url", "state", "reason", "retry", "elsewhere", no_site.alias("no_site"), reading.failure_class(F.col("status")).alias("failure"))
+
+
+def retry_set(spark: SparkSession, d: str) -> DataFrame:
+    return reading.to_retry(reading.read_pages(_fetched(spark, d), homes(spark, d))).select("site_id", "url")
+
+
+def skip_warnings(spark: SparkSession, d: str) -> DataFrame:
+    r = reading.read_pages(_fetched(spark, d), homes(spark, d))
+    w = reading.skipped_warnings(r, r.select("site_id", "url", F.lit("press").alias("kind")))
+    return w.select("site_id", F.array_join("warnings", "\n").alias("warnings"))
+
+
+def kinds_linked(spark: SparkSession, d: str) -> DataFrame:
+    k = reading.known_kinds(links(spark, d), homes(spark, d))
+    return k.select("site_id", F.array_join("kinds", ", ").alias("kinds"), "main_kinds", "thin")
+
+
+def gaps_filled(spark: SparkSession, d: str) -> DataFrame:
+    doc = table(spark, d, "documents")
+    odd = F.col("n_chars") % 2 == 1
+    side = lambda here: doc.select(F.col("doc_id").alias("site_id"), F.when(here, F.col("source")).alias("title"), F.when(~here, F.col("source")).alias("site_name"), F.when(here, F.col("lang")).alias("description"), F.col("lang").alias("language"), F.when(~here, F.lit("icon")).alias("favicon"), F.when(here, F.col("text")).otherwise("short").alias("text"))
+    g = reading.filled_gaps(side(odd), side(~odd))
+    return g.select("site_id", "title", "site_name", "description", "language", "favicon", F.length("text").alias("chars"), F.array_join("filled", ",").alias("filled"))
+
+
+def page_icons(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "part")
+    k = F.col("p_partkey")
+    tag = lambda rel, href, more: F.concat(F.lit(f'<link rel="{rel}" href="'), href, F.lit('"'), more, F.lit(">"))
+    sizes = F.concat(F.lit(' sizes="16x16 '), (F.col("p_size") * 4).cast("string"), F.lit("x"), (F.col("p_size") * 4).cast("string"), F.lit('"'))
+    svg = F.when(k % 5 == 0, tag("icon", F.lit("../i.svg"), F.lit(" type='image/svg+xml'"))).otherwise("")
+    html = F.concat(tag("stylesheet", F.lit("a.css"), F.lit("")), F.when(k % 3 > 0, tag("shortcut icon", F.concat(F.lit("/i"), k.cast("string"), F.lit(".png")), sizes)).otherwise(""), svg, tag("apple-touch-icon", F.lit("touch.png"), F.lit(' sizes="180x180"')))
+    return head.best_icon(head.icon_links(p.select(k.alias("page_id"), F.lit("https://a.com/b/c").alias("url"), html.alias("html"))))
+
+
+def site_names(spark: SparkSession, d: str) -> DataFrame:
+    """Names from titles: each supplier's own, with signs, regions and shop words around it."""
+    k = F.col("s_suppkey")
+    brand = F.concat(F.lit("Brand"), k.cast("string"))
+    host = F.concat(F.lit("www.brand"), k.cast("string"), F.lit(".com"))
+    told = pick(["{} | Things for all", "Fine things - {}", "Only | Things", "Official {} Shop - {} Ltd - x"], k % 4)
+    title = F.replace(told, F.lit("{}"), brand)
+    name = F.replace(pick(["{}® United States", "{} (formerly Old)", "www.{}.com", "The Official {} Store", "Larkspur United Kingdom"], k % 5), F.lit("{}"), brand)
+    s = table(spark, d, "supplier").withColumns({"host": host, "title": title, "name": name})
+    return s.select("s_suppkey", labels.name_from_title(F.col("title"), F.col("host")).alias("from_title"), labels.plain_name(F.col("name"), F.col("host")).alias("plain"))
+
+
+def durations(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders")
+    s = F.col("o_orderkey") * 37 % 90000
+    return o.select("o_orderkey", labels.wait_words(s).alias("wait"), labels.ago(s).alias("ago"), labels.day_words(F.col("o_orderdate").cast("timestamp")).alias("day"))
+
+
+def font_stacks(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "part")
+    stack = F.concat(pick(['"Face, One"', "__Inter_d65c78", "__My_Sans_Fallback_d65c78", "-apple-system", "Arial"], F.col("p_partkey") % 5), F.lit(", 'B "), F.col("p_size").cast("string"), F.lit("', Sans-Serif"))
+    names_ = labels.font_names(stack)
+    shown = F.transform(F.filter(names_, lambda n: ~labels.is_stand_in(n)), lambda n: labels.css_family(labels.family_name(n)))
+    return p.select("p_partkey", F.array_join(names_, "|").alias("names"), F.array_join(shown, "|").alias("shown"), labels.font_keyword(F.element_at(names_, -1)).alias("keyword"))
+
+
+def safe_addresses(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "pages")
+    n = F.col("page_id")
+    raw = F.when(n % 4 == 0, F.concat(F.lit("javascript:"), "url")).when(n % 4 == 1, F.lit("data:image/png;base64,iVBORw0KGgo=")).when(n % 4 == 2, F.concat(F.lit("\t"), F.lower("url"))).otherwise(F.concat("url", F.lit(" x")))
+    data = labels.data_address(F.col("url").cast("binary"), F.when(n % 2 == 0, F.lit("svg")).otherwise("gif"))
+    home = F.concat(F.lit("https://"), urls.host(F.col("url")), F.lit("/"))
+    return p.select("page_id", labels.web_address(raw).alias("web"), labels.logo_address(raw).alias("logo"), data.alias("data"), labels.on_page(F.col("url"), home).alias("on_page"), urls.public_host(F.col("url")).alias("public"), F.array_join(reading.guide_keys(F.array(F.lit("name:x"), F.lit(None).cast("string")), home), " ").alias("keys"))
+
+
+def empty_sections(spark: SparkSession, d: str) -> DataFrame:
+    g = _guides(spark, d)
+    k = F.col("site_id")
+    g = g.withColumns({"logo_url": F.when(k % 3 == 0, F.lit("https://a/b.svg")), "tagline": F.when(k % 4 == 0, F.lit(" ")).otherwise("x"), "mission": F.lit(None).cast("string")})
+    return g.select("site_id", F.array_join(reading.missing_sections(g), ", ").alias("missing"))
+
+
+def model_rounds(spark: SparkSession, d: str) -> DataFrame:
+    i = table(spark, d, "lineitem")
+    runs = i.select((F.col("l_suppkey") % 10).alias("site_id"), F.col("l_returnflag").alias("model"), F.col("l_linenumber").alias("round"), F.floor("l_quantity").cast("long").alias("verified"), F.lit(50).cast("long").alias("checked"), (F.col("l_partkey") % 5).alias("kept"), F.lit(5).cast("long").alias("drafted"), F.col("l_orderkey").alias("tokens"), F.col("l_tax").alias("cost"), F.col("l_discount").alias("seconds"))
+    return reading.model_rounds(runs).withColumn("cost", _rounded_col(F.col("cost"), 3))
+
+
+def _rounded_col(c, digits):
+    return F.round(c + 1e-7, digits)
+
+
+def paper_colours(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as pictures whose line items are pixels of the edge."""
+    i = table(spark, d, "lineitem")
+    channel = lambda m, by: (F.col("l_orderkey") * m % 240 + by).cast("int")
+    odd = (F.col("l_orderkey") % 3 == 0) & (F.col("l_linenumber") == 1)
+    shade = F.when(odd, F.lit(7)).otherwise(F.lit(0))
+    return head.paper(i.select(F.col("l_orderkey").alias("image_id"), *[channel(m, F.col("l_linenumber") % 2 + shade * 3).alias(c) for m, c in ((1, "r"), (7, "g"), (13, "b"))], F.when(F.col("l_orderkey") % 11 == 0, F.lit(10)).otherwise(255).alias("a")))
+
+
+def contrast_grid(spark: SparkSession, d: str) -> DataFrame:
+    backs = _part_colours(spark, d, 1).withColumn("is_background", F.lit(True))
+    g = head.contrast_grid(contrast_matrix(spark, d).where("level <> 'fail'"), backs)
+    return g.select("site_id", "fg", F.array_join("cells", " ").alias("cells"))
+
+
+def token_contrast(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as design tokens: each names another one until one in nine is a colour; pairs of neighbours."""
+    p = table(spark, d, "part")
+    name = lambda c: F.concat(F.lit("t"), c.cast("string"))
+    k = F.col("p_partkey")
+    value = F.when(k % 9 == 0, F.lower(hex_of(k))).otherwise(F.concat(F.lit("var(--"), name(k - 1), F.lit(")")))
+    tokens = p.select(F.lit("light").alias("theme"), name(k).alias("name"), value.alias("value"))
+    pairs = p.select(name(k).alias("fg"), name(k + 20).alias("bg"), F.lit(4.5).alias("least"))
+    c = head.checked_pairs(tokens, pairs)
+    return c.select("theme", "fg", "bg", F.floor(F.col("ratio") * 100).alias("ratio"), "enough")
+
+
 def events_state_stream(spark: SparkSession, d: str) -> DataFrame:
     """The events table as a stream through the sliding limiter, in one run over what is there."""
     schema = table(spark, d, "events").schema
