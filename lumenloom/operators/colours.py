@@ -63,7 +63,9 @@ def colour_rows(elements: DataFrame, screen: int = 900) -> DataFrame:
     text_weight = F.least(F.col("chars") * F.greatest(F.col("size"), F.lit(8)) / 16, F.lit(TEXT_CAP)) * at * F.when(F.col("kind") == "heading", 1.5).otherwise(1.0)
     fill_weight = F.sqrt(F.col("w") * F.least(F.col("h"), F.lit(2 * screen))) * at * F.when(button, 3).otherwise(1)
     edge_weight = (F.col("w") + F.col("h")) / 10 * at * F.when(button, 3).otherwise(1)
-    on_page = F.coalesce(~F.col("promo") & ~F.col("on_image") & (color.delta_e(F.col("back"), F.col("page_background")) < SAME), F.lit(False))
+    plain = ~F.col("promo") & ~F.col("on_image") & (F.col("chars") > 0)
+    equal = F.upper("back") == F.upper("page_background")  # most are, and need no distance
+    on_page = F.when(~plain, F.lit(False)).when(equal, F.lit(True)).otherwise(F.coalesce(color.delta_e(F.col("back"), F.col("page_background")) < SAME, F.lit(False)))
     edge_label = F.when(button, F.lit("button border")).when(icon, F.lit("icon border")).when(F.col("kind") == "input", F.lit("input border")).otherwise("border")
     row = lambda code, label, weight, page, fill: F.struct(F.upper(code).alias("hex"), label.alias("label"), weight.cast("double").alias("weight"), page.alias("on_page"), fill.alias("button"))
     no = F.lit(False)
@@ -126,6 +128,25 @@ def merge_lookalikes(colours: DataFrame, same: float = SAME) -> DataFrame:
     return ranked.groupBy("site_id").applyInPandas(fold, f"site_id {site}, hex string, kept string")
 
 
+def absorbed(colours: DataFrame, merged: DataFrame) -> DataFrame:
+    """by_colour() rows where each look-alike's weights are added to the colour that it counts under."""
+    sums = ["weight", "elements", "buttons", "text_on_page", "links", "background_weight", "border_weight", "button_weight", "header_weight", "promo_weight", "promo_fill", "page_weight"]
+    both = colours.join(merged, ["site_id", "hex"])
+    return both.groupBy("site_id", F.col("kept").alias("hex")).agg(*[F.sum(c).alias(c) for c in sums], F.min("first_pos").alias("first_pos"), F.max("is_background").alias("is_background"))
+
+
+def with_page_background(colours: DataFrame) -> DataFrame:
+    """by_colour() rows with is_background: the colour that most of the page is filled with, one for each site."""
+    top = colours.groupBy("site_id").agg(F.max_by("hex", F.struct("page_weight", -F.col("first_pos"))).alias("hex")).withColumn("is_background", F.lit(True))
+    return colours.join(top, ["site_id", "hex"], "left").withColumn("is_background", F.coalesce("is_background", F.lit(False)))
+
+
+def palette(elements: DataFrame, same: float = SAME) -> DataFrame:
+    """site_id, role, hex from measured elements: uses, look-alikes merged, their weights absorbed, roles chosen."""
+    by = with_page_background(by_colour(colour_uses(without_stacked_copies(elements))))
+    return palette_roles(absorbed(by, merge_lookalikes(by, same)))
+
+
 def palette_roles(colours: DataFrame) -> DataFrame:
     """site_id, role, hex: roles picked one after the other, each from the colours not taken before.
 

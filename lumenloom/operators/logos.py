@@ -47,11 +47,22 @@ def merge_sightings(fetched: DataFrame, seen: DataFrame) -> DataFrame:
 
 
 def rank_logos(candidates: DataFrame, limit: int = MAX_LOGOS) -> DataFrame:
-    """The best of each site, one for each key, the first on ties; a small icon may keep the last place."""
-    one = Window.partitionBy("site_id", "key").orderBy(F.desc("confidence"), "pos")
-    best = candidates.withColumn("__n", F.row_number().over(one)).where("__n = 1").drop("__n")
-    rank = Window.partitionBy("site_id").orderBy(F.desc("confidence"), "pos")
-    return best.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= limit)
+    """site_id, key, pos, confidence, small_icon and rank: the best of each site, one for each key, the first on ties.
+
+    The first small tab icon (small_icon) that would fall off the end keeps the last place: it is the one
+    picture that is sure to be the site's own. Without a column small_icon there is none.
+    """
+    if "small_icon" not in candidates.columns:
+        candidates = candidates.withColumn("small_icon", F.lit(False))
+    row = F.struct("confidence", -F.col("pos"))
+    best = candidates.groupBy("site_id", "key").agg(F.max_by("pos", row).alias("pos"), F.max("confidence").alias("confidence"), F.max_by("small_icon", row).alias("small_icon"))
+    site = Window.partitionBy("site_id")
+    order = [F.desc("confidence"), "pos", "key"]
+    placed = best.withColumn("n", F.row_number().over(site.orderBy(*order))).withColumn("first_icon", F.min(F.when(F.col("small_icon"), F.col("n"))).over(site))
+    reserved = F.coalesce(F.col("first_icon") > limit, F.lit(False))
+    rank = F.when(reserved & (F.col("n") == F.col("first_icon")), F.lit(limit)).otherwise(F.col("n"))
+    kept = (F.col("n") <= F.when(reserved, limit - 1).otherwise(limit)) | (reserved & (F.col("n") == F.col("first_icon")))
+    return placed.where(kept).select("site_id", "key", "pos", "confidence", "small_icon", rank.alias("rank"))
 
 
 def drawing_problem(loaded: Column, ink: Column, fill: Column, main_colour: Column, holes: Column) -> Column:

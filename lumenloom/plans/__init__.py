@@ -15,6 +15,8 @@ NAMES = [
     "colour_uses",
     "palette_merge",
     "palette_roles",
+    "palette_chain",
+    "logo_places",
     "typography_by_role",
     "first_screen_shares",
     "site_domain_rollup",

@@ -16,6 +16,11 @@ r AS (
   FROM f)"""
 
 MORE = {
+    "logo_places": """WITH c AS (SELECT p_partkey // 12 AS site_id, p_partkey % 12 AS pos, 'k' || p_partkey % 11 AS key, round(0.3::DOUBLE + (p_partkey * 7 % 10) / 20.0::DOUBLE, 2) AS confidence, p_partkey % 12 > 8 AS icon FROM part),
+b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY site_id, key ORDER BY confidence DESC, pos) = 1),
+n AS (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY confidence DESC, pos, key) AS n FROM b),
+i AS (SELECT site_id, min(n) AS first FROM n WHERE icon GROUP BY site_id HAVING min(n) > 5)
+SELECT site_id, key, pos, confidence, CASE WHEN n = first THEN 5 ELSE n END AS rank FROM n LEFT JOIN i USING (site_id) WHERE n < CASE WHEN first IS NULL THEN 6 ELSE 5 END OR n = first""",
     "read_outcomes": f"""WITH {_FETCHED}
 SELECT url, CASE WHEN reason IS NULL THEN 'read' ELSE 'skipped' END AS state, reason, retry, elsewhere,
   coalesce(error = 'page_not_found' OR (error = 'target_http_error' AND status NOT IN (401, 403, 429, 503)), false) AS no_site,
@@ -68,7 +73,7 @@ SELECT n AS page_id, CASE WHEN n % 4 = 2 THEN lower(url) END AS web, CASE n % 4
   CAST(sum(l_partkey % 5) AS BIGINT) AS kept, count(*) * 5 AS drafted, CAST(sum(l_orderkey) AS BIGINT) AS tokens, round(sum(l_tax) + 1e-7, 3) AS cost, max(l_discount) AS seconds FROM lineitem GROUP BY ALL""",
     "paper_colours": """WITH e AS (
   SELECT l_orderkey AS id, l_linenumber % 2 + CASE WHEN l_orderkey % 3 = 0 AND l_linenumber = 1 THEN 21 ELSE 0 END AS z, l_orderkey % 11 <> 0 AS solid FROM lineitem),
-px AS (SELECT id, solid, z + id % 240 AS r, z + id * 7 % 240 AS g, z + id * 13 % 240 AS b FROM e),
+px AS (SELECT id, solid, z + id % 230 AS r, z + id * 7 % 230 AS g, z + id * 13 % 230 AS b FROM e),
 s AS (SELECT id, r // 16 * 256 + g // 16 * 16 + b // 16 AS shade, count(*) AS n, avg(r) AS r, avg(g) AS g, avg(b) AS b FROM px WHERE solid GROUP BY 1, 2),
 t AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, shade) AS k FROM s),
 a AS (SELECT id, count(*) AS n, count(*) FILTER (solid) AS solid FROM px GROUP BY id)

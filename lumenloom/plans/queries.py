@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenloom.functions import color, labels, text, urls
-from lumenloom.operators import colours, discover, excerpts, exports, head, jobs, pages, quotes, reading, typography
+from lumenloom.operators import colours, discover, excerpts, exports, head, jobs, logos, pages, quotes, reading, typography
 from lumenloom.plans.derive import elements, hex_of, homes, links, pick, searches, table
 from lumenloom.streaming import limits
 
@@ -73,6 +73,17 @@ def palette_roles(spark: SparkSession, d: str) -> DataFrame:
     return colours.palette_roles(_site_colours(spark, d))
 
 
+def palette_chain(spark: SparkSession, d: str) -> DataFrame:
+    return colours.palette(elements(spark, d), same=12.0)
+
+
+def logo_places(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as logo candidates of sites: some keys twice, some of them small tab icons."""
+    k = F.col("p_partkey")
+    c = table(spark, d, "part").select(F.floor(k / 12).alias("site_id"), (k % 12).alias("pos"), F.concat(F.lit("k"), (k % 11).cast("string")).alias("key"), F.round(0.3 + (k * 7 % 10) / 20.0, 2).alias("confidence"), (k % 12 > 8).alias("small_icon"))
+    return logos.rank_logos(c).select("site_id", "key", "pos", "confidence", F.col("rank").cast("long").alias("rank"))
+
+
 def typography_by_role(spark: SparkSession, d: str) -> DataFrame:
     t = typography.typography(elements(spark, d))
     joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("int").cast("string")), ",").alias(c)
@@ -395,7 +406,7 @@ def _rounded_col(c, digits):
 def paper_colours(spark: SparkSession, d: str) -> DataFrame:
     """Orders as pictures whose line items are pixels of the edge."""
     i = table(spark, d, "lineitem")
-    channel = lambda m, by: (F.col("l_orderkey") * m % 240 + by).cast("int")
+    channel = lambda m, by: (F.col("l_orderkey") * m % 230 + by).cast("int")
     odd = (F.col("l_orderkey") % 3 == 0) & (F.col("l_linenumber") == 1)
     shade = F.when(odd, F.lit(7)).otherwise(F.lit(0))
     return head.paper(i.select(F.col("l_orderkey").alias("image_id"), *[channel(m, F.col("l_linenumber") % 2 + shade * 3).alias(c) for m, c in ((1, "r"), (7, "g"), (13, "b"))], F.when(F.col("l_orderkey") % 11 == 0, F.lit(10)).otherwise(255).alias("a")))
