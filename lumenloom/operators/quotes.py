@@ -39,16 +39,21 @@ def lines_with(lines: DataFrame, wanted: DataFrame, keys: Column, place: list[st
     if (sizes[0] or 0) <= FEW_KEYS and (sizes[1] or 0) <= 100 * FEW_KEYS:
         held = wanted.groupBy("site_id").agg(F.collect_list("gram").alias("grams"))
         hits = F.array_intersect(keys, F.col("grams"))
-        return lines.join(F.broadcast(held), "site_id").withColumn("gram", F.explode(hits)).drop("grams")
+        # an outer explode, as Spark adds a filter to a plain one that would find the hits twice
+        return lines.join(F.broadcast(held), "site_id").withColumn("gram", F.explode_outer(hits)).where("gram is not null").drop("grams")
     placed = lines.select("site_id", *place, F.explode(keys).alias("gram")).join(wanted, ["site_id", "gram"])
     return lines.join(placed, ["site_id", *place])
 
 
 def shingle_keys(line: Column) -> Column:
     """Every run of KEY_WORDS words (letters and digits, lower case) of a line, distinct: what a quote is looked up by."""
-    words = F.regexp_extract_all(F.lower(line), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
-    count = F.size(words) - KEY_WORDS + 1
-    return F.when(count > 0, F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda i: F.xxhash64(F.slice(words, i + 1, KEY_WORDS)))))
+    found = F.regexp_extract_all(F.lower(line), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
+
+    def runs(words: Column) -> Column:
+        count = F.size(words) - KEY_WORDS + 1
+        return F.when(count > 0, F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda i: F.xxhash64(F.slice(words, i + 1, KEY_WORDS)))))
+
+    return text.let(found, runs)
 
 
 def check_quotes(quotes: DataFrame, pages: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

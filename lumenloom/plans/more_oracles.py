@@ -43,7 +43,7 @@ k AS (
               WHEN word = 'products' THEN 'product' WHEN word = 'logos' THEN 'brand' END AS named, CASE WHEN host LIKE 'blog.%' THEN 'blog' END AS sub FROM l),
 d(i, kind, label) AS (VALUES (0, 'brand', 'Brand assets'), (1, 'about', 'About'), (2, 'mission', 'Mission and values'), (3, 'product', 'Product'), (4, 'careers', 'Careers'), (5, 'press', 'Press'), (6, 'blog', 'Blog'), (7, 'pricing', 'Pricing')),
 e AS (
-  SELECT site_id, n, i, kind, label, CASE WHEN coalesce(named = kind, false) OR coalesce(sub = kind, false) THEN 3 ELSE 0 END + CASE WHEN named = kind THEN 1 ELSE 0 END + CASE WHEN said = kind THEN 2 ELSE 0 END
+  SELECT site_id, n, i, kind, label, CASE WHEN coalesce(named = kind, false) OR coalesce(sub = kind, false) THEN 3 ELSE 0 END + CASE WHEN named = kind THEN 1 ELSE 0 END + CASE WHEN said = kind OR (said = 'brand' AND kind = 'press') THEN 2 ELSE 0 END
     + CASE WHEN kind = 'press' AND word = 'newsroom' THEN 1 ELSE 0 END AS points FROM k CROSS JOIN d WHERE word NOT IN ('login', 'a.pdf')),
 b AS (SELECT * FROM e WHERE points > 0 QUALIFY row_number() OVER (PARTITION BY n ORDER BY points DESC, i) = 1),
 g AS (SELECT DISTINCT site_id, i, kind, label FROM b),

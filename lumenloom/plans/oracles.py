@@ -223,9 +223,9 @@ k AS (
 kinds(i, kind, value) AS (VALUES (0, 'brand', 10), (1, 'about', 9), (2, 'mission', 8), (3, 'product', 6), (4, 'careers', 5), (5, 'press', 5), (6, 'blog', 4), (7, 'pricing', 3)),
 e AS (
   SELECT k.*, i, kind, value,
-         CASE WHEN named = kind OR sub = kind THEN 3 ELSE 0 END + CASE WHEN named = kind THEN 1 ELSE 0 END + CASE WHEN said = kind THEN 2 ELSE 0 END
+         CASE WHEN named = kind OR sub = kind THEN 3 ELSE 0 END + CASE WHEN named = kind THEN 1 ELSE 0 END + CASE WHEN said = kind OR (said = 'brand' AND kind = 'press') THEN 2 ELSE 0 END
            + CASE WHEN kind = 'press' AND word = 'newsroom' THEN 1 ELSE 0 END AS points,
-         value + (CASE WHEN named = kind THEN 1.5::DOUBLE ELSE 0 END + CASE WHEN sub = kind THEN 2 ELSE 0 END + CASE WHEN said = kind THEN 1 ELSE 0 END
+         value + (CASE WHEN named = kind THEN 1.5::DOUBLE ELSE 0 END + CASE WHEN sub = kind THEN 2 ELSE 0 END + CASE WHEN said = kind OR (said = 'brand' AND kind = 'press') THEN 1 ELSE 0 END
            + CASE WHEN kind = 'press' AND word = 'newsroom' THEN 2 ELSE 0 END) AS match
   FROM k CROSS JOIN kinds WHERE word NOT IN ('login', 'a.pdf')),
 s AS (
