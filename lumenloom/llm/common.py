@@ -69,6 +69,27 @@ def worker_cached(key: str, make: Callable[[], Any]) -> Any:
     return getattr(store, key)
 
 
+def tidy(run: Callable) -> Callable:
+    """A function for mapInArrow that gives the memory it no longer needs back to the system at the end of its task.
+
+    Workers live on between tasks, and what their allocators keep would add up beside the executor's heap.
+    """
+
+    def tidied(batches):
+        import ctypes
+
+        import pyarrow as pa
+
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    return tidied
+
+
 def add_columns(df: DataFrame, text_col: str, fields: str, compute: Callable[[list[str | None]], list[Any]]) -> DataFrame:
     """df without text_col, plus the columns that compute(texts) returns for each Arrow batch.
 
@@ -89,4 +110,4 @@ def add_columns(df: DataFrame, text_col: str, fields: str, compute: Callable[[li
             made = compute(batch.column(text_col).to_pylist())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), *(pa.array(v, t) for v, t in zip(made, types))], names=schema.names)
 
-    return df.select(*rest, text_col).mapInArrow(run, schema)
+    return df.select(*rest, text_col).mapInArrow(tidy(run), schema)

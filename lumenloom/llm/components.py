@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenloom.llm.common import materialize
+from lumenloom.llm.common import discard, materialize, tidy
 
 
 NODES = 1_000_000
@@ -53,19 +53,22 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, component (its smallest node) for every node that has a link; links: two long columns."""
-    levels = []
+    levels, written = [], []
     links = links.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b"))
     while True:
-        stars = materialize(links.mapInArrow(_stars, "node long, root long"), "stars")
+        stars = materialize(links.mapInArrow(tidy(_stars), "node long, root long"), "stars")
         least = stars.groupBy("node").agg(F.min("root").alias("root"), F.max("root").alias("most"))
         levels.append(least.select("node", "root"))
         torn = least.where("most <> root").select("node", F.col("root").alias("least"))
         links = stars.join(torn, "node").where("root <> least").select(F.col("root").alias("a"), F.col("least").alias("b")).distinct()
         links = materialize(links, "links")
+        written += [stars, links]
         if links.isEmpty():
             break
     found = levels.pop()
     while levels:
         up = found.select(F.col("node").alias("root"), F.col("root").alias("top"))
         found = levels.pop().join(up, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
-    return found.select("node", F.col("root").alias("component"))
+    found = materialize(found.select("node", F.col("root").alias("component")), "components")
+    discard(*written)
+    return found

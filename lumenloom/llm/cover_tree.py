@@ -41,7 +41,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenloom.llm.common import discard, materialize
+from lumenloom.llm.common import discard, materialize, tidy
 from lumenloom.llm.components import components
 
 BLOCK, SMALL_BLOCK = 8192, 1024
@@ -343,7 +343,7 @@ def _dealt(reps: DataFrame, block: int) -> tuple[DataFrame, Cells]:
             cols = [*batch.columns, pa.array(cell), pa.array(_shell(far)), pa.array(far)]
             yield pa.RecordBatch.from_arrays(cols, names=[*batch.schema.names, "cell", "shell", "far"])
 
-    placed = materialize(reps.select("node", "rep", "copies", "v", "dim").mapInArrow(assign, "node long, rep long, copies long, v binary, dim long, cell long, shell long, far double"), "placed")
+    placed = materialize(reps.select("node", "rep", "copies", "v", "dim").mapInArrow(tidy(assign), "node long, rep long, copies long, v binary, dim long, cell long, shell long, far double"), "placed")
     held: dict[tuple[int, int], list] = {}
     for dim, cell, shell, n, radius in placed.groupBy("dim", "cell", "shell").agg(F.count("*"), F.max("far")).collect():
         held.setdefault((dim, cell), []).append((shell, n, radius))
@@ -364,7 +364,7 @@ def _dealt(reps: DataFrame, block: int) -> tuple[DataFrame, Cells]:
                 own.append(first + (node * 0x9E3779B97F4A7C15 % (1 << 64) >> 32) % cuts)
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), *(batch.column(c) for c in ("node", "rep", "copies", "v", "dim"))], names=["block", "node", "rep", "copies", "v", "dim"])
 
-    return placed.mapInArrow(name, "block long, node long, rep long, copies long, v binary, dim long"), Cells(pivots, shells, number)
+    return placed.mapInArrow(tidy(name), "block long, node long, rep long, copies long, v binary, dim long"), Cells(pivots, shells, number)
 
 
 def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -396,12 +396,12 @@ def linked_vectors(vectors: DataFrame, cosine: float = 0.9, block: int = BLOCK)
     """vec_id, n_links, component_id (smallest vec_id reachable) and kept, from vec_id and embedding."""
     reach = float(np.sqrt(2 - 2 * cosine))
     plain = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    units = materialize(plain.mapInArrow(_scaled, "vec_id long, v binary, dim long, digest binary"), "units")
+    units = materialize(plain.mapInArrow(tidy(_scaled), "vec_id long, v binary, dim long, digest binary"), "units")
     reps = units.where("digest is not null and vec_id is not null").groupBy("digest", "dim").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("v").alias("v"))
     reps = materialize(reps.withColumn("node", F.monotonically_increasing_id()), "representatives")
     dealt, cells = _dealt(reps, block)
     kinds = "block long, node long, rep long, copies long, v binary, dim long, place int, nodes array<int>"
-    trees = materialize(dealt.repartition("block").sortWithinPartitions("block", "node").mapInArrow(_trees, kinds), "trees")
+    trees = materialize(dealt.repartition("block").sortWithinPartitions("block", "node").mapInArrow(tidy(_trees), kinds), "trees")
     inside = _inside(cells, trees, reach)
     blocks, groups = cells.blocks, -(-(cells.blocks // 2 + 1) // VISITS)
     partitions = max(1, min(blocks * groups, MOST_PARTITIONS))
@@ -478,16 +478,16 @@ def linked_vectors(vectors: DataFrame, cosine: float = 0.9, block: int = BLOCK)
                 yield linked([others[0][2]] * len(others), [r for _, _, r in others])
 
     shape = "node long, a long, b long, n long"
-    visits = trees.mapInArrow(visit, "part int, task long, guest long, node long, rep long, copies long, v binary, place int, nodes array<int>")
-    pairs = visits.repartitionById(partitions, "part").sortWithinPartitions("task", "guest", "place").mapInArrow(meet, shape)
+    visits = trees.mapInArrow(tidy(visit), "part int, task long, guest long, node long, rep long, copies long, v binary, place int, nodes array<int>")
+    pairs = visits.repartitionById(partitions, "part").sortWithinPartitions("task", "guest", "place").mapInArrow(tidy(meet), shape)
     if inside:
-        pairs = pairs.union(trees.where(F.col("block").isin(list(inside))).select("block", "node", "rep", "copies").mapInArrow(counted, shape))
+        pairs = pairs.union(trees.where(F.col("block").isin(list(inside))).select("block", "node", "rep", "copies").mapInArrow(tidy(counted), shape))
     pairs = materialize(pairs, "found")
     counts = pairs.where("n is not null").groupBy("node").agg(F.sum("n").alias("n"))
     comps = components(pairs.where("b is not null and a <> b")).withColumnRenamed("node", "rep")
     of_rep = reps.select("digest", "dim", "node", "rep", "copies").join(counts, "node", "left").join(comps, "rep", "left")
     of_rep = of_rep.select("digest", "dim", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     out = units.select("vec_id", "dim", F.when(F.col("vec_id").isNotNull(), F.col("digest")).alias("digest")).join(of_rep, ["digest", "dim"], "left")
-    discard(trees)
+    discard(trees)  # all that reads it is written
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))

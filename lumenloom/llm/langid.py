@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenloom.llm.common import add_columns, fold, worker_cached
+from lumenloom.llm.common import add_columns, fold, tidy, worker_cached
 
 BUCKETS = 1 << 16
 BLOCK = 1 << 20
@@ -142,7 +142,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
         yield pa.RecordBatch.from_arrays([pa.array(some.astype("i4")), pa.array(seen[some])], names=["bucket", "n"])
 
     seen = np.zeros(BUCKETS + 1, "i8")
-    for bucket, n in docs.select("text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n")).collect():
+    for bucket, n in docs.select("text").mapInArrow(tidy(run), "bucket int, n long").groupBy("bucket").agg(F.sum("n")).collect():
         seen[bucket] = n
     return seen[:BUCKETS], int(seen[BUCKETS])
 

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenloom.llm.common import add_columns, discard, materialize, worker_cached
+from lumenloom.llm.common import add_columns, discard, materialize, tidy, worker_cached
 from lumenloom.llm.components import components
 
 TREES, SHALLOW, DEEP, VALUES = 16, 3, 6, 128
@@ -183,7 +183,7 @@ def _region_candidates(rep, comp, size, sketch, left, cut, ratio):
     partners in other components; or, if some row has more, the members that have partners."""
     m, pairs, partners = len(rep), [], np.zeros(len(rep), "i4")
     top, across = (m, slice(0, m)) if left in (0, m) else (left, slice(left, m))
-    step = max(1, min(top, (1 << 20) // m))
+    step = max(1, min(top, (1 << 17) // m))
     for at in range(0, top, step):
         rows = slice(at, min(top, at + step))
         est = _agreement(sketch[rows], sketch[across])
@@ -272,7 +272,7 @@ def neighbours(entries: DataFrame, similarity: float, crowded: DataFrame) -> Dat
 
     wanted = [*key, "deep", "rep", "n", "s0", "s1", "s2", "s3"]
     ordered = entries.select(*[F.col(c).cast("long") for c in wanted]).repartition(*key).sortWithinPartitions(*key, "deep", "rep")
-    return ordered.mapInArrow(run, "i long, j long, estimate double")
+    return ordered.mapInArrow(tidy(run), "i long, j long, estimate double")
 
 
 def _dealt(rows: DataFrame, part: str) -> DataFrame:
@@ -364,7 +364,7 @@ def candidates(entries: DataFrame, similarity: float, crowded: DataFrame) -> Dat
             yield from out.to_batches(max_chunksize=100_000)
 
     ordered = entries.select(*[F.col(c).cast("long") for c in wanted]).repartition(*region).sortWithinPartitions(*region, "side", "rep")
-    return ordered.mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return ordered.mapInArrow(tidy(run), ", ".join(f"{n} long" for n in names))
 
 
 def _full_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
@@ -393,7 +393,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
                 keep.append(100 * common >= hundredths * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "x", "y").mapInArrow(tidy(run), "a long, b long")
 
 
 def _confirm_in_place(members: DataFrame, comps: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -437,7 +437,7 @@ def _confirm_in_place(members: DataFrame, comps: DataFrame, sets: DataFrame, sim
         if group:
             yield done(group)
 
-    return rows.repartition(*region).sortWithinPartitions(*region, "side", "rep").mapInArrow(run, "a long, b long")
+    return rows.repartition(*region).sortWithinPartitions(*region, "side", "rep").mapInArrow(tidy(run), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -460,10 +460,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) ->
     first = materialize(neighbours(each, similarity, crowded).groupBy("i").agg(F.max_by("j", "estimate").alias("j"), F.max(F.col("j").isNull()).alias("wide")), "first")
     best = first.where("j is not null")
     involved = materialize(best.select(F.col("i").alias("rep")).union(best.select(F.col("j").alias("rep"))).distinct(), "involved")
-    sets = materialize(_full_sets(docs, involved, size), "sets")
+    held = [materialize(_full_sets(docs, involved, size), "sets")]
+    sets = held[0]
     tested = materialize(best.select(*pair).distinct(), "pairs")
     links = materialize(_confirm(tested, sets, similarity), "confirmed")
-    comps = materialize(components(links), "components")
+    comps = components(links)
     # back up: whole regions, for those that found a partner and those that didn't meet all of their region
     again = involved.union(first.where("wide").select(F.col("i").alias("rep")))
     if not crowded.isEmpty():
@@ -475,13 +476,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) ->
     late = more.select(F.col("i").alias("rep")).union(more.where("j is not null").select("j")).distinct().join(involved, "rep", "left_anti")
     late = materialize(late, "late")
     if not late.isEmpty():
-        sets = sets.union(materialize(_full_sets(docs, late, size), "sets"))
+        held.append(materialize(_full_sets(docs, late, size), "sets"))
+        sets = sets.union(held[1])
     members = more.where("j is null")
     apart = more.where("j is not null").select(*pair).distinct().join(tested, ["a", "b"], "left_anti")
     added = materialize(_confirm(apart, sets, similarity).union(_confirm_in_place(members, comps, sets, similarity)), "confirmed")
     if not added.isEmpty():
-        comps = materialize(components(links.union(added)), "components")
-    discard(sets, active)
+        comps = components(links.union(added))
+    discard(*held, first, involved, tested, links, again, active, more, late, added, crowded)
     of_set = reps.select("digest", "rep").join(comps, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     out = made.select("doc_id", "n_shingles", "digest").join(of_set, "digest", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id").cast("long"))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenloom.llm.common import materialize, worker_cached
+from lumenloom.llm.common import materialize, tidy, worker_cached
 
 WINDOW = 1024
 SPECIAL = "<|endoftext|>"
@@ -93,7 +93,7 @@ def tokenized_pieces(docs: DataFrame, window: int = WINDOW, end_id: int = 0, pat
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(take := pa.array(row, pa.int64())), *numbers, batch.column("row").take(take)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "row"])
 
     rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
-    return rows.mapInArrow(run, f"doc_id {id_type.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, row long")
+    return rows.mapInArrow(tidy(run), f"doc_id {id_type.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, row long")
 
 
 class TightestFit:
@@ -165,7 +165,7 @@ def pack(docs: DataFrame, window: int = WINDOW, end_id: int = 0, paths: tuple[st
         rows = rows.append_column("sequence_id", pa.array(sequence + (TaskContext.get().partitionId() << 40)))
         yield from rows.append_column("offset", pa.array(offset)).to_batches(max_chunksize=50_000)
 
-    return pieces.repartition(partitions, F.xxhash64("row", "start")).mapInArrow(run, schema)
+    return pieces.repartition(partitions, F.xxhash64("row", "start")).mapInArrow(tidy(run), schema)
 
 
 def padding(packed: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenloom.llm.common import discard, materialize
+from lumenloom.llm.common import discard, materialize, tidy
 from lumenloom.llm.fm_index import FMIndex
 from lumenloom.llm.minhash import U8, _mix, _signed, powers_upto, word_hashes
 
@@ -81,7 +81,7 @@ def _places(rows: DataFrame, size: int, gram: int) -> DataFrame:
             cols = [*(batch.column(k).take(take) for k in ("d", "h", "c")), *(pa.array(c) for c in (_signed(anchor), _signed(seg), first.astype("i4"), count.astype("i4")))]
             yield pa.RecordBatch.from_arrays(cols, names=["d", "h", "c", "anchor", "segment", "pos", "windows"])
 
-    return rows.mapInArrow(run, "d long, h long, c int, anchor long, segment long, pos int, windows int")
+    return rows.mapInArrow(tidy(run), "d long, h long, c int, anchor long, segment long, pos int, windows int")
 
 
 def _words_of(rows: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -109,7 +109,7 @@ def _words_of(rows: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
             types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(types)], names=names)
 
-    return both.mapInArrow(run, "anchor long, part long, segment long, off int, copies int, words binary").dropDuplicates(["anchor", "part", "segment", "off"])
+    return both.mapInArrow(tidy(run), "anchor long, part long, segment long, off int, copies int, words binary").dropDuplicates(["anchor", "part", "segment", "off"])
 
 
 def repeats(sequences: list[list[bytes]], copies: list[int], size: int) -> list[int]:
@@ -160,7 +160,7 @@ def _shards(words: DataFrame, size: int) -> DataFrame:
             yield done(rows)
 
     ordered = words.repartition("anchor").sortWithinPartitions("anchor", "segment")
-    return ordered.mapInArrow(run, "anchor long, segment long, mask long")
+    return ordered.mapInArrow(tidy(run), "anchor long, segment long, mask long")
 
 
 def _counted(windows: DataFrame) -> DataFrame:
@@ -223,4 +223,4 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, gram: int = ANCHOR) -> Dat
             cols = [batch.column("doc_id"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest), pa.array([k.decode("utf-8", "surrogatepass") for k in kept])]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
-    return both.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, n_removed long, kept_sha256 string, kept string")
+    return both.mapInArrow(tidy(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, n_removed long, kept_sha256 string, kept string")
