@@ -116,7 +116,7 @@ def uses_current_color(svg: Column) -> Column:
 
 
 def without_label_words(label: Column) -> Column:
-    """ "Stripe logo" -> "Stripe"."""
+    """ "Acme logo" -> "Acme"."""
     return F.trim(text.squeeze(F.regexp_replace(label, LABEL_WORDS, " ")), F.lit(" -|:"))
 
 

@@ -31,6 +31,26 @@ def reuse_asof(requests: DataFrame, made: DataFrame, hours: int = 24) -> DataFra
     return found.select("key", F.col("id").alias("request_id"), F.when(fresh, F.col("last.made_id")).alias("reused_id"))
 
 
+def in_flight(requests: DataFrame, runs: DataFrame) -> DataFrame:
+    """Each request (key, request_id, ts) with the run of its key (run_id, started, ended) that is going on then, the newest one.
+
+    The newest run that began by then is found in one window over both; whether it still goes on is told after.
+    """
+    a = requests.select("key", F.col("ts").alias("t"), F.lit(1).alias("is_request"), F.col("request_id").alias("id"), F.lit(None).cast("long").alias("run_id"), F.lit(None).cast("timestamp").alias("ended"))
+    b = runs.select("key", F.col("started").alias("t"), F.lit(0).alias("is_request"), F.lit(None).cast("long").alias("id"), "run_id", "ended")
+    upto = Window.partitionBy("key").orderBy("t", "is_request", "run_id").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.last(F.when(F.col("is_request") == 0, F.struct("run_id", "ended")), ignorenulls=True).over(upto)
+    found = a.unionByName(b).withColumn("last", last).where("is_request = 1")
+    return found.select("key", F.col("id").alias("request_id"), F.when(F.col("t") < F.col("last.ended"), F.col("last.run_id")).alias("run_id"))
+
+
+def cancelled(watchers: DataFrame, job: str, delta: str, ts: str, tie: str) -> DataFrame:
+    """The jobs that nobody waits for any more, and since when: the first time that as many have left (-1) as had come (+1)."""
+    upto = Window.partitionBy(job).orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, 0)
+    left = watchers.withColumn("__n", F.sum(delta).over(upto)).where(F.col("__n") <= 0)
+    return left.groupBy(job).agg(F.min(ts).alias("cancelled_at"))
+
+
 def daily_limit(hits: DataFrame, limit: int, key: str, ts: str, tie: str) -> DataFrame:
     """allowed and wait_s (to the next UTC midnight) for each hit under a limit a calendar day."""
     day = Window.partitionBy(key, F.to_date(ts)).orderBy(ts, tie)
@@ -39,22 +59,29 @@ def daily_limit(hits: DataFrame, limit: int, key: str, ts: str, tie: str) -> Dat
     return hits.withColumn("allowed", n <= limit).withColumn("wait_s", F.when(n <= limit, F.lit(0).cast("long")).otherwise(midnight - F.unix_timestamp(ts)))
 
 
-def sliding_limit(hits: DataFrame, limit: int, window_s: float, key: str, ts: str, tie: str) -> DataFrame:
+def sliding_limit(hits: DataFrame, limit: int, window_s: float, key: str, ts: str, tie: str, back: str | None = None) -> DataFrame:
     """allowed and wait_s of each hit where only accepted hits count, for `window_s` seconds each.
 
+    back: a boolean column; where it holds, the row is no hit but gives the last accepted one back (allowed is null).
+
     Acceptance feeds back, so it's a fold in time order over one key's hits; the state is `limit` times. Hits
     arrive in sorted batches, so a key with very many hits is streamed, never held.
     """
-    rows = hits.select(F.col(key).cast("string").alias("k"), (F.unix_micros(ts) / 1e6).alias("t"), F.col(tie).cast("long").alias("id"))
+    rows = hits.select(F.col(key).cast("string").alias("k"), (F.unix_micros(ts) / 1e6).alias("t"), F.col(tie).cast("long").alias("id"), (F.col(back) if back else F.lit(False)).alias("back"))
 
     def run(batches):
         current, times = None, []
         for batch in batches:
             allowed, wait = [], []
-            for k, t in zip(batch["k"], batch["t"]):
+            for k, t, gives in zip(batch["k"], batch["t"], batch["back"]):
                 if k != current:
                     current, times = k, []
                 times = [x for x in times if t - x < window_s]
+                if gives:
+                    times = times[:-1]
+                    allowed.append(None)
+                    wait.append(0.0)
+                    continue
                 ok = len(times) < limit
                 allowed.append(ok)
                 wait.append(0.0 if ok else times[0] + window_s - t)

@@ -43,6 +43,9 @@ NAMES = [
     "reuse_asof_24h",
     "daily_limit",
     "sliding_limiter",
+    "limiter_returns",
+    "joined_runs",
+    "cancelled_jobs",
     "usage_cost",
     "fallback_answer",
     "retention_filter",

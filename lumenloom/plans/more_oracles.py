@@ -16,6 +16,13 @@ r AS (
   FROM f)"""
 
 MORE = {
+    "joined_runs": """WITH r AS (SELECT user_id, event_id, ts FROM events WHERE event_type = 'view'),
+m AS (SELECT user_id, event_id AS run, ts AS at, ts + to_minutes(event_id % 5000) AS until FROM events WHERE event_type = 'purchase')
+SELECT r.user_id AS key, r.event_id AS request_id, CASE WHEN r.ts < m.until THEN run END AS run_id FROM r ASOF LEFT JOIN m ON r.user_id = m.user_id AND r.ts >= m.at""",
+    "cancelled_jobs": """WITH n AS (
+  SELECT user_id, ts, sum(CASE WHEN event_type = 'click' THEN 1 ELSE -1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS n
+  FROM events WHERE event_type IN ('click', 'error'))
+SELECT user_id, min(ts) AS cancelled_at FROM n WHERE n <= 0 GROUP BY user_id""",
     "logo_places": """WITH c AS (SELECT p_partkey // 12 AS site_id, p_partkey % 12 AS pos, 'k' || p_partkey % 11 AS key, round(0.3::DOUBLE + (p_partkey * 7 % 10) / 20.0::DOUBLE, 2) AS confidence, p_partkey % 12 > 8 AS icon FROM part),
 b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY site_id, key ORDER BY confidence DESC, pos) = 1),
 n AS (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY confidence DESC, pos, key) AS n FROM b),
@@ -55,7 +62,7 @@ SELECT s.site_id, coalesce(kinds, '') AS kinds, coalesce(main_kinds, 0) AS main_
 FROM documents""",
     "page_icons": """SELECT p_partkey AS page_id, CASE WHEN p_partkey % 5 = 0 THEN 'https://a.com/i.svg' WHEN p_partkey % 3 > 0 THEN 'https://a.com/i' || p_partkey || '.png' ELSE 'https://a.com/b/touch.png' END AS url FROM part""",
     "site_names": """SELECT s_suppkey, CASE WHEN s_suppkey % 4 < 2 THEN 'Brand' || s_suppkey WHEN s_suppkey % 4 = 2 THEN NULL ELSE 'Brand' || s_suppkey || ' Ltd' END AS from_title,
-  CASE s_suppkey % 5 WHEN 2 THEN 'Brand' || s_suppkey WHEN 4 THEN 'Larkspur United Kingdom' ELSE 'Brand' || s_suppkey END AS plain FROM supplier""",
+  CASE s_suppkey % 5 WHEN 2 THEN 'Brand' || s_suppkey WHEN 4 THEN 'Thistle United Kingdom' ELSE 'Brand' || s_suppkey END AS plain FROM supplier""",
     "durations": """WITH s AS (SELECT o_orderkey, o_orderdate, o_orderkey * 37 % 90000 AS s FROM orders),
 w AS (SELECT *, CASE WHEN s < 60 THEN greatest(1, s) WHEN s < 3600 THEN CAST(ceil(s / 60.0) AS BIGINT) ELSE CAST(ceil(s / 3600.0) AS BIGINT) END AS n,
         CASE WHEN s < 60 THEN ' second' WHEN s < 3600 THEN ' minute' ELSE ' hour' END AS unit FROM s)

@@ -218,6 +218,25 @@ def sliding_limiter(spark: SparkSession, d: str) -> DataFrame:
     return jobs.sliding_limit(e, 3, 86400.0, "user_id", "ts", "event_id").select(F.col("id").alias("event_id"), "allowed", F.round("wait_s", 3).alias("wait_s"))
 
 
+def limiter_returns(spark: SparkSession, d: str) -> DataFrame:
+    """The sliding limiter where sign-ups give the last accepted hit back."""
+    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")).withColumn("back", F.col("event_type") == "signup")
+    return jobs.sliding_limit(e, 3, 86400.0, "user_id", "ts", "event_id", "back").select(F.col("id").alias("event_id"), "allowed", F.round("wait_s", 3).alias("wait_s"))
+
+
+def joined_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Views join a purchase of the last hour that still goes on: it takes value minutes."""
+    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    asked = e.where("event_type = 'view'").select(F.col("user_id").alias("key"), F.col("event_id").alias("request_id"), "ts")
+    runs = e.where("event_type = 'purchase'").select(F.col("user_id").alias("key"), F.col("event_id").alias("run_id"), F.col("ts").alias("started"), (F.col("ts") + F.make_dt_interval(mins=(F.col("event_id") % 5000).cast("int"))).alias("ended"))
+    return jobs.in_flight(asked, runs)
+
+
+def cancelled_jobs(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").where("event_type IN ('click', 'error')").withColumn("delta", F.when(F.col("event_type") == "click", 1).otherwise(-1))
+    return jobs.cancelled(e, "user_id", "delta", "ts", "event_id")
+
+
 def usage_cost(spark: SparkSession, d: str) -> DataFrame:
     prices = spark.createDataFrame([("1-URGENT", 3.0, 15.0), ("2-HIGH", 0.5, 2.0), ("5-LOW", 0.1, 0.4)], "model string, input_price double, output_price double")
     o = table(spark, d, "orders").select("o_orderkey", F.col("o_orderpriority").alias("model"), (F.col("o_orderkey") % 10000).alias("input_tokens"), (F.col("o_custkey") % 3000).alias("output_tokens"))
@@ -358,7 +377,7 @@ def site_names(spark: SparkSession, d: str) -> DataFrame:
     host = F.concat(F.lit("www.brand"), k.cast("string"), F.lit(".com"))
     told = pick(["{} | Things for all", "Fine things - {}", "Only | Things", "Official {} Shop - {} Ltd - x"], k % 4)
     title = F.replace(told, F.lit("{}"), brand)
-    name = F.replace(pick(["{}® United States", "{} (formerly Old)", "www.{}.com", "The Official {} Store", "Larkspur United Kingdom"], k % 5), F.lit("{}"), brand)
+    name = F.replace(pick(["{}® United States", "{} (formerly Old)", "www.{}.com", "The Official {} Store", "Thistle United Kingdom"], k % 5), F.lit("{}"), brand)
     s = table(spark, d, "supplier").withColumns({"host": host, "title": title, "name": name})
     return s.select("s_suppkey", labels.name_from_title(F.col("title"), F.col("host")).alias("from_title"), labels.plain_name(F.col("name"), F.col("host")).alias("plain"))
 

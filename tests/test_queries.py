@@ -43,6 +43,23 @@ def test_sliding_limit_is_the_fold(spark, name):
     assert all(got[i][0] == want[i][0] and got[i][1] == pytest.approx(want[i][1], abs=2e-3) for i in want)
 
 
+def test_returned_hits_free_their_place(spark):
+    rows = spark.read.parquet(f"{FOLDER}/events.parquet").selectExpr("user_id", "unix_micros(cast(ts as timestamp)) / 1e6 AS t", "event_id", "event_type = 'signup' AS back").collect()
+    taken, want = {}, {}
+    for user, t, i, back in sorted(rows):
+        live = [x for x in taken.get(user, []) if t - x < 86400]
+        if back:
+            want[i], live = (None, 0.0), live[:-1]
+        elif len(live) < 3:
+            want[i] = (True, 0.0)
+            live = [*live, t]
+        else:
+            want[i] = (False, live[0] + 86400 - t)
+        taken[user] = live
+    got = {r.event_id: (r.allowed, r.wait_s) for r in plans.QUERIES["limiter_returns"](spark, FOLDER).collect()}
+    assert got.keys() == want.keys() and all(got[i][0] is want[i][0] and got[i][1] == pytest.approx(want[i][1], abs=2e-3) for i in want)
+
+
 def test_merged_colours_follow_greedy_order(spark):
     from lumenloom.operators import colours
     from lumenloom.plans.queries import _site_colours
