@@ -5,16 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenloom.functions import labels
 from lumenloom.operators.colours import place
 
-MAX_WEIGHTS, MAX_SIZES, FOOTER = 4, 6, 0.5
+MAX_WEIGHTS, MAX_SIZES, MAX_FALLBACKS, FOOTER = 4, 6, 6, 0.5
 ROLES = ["heading", "body", "ui", "mono"]
 
 
 def stack(font: Column) -> Column:
     """'"A B", sans-serif' -> [A B, sans-serif]."""
-    names = F.transform(F.split(font, ","), lambda n: F.substring(F.trim(F.regexp_replace(F.trim(n), r"""^["']+|["']+$""", "")), 1, 64))
-    return F.slice(F.filter(names, lambda n: n != ""), 1, 20)
+    return F.slice(F.transform(labels.font_names(font), lambda n: F.substring(n, 1, 64)), 1, 20)
+
+
+def fallbacks(stack_: Column, chosen: Column) -> Column:
+    """What a browser tries after the chosen family, as people know it: no stand-ins, each once, MAX_FALLBACKS at most."""
+    after = F.slice(stack_, F.array_position(stack_, chosen).cast("int") + 1, F.greatest(F.size(stack_), F.lit(1)))
+    shown = F.transform(F.filter(after, lambda n: ~labels.is_stand_in(n)), labels.family_name)
+    return F.slice(F.array_distinct(shown), 1, MAX_FALLBACKS)
 
 
 def role(kind: Column, size: Column, chars: Column, region: Column, first: Column) -> Column:
@@ -27,7 +34,7 @@ def role(kind: Column, size: Column, chars: Column, region: Column, first: Colum
 
 
 def typography(elements: DataFrame, loaded: DataFrame | None = None, screen: int = 900) -> DataFrame:
-    """site_id, role, family, weights, sizes, elements, is_webfont.
+    """site_id, role, family (as people know it), weights, sizes, fallbacks, elements, is_webfont.
 
     elements also has font and weight. Amounts are compared to six digits, so that the order in which
     sums are made decides no tie. loaded: site_id, family of the page's web fonts.
@@ -39,14 +46,15 @@ def typography(elements: DataFrame, loaded: DataFrame | None = None, screen: int
         hits = F.filter("stack", lambda f: F.array_contains(F.coalesce("web", F.array().cast("array<string>")), F.lower(f)))
     else:
         hits = F.array().cast("array<string>")
-    e = e.withColumn("hits", hits).withColumn("family", F.coalesce(F.get("hits", F.lit(0)), F.get("stack", F.lit(0))))
+    e = e.withColumn("hits", hits).withColumn("asked", F.coalesce(F.get("hits", F.lit(0)), F.get("stack", F.lit(0))))
+    e = e.withColumn("family", labels.family_name(F.col("asked"))).withColumn("after", fallbacks(F.col("stack"), F.col("asked")))
     amount = F.least("chars", F.lit(300)) * place(F.col("y"), F.lit(screen)) * F.when(F.col("region") == "footer", FOOTER).otherwise(1.0)
     rows = e.select(
         "site_id", role(F.col("kind"), F.col("size"), F.col("chars"), F.col("region"), F.get("stack", F.lit(0))).alias("role"),
-        "family", F.col("weight").alias("font_weight"), (F.bround(F.col("size") * 2) / 2).alias("px"), amount.alias("amount"), (F.size("hits") > 0).alias("is_web"),
+        "family", "after", F.col("weight").alias("font_weight"), (F.bround(F.col("size") * 2) / 2).alias("px"), amount.alias("amount"), (F.size("hits") > 0).alias("is_web"),
     )
     key = ["site_id", "role", "family"]
-    total = rows.groupBy(*key).agg(F.sum("amount").alias("amount"), F.count("*").alias("elements"), F.bool_or("is_web").alias("is_webfont"))
+    total = rows.groupBy(*key).agg(F.sum("amount").alias("amount"), F.count("*").alias("elements"), F.bool_or("is_web").alias("is_webfont"), F.min("after").alias("fallbacks"))
     best = Window.partitionBy("site_id", "role").orderBy(F.round("amount", 6).desc(), "family")
     winners = total.withColumn("__n", F.row_number().over(best)).where("__n = 1").drop("__n", "amount")
 

@@ -268,7 +268,7 @@ SELECT DISTINCT item FROM c WHERE {_whole("line", "wanted")}""",
     "numbered_names": """WITH n AS (SELECT p_partkey, p_name, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS n FROM part)
 SELECT p_partkey, p_name, CASE WHEN n = 1 THEN p_name ELSE p_name || '-' || n END AS numbered FROM n""",
     "prompt_build": r"""SELECT conv_id AS site_id, 'Brand: A &amp; B (a.com)' || chr(10) || chr(10) || string_agg(
-  '<page url="https://c/' || turn || '">' || chr(10) || regexp_replace(text, '(?i)<(/?\s*page)', '&lt;\1', 'g') || chr(10) || '</page>' || chr(10), chr(10) ORDER BY turn) AS prompt
+  '<page url="https://c/' || turn || '" type="' || upper(role[1]) || lower(role[2:]) || '">' || chr(10) || regexp_replace(text, '(?i)<(/?\s*page)', '&lt;\1', 'g') || chr(10) || '</page>' || chr(10), chr(10) ORDER BY turn) || chr(10) || 'Describe this brand’s tone of voice and key messages from these pages, as instructed.' AS prompt
 FROM conversations GROUP BY conv_id""",
     "job_state_latest": "SELECT user_id, arg_max(event_type, struct_pack(a := ts, b := event_id)) AS status, max(ts) AS at FROM events GROUP BY user_id",
     "job_steps_pivot": "SELECT user_id, " + ", ".join(f"count(*) FILTER (event_type = '{s}') AS {s}" for s in ("view", "click", "signup", "purchase", "error")) + " FROM events GROUP BY user_id",

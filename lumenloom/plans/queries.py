@@ -188,7 +188,7 @@ def numbered_names(spark: SparkSession, d: str) -> DataFrame:
 
 def prompt_build(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "conversations")
-    rows = c.select(F.col("conv_id").alias("site_id"), F.col("turn").alias("ord"), F.concat(F.lit("https://c/"), F.col("turn").cast("string")).alias("url"), F.col("text").alias("excerpt"))
+    rows = c.select(F.col("conv_id").alias("site_id"), F.col("turn").alias("ord"), F.concat(F.lit("https://c/"), F.col("turn").cast("string")).alias("url"), F.initcap("role").alias("label"), F.col("text").alias("excerpt"))
     brands = c.select(F.col("conv_id").alias("site_id")).distinct().select("site_id", F.lit("A & B").alias("brand"), F.lit("a.com").alias("domain"))
     return excerpts.build_prompts(rows, brands)
 
