@@ -16,6 +16,7 @@ NAMES = [
     "palette_merge",
     "palette_roles",
     "palette_chain",
+    "guide_chain",
     "logo_places",
     "typography_by_role",
     "first_screen_shares",

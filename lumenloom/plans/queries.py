@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenloom.functions import color, labels, text, urls
-from lumenloom.operators import colours, discover, excerpts, exports, head, jobs, logos, pages, quotes, reading, typography
+from lumenloom.operators import colours, discover, excerpts, exports, guides, head, jobs, logos, pages, quotes, reading, typography
 from lumenloom.plans.derive import elements, hex_of, homes, links, pick, searches, table
 from lumenloom.streaming import limits
 
@@ -77,6 +77,14 @@ def palette_chain(spark: SparkSession, d: str) -> DataFrame:
     return colours.palette(elements(spark, d), same=12.0)
 
 
+def guide_chain(spark: SparkSession, d: str) -> DataFrame:
+    """Documents from measured elements: palette and fonts of each supplier's site, as a style sheet with what is missing."""
+    e = elements(spark, d)
+    sites = e.select("site_id").distinct().withColumns({"name": F.concat(F.lit("Site "), F.col("site_id").cast("string")), "logo_url": F.lit("https://a/logo.svg")})
+    g = guides.build_guides(sites, colours.palette(e, same=12.0), typography.typography(e))
+    return g.select("site_id", exports.css_export().alias("content"), F.array_join("missing", ", ").alias("missing"))
+
+
 def logo_places(spark: SparkSession, d: str) -> DataFrame:
     """Parts as logo candidates of sites: some keys twice, some of them small tab icons."""
     k = F.col("p_partkey")

@@ -198,3 +198,29 @@ def test_json_documents_hold_what_their_guides_hold(spark):
             if k in doc and k != "colors":
                 assert doc[k] == v or (not v and not doc[k]), k
         assert [(c["role"], c["hex"]) for c in doc["colors"]] == [(c["role"], c["hex"]) for c in guides[r.site_id]["colors"]]
+
+
+def test_documents_hold_all_roles_in_order(spark):
+    import re
+
+    roles = "primary secondary accent background surface text text-muted link border".split()
+    palette = {(r.site_id, r.role): r.hex for r in plans.QUERIES["palette_chain"](spark, FOLDER).collect()}
+    fonts = {(r.site_id, r.role): r.family for r in plans.QUERIES["typography_by_role"](spark, FOLDER).collect()}
+    rows = plans.QUERIES["guide_chain"](spark, FOLDER).collect()
+    assert {r.site_id for r in rows} == {s for s, _ in palette} | {s for s, _ in fonts}
+    for r in rows:
+        assert re.findall(r"--color-([a-z-]+): (#[0-9A-F]{6});", r.content) == [(x, palette[r.site_id, x]) for x in roles if (r.site_id, x) in palette]
+        assert re.findall(r'--font-([a-z]+): "([^"]*)", serif;', r.content) == [(x, fonts[r.site_id, x]) for x in ("heading", "body", "ui", "mono") if (r.site_id, x) in fonts]
+        assert r.missing == "tone of voice, key messaging"
+
+
+def test_documents_without_parts_are_kept(spark):
+    from lumenloom.operators import guides
+
+    sites = spark.createDataFrame([(1, "A", None), (2, "B", "https://b/c.svg")], "site_id long, name string, logo_url string")
+    palette = spark.createDataFrame([(2, "text", "#111111"), (2, "primary", "#222222")], "site_id long, role string, hex string")
+    fonts = spark.createDataFrame([(2, "body", "Face", [400], ["serif"])], "site_id long, role string, family string, weights array<int>, fallbacks array<string>")
+    warnings = spark.createDataFrame([(1, ["a"]), (1, ["b"])], "site_id long, warnings array<string>")
+    got = {r.site_id: r for r in guides.build_guides(sites, palette, fonts, warnings=warnings).collect()}
+    assert sorted(got[1].warnings) == ["a", "b"] and got[1].missing == ["logo", "colours", "fonts", "tone of voice", "key messaging"] and got[1].colors == []
+    assert [c.role for c in got[2].colors] == ["primary", "text"] and got[2].fonts[0].fallback == "serif" and got[2].missing == ["tone of voice", "key messaging"]
