@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lumenloom.llm import cover_tree, decontaminate, langid, minhash, packing, pii, quality, sql, substring_dedup, toxicity, url_filter
-from lumenloom.llm.common import table
+from lumenloom.llm import cover_tree, decontaminate, filter_audit, langid, merkle, minhash, packing, pii, quality, sql, substring_dedup, token_counts, toxicity, url_filter
+from lumenloom.llm.common import fold, table
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
@@ -53,6 +54,19 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return merkle.manifest(table(spark, sf_dir, "documents"), received=(fold("doc_id", 5, 0), {"text": small}))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(filter_audit.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_substring_dedup": op2_substring_dedup,
@@ -64,6 +78,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_pii": op9_pii,
     "op10_quality": op10_quality,
+    "op11_token_counts": op11_token_counts,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 ORACLES: dict[str, str] = {
@@ -72,4 +89,6 @@ ORACLES: dict[str, str] = {
     "op4_url_filter": sql.URL_FILTER,
     "op6_embeddings": sql.EMBEDDINGS,
     "op9_pii": sql.PII,
+    "op12_merkle_manifest": sql.MERKLE,
+    "op13_filter_audit": sql.AUDIT,
 }

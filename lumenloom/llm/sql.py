@@ -125,3 +125,94 @@ per AS (SELECT r, list(p) AS ps FROM gone GROUP BY r),
 kept AS (SELECT doc_id, w, list_filter(w, lambda x, i: NOT list_contains(coalesce(ps, CAST([] AS BIGINT[])), i)) AS k FROM d LEFT JOIN per USING (r))
 SELECT doc_id, len(w) AS n_words, len(w) - len(k) AS n_removed, sha256(array_to_string(k, ' ')) AS kept_sha256 FROM kept
 """
+
+
+def _merkle_tree(name: str, levels: int) -> str:
+    """CTEs name0 (tree, i, n, h) to name<levels>, with g, what the others of a node's run are: before and after it."""
+    out = []
+    for k in range(levels):
+        out.append(f"""{name}{k}g AS (
+  SELECT tree, i // 16 AS r, max(n) AS n, list(h ORDER BY i) AS hs FROM {name}{k} GROUP BY ALL),
+{name}{k + 1} AS (
+  SELECT tree, r AS i, (n + 15) // 16 AS n, CASE WHEN n = 1 THEN hs[1] ELSE sha256(array_to_string(hs, '')) END AS h FROM {name}{k}g)""")
+    return ",\n".join(out)
+
+
+def _merkle_up(name: str, levels: int, tree: str, i: str) -> tuple[str, str]:
+    """Joins that reach the run of a node on each level, and the digests around it as a list of (hashed, before, after)."""
+    joins = "\n".join(f"JOIN {name}{k}g {name[0]}{k} ON {name[0]}{k}.tree IS NOT DISTINCT FROM {tree} AND {name[0]}{k}.r = {i} // {16 ** (k + 1)}" for k in range(levels))
+    at = [f"({i} // {16 ** k}) % 16" for k in range(levels)]
+    steps = [f"{{'hashed': {name[0]}{k}.n > 1, 'l': array_to_string({name[0]}{k}.hs[:{a}], ''), 'r': array_to_string({name[0]}{k}.hs[{a} + 2:], '')}}" for k, a in enumerate(at)]
+    return joins, ", ".join(steps)
+
+
+def _field(column: str) -> str:
+    return f"coalesce(strlen(CAST({column} AS VARCHAR)) || ':' || CAST({column} AS VARCHAR), '-')"
+
+
+def _leaf(text: str) -> str:
+    return f"sha256({' || '.join(map(_field, ('doc_id', 'source', 'lang', 'n_chars', text)))})"
+
+
+#: crc32 bit by bit
+_CRC = """xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1), lambda k: CAST(ascii(CAST(doc_id AS VARCHAR)[k]) AS BIGINT))),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), list_transform(range(8), lambda k: CAST(0 AS BIGINT))), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295)"""
+
+#: Groups of up to 16^6 documents and up to 16^4 groups.
+_DOCS, _GROUPS = 6, 4
+_DOC_JOINS, _DOC_STEPS = _merkle_up("doc", _DOCS, "t.tree", "t.i")
+_GROUP_JOINS, _GROUP_STEPS = _merkle_up("src", _GROUPS, "''", "s.i")
+MERKLE = f"""
+WITH leaves AS (
+  SELECT doc_id, source, {_leaf("text")} AS leaf,
+         CASE WHEN {_CRC} % 5 = 0 THEN {_leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS forged
+  FROM documents),
+t AS (
+  SELECT *, source AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM leaves),
+doc0 AS (SELECT tree, i, n, leaf AS h FROM t),
+{_merkle_tree("doc", _DOCS)},
+src0 AS (
+  SELECT '' AS tree, row_number() OVER (ORDER BY tree NULLS FIRST) - 1 AS i, count(*) OVER () AS n, h, tree AS source FROM doc{_DOCS}),
+{_merkle_tree("src", _GROUPS)},
+s AS (SELECT s.source, s.h AS subroot, [{_GROUP_STEPS}] AS up FROM src0 s {_GROUP_JOINS}),
+p AS (
+  SELECT t.doc_id, t.leaf, coalesce(t.forged, t.leaf) AS got, s.subroot, list_filter(list_concat([{_DOC_STEPS}], s.up), lambda x: x.hashed) AS path
+  FROM t JOIN s ON t.source IS NOT DISTINCT FROM s.source {_DOC_JOINS}),
+f AS (
+  SELECT doc_id, leaf, subroot, (SELECT h FROM src{_GROUPS}) AS root, sha256(array_to_string(list_transform(path, lambda x: x.l || x.r), '')) AS proof_sha256,
+         list_reduce(list_prepend({{'l': got, 'r': ''}}, list_transform(path, lambda x: {{'l': x.l, 'r': x.r}})), lambda a, x: {{'l': sha256(x.l || a.l || x.r), 'r': ''}}).l AS folded_root
+  FROM p)
+SELECT *, folded_root = root AS verified FROM f
+"""
+
+AUDIT = r"""
+WITH w AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+first AS (SELECT text, min(doc_id) AS least FROM w GROUP BY text),
+lab AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+d AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(lab.toxic, false) AS toxic,
+         MAP {'A': len(words) < 100, 'B': 100 * len(list_distinct(words)) < 80 * len(words),
+              'C': 100 * length(regexp_replace(w.text, '[^A-Z]', '', 'g')) > 10 * length(w.text),
+              'D': regexp_matches(w.text, '[#$%&*|]'), 'E': coalesce(least < w.doc_id, false)} AS fails
+  FROM w LEFT JOIN lab ON w.doc_id = lab.doc_id JOIN first ON w.text = first.text),
+c AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM d GROUP BY ALL),
+letters(f) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+orders AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+steps AS (SELECT filter_order, CAST(step AS INT) AS step, filter_order[step] AS f, string_split(filter_order[:step - 1], '') AS before FROM orders, range(1, 6) r(step)),
+j AS (
+  SELECT part, filter_order, step, f, n, good, toxic, fails[f] AS hit, len(list_filter(before, lambda x: x <> '' AND fails[x])) = 0 AS here,
+         len(list_filter(['A', 'B', 'C', 'D', 'E'], lambda x: fails[x])) AS many
+  FROM c, steps),
+k AS (
+  SELECT part, filter_order, step, f, sum(CASE WHEN here AND NOT hit THEN n ELSE 0 END) AS kept, sum(CASE WHEN here AND hit THEN n ELSE 0 END) AS removed,
+         sum(CASE WHEN hit AND NOT here THEN n ELSE 0 END) AS redundant, sum(CASE WHEN hit AND many = 1 THEN n ELSE 0 END) AS unique_fails,
+         sum(CASE WHEN here AND hit THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN here AND hit THEN toxic ELSE 0 END) AS toxic_lost
+  FROM j GROUP BY ALL)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+       CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM k
+"""
