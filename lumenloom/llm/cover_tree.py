@@ -55,6 +55,8 @@ LEAF, SMALLEST = 16, 0.02
 DRAWS = 4
 SHELLS = 6
 MOST_PARTITIONS = 20_000
+#: Ids of several vectors up to this number are broadcast; more are joined by a shuffle.
+BROADCAST_IDS = 200_000
 SLACK = 1e-9
 
 
@@ -392,6 +394,15 @@ def _inside(cells: Cells, trees: DataFrame, reach: float) -> dict[int, list[tupl
     return {b: [held[o] for o in others if o in held] for b, others in pairs.items()}
 
 
+def _shared_ids(units: DataFrame, reps: DataFrame) -> DataFrame:
+    """Links a, b from a vector's representative to an id of several vectors, for each of its vectors: they are one node."""
+    rows = units.where("digest is not null and vec_id is not null").select(F.col("vec_id").alias("b"), "digest", "dim")
+    kind = F.struct("digest", "dim")
+    several = materialize(rows.groupBy("b").agg(F.min(kind).alias("least"), F.max(kind).alias("most")).where("least <> most").select("b"), "shared")
+    several = F.broadcast(several) if several.count() <= BROADCAST_IDS else several
+    return rows.join(several, "b", "left_semi").distinct().join(reps.select("digest", "dim", F.col("rep").alias("a")), ["digest", "dim"]).where("a <> b").select("a", "b")
+
+
 def linked_vectors(vectors: DataFrame, cosine: float = 0.9, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id (smallest vec_id reachable) and kept, from vec_id and embedding."""
     reach = float(np.sqrt(2 - 2 * cosine))
@@ -484,7 +495,8 @@ def linked_vectors(vectors: DataFrame, cosine: float = 0.9, block: int = BLOCK)
         pairs = pairs.union(trees.where(F.col("block").isin(list(inside))).select("block", "node", "rep", "copies").mapInArrow(tidy(counted), shape))
     pairs = materialize(pairs, "found")
     counts = pairs.where("n is not null").groupBy("node").agg(F.sum("n").alias("n"))
-    comps = components(pairs.where("b is not null and a <> b")).withColumnRenamed("node", "rep")
+    links = pairs.where("b is not null and a <> b").select("a", "b").union(_shared_ids(units, reps))
+    comps = components(links).withColumnRenamed("node", "rep")
     of_rep = reps.select("digest", "dim", "node", "rep", "copies").join(counts, "node", "left").join(comps, "rep", "left")
     of_rep = of_rep.select("digest", "dim", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     out = units.select("vec_id", "dim", F.when(F.col("vec_id").isNotNull(), F.col("digest")).alias("digest")).join(of_rep, ["digest", "dim"], "left")

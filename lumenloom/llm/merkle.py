@@ -120,12 +120,16 @@ def step(members: Column, at: Column) -> Column:
     return F.array(F.struct(F.array_join(F.slice(others, 1, at), "").alias("left"), F.array_join(F.slice(others, at + 2, F.lit(FAN)), "").alias("right")))
 
 
-def paths(store: NodeStore, ends: DataFrame) -> DataFrame:
-    """Level 0 plus `path`, what a run's parent meets on its way up, and the columns of ends: __tree, path and others, one row for each tree."""
-    extra = [c for c in ends.columns if c not in ("__tree", "path")]
+def paths(store: NodeStore, ends: DataFrame | None = None) -> DataFrame:
+    """Level 0 plus `path`, what a run's parent meets on its way up, and the columns of ends: __tree, path and others, one row for each tree.
+
+    Without ends there is nothing above the trees.
+    """
+    extra = [c for c in ends.columns if c not in ("__tree", "path")] if ends else []
     upper, stored = None, []
     for level in reversed(store.levels):
-        met = level.where(F.col("n") <= FAN).join(ends, F.col("tree") == F.col("__tree")).drop("__tree")
+        top = level.where(F.col("n") <= FAN)
+        met = top.join(ends, F.col("tree") == F.col("__tree")).drop("__tree") if ends else top.withColumn("path", F.array().cast(PATH))
         if upper is not None:
             stored.append(materialize(upper.select(F.col("tree").alias("__tree"), F.col("run").alias("__up"), F.col("members").alias("__members"), F.col("path").alias("__path"), *extra), "paths"))
             up = level.where(F.col("n") > FAN).join(stored[-1].hint("merge"), (F.col("tree") == F.col("__tree")) & (F.floor(F.col("run") / FAN) == F.col("__up")))
@@ -162,14 +166,10 @@ def manifest(docs: DataFrame, fields: tuple[str, ...] = FIELDS, group: str = "so
     discard(leaves)
     roots = build(tops(groups).select(F.lit("").alias("tree"), "digest", F.col("tree").alias("of")), ["of"], ["of"], "roots")
     top = tops(roots).first()
-    ends = each_member(paths(roots, _no_end(roots))).select(F.col("member.of").alias("__tree"), "path", F.col("member.digest").alias("subroot"))
+    ends = each_member(paths(roots)).select(F.col("member.of").alias("__tree"), "path", F.col("member.digest").alias("subroot"))
     rows = each_member(paths(groups, materialize(ends, "ends")))
     member, root = F.col("member"), F.lit(top["digest"] if top else None).cast("string")
     found = folded(F.col("path"), F.coalesce(member["forged"], member["digest"]))
     out = rows.select(member["key"].alias(key), member["digest"].alias("leaf"), "subroot", root.alias("root"), proof(F.col("path")).alias("proof_sha256"), found.alias("folded_root"))
     return out.withColumn("verified", F.col("folded_root") == F.col("root"))
 
-
-def _no_end(roots: NodeStore) -> DataFrame:
-    """The tree of the groups' roots has nothing above it."""
-    return roots.spark.range(1).select(F.lit("").alias("__tree"), F.array().cast(PATH).alias("path"))

@@ -26,7 +26,7 @@ region's documents where these are near misses that no link joins.
 
 Defined results: a null text, an empty one or white space is an empty set, linked with nothing; a text
 of fewer words than a shingle is one shingle; repeated rows get equal results; rows that share an id are one
-node of the components; a null id gets a null component and isn't kept; an empty table gives an empty table; columns other than the id and the text
+node of the components, whatever their texts, but an empty text is its own; a null id gets a null component and isn't kept; an empty table gives an empty table; columns other than the id and the text
 are ignored.
 """
 
@@ -440,6 +440,14 @@ def _confirm_in_place(members: DataFrame, comps: DataFrame, sets: DataFrame, sim
     return rows.repartition(*region).sortWithinPartitions(*region, "side", "rep").mapInArrow(tidy(run), "a long, b long")
 
 
+def _shared_ids(made: DataFrame, reps: DataFrame) -> DataFrame:
+    """Links a, b from a text's representative to an id of several texts, for each of its texts: they are one node."""
+    rows = made.where("n_shingles > 0 and doc_id is not null").select(F.col("doc_id").cast("long").alias("b"), "digest")
+    several = rows.groupBy("b").agg(F.min("digest").alias("least"), F.max("digest").alias("most")).where("least <> most").select("b")
+    texts = rows.join(_few(materialize(several, "shared")), "b", "left_semi").distinct()
+    return texts.join(reps.select("digest", F.col("rep").alias("a")), "digest").where("a <> b").select("a", "b")
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable by links) and kept (is that id)."""
     made = materialize(features(docs, size), "features")
@@ -463,7 +471,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) ->
     held = [materialize(_full_sets(docs, involved, size), "sets")]
     sets = held[0]
     tested = materialize(best.select(*pair).distinct(), "pairs")
-    links = materialize(_confirm(tested, sets, similarity), "confirmed")
+    links = materialize(_confirm(tested, sets, similarity).select("a", "b").union(_shared_ids(made, reps)), "confirmed")
     comps = components(links)
     # back up: whole regions, for those that found a partner and those that didn't meet all of their region
     again = involved.union(first.where("wide").select(F.col("i").alias("rep")))

@@ -1,6 +1,7 @@
 """Operators on pairs and passages against brute force."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -62,6 +63,37 @@ def test_near_duplicates(spark, size, hundredths):
         assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), want[r.doc_id], want[r.doc_id] == r.doc_id), r
 
 
+@pytest.mark.parametrize("rows", [[(5, 1), (5, 2), (3, 2)], [(9, 1), (8, 1), (9, 2), (7, 2), (7, 3), (2, 3), (4, 4), (4, 4), (6, 4)], [(5, 1), (5, 2)], [(5, 1), (6, 2), (5, None)]])
+def test_rows_that_share_an_id_are_one_node(spark, rows):
+    texts = [(i, None if k is None else prose(50, 900 + k)) for i, k in rows]
+    links = [(a, b) for a, x in texts for b, y in texts if a != b and x == y and x]
+    want = roots([i for i, _ in texts], links)
+    for r in minhash.near_duplicates(docs(spark, texts)).collect():
+        assert (r.component_id, r.kept) == ((want[r.doc_id], want[r.doc_id] == r.doc_id) if r.n_shingles else (r.doc_id, True)), r
+
+
+def test_near_links_meet_at_shared_ids(spark):
+    base, other = prose(200, 950).split(), prose(200, 951).split()
+    texts = [(5, " ".join(base)), (5, " ".join(other)), (3, " ".join([*other[:60], "new", *other[61:]])), (8, " ".join([*base[:60], "new", *base[61:]])), (1, prose(60, 952))]
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs(spark, texts)).collect()} == {5: 3, 3: 3, 8: 3, 1: 1}
+
+
+def test_near_duplicates_find_all_links_of_a_given_table(spark):
+    """Recall at sf0.01 against all pairs that share a shingle, printed with -s."""
+    given = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = [(r.doc_id, r.text) for r in given.select("doc_id", "text").collect()]
+    sets, holders = sets_of(texts, 3), {}
+    for i, shingles in sets.items():
+        for x in shingles:
+            holders.setdefault(x, []).append(i)
+    common = Counter(p for h in holders.values() for p in itertools.combinations(h, 2))
+    links = [(a, b) for (a, b), n in common.items() if 100 * n >= 85 * (len(sets[a]) + len(sets[b]) - n)]
+    want = roots(sorted(sets), links)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(given, 3, 0.85).collect()}
+    print("recall of op5:", sum(got[a] == got[b] for a, b in links), "of", len(links), "links")
+    assert got == want
+
+
 def test_near_duplicates_of_nothing_and_null_ids(spark):
     assert minhash.near_duplicates(docs(spark, [])).count() == 0
     r = minhash.near_duplicates(docs(spark, [(None, prose(50))])).first()
@@ -260,5 +292,11 @@ def test_embeddings_at_the_threshold_and_with_repeated_ids(spark):
     check_linked(spark, [*tie, (1, [0.0, 0.0, 0.0, 5.0], 0), (9, [0.0, 0.0, 0.1, 5.0], 0), (9, [0.0, 0.0, 0.1, 5.0], 0)])
 
 
+def test_vectors_that_share_an_id_are_one_node(spark):
+    a, b, c = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
+    check_linked(spark, [(5, a, 0), (5, b, 0), (3, b, 0)])
+    check_linked(spark, [(9, a, 0), (8, a, 0), (9, b, 0), (7, b, 0), (7, c, 0), (2, c, 0), (4, [1.0, 1.0, 1.0], 0), (4, [1.0, 1.0, 1.0], 1), (6, None, 0), (6, a, 0)])
+
+
 def test_embeddings_of_nothing(spark):
     assert cover_tree.linked_vectors(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
