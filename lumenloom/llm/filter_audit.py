@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from lumenloom.llm.common import discard, let, materialize
 
-#: Groups of equal texts and labels are split into so many before they meet their documents.
+#: Groups of equal texts are split into so many before they meet their documents.
 SALTS = 64
 WORD = r"[^\x20\x09-\x0D]+"
 COUNTED = ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley")
@@ -45,14 +45,9 @@ def text_filters(text: Column) -> dict[str, Column]:
     }
 
 
-def _spread(rows: DataFrame, key: str) -> DataFrame:
-    """rows with a salt told by the row, so that no key holds more than a part of the rows."""
-    return rows.withColumn("__salt", F.pmod(F.xxhash64("__row", key), F.lit(SALTS)))
-
-
 def with_copies(rows: DataFrame) -> DataFrame:
     """rows (id, digest, __row) plus E: whether a smaller id has the same digest. Salted twice, so a digest of any number of rows is spread."""
-    salted = _spread(rows, "digest")
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64("__row", "digest"), F.lit(SALTS)))
     partial = salted.groupBy("digest", "__salt").agg(F.min("id").alias("least"))
     least = partial.groupBy(F.col("digest").alias("__digest")).agg(F.min("least").alias("first"))
     first = partial.join(least, F.col("digest") == F.col("__digest")).select(F.col("__digest"), F.col("__salt").alias("__of"), "first")
@@ -61,12 +56,10 @@ def with_copies(rows: DataFrame) -> DataFrame:
 
 
 def with_labels(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """rows (id) plus good and toxic. Only labelled ids that say either come along; salted, as an id may be that of many rows."""
+    """rows (id) plus good and toxic. Only labelled ids that say either come along; an id of very many rows is left to Spark's skew join."""
     said = labels.groupBy(F.col("doc_id").alias("__id")).agg(F.max(F.col("quality") == 1).alias("good"), F.max(F.col("toxic") == 1).alias("toxic"))
-    said = said.where("__id IS NOT NULL AND (good OR toxic)").withColumn("__of", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
-    met = _spread(rows, "id").join(said, (F.col("id") == F.col("__id")) & (F.col("__salt") == F.col("__of")), "left")
-    no = F.lit(False)
-    return met.withColumn("good", F.coalesce("good", no)).withColumn("toxic", F.coalesce("toxic", no)).drop("__id", "__of", "__salt")
+    met = rows.join(said.where("__id IS NOT NULL AND (good OR toxic)"), F.col("id") == F.col("__id"), "left")
+    return met.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("good", "toxic")}).drop("__id")
 
 
 def verdicts(docs: DataFrame, labels: DataFrame, part: str = "lang") -> DataFrame:
