@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenloom.functions import color, urls
+from lumenloom.operators import references
 
 ICON_TAG = r"(?is)(<link\s[^>]*>)"
 #: Relations that an icon's tag has, image formats by their media type.
@@ -65,19 +66,15 @@ def contrast_grid(pairs: DataFrame, colours: DataFrame) -> DataFrame:
     return graded.join(backs, "site_id").select("site_id", "fg", F.transform("backs", cell).alias("cells"))
 
 
-def resolved_variables(tokens: DataFrame, most: int = 12) -> DataFrame:
-    """theme, name, value with var(--other) replaced by what it stands for; null where that is a circle or missing.
+def resolved_variables(tokens: DataFrame) -> DataFrame:
+    """theme, name, value with var(--other) replaced by what it stands for, over chains of any length; null where that is a circle or missing.
 
-    tokens: theme, name, value. Each round follows one more reference by a join, so a chain of n names takes n rounds.
+    tokens: theme, name, value, a name once in a theme.
     """
-    target = lambda v: F.regexp_extract(v, r"^\s*var\(\s*--([A-Za-z0-9_-]+)\s*\)\s*$", 1)
-    open_ = tokens.select("theme", "name", "value", target(F.col("value")).alias("to"))
-    known = open_.select("theme", F.col("name").alias("to"), F.col("value").alias("next"), F.col("to").alias("next_to"))
-    for _ in range(most):
-        step = open_.join(known, ["theme", "to"], "left")
-        follow = F.col("to") != ""
-        open_ = step.select("theme", "name", F.when(follow, F.col("next")).otherwise(F.col("value")).alias("value"), F.when(follow, F.coalesce("next_to", F.lit(""))).otherwise("").alias("to"))
-    return open_.select("theme", "name", F.when(F.col("to") == "", F.col("value")).alias("value"))
+    target = F.nullif(F.regexp_extract("value", r"^\s*var\(\s*--([A-Za-z0-9_-]+)\s*\)\s*$", 1), F.lit(""))
+    ends = references.followed(tokens.withColumn("to", target), scope="theme").withColumnRenamed("scope", "theme")
+    values = tokens.select("theme", F.col("name").alias("end"), "value")
+    return ends.join(values, ["theme", "end"], "left").select("theme", "name", "value")
 
 
 def checked_pairs(tokens: DataFrame, pairs: DataFrame) -> DataFrame:
