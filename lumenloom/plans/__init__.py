@@ -2,6 +2,7 @@
 
 from lumenloom.plans import queries as q
 from lumenloom.plans.more_oracles import MORE
+from lumenloom.plans.page_oracles import PAGES
 from lumenloom.plans.oracles import ORACLES
 
 FLAGSHIP = "contrast_matrix"
@@ -25,6 +26,10 @@ NAMES = [
     "page_titles",
     "page_links",
     "page_text",
+    "page_nodes",
+    "link_places",
+    "page_logos",
+    "shapes_borrowed",
     "page_locale_filter",
     "choose_pages_topk",
     "official_site_rank",
@@ -76,7 +81,7 @@ NAMES = [
     "contrast_grid",
     "token_contrast",
 ]
-ORACLES = {**ORACLES, **MORE}
+ORACLES = {**ORACLES, **MORE, **PAGES}
 QUERIES = {name: getattr(q, name) for name in NAMES}
 
 __all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]

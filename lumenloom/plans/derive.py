@@ -73,3 +73,29 @@ def searches(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("s_suppkey").alias("query_id"), F.when(F.col("s_suppkey") % 15 == 0, F.lit("Wikipedia")).otherwise(F.concat(F.lit("Bränd "), (F.col("s_suppkey") % 40).cast("string"), F.lit(" Inc"))).alias("name"),
         (F.col("o") + 1).alias("position"), F.concat(F.lit("https://"), host, F.when(F.col("o") % 2 == 0, F.lit("/a/b")).otherwise("/")).alias("url"),
     )
+
+
+def branded_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url and html of `pages` with pictures put in: logos in the way home, header, body and footer, those of others, icons."""
+    p = table(spark, sf_dir, "pages").where("html IS NOT NULL")
+    n = F.col("page_id")
+    num = n.cast("string")
+    put = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    top = pick_text(n % 6, [
+        put('<header><a href="/" aria-label="Example home"><svg viewBox="0 0 90 30"><path d="M0 0h', num, 'v1"/></svg></a></header>'),
+        put('<header class="top"><img class="logo" src="/img/', num, '.png" alt="Example logo"></header>'),
+        put('<section class="clients"><img class="logo" src="/c/', num, '.svg" alt="Osier Bank logo"><img src="/d/', num, '.svg" alt="Example"></section>'),
+        put('<header><img class="logo" src="/o.png" alt="Osier Bank logo"><img src="/sale-banner.png" class="logo" alt="Sale"></header>'),
+        put('<section><img src="/f/', num, '.jpg" alt="Example logo"></section>'),
+        put('<header><svg width="16" height="16" class="chevron"><path d="M0 0l8 8"/></svg><a href="/en-us/"><img src="/e/', num, '.png"></a></header>'),
+    ])
+    low = pick_text(n % 4, [put('<img src="/f/', num, '.jpg" alt="Example logo">'), F.lit('<img class="logo" src="/g.webp">'), F.lit('<img src="/tiny.png" class="logo" alt="Example" width="9">'), F.lit("")])
+    with_top = F.replace("html", F.lit("<body>"), F.concat(F.lit("<body>"), top))
+    return p.select("page_id", "url", F.replace(with_top, F.lit("<footer>"), F.concat(F.lit("<footer>"), low)).alias("html"))
+
+
+def pick_text(index: Column, texts: list[Column]) -> Column:
+    found = F.lit(None).cast("string")
+    for i, t in enumerate(texts):
+        found = F.when(index == i, t).otherwise(found)
+    return found

@@ -90,8 +90,8 @@ FROM t JOIN a USING (id) WHERE k = 1 AND a.solid >= 0.98 * a.n AND t.n >= 0.95 *
 backs AS (SELECT DISTINCT site_id, hex AS bg FROM side WHERE half = 1), fgs AS (SELECT DISTINCT site_id, fg FROM pairs WHERE level <> 'fail')
 SELECT site_id, fg, string_agg(CASE WHEN p.ratio IS NULL THEN '–' ELSE printf('%.2f', p.ratio) END, ' ' ORDER BY bg) AS cells
 FROM fgs JOIN backs USING (site_id) LEFT JOIN (FROM pairs WHERE level <> 'fail') p USING (site_id, fg, bg) GROUP BY site_id, fg""",
-    "token_contrast": f"""WITH src AS (SELECT DISTINCT {_hex("p_partkey // 9 * 9")} AS hex FROM part), {_colours("src")},
-t AS (SELECT p_partkey AS k, lum FROM part JOIN lab ON lab.hex = {_hex("p_partkey // 9 * 9")}),
+    "token_contrast": f"""WITH src AS (SELECT DISTINCT {_hex("p_partkey // 41 * 41")} AS hex FROM part), {_colours("src")},
+t AS (SELECT p_partkey AS k, CASE WHEN p_partkey // 41 % 5 <> 0 AND p_partkey >= 41 THEN lum END AS lum FROM part JOIN lab ON lab.hex = {_hex("p_partkey // 41 * 41")}),
 x AS (SELECT a.k, b.k AS bk, (greatest(a.lum, b.lum) + 0.05::DOUBLE) / (least(a.lum, b.lum) + 0.05::DOUBLE) AS ratio FROM t a JOIN t b ON b.k = a.k + 20)
 SELECT 'light' AS theme, 't' || k AS fg, 't' || bk AS bg, CAST(floor(ratio * 100) AS BIGINT) AS ratio, ratio >= 4.5 AS enough FROM x""",
 }

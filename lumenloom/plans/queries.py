@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenloom.functions import color, labels, text, urls
-from lumenloom.operators import colours, discover, excerpts, exports, guides, head, jobs, logos, pages, quotes, reading, typography
-from lumenloom.plans.derive import elements, hex_of, homes, links, pick, searches, table
+from lumenloom.operators import colours, discover, excerpts, exports, guides, head, homepage, jobs, logos, pages, quotes, reading, tree, typography
+from lumenloom.plans.derive import branded_pages, elements, hex_of, homes, links, pick, searches, table
 from lumenloom.streaming import limits
 
 
@@ -121,6 +121,32 @@ def page_links(spark: SparkSession, d: str) -> DataFrame:
     return pages.links(table(spark, d, "pages").select("page_id", "url", "html"))
 
 
+def page_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Every element of every page, with the tokens at which it opens and closes."""
+    n = tree.page_nodes(table(spark, d, "pages").select("page_id", "html"))
+    return n.select("page_id", "n", "at", "end", "parent", "depth", "tag", F.try_element_at("attributes", F.lit("href")).alias("href"))
+
+
+def link_places(spark: SparkSession, d: str) -> DataFrame:
+    return homepage.links_with_place(table(spark, d, "pages")).select("page_id", "url", "text", "place")
+
+
+def page_logos(spark: SparkSession, d: str) -> DataFrame:
+    """Logo candidates of all pages, each given some pictures of its own and of others."""
+    return homepage.logo_candidates(branded_pages(spark, d)).select("page_id", "method", "confidence", "url", "format", "label", F.length("svg").alias("drawn"))
+
+
+def shapes_borrowed(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as shapes of documents of 60: chains of up to twenty, of which some end in a missing shape and some in a circle; every tenth is drawn."""
+    k = F.col("p_partkey")
+    name = lambda c: F.concat(F.lit("#s"), c.cast("string"))
+    to = F.when(k % 20 < 19, k + 1).when(F.floor(k / 20) % 4 == 1, k - 5).when(F.floor(k / 20) % 4 == 2, -k)
+    uses = F.when(to.isNull(), F.array().cast("array<string>")).otherwise(F.array(name(to)))
+    shapes = table(spark, d, "part").select(F.floor(k / 60).alias("page_id"), name(k).alias("name"), (k % 60).alias("pos"), F.concat(F.lit("<g>"), k.cast("string"), F.lit("</g>")).alias("markup"), uses.alias("uses"))
+    drawings = shapes.where("pos % 10 = 3").select("page_id", "pos", F.array("name").alias("uses"), F.array("name").alias("borrows"))
+    return homepage.borrowed_shapes(drawings, shapes).select("page_id", "pos", F.array_join("shapes", "").alias("shapes"))
+
+
 def page_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", pages.visible_text(F.col("html")).alias("text"))
 
@@ -446,11 +472,12 @@ def contrast_grid(spark: SparkSession, d: str) -> DataFrame:
 
 
 def token_contrast(spark: SparkSession, d: str) -> DataFrame:
-    """Parts as design tokens: each names another one until one in nine is a colour; pairs of neighbours."""
+    """Parts as design tokens: chains of 41 that end in a colour or, one in five, in a circle or nowhere; pairs of neighbours."""
     p = table(spark, d, "part")
     name = lambda c: F.concat(F.lit("t"), c.cast("string"))
     k = F.col("p_partkey")
-    value = F.when(k % 9 == 0, F.lower(hex_of(k))).otherwise(F.concat(F.lit("var(--"), name(k - 1), F.lit(")")))
+    back = F.when(k % 41 == 0, k + 40).otherwise(k - 1)
+    value = F.when((k % 41 == 0) & (F.floor(k / 41) % 5 != 0), F.lower(hex_of(k))).otherwise(F.concat(F.lit("var(--"), name(back), F.lit(")")))
     tokens = p.select(F.lit("light").alias("theme"), name(k).alias("name"), value.alias("value"))
     pairs = p.select(name(k).alias("fg"), name(k + 20).alias("bg"), F.lit(4.5).alias("least"))
     c = head.checked_pairs(tokens, pairs)
