@@ -1,19 +1,11 @@
-"""Logo candidates: keys, merging of two sightings, judgement, ranking, safe SVG."""
+"""Logo candidates: keys, merging of two sightings, judgement, ranking."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 MAX_LOGOS, BONUS, HIDDEN, CONFIRMED_MAX = 5, 0.05, 0.15, 0.95
-SAFE_TAGS = ["svg", "g", "defs", "symbol", "use", "title", "path", "rect", "circle", "ellipse", "line", "polyline", "polygon", "lineargradient", "radialgradient", "stop", "clippath", "mask"]
-SAFE_ATTRIBUTES = [
-    "viewbox", "xmlns", "width", "height", "d", "x", "y", "x1", "x2", "y1", "y2", "cx", "cy", "r", "rx", "ry", "points", "transform",
-    "fill", "fill-rule", "fill-opacity", "clip-rule", "clip-path", "stroke", "stroke-width", "stroke-linecap", "stroke-linejoin",
-    "opacity", "offset", "stop-color", "stop-opacity", "id", "gradientunits", "gradienttransform", "mask",
-]
 
 
 def fingerprint(markup: Column) -> Column:
@@ -94,48 +86,3 @@ def pixel_statistics(pixels: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.when((F.col("rank") <= 3) & (F.col("n") >= 0.03 * F.col("ink_n")), F.struct("rank", F.col("top.code").alias("code"))))).alias("c"),
     )
     return size.join(found, "image_id", "left").select("image_id", F.coalesce(F.col("ink_n") / F.col("pixels"), F.lit(0.0)).alias("ink"), (F.col("ink_n") / F.col("area")).alias("fill"), "main_colour", F.transform("c", lambda x: x["code"]).alias("colours"))
-
-
-@F.pandas_udf(StringType())
-def clean_svg(markup: pd.Series) -> pd.Series:
-    """An SVG rebuilt from allowed elements and attributes only; null if it doesn't parse or paints nothing.
-
-    No scripts, styles, event handlers, foreign content or references outside the drawing. At most 200 KB,
-    2,000 elements and 40 levels. Python, as it walks a tree.
-    """
-    from xml.etree import ElementTree
-    from xml.sax.saxutils import escape, quoteattr
-
-    painted = {"path", "rect", "circle", "ellipse", "line", "polyline", "polygon", "use"}
-    tags, attributes = set(SAFE_TAGS), set(SAFE_ATTRIBUTES)
-
-    def one(value: str | None) -> str | None:
-        if not value or len(value) > 200_000 or "<!" in value:
-            return None
-        try:
-            root = ElementTree.fromstring(value)
-        except ElementTree.ParseError:
-            return None
-        left, paints = [2000], [False]
-
-        def write(node, depth: int) -> str:
-            name = node.tag.rpartition("}")[2] if isinstance(node.tag, str) else ""
-            if name.lower() not in tags or depth > 40 or left[0] <= 0:
-                return ""
-            left[0] -= 1
-            kept = []
-            for key, v in node.attrib.items():
-                key = key.rpartition("}")[2]
-                safe = key.lower() in attributes and "javascript:" not in v.lower() and ("url(" not in v.lower() or "url(#" in v.lower().replace(" ", "").replace('"', "").replace("'", ""))
-                if safe or (key == "href" and v.startswith("#")):
-                    kept.append(f" {key}={quoteattr(v)}")
-            paints[0] = paints[0] or name.lower() in painted
-            inside = escape(node.text or "") if name.lower() == "title" else ""
-            inside += "".join(write(c, depth + 1) for c in node)
-            space = ' xmlns="http://www.w3.org/2000/svg"' if depth == 0 else ""
-            return f"<{name}{space}{''.join(kept)}>{inside}</{name}>"
-
-        out = write(root, 0)
-        return out if out.startswith("<svg") and paints[0] else None
-
-    return markup.map(one)

@@ -30,6 +30,8 @@ NAMES = [
     "link_places",
     "page_logos",
     "shapes_borrowed",
+    "svg_cascade",
+    "svg_clean",
     "page_locale_filter",
     "choose_pages_topk",
     "official_site_rank",

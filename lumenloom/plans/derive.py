@@ -94,6 +94,19 @@ def branded_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", "url", F.replace(with_top, F.lit("<footer>"), F.concat(F.lit("<footer>"), low)).alias("html"))
 
 
+def styled_drawings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """drawing_id and svg: parts as drawings whose fill is said by an attribute, a class rule, a style, the paint that was seen, or several of these."""
+    k = F.col("p_partkey")
+    num = k.cast("string")
+    some = lambda every, *parts: F.when(k % every == 0, F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])).otherwise("")
+    markup = F.concat(
+        F.lit('<svg viewBox="0 0 90 9">'), some(3, "<style>.b{fill:red} .a{fill:", hex_of(k), "}</style>"), F.lit('<path d="M0 0h'), num, F.lit('" class="a"'), some(2, ' fill="', hex_of(k + 1), '"'),
+        some(5, ' style="fill:', hex_of(k + 2), '"'), some(7, ' data-mark-paint="fill:', hex_of(k + 3), '"'), some(13, ' visibility="hidden"'), F.lit('/><g opacity="'), (k % 4).cast("string"),
+        F.lit('"><rect width="4"'), some(6, ' fill="none"'), F.lit(' onload="x()"/></g></svg>'),
+    )
+    return table(spark, sf_dir, "part").select(k.alias("drawing_id"), markup.alias("svg"))
+
+
 def pick_text(index: Column, texts: list[Column]) -> Column:
     found = F.lit(None).cast("string")
     for i, t in enumerate(texts):

@@ -1,6 +1,6 @@
 """DuckDB SQL for the queries on the element tree: parents by a recursive query over tags, images by what stands before them."""
 
-from lumenloom.plans.oracles import ORACLES, _host
+from lumenloom.plans.oracles import ORACLES, _hex, _host
 
 _TAG_REST = """(?:[^''">]|"[^"]*"|''[^'']*'')*"""
 _TOKEN = rf"(?is)<!--.*?-->|<(?:script|style|textarea|title)(?:\s{_TAG_REST})?>.*?</(?:script|style|textarea|title)\s*>|</?[a-z]{_TAG_REST}>|<[!?/][^>]*>|[^<]+|<"
@@ -52,7 +52,32 @@ p AS (
       WHEN 2 THEN '<img src="/tiny.png" class="logo" alt="Example" width="9">' ELSE '' END) AS html
   FROM pages WHERE html IS NOT NULL)"""
 
+_DRAWINGS = f"""
+g AS (
+  SELECT p_partkey AS k, '<svg viewBox="0 0 90 9">' || CASE WHEN p_partkey % 3 = 0 THEN '<style>.b{{fill:red}} .a{{fill:' || {_hex("p_partkey")} || '}}</style>' ELSE '' END || '<path d="M0 0h' || p_partkey || '" class="a"'
+    || CASE WHEN p_partkey % 2 = 0 THEN ' fill="' || {_hex("p_partkey + 1")} || '"' ELSE '' END || CASE WHEN p_partkey % 5 = 0 THEN ' style="fill:' || {_hex("p_partkey + 2")} || '"' ELSE '' END
+    || CASE WHEN p_partkey % 7 = 0 THEN ' data-mark-paint="fill:' || {_hex("p_partkey + 3")} || '"' ELSE '' END || CASE WHEN p_partkey % 13 = 0 THEN ' visibility="hidden"' ELSE '' END
+    || '/><g opacity="' || p_partkey % 4 || '"><rect width="4"' || CASE WHEN p_partkey % 6 = 0 THEN ' fill="none"' ELSE '' END || ' onload="x()"/></g></svg>' AS svg
+  FROM part),
+said AS (
+  SELECT k, svg, regexp_extract(svg, '<path[^>]*>') AS path, regexp_extract(svg, '<rect[^>]*>') AS rect, CASE WHEN contains(svg, '<style>') THEN 2 ELSE 1 END AS n,
+         [nullif(regexp_extract(svg, '<path[^>]* fill="([^"]*)"', 1), ''), nullif(regexp_extract(svg, '\\.a\\{{fill:([^}}]*)\\}}', 1), ''), nullif(regexp_extract(svg, ' style="fill:([^"]*)"', 1), ''), nullif(regexp_extract(svg, 'paint="fill:([^"]*)"', 1), '')] AS fills
+  FROM g),
+won AS (SELECT *, list_filter([3, 2, 1, 0], lambda i: fills[i + 1] IS NOT NULL)[1] AS layer FROM said)"""
+
 PAGES = {
+    "svg_cascade": f"""WITH {_DRAWINGS},
+e AS (
+  FROM (SELECT k, 0 AS n, 'viewBox' AS name, '0 0 90 9' AS value, 0 AS layer FROM won) UNION ALL FROM (SELECT k, n, 'fill', fills[layer + 1], layer FROM won WHERE layer IS NOT NULL)
+  UNION ALL FROM (SELECT k, n, unnest(['d', 'visibility']), unnest([regexp_extract(path, ' d="([^"]*)"', 1), nullif(regexp_extract(path, 'visibility="([^"]*)"', 1), '')]), 0 FROM won)
+  UNION ALL FROM (SELECT k, n + 1, 'opacity', regexp_extract(svg, 'opacity="([^"]*)"', 1), 0 FROM won)
+  UNION ALL FROM (SELECT k, n + 2, unnest(['width', 'fill']), unnest(['4', nullif(regexp_extract(rect, 'fill="([^"]*)"', 1), '')]), 0 FROM won))
+SELECT k AS drawing_id, CAST(n AS INT) AS n, name, value, CAST(layer AS INT) AS layer FROM e WHERE value IS NOT NULL""",
+    "svg_clean": f"""WITH {_DRAWINGS}
+SELECT k AS drawing_id, CASE WHEN NOT contains(path, 'hidden') OR NOT (contains(svg, 'opacity="0"') OR contains(rect, 'none')) THEN
+  '<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 90 9" width="90" height="9"><path d="M0 0h' || k || '"' || CASE WHEN layer IS NULL THEN '' ELSE ' fill="' || fills[layer + 1] || '"' END
+  || CASE WHEN contains(path, 'hidden') THEN ' visibility="hidden"' ELSE '' END || '></path><g opacity="' || regexp_extract(svg, 'opacity="([^"]*)"', 1) || '"><rect width="4"' || CASE WHEN contains(rect, 'none') THEN ' fill="none"' ELSE '' END || '></rect></g></svg>' END AS svg
+FROM won""",
     "page_nodes": _NODES,
     "link_places": f"""SELECT l.page_id, l.url, l.text, CASE WHEN {_count(_BEFORE, "<footer>")} > {_count(_BEFORE, "</footer>")} THEN 'footer' WHEN {_count(_BEFORE, "<nav>")} > {_count(_BEFORE, "</nav>")} THEN 'top' ELSE 'other' END AS place
 FROM ({ORACLES["page_links"]}) l JOIN pages USING (page_id)""",

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenloom.functions import color, labels, text, urls
-from lumenloom.operators import colours, discover, excerpts, exports, guides, head, homepage, jobs, logos, pages, quotes, reading, tree, typography
-from lumenloom.plans.derive import branded_pages, elements, hex_of, homes, links, pick, searches, table
+from lumenloom.operators import colours, discover, excerpts, exports, guides, head, homepage, jobs, logos, pages, quotes, reading, svg, tree, typography
+from lumenloom.plans.derive import branded_pages, elements, hex_of, homes, links, pick, searches, styled_drawings, table
 from lumenloom.streaming import limits
 
 
@@ -147,6 +147,14 @@ def shapes_borrowed(spark: SparkSession, d: str) -> DataFrame:
     return homepage.borrowed_shapes(drawings, shapes).select("page_id", "pos", F.array_join("shapes", "").alias("shapes"))
 
 
+def svg_cascade(spark: SparkSession, d: str) -> DataFrame:
+    return svg.cascaded(svg.elements(styled_drawings(spark, d)))
+
+
+def svg_clean(spark: SparkSession, d: str) -> DataFrame:
+    return svg.clean_drawings(styled_drawings(spark, d))
+
+
 def page_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", pages.visible_text(F.col("html")).alias("text"))
 
