@@ -32,16 +32,17 @@ def reuse_asof(requests: DataFrame, made: DataFrame, hours: int = 24) -> DataFra
 
 
 def in_flight(requests: DataFrame, runs: DataFrame) -> DataFrame:
-    """Each request (key, request_id, ts) with the run of its key (run_id, started, ended) that is going on then, the newest one.
+    """Each request (key, request_id, ts) with a run of its key (run_id, started, ended) that is going on then; of several, the one that goes on longest.
 
-    The newest run that began by then is found in one window over both; whether it still goes on is told after.
+    Of the runs that began by then the one that ends last is a running maximum in one window over both, and if any goes on, that one does.
+    A run without an end still goes on.
     """
     a = requests.select("key", F.col("ts").alias("t"), F.lit(1).alias("is_request"), F.col("request_id").alias("id"), F.lit(None).cast("long").alias("run_id"), F.lit(None).cast("timestamp").alias("ended"))
     b = runs.select("key", F.col("started").alias("t"), F.lit(0).alias("is_request"), F.lit(None).cast("long").alias("id"), "run_id", "ended")
     upto = Window.partitionBy("key").orderBy("t", "is_request", "run_id").rowsBetween(Window.unboundedPreceding, 0)
-    last = F.last(F.when(F.col("is_request") == 0, F.struct("run_id", "ended")), ignorenulls=True).over(upto)
+    last = F.max(F.when(F.col("is_request") == 0, F.struct(F.col("ended").isNull().alias("open"), "ended", "run_id"))).over(upto)
     found = a.unionByName(b).withColumn("last", last).where("is_request = 1")
-    return found.select("key", F.col("id").alias("request_id"), F.when(F.col("t") < F.col("last.ended"), F.col("last.run_id")).alias("run_id"))
+    return found.select("key", F.col("id").alias("request_id"), F.when(F.col("last.open") | (F.col("t") < F.col("last.ended")), F.col("last.run_id")).alias("run_id"))
 
 
 def cancelled(watchers: DataFrame, job: str, delta: str, ts: str, tie: str) -> DataFrame:

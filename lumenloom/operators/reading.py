@@ -31,6 +31,7 @@ BROWSER_MAY_READ = ["empty_content", "bot_blocked", "timeout"]
 MAIN_KINDS, MAIN_KINDS_NEEDED = ["about", "mission", "careers", "press"], 3
 MAX_RETRIES = 3
 MIN_TEXT = 200
+READ_BEFORE, NO_TEXT = "it led to a page that was already read", "it had almost no text"
 ELSEWHERE, NOT_READ = "it redirected to another website", "it redirected to a page that is never read, such as a sign-in or legal page"
 
 
@@ -53,23 +54,35 @@ def means_no_site(error: Column, status: Column) -> Column:
     return error.isin(NO_SITE) | ((error == "target_http_error") & ~blocked)
 
 
-def read_pages(fetched: DataFrame, homes: DataFrame) -> DataFrame:
+def read_pages(fetched: DataFrame, homes: DataFrame, chosen: DataFrame | None = None, order: str = "url") -> DataFrame:
     """fetched plus address, state (read, skipped), reason, retry and elsewhere (the other website's host).
 
     fetched: site_id, url, kind, final_url, error, status, text. homes: site_id, domain, home_url, requested_url,
-    language. A page that landed on the brand's own site is read; on another of its own sites only if a link
-    to it would be; anywhere else it is skipped.
+    language. chosen: site_id, url and kind of the pages that were asked for; others are dropped, and the kind is theirs. A page
+    that landed on the brand's own site is read; on another of its own sites only if a link to it would be; anywhere else it is skipped. So is one
+    that landed on the homepage or where an earlier page (by `order`) was read, and one of almost no text, which a browser may get past.
     """
     f = fetched.withColumn("address", F.coalesce(F.nullif("final_url", F.lit("")), "url")).withColumn("text", F.coalesce("text", F.lit("")))
+    if chosen is not None:
+        asked = chosen.groupBy("site_id", urls.page_key(F.col("url")).alias("__asked")).agg(F.min("kind").alias("__kind"))
+        f = f.withColumn("__asked", urls.page_key(F.col("url"))).join(asked, ["site_id", "__asked"]).withColumn("kind", F.col("__kind")).drop("__asked", "__kind")
     f = f.join(homes, "site_id").withColumn("host", urls.host(F.col("address")))
     path = F.when(urls.path(F.col("address")) == "", F.lit("/")).otherwise(urls.path(F.col("address")))
     home_path = F.when(urls.path(F.col("home_url")) == "", F.lit("/")).otherwise(urls.path(F.col("home_url")))
     fits = urls.public_host(F.col("address")).isNotNull() & discover.usable(F.col("host"), path, urls.site_domain(F.col("host")), urls.page_key(F.col("home_url")), home_path, F.col("language"))
     landed = F.when(urls.same_site(F.col("host"), F.col("domain")), F.lit(None)).when(urls.same_brand(F.col("host"), F.col("domain")), F.when(~fits, F.lit(NOT_READ))).otherwise(F.lit(ELSEWHERE))
-    reason = F.when(F.col("error").isNotNull(), failure_reason(F.col("error"))).otherwise(landed)
+    f = f.withColumn("__landed", F.when(F.col("error").isNotNull(), failure_reason(F.col("error"))).otherwise(landed))
+    f = f.withColumn("__key", urls.page_key(F.col("address"))).withColumn("__short", F.length(text.squeeze(F.col("text"))) < MIN_TEXT)
+    at_home = F.col("__key").isin(urls.page_key(F.col("home_url")), urls.page_key(F.col("requested_url")))
+    good = F.col("__landed").isNull() & ~at_home & ~F.col("__short")
+    first = F.min(F.when(good, F.struct(order, "url"))).over(Window.partitionBy("site_id", "__key"))
+    again = at_home | F.coalesce(F.struct(order, "url") > first, F.lit(False))
+    f = f.withColumn("__reason", F.coalesce("__landed", F.when(again, F.lit(READ_BEFORE)).when(F.col("__short"), F.lit(NO_TEXT))))
+    reason = F.col("__reason")
     return f.select(
         *fetched.columns, "address", F.when(reason.isNull(), F.lit("read")).otherwise("skipped").alias("state"), reason.alias("reason"),
-        F.coalesce(F.col("error").isin(BROWSER_MAY_READ), F.lit(False)).alias("retry"), F.when(F.col("error").isNull() & (reason == ELSEWHERE), urls.without_www(F.col("host"))).alias("elsewhere"),
+        F.coalesce(F.when(F.col("error").isNotNull(), F.col("error").isin(BROWSER_MAY_READ)).otherwise(reason == NO_TEXT), F.lit(False)).alias("retry"),
+        F.when(F.col("error").isNull() & (reason == ELSEWHERE), urls.without_www(F.col("host"))).alias("elsewhere"),
     )
 
 

@@ -54,7 +54,7 @@ def typography(elements: DataFrame, loaded: DataFrame | None = None, screen: int
         "family", "after", F.col("weight").alias("font_weight"), (F.bround(F.col("size") * 2) / 2).alias("px"), amount.alias("amount"), (F.size("hits") > 0).alias("is_web"),
     )
     key = ["site_id", "role", "family"]
-    total = rows.groupBy(*key).agg(F.sum("amount").alias("amount"), F.count("*").alias("elements"), F.bool_or("is_web").alias("is_webfont"), F.min("after").alias("fallbacks"))
+    total = rows.groupBy(*key).agg(F.sum("amount").alias("amount"), F.count("*").alias("elements"), F.bool_or("is_web").alias("is_webfont"))
     best = Window.partitionBy("site_id", "role").orderBy(F.round("amount", 6).desc(), "family")
     winners = total.withColumn("__n", F.row_number().over(best)).where("__n = 1").drop("__n", "amount")
 
@@ -64,4 +64,6 @@ def typography(elements: DataFrame, loaded: DataFrame | None = None, screen: int
         kept = each.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= limit)
         return kept.groupBy(*key).agg(F.sort_array(F.collect_list(column), ascending).alias(out))
 
-    return winners.join(top("font_weight", MAX_WEIGHTS, "weights", True), key).join(top("px", MAX_SIZES, "sizes", False), key)
+    # the family's most frequent stack, the first by its letters on ties
+    stacks = rows.groupBy(*key, "after").agg(F.count("*").alias("n")).groupBy(*key).agg(F.min_by("after", F.struct(-F.col("n"), "after")).alias("fallbacks"))
+    return winners.join(stacks, key).join(top("font_weight", MAX_WEIGHTS, "weights", True), key).join(top("px", MAX_SIZES, "sizes", False), key)

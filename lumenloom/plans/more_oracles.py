@@ -4,21 +4,28 @@ from lumenloom.plans.oracles import _CONTRAST, _colours, _hex, _host, _path
 
 _FETCHED = f"""
 f AS (
-  SELECT page_id AS n, url, array_to_string(string_split({_host("url")}, '.')[-2:], '.') AS site_id, CASE WHEN page_id % 2 = 0 THEN 'about' END AS kind,
+  SELECT page_id AS n, url, html, array_to_string(string_split({_host("url")}, '.')[-2:], '.') AS site_id, CASE WHEN page_id % 2 = 0 THEN 'about' END AS kind,
          nullif(CASE WHEN page_id % 3 = 0 THEN (['', 'timeout', 'page_not_found', 'bot_blocked', 'target_http_error', 'odd_error'])[CAST(page_id // 3 % 6 AS INT) + 1] ELSE '' END, '') AS error,
          ([0, 401, 402, 403, 404, 429, 500, 503])[CAST(page_id % 8 AS INT) + 1] AS status
   FROM pages),
+lands AS (
+  SELECT *, CASE WHEN n % 7 = 2 THEN 'about.' || split_part(site_id, '.', 1) || '/story' WHEN n % 7 = 3 THEN site_id || '/all' WHEN n % 49 = 4 THEN site_id
+                 ELSE lower(rtrim(regexp_replace({_host("url")}, '^www\\.', '') || {_path("url")}, '/')) END AS key,
+         CASE WHEN n % 5 = 0 THEN 1 ELSE length(html) END < 200 AS short FROM f),
+good AS (SELECT site_id, key, min(url) AS first FROM lands WHERE error IS NULL AND n % 7 > 1 AND NOT short AND key NOT IN (site_id, site_id || '/en/about') GROUP BY ALL),
 r AS (
-  SELECT *, CASE error WHEN 'timeout' THEN 'the page took too long to load' WHEN 'page_not_found' THEN 'the page doesn’t exist' WHEN 'bot_blocked' THEN 'the site blocked automated reading'
+  SELECT lands.*, CASE error WHEN 'timeout' THEN 'the page took too long to load' WHEN 'page_not_found' THEN 'the page doesn’t exist' WHEN 'bot_blocked' THEN 'the site blocked automated reading'
                        WHEN 'target_http_error' THEN 'the site answered with an error' WHEN 'odd_error' THEN 'it couldn’t be read'
-                       ELSE CASE n % 7 WHEN 0 THEN 'it redirected to another website' WHEN 1 THEN 'it redirected to a page that is never read, such as a sign-in or legal page' END END AS reason,
-         coalesce(error IN ('timeout', 'bot_blocked'), false) AS retry, CASE WHEN error IS NULL AND n % 7 = 0 THEN 'elsewhere.net' END AS elsewhere
-  FROM f)"""
+                       ELSE CASE n % 7 WHEN 0 THEN 'it redirected to another website' WHEN 1 THEN 'it redirected to a page that is never read, such as a sign-in or legal page'
+                       ELSE CASE WHEN key IN (site_id, site_id || '/en/about') OR url > good.first THEN 'it led to a page that was already read' WHEN short THEN 'it had almost no text' END END END AS reason,
+         CASE WHEN error IS NOT NULL THEN error IN ('timeout', 'bot_blocked') ELSE n % 7 > 1 AND short AND NOT (key IN (site_id, site_id || '/en/about') OR coalesce(url > good.first, false)) END AS retry, CASE WHEN error IS NULL AND n % 7 = 0 THEN 'elsewhere.net' END AS elsewhere
+  FROM lands LEFT JOIN good USING (site_id, key))"""
 
 MORE = {
     "joined_runs": """WITH r AS (SELECT user_id, event_id, ts FROM events WHERE event_type = 'view'),
 m AS (SELECT user_id, event_id AS run, ts AS at, ts + to_minutes(event_id % 5000) AS until FROM events WHERE event_type = 'purchase')
-SELECT r.user_id AS key, r.event_id AS request_id, CASE WHEN r.ts < m.until THEN run END AS run_id FROM r ASOF LEFT JOIN m ON r.user_id = m.user_id AND r.ts >= m.at""",
+SELECT r.user_id AS key, r.event_id AS request_id, list(run ORDER BY until DESC, run DESC) FILTER (run IS NOT NULL)[1] AS run_id
+FROM r LEFT JOIN m ON r.user_id = m.user_id AND r.ts >= m.at AND r.ts < m.until GROUP BY ALL""",
     "cancelled_jobs": """WITH n AS (
   SELECT user_id, ts, sum(CASE WHEN event_type = 'click' THEN 1 ELSE -1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS n
   FROM events WHERE event_type IN ('click', 'error'))
@@ -72,9 +79,10 @@ SELECT o_orderkey, n || unit || CASE WHEN n = 1 THEN '' ELSE 's' END AS wait,
     "font_stacks": """WITH p AS (SELECT p_partkey, p_partkey % 5 AS k, 'B ' || p_size AS b FROM part)
 SELECT p_partkey, (['Face, One', '__Inter_d65c78', '__My_Sans_Fallback_d65c78', '-apple-system', 'Arial'])[CAST(k AS INT) + 1] || '|' || b || '|Sans-Serif' AS names,
   (['"Face, One"|', 'Inter|', '', 'system-ui|', 'Arial|'])[CAST(k AS INT) + 1] || '"' || b || '"|Sans-Serif' AS shown, 'sans-serif' AS keyword FROM p""",
-    "safe_addresses": f"""WITH p AS (SELECT page_id AS n, url, {_host("url")} AS host, {_path("url")} AS path FROM pages)
+    "safe_addresses": rf"""WITH p AS (SELECT page_id AS n, url, {_host("url")} AS host, {_path("url")} AS path FROM pages)
 SELECT n AS page_id, CASE WHEN n % 4 = 2 THEN lower(url) END AS web, CASE n % 4 WHEN 2 THEN lower(url) WHEN 1 THEN 'data:image/png;base64,iVBORw0KGgo=' END AS logo,
-  CASE WHEN n % 2 = 0 THEN 'data:image/svg+xml;base64,' || to_base64(encode(url)) END AS data, true AS on_page, host AS public, 'name:x site:' || host || '/' AS keys FROM p""",
+  CASE WHEN n % 2 = 0 THEN 'data:image/svg+xml;base64,' || to_base64(encode(url)) END AS data, true AS on_page, host AS public,
+  'name:x site:' || regexp_replace(regexp_extract(url, '^[a-z]+://([^?#]*[^?#/])', 1), '^www\.', '') || regexp_extract(url, '(\?[^#]+)', 1) AS keys FROM p""",
     "empty_sections": """SELECT c_custkey AS site_id, concat_ws(', ', CASE WHEN c_custkey % 3 <> 0 THEN 'logo' END, CASE WHEN c_custkey % 2 <> 0 THEN 'tone of voice' END, CASE WHEN c_custkey % 4 = 0 THEN 'key messaging' END) AS missing FROM customer""",
     "model_rounds": """SELECT l_suppkey % 10 AS site_id, l_returnflag AS model, l_linenumber AS round, CAST(sum(CAST(floor(l_quantity) AS BIGINT)) AS BIGINT) AS verified, count(*) * 50 AS checked,
   CAST(sum(l_partkey % 5) AS BIGINT) AS kept, count(*) * 5 AS drafted, CAST(sum(l_orderkey) AS BIGINT) AS tokens, round(sum(l_tax) + 1e-7, 3) AS cost, max(l_discount) AS seconds FROM lineitem GROUP BY ALL""",

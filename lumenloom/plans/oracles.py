@@ -174,7 +174,7 @@ SELECT site_id, count(*) AS kept, CAST(sum(pos) AS BIGINT) AS pos_sum FROM n WHE
 FROM rows GROUP BY ALL""",
     "typography_by_role": f"""WITH {_ELEMENTS},
 t AS (
-  SELECT site_id, family, weight, size,
+  SELECT site_id, family, weight, size, CASE WHEN pos % 3 = 0 THEN 'Arial,sans-serif' ELSE 'serif' END AS rest,
          CASE WHEN kind = 'heading' OR (size >= 28 AND chars <= 200) THEN 'heading'
               WHEN kind = 'button' OR (kind = 'link' AND region IN ('header', 'nav')) THEN 'ui' ELSE 'body' END AS role,
          least(chars, 300) * place * CASE WHEN region = 'footer' THEN 0.5 ELSE 1.0 END AS amount
@@ -182,9 +182,10 @@ t AS (
 f AS (SELECT site_id, role, family, count(*) AS elements FROM t GROUP BY site_id, role, family QUALIFY row_number() OVER (PARTITION BY site_id, role ORDER BY round(sum(amount), 6) DESC, family) = 1),
 w AS (SELECT site_id, role, family, weight FROM t GROUP BY site_id, role, family, weight QUALIFY row_number() OVER (PARTITION BY site_id, role, family ORDER BY round(sum(amount), 6) DESC, weight) <= 4),
 z AS (SELECT site_id, role, family, size FROM t GROUP BY site_id, role, family, size QUALIFY row_number() OVER (PARTITION BY site_id, role, family ORDER BY round(sum(amount), 6) DESC, size) <= 6),
+r AS (SELECT site_id, role, family, rest AS fallbacks FROM t GROUP BY site_id, role, family, rest QUALIFY row_number() OVER (PARTITION BY site_id, role, family ORDER BY count(*) DESC, rest) = 1),
 wl AS (SELECT site_id, role, family, string_agg(CAST(weight AS VARCHAR), ',' ORDER BY weight) AS weights FROM w GROUP BY ALL),
 zl AS (SELECT site_id, role, family, string_agg(CAST(CAST(size AS INT) AS VARCHAR), ',' ORDER BY size DESC) AS sizes FROM z GROUP BY ALL)
-SELECT site_id, role, family, elements, weights, sizes FROM f JOIN wl USING (site_id, role, family) JOIN zl USING (site_id, role, family)""",
+SELECT site_id, role, family, elements, weights, sizes, fallbacks FROM f JOIN wl USING (site_id, role, family) JOIN zl USING (site_id, role, family) JOIN r USING (site_id, role, family)""",
     "first_screen_shares": f"""WITH c AS (
   SELECT o_custkey % 50 AS site_id, CASE WHEN o_orderstatus <> 'P' THEN {_hex("o_orderkey % 9")} END AS hex, count(*) AS count FROM orders GROUP BY ALL)
 SELECT site_id, hex, count, round(count / CAST(sum(count) OVER (PARTITION BY site_id) AS DOUBLE), 3) AS share FROM c""",

@@ -93,9 +93,10 @@ def logo_places(spark: SparkSession, d: str) -> DataFrame:
 
 
 def typography_by_role(spark: SparkSession, d: str) -> DataFrame:
-    t = typography.typography(elements(spark, d))
+    e = elements(spark, d)
+    t = typography.typography(e.withColumn("font", F.when(F.col("pos") % 3 == 0, F.replace("font", F.lit("serif"), F.lit("Arial, sans-serif"))).otherwise(F.col("font"))))
     joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("int").cast("string")), ",").alias(c)
-    return t.select("site_id", "role", "family", "elements", joined("weights"), joined("sizes"))
+    return t.select("site_id", "role", "family", "elements", joined("weights"), joined("sizes"), F.array_join("fallbacks", ",").alias("fallbacks"))
 
 
 def first_screen_shares(spark: SparkSession, d: str) -> DataFrame:
@@ -358,14 +359,15 @@ STATUSES = [0, 401, 402, 403, 404, 429, 500, 503]
 
 
 def _fetched(spark, d):
-    """The pages as if they were fetched: some fail, some land on other sites."""
+    """The pages as if they were fetched: some fail, some land on other sites, the homepage or all on one page, some have almost no text."""
     p = table(spark, d, "pages")
     n = F.col("page_id")
     site = urls.site_domain(urls.host(F.col("url")))
     error = F.nullif(F.when(n % 3 == 0, pick(ERRORS, F.floor(n / 3) % 6)).otherwise(""), F.lit(""))
     label = F.substring_index(site, ".", 1)
-    final = F.when(n % 7 == 0, F.lit("https://www.elsewhere.net/x")).when(n % 7 == 1, F.concat(F.lit("https://about."), label, F.lit("/login"))).when(n % 7 == 2, F.concat(F.lit("https://about."), label, F.lit("/story"))).otherwise("")
-    return p.select(site.alias("site_id"), "url", F.when(n % 2 == 0, F.lit("about")).alias("kind"), final.alias("final_url"), error.alias("error"), pick_int(STATUSES, n % 8).alias("status"), F.lit("t").alias("text"))
+    final = F.when(n % 7 == 0, F.lit("https://www.elsewhere.net/x")).when(n % 7 == 1, F.concat(F.lit("https://about."), label, F.lit("/login"))).when(n % 7 == 2, F.concat(F.lit("https://about."), label, F.lit("/story"))).when(n % 7 == 3, F.concat(F.lit("https://www."), site, F.lit("/all/"))).when(n % 49 == 4, F.concat(F.lit("https://"), site)).otherwise("")
+    said = F.when(n % 5 == 0, F.lit(" t ")).otherwise(F.col("html"))
+    return p.select(site.alias("site_id"), "url", F.when(n % 2 == 0, F.lit("about")).alias("kind"), final.alias("final_url"), error.alias("error"), pick_int(STATUSES, n % 8).alias("status"), said.alias("text"))
 
 
 def pick_int(values, index):
@@ -444,7 +446,7 @@ def safe_addresses(spark: SparkSession, d: str) -> DataFrame:
     raw = F.when(n % 4 == 0, F.concat(F.lit("javascript:"), "url")).when(n % 4 == 1, F.lit("data:image/png;base64,iVBORw0KGgo=")).when(n % 4 == 2, F.concat(F.lit("\t"), F.lower("url"))).otherwise(F.concat("url", F.lit(" x")))
     data = labels.data_address(F.col("url").cast("binary"), F.when(n % 2 == 0, F.lit("svg")).otherwise("gif"))
     home = F.concat(F.lit("https://"), urls.host(F.col("url")), F.lit("/"))
-    return p.select("page_id", labels.web_address(raw).alias("web"), labels.logo_address(raw).alias("logo"), data.alias("data"), labels.on_page(F.col("url"), home).alias("on_page"), urls.public_host(F.col("url")).alias("public"), F.array_join(reading.guide_keys(F.array(F.lit("name:x"), F.lit(None).cast("string")), home), " ").alias("keys"))
+    return p.select("page_id", labels.web_address(raw).alias("web"), labels.logo_address(raw).alias("logo"), data.alias("data"), labels.on_page(F.col("url"), home).alias("on_page"), urls.public_host(F.col("url")).alias("public"), F.array_join(reading.guide_keys(F.array(F.lit("name:x"), F.lit(None).cast("string")), F.col("url")), " ").alias("keys"))
 
 
 def empty_sections(spark: SparkSession, d: str) -> DataFrame:
