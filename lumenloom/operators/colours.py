@@ -234,6 +234,50 @@ def first_screen(points: DataFrame) -> DataFrame:
     return counts.withColumn("share", F.round(F.col("count") / F.sum("count").over(Window.partitionBy("site_id")), 3))
 
 
+def twins(held: DataFrame, asked: DataFrame, same: float = SAME, grow: bool = True) -> DataFrame:
+    """site_id, hex and twin: the held colour that each asked colour counts under.
+
+    held: site_id, hex and place (the order in which they were first seen), asked: site_id, hex and at (their order); a colour once in a site. A colour that is held itself is its own
+    twin; else the first seen one closer than `same` is, found in cubes of Lab space as wide as that. The rest (`grow`) become held colours
+    themselves, one after the other, so a later one counts under the first earlier one that is close; without `grow` their twin is null.
+    """
+    cube = lambda p, by=(0, 0, 0): F.struct(*[(F.floor(p[c] / same) + d).alias(c) for c, d in zip("lab", by)])
+    h = held.select("site_id", F.col("hex").alias("twin"), "place", color.lab(F.col("hex")).alias("q"))
+    a = asked.select("site_id", "hex", "at")
+    exact = a.join(h.select("site_id", F.col("twin").alias("hex")), ["site_id", "hex"], "left_semi").select("site_id", "hex", F.col("hex").alias("twin"))
+    rest = a.join(h.select("site_id", F.col("twin").alias("hex")), ["site_id", "hex"], "left_anti").withColumn("p", color.lab(F.col("hex")))
+    around = F.array(*[cube(F.col("p"), (x, y, z)) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1)])
+    met = rest.withColumn("cube", F.explode(around)).join(h.withColumn("cube", cube(F.col("q"))), ["site_id", "cube"]).where(color.distance(F.col("p"), F.col("q")) < same)
+    close = met.groupBy("site_id", "hex").agg(F.min_by("twin", F.struct("place", "twin")).alias("twin"))
+    left = rest.join(close.select("site_id", "hex"), ["site_id", "hex"], "left_anti")
+    if grow:
+        new = merge_lookalikes(left.select("site_id", "hex", (-F.col("at")).cast("double").alias("weight"), F.col("at").alias("first_pos"), F.lit(False).alias("is_background")), same)
+        own = new.select("site_id", "hex", F.col("kept").alias("twin"))
+    else:
+        own = left.select("site_id", "hex", F.lit(None).cast("string").alias("twin"))
+    return exact.unionByName(close).unionByName(own)
+
+
+def with_points(held: DataFrame, points: DataFrame, same: float = SAME) -> DataFrame:
+    """site_id, hex, points and share of the colours that fill the first screen, those that no element uses among them.
+
+    held: site_id, hex, place. points: site_id, hex, at, count: the sampled points of each colour.
+    """
+    found = points.join(twins(held, points, same), ["site_id", "hex"])
+    own = found.groupBy("site_id", F.col("twin").alias("hex")).agg(F.sum("count").alias("points"))
+    return own.withColumn("share", F.round(F.col("points") / F.sum("points").over(Window.partitionBy("site_id")), 3))
+
+
+def logo_uses(held: DataFrame, logo_colours: DataFrame, same: float = SAME) -> DataFrame:
+    """site_id, hex, times and only_in_logo of the logo's colourful colours, under the page's own colour where that looks the same.
+
+    logo_colours: site_id, hex, at.
+    """
+    bright = logo_colours.withColumn("p", color.lab(F.col("hex"))).where(F.hypot("p.a", "p.b") >= COLOURFUL).drop("p")
+    found = twins(held, bright, same, grow=False)
+    return found.groupBy("site_id", F.coalesce("twin", "hex").alias("hex"), F.col("twin").isNull().alias("only_in_logo")).agg(F.count("*").alias("times"))
+
+
 #: Radii, in units of Lab, that the search for a nearest colour grows through; the last one spans the space.
 RADII = (6, 18, 54, 400)
 

@@ -21,6 +21,8 @@ NAMES = [
     "logo_places",
     "typography_by_role",
     "first_screen_shares",
+    "points_shared",
+    "logo_colours",
     "site_domain_rollup",
     "page_key_dedupe",
     "page_titles",

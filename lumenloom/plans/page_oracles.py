@@ -1,6 +1,6 @@
 """DuckDB SQL for the queries on the element tree: parents by a recursive query over tags, images by what stands before them."""
 
-from lumenloom.plans.oracles import ORACLES, _hex, _host
+from lumenloom.plans.oracles import ORACLES, _colours, _hex, _host
 
 _TAG_REST = """(?:[^''">]|"[^"]*"|''[^'']*'')*"""
 _TOKEN = rf"(?is)<!--.*?-->|<(?:script|style|textarea|title)(?:\s{_TAG_REST})?>.*?</(?:script|style|textarea|title)\s*>|</?[a-z]{_TAG_REST}>|<[!?/][^>]*>|[^<]+|<"
@@ -65,7 +65,30 @@ said AS (
   FROM g),
 won AS (SELECT *, list_filter([3, 2, 1, 0], lambda i: fills[i + 1] IS NOT NULL)[1] AS layer FROM said)"""
 
+_SCREEN = f"""
+src AS (SELECT DISTINCT {_hex("p_partkey % 90")} AS hex FROM part UNION SELECT DISTINCT {_hex("p_partkey * 7 % 130")} FROM part), {_colours("src")},
+held AS (SELECT s, h.hex, place, l, a, b FROM (SELECT p_partkey // 40 AS s, {_hex("p_partkey % 90")} AS hex, min(p_partkey) AS place FROM part GROUP BY ALL) h JOIN lab USING (hex)),
+seen AS (SELECT s, x.hex, at_, n, l, a, b FROM (SELECT p_partkey // 40 AS s, {_hex("p_partkey * 7 % 130")} AS hex, min(p_partkey) AS at_, sum(p_partkey % 11 + 1) AS n FROM part GROUP BY ALL) x JOIN lab USING (hex)),
+near AS (
+  SELECT x.s, x.hex, h.hex AS twin, row_number() OVER (PARTITION BY x.s, x.hex ORDER BY CASE WHEN h.hex = x.hex THEN 0 ELSE 1 END, h.place) AS k
+  FROM seen x JOIN held h ON h.s = x.s AND sqrt((x.l - h.l) * (x.l - h.l) + (x.a - h.a) * (x.a - h.a) + (x.b - h.b) * (x.b - h.b)) < 20),
+rest AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY at_) AS k FROM seen ANTI JOIN near USING (s, hex))"""
+
 PAGES = {
+    "points_shared": f"""WITH RECURSIVE {_SCREEN},
+g AS (
+  SELECT s, 0::BIGINT AS k, CAST([] AS STRUCT(hex VARCHAR, l DOUBLE, a DOUBLE, b DOUBLE)[]) AS heads, '' AS hex, '' AS twin FROM (SELECT DISTINCT s FROM rest)
+  UNION ALL
+  SELECT s, k, CASE WHEN hit IS NULL THEN list_append(heads, {{'hex': hex, 'l': l, 'a': a, 'b': b}}) ELSE heads END, hex, coalesce(hit, hex)
+  FROM (
+    SELECT r.*, g.heads, list_filter(g.heads, lambda q: sqrt((r.l - q.l) * (r.l - q.l) + (r.a - q.a) * (r.a - q.a) + (r.b - q.b) * (r.b - q.b)) < 20)[1].hex AS hit
+    FROM g JOIN rest r ON r.s = g.s AND r.k = g.k + 1)),
+t AS (SELECT s, hex, twin FROM near WHERE k = 1 UNION ALL SELECT s, hex, twin FROM g WHERE k > 0),
+p AS (SELECT s, twin AS hex, sum(n) AS points FROM t JOIN seen USING (s, hex) GROUP BY ALL)
+SELECT s AS site_id, hex, CAST(points AS BIGINT) AS points, round(round(points / sum(points) OVER (PARTITION BY s), 3) + 1e-9, 3) AS share FROM p""",
+    "logo_colours": f"""WITH {_SCREEN},
+b AS (SELECT x.s, x.hex, twin FROM seen x LEFT JOIN (FROM near WHERE k = 1) n ON n.s = x.s AND n.hex = x.hex WHERE sqrt(x.a * x.a + x.b * x.b) >= 20.0)
+SELECT s AS site_id, coalesce(twin, hex) AS hex, twin IS NULL AS only_in_logo, count(*) AS times FROM b GROUP BY ALL""",
     "svg_cascade": f"""WITH {_DRAWINGS},
 e AS (
   FROM (SELECT k, 0 AS n, 'viewBox' AS name, '0 0 90 9' AS value, 0 AS layer FROM won) UNION ALL FROM (SELECT k, n, 'fill', fills[layer + 1], layer FROM won WHERE layer IS NOT NULL)

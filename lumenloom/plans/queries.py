@@ -104,6 +104,25 @@ def first_screen_shares(spark: SparkSession, d: str) -> DataFrame:
     return colours.first_screen(points)
 
 
+def _screen(spark, d):
+    """Colours of sites in the order in which they are seen, and points of their first screens: some of the same colours, some near them, some new."""
+    p = table(spark, d, "part")
+    k = F.col("p_partkey")
+    site = F.floor(k / 40).alias("site_id")
+    held = p.select(site, hex_of(k % 90).alias("hex"), "p_partkey").groupBy("site_id", "hex").agg(F.min("p_partkey").alias("place"))
+    seen = p.select(site, hex_of(k * 7 % 130).alias("hex"), "p_partkey").groupBy("site_id", "hex").agg(F.min("p_partkey").alias("at"), F.sum(k % 11 + 1).alias("count"))
+    return held, seen
+
+
+def points_shared(spark: SparkSession, d: str) -> DataFrame:
+    return colours.with_points(*_screen(spark, d), same=20.0).select("site_id", "hex", "points", F.round(F.col("share") + 1e-9, 3).alias("share"))
+
+
+def logo_colours(spark: SparkSession, d: str) -> DataFrame:
+    held, seen = _screen(spark, d)
+    return colours.logo_uses(held, seen, same=20.0)
+
+
 def site_domain_rollup(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "pages")
     host = urls.host(F.col("url"))

@@ -1,8 +1,10 @@
 import json
+import random
 
 from pyspark.sql import functions as F
 
-from lumenloom.operators import discover, excerpts, exports, jobs, logos, pages, quotes
+from lumenloom.functions import urls
+from lumenloom.operators import colours, discover, excerpts, exports, jobs, pages, quotes, reading
 
 
 def test_choose_pages_prefers_kinds_and_skips_repeats(spark):
@@ -72,3 +74,71 @@ def test_robot_check_and_links(spark):
     assert p.select(pages.title(F.col("html")).alias("t"), pages.language(F.col("html")).alias("l")).first() == ("A & B", "en-gb")
     assert "https://a.com/x" in [r.url for r in pages.links(p).collect()]
     assert spark.range(1).select(pages.is_robot_check(F.lit("Are you a robot? Prove it"), F.lit("x")).alias("x")).first().x
+
+
+def lab(code):
+    v = [int(code[i : i + 2], 16) / 255 for i in (1, 3, 5)]
+    r, g, b = (x / 12.92 if x <= 0.04045 else ((x + 0.055) / 1.055) ** 2.4 for x in v)
+    x, y, z = (r * 0.4124 + g * 0.3576 + b * 0.1805) / 0.95047, r * 0.2126 + g * 0.7152 + b * 0.0722, (r * 0.0193 + g * 0.1192 + b * 0.9505) / 1.08883
+    f = lambda t: t ** (1 / 3) if t > (6 / 29) ** 3 else t / (3 * (6 / 29) ** 2) + 4 / 29
+    return 116 * f(y) - 16, 500 * (f(x) - f(y)), 200 * (f(y) - f(z))
+
+
+def plain_twins(held, asked, same, grow):
+    """The asked colours one by one, each against all that are held by then."""
+    out = {}
+    for site in {s for s, *_ in asked}:
+        known = [h for s, h, _ in sorted(held, key=lambda r: r[2]) if s == site]
+        for _, h, _ in sorted((r for r in asked if r[0] == site), key=lambda r: r[2]):
+            near = [k for k in known if sum((x - y) ** 2 for x, y in zip(lab(k), lab(h))) ** 0.5 < same]
+            out[site, h] = h if h in known else near[0] if near else h if grow else None
+            if grow and h not in known and not near:
+                known.append(h)
+    return out
+
+
+def test_twins_are_found_by_code_then_by_looks(spark):
+    rng = random.Random(6)
+    code = lambda: "#" + "".join(rng.choice("0369CF") * 2 for _ in range(3))
+    held = sorted({(s, code()) for s in range(12) for _ in range(15)})
+    asked = sorted({(s, code()) for s in range(13) for _ in range(40)})
+    held = [(*r, i) for i, r in enumerate(rng.sample(held, len(held)))]
+    asked = [(*r, i) for i, r in enumerate(rng.sample(asked, len(asked)))]
+    h, a = spark.createDataFrame(held, "site_id int, hex string, place int"), spark.createDataFrame(asked, "site_id int, hex string, at int")
+    for grow in (True, False):
+        got = {(r.site_id, r.hex): r.twin for r in colours.twins(h, a, 14.0, grow).collect()}
+        assert got == plain_twins(held, asked, 14.0, grow) and len(got) == len(asked)
+    points = colours.with_points(h, a.withColumn("count", F.lit(2)), 14.0).collect()
+    assert sum(p.points for p in points) == 2 * len(asked) and all(abs(sum(p.share for p in points if p.site_id == s) - 1) < 0.05 for s in range(13))
+    marked = colours.logo_uses(h, a, 14.0).collect()
+    assert sum(m.times for m in marked) == sum((lab(c)[1] ** 2 + lab(c)[2] ** 2) ** 0.5 >= colours.COLOURFUL for _, c, _ in asked)
+
+
+def test_runs_that_go_on_behind_ended_ones(spark):
+    runs = [("k", 1, 0, 100), ("k", 2, 10, 20), ("k", 3, 200, None), ("j", 4, 0, 50)]
+    asked = [("k", 10, 15), ("k", 11, 30), ("k", 12, 100), ("k", 13, 999), ("j", 14, 50), ("j", 15, 0), ("x", 16, 1)]
+    at = lambda c: F.timestamp_seconds(c).alias(c)
+    r = spark.createDataFrame(runs, "key string, run_id long, started long, ended long").select("key", "run_id", at("started"), at("ended"))
+    q = spark.createDataFrame(asked, "key string, request_id long, ts long").select("key", "request_id", at("ts"))
+    assert {x.request_id: x.run_id for x in jobs.in_flight(q, r).collect()} == {10: 1, 11: 1, 12: None, 13: 3, 14: None, 15: 4, 16: None}
+
+
+def test_pages_are_read_once_and_with_enough_text(spark):
+    homes = spark.createDataFrame([("s", "kelso.example", "https://kelso.example/", "https://www.kelso.example/start", "en")], "site_id string, domain string, home_url string, requested_url string, language string")
+    long = "word " * 50
+    rows = [
+        ("a", "", None, long), ("b", "https://kelso.example/a/", None, long), ("c", "https://www.kelso.example", None, long), ("d", "https://kelso.example/start", None, "x"), ("e", "", None, " x "),
+        ("f", "https://kelso.example/g", None, "short"), ("g", "", None, long), ("h", "https://other.example/", None, long), ("i", "", "timeout", None), ("z", "", None, long),
+    ]
+    f = spark.createDataFrame([("s", f"https://kelso.example/{p}", "press", final, error, 200, t) for p, final, error, t in rows], "site_id string, url string, kind string, final_url string, error string, status int, text string")
+    chosen = f.where("url <> 'https://kelso.example/z'").select("site_id", F.upper("url").alias("url"), F.lit("about").alias("kind"))
+    got = {r.url[-1]: (r.state, r.reason, r.retry, r.kind) for r in reading.read_pages(f, homes, chosen).collect()}
+    again, little = "it led to a page that was already read", "it had almost no text"
+    want = {"a": ("read", None, False), "b": ("skipped", again, False), "c": ("skipped", again, False), "d": ("skipped", again, False), "e": ("skipped", little, True), "f": ("skipped", little, True), "g": ("read", None, False), "h": ("skipped", reading.ELSEWHERE, False), "i": ("skipped", reading.REASONS["timeout"], True)}
+    assert got == {k: (*v, "about") for k, v in want.items()}
+
+
+def test_site_keys(spark):
+    urls_ = {"https://www.kelso.example/": "site:kelso.example", "http://kelso.example": "site:kelso.example", "https://www.kelso.example/de/": "site:kelso.example/de", "https://kelso.example:8443/a?l=fr#x": "site:kelso.example:8443/a?l=fr", "https://Kelso.example/?": "site:kelso.example"}
+    rows = spark.createDataFrame([(u,) for u in urls_], "u string").select("u", urls.site_key(F.col("u")).alias("k")).collect()
+    assert {r.u: r.k for r in rows} == urls_
