@@ -443,7 +443,8 @@ def _confirm_in_place(members: DataFrame, comps: DataFrame, sets: DataFrame, sim
 def _shared_ids(made: DataFrame, reps: DataFrame) -> DataFrame:
     """Links a, b from a text's representative to an id of several texts, for each of its texts: they are one node."""
     rows = made.where("n_shingles > 0 and doc_id is not null").select(F.col("doc_id").cast("long").alias("b"), "digest")
-    several = rows.groupBy("b").agg(F.min("digest").alias("least"), F.max("digest").alias("most")).where("least <> most").select("b")
+    short = F.xxhash64("digest")  # numbers, so that Spark adds up by hashing instead of sorting
+    several = rows.groupBy("b").agg(F.min(short).alias("least"), F.max(short).alias("most")).where("least <> most").select("b")
     texts = rows.join(_few(materialize(several, "shared")), "b", "left_semi").distinct()
     return texts.join(reps.select("digest", F.col("rep").alias("a")), "digest").where("a <> b").select("a", "b")
 
