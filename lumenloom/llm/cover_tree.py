@@ -25,7 +25,7 @@ vectors with each other, in even tasks.
 Defined results: null vectors, empty or zero ones, and those with null or non-finite components link
 with nothing, and neither do vectors of different lengths; equal vectors link with each other; a cosine
 of exactly the threshold links; rows that share an id have links of their own, but are one node in the
-components; a null id gets no links, a null component and isn't kept; an empty table gives an empty
+components, except those that link with nothing, which are their own; a null id gets no links, a null component and isn't kept; an empty table gives an empty
 table; other columns are ignored, labels too.
 """
 

@@ -295,7 +295,9 @@ def test_embeddings_at_the_threshold_and_with_repeated_ids(spark):
 def test_vectors_that_share_an_id_are_one_node(spark):
     a, b, c = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
     check_linked(spark, [(5, a, 0), (5, b, 0), (3, b, 0)])
-    check_linked(spark, [(9, a, 0), (8, a, 0), (9, b, 0), (7, b, 0), (7, c, 0), (2, c, 0), (4, [1.0, 1.0, 1.0], 0), (4, [1.0, 1.0, 1.0], 1), (6, None, 0), (6, a, 0)])
+    check_linked(spark, [(9, a, 0), (8, a, 0), (9, b, 0), (7, b, 0), (7, c, 0), (2, c, 0), (4, [1.0, 1.0, 1.0], 0), (4, [1.0, 1.0, 1.0], 1), (6, a, 0)])
+    rows = cover_tree.linked_vectors(spark.createDataFrame([(6, None), (6, a), (2, a)], "vec_id long, embedding array<double>")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in rows) == [(2, 1, 2), (6, 0, 6), (6, 1, 2)]  # what links with nothing is its own
 
 
 def test_embeddings_of_nothing(spark):
