@@ -25,7 +25,7 @@ def test_rows_equal_sql(spark, name):
 
 def test_all_are_registered():
     found = __spark_entry__.queries()
-    assert {f"op{n}" for n in range(1, 11)} <= {k.split("_")[0] for k in found} and "pipeline" in found
+    assert {f"op{n}" for n in range(1, 14)} <= {k.split("_")[0] for k in found} and "pipeline" in found
 
 
 def test_pipeline_stages(spark):
