@@ -4,6 +4,7 @@ from lumenloom.plans import queries as q
 from lumenloom.plans.more_oracles import MORE
 from lumenloom.plans.page_oracles import PAGES
 from lumenloom.plans.oracles import ORACLES
+from lumenloom.plans.step_oracles import STEPS
 
 FLAGSHIP = "contrast_matrix"
 NAMES = [
@@ -84,8 +85,9 @@ NAMES = [
     "paper_colours",
     "contrast_grid",
     "token_contrast",
+    "measurements_checked",
 ]
-ORACLES = {**ORACLES, **MORE, **PAGES}
+ORACLES = {**ORACLES, **MORE, **PAGES, **STEPS}
 QUERIES = {name: getattr(q, name) for name in NAMES}
 
 __all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]

@@ -112,3 +112,24 @@ def pick_text(index: Column, texts: list[Column]) -> Column:
     for i, t in enumerate(texts):
         found = F.when(index == i, t).otherwise(found)
     return found
+
+
+def landed_measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """site_id and raw: each order as a measurement whose elements are its line items. Some elements, fonts and colours have a flaw, some measurements too."""
+    put = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    n = F.col("l_partkey")
+    item = pick_text(n % 16, [
+        F.lit('{"kind":"box","color":"red"}'), F.lit('{"weight":400.5,"w":1}'), F.lit('{"kind":"blob","color":"red"}'), F.lit("7"), F.lit('{"w":"wide"}'), F.lit('{"w":" 12.5 ","weight":"700"}'), F.lit('{"region":null}'),
+        F.lit('{"on_image":"perhaps"}'),
+    ])
+    plain = put('{"kind":"', pick(KINDS, n % 5), '","w":', F.col("l_quantity").cast("int").cast("string"), ',"color":"', hex_of(n), '","bg":null,"more":[1]}')
+    i = table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct("l_linenumber", F.coalesce(item, plain).alias("item")).alias("one"))
+    of_order = i.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list("one")), lambda x: x["item"]), ",").alias("items"))
+    k = F.col("o_orderkey")
+    url = F.when(k % 29 == 0, F.lit("")).otherwise(put('"url":"https://a', k.cast("string"), '.com/",'))
+    view = F.when(k % 23 == 0, F.lit("")).when(k % 19 == 0, F.lit('"viewport":{"width":"wide","height":900},')).otherwise('"viewport":{"width":1440,"height":900},')
+    back = F.when(k % 31 == 0, F.lit('"page_background":"white",')).otherwise("")
+    rest = put('"fonts":[{"family":"A"},{"weight":"700"},{"family":', (k % 3).cast("string"), '}],"samples":{"colors":{"#FFFFFF":', (k % 90).cast("string"), ',"#12345":4,"#000000":"x"},"total":90}}')
+    raw = put("{", url, view, back, '"elements":[', F.coalesce("items", F.lit("")), "],", rest)
+    raw = F.when(k % 37 == 0, F.substring(raw, 1, 40)).when(k % 41 == 0, F.lit("[1,2]")).otherwise(raw)
+    return table(spark, sf_dir, "orders").join(of_order, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(k.alias("site_id"), raw.alias("raw"))

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from lumenloom.functions import color, labels, text, urls
 from lumenloom.operators import colours, discover, excerpts, exports, guides, head, homepage, jobs, logos, pages, quotes, reading, svg, tree, typography
-from lumenloom.plans.derive import branded_pages, elements, hex_of, homes, links, pick, searches, styled_drawings, table
+from lumenloom.plans.derive import branded_pages, elements, hex_of, homes, landed_measurements, links, pick, searches, styled_drawings, table
+from lumenloom.sources import measurements
 from lumenloom.streaming import limits
 
 
@@ -513,6 +514,14 @@ def token_contrast(spark: SparkSession, d: str) -> DataFrame:
     return c.select("theme", "fg", "bg", F.floor(F.col("ratio") * 100).alias("ratio"), "enough")
 
 
+def measurements_checked(spark: SparkSession, d: str) -> DataFrame:
+    """What may be used of each landed measurement, and what was left out."""
+    m = measurements.checked_measurements(landed_measurements(spark, d))
+    left = lambda key: F.coalesce(F.element_at("left_out", F.lit(key)), F.when(F.col("error").isNull(), F.lit(0).cast("bigint")))
+    width = F.aggregate("elements", F.lit(0.0), lambda n, e: n + e["w"])
+    return m.select("site_id", "error", left("elements").alias("left_elements"), left("fonts").alias("left_fonts"), left("first-screen colours").alias("left_colours"), F.array_join("problems", "; ").alias("problems"), F.array_join(F.transform("elements", lambda e: e["kind"]), ",").alias("kinds"), F.round(width, 2).alias("width"), F.element_at("colors", F.lit("#FFFFFF")).alias("white"))
+
+
 def events_state_stream(spark: SparkSession, d: str) -> DataFrame:
     """The events table as a stream through the sliding limiter, in one run over what is there."""
     schema = table(spark, d, "events").schema
