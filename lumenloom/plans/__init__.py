@@ -86,6 +86,7 @@ NAMES = [
     "contrast_grid",
     "token_contrast",
     "measurements_checked",
+    "drawing_holes",
 ]
 ORACLES = {**ORACLES, **MORE, **PAGES, **STEPS}
 QUERIES = {name: getattr(q, name) for name in NAMES}

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenloom.functions import color, labels, text, urls
-from lumenloom.operators import colours, discover, excerpts, exports, guides, head, homepage, jobs, logos, pages, quotes, reading, svg, tree, typography
+from lumenloom.operators import areas, colours, discover, excerpts, exports, guides, head, homepage, jobs, logos, pages, quotes, reading, svg, tree, typography
 from lumenloom.plans.derive import branded_pages, elements, hex_of, homes, landed_measurements, links, pick, searches, styled_drawings, table
 from lumenloom.sources import measurements
 from lumenloom.streaming import limits
@@ -514,6 +514,14 @@ def token_contrast(spark: SparkSession, d: str) -> DataFrame:
     return c.select("theme", "fg", "bg", F.floor(F.col("ratio") * 100).alias("ratio"), "enough")
 
 
+def drawing_holes(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers as drawings of 24 lines whose line items are their ink: how much of the box is ink and how much is enclosed."""
+    at = (F.col("l_orderkey") * 7 + F.col("l_linenumber") * 13) % (24 * 24)
+    ink = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("image_id"), (at % 24).alias("x"), F.floor(at / 24).alias("y"))
+    share = lambda n: F.round(F.col(n) / F.col("box_n") + 1e-9, 3)
+    return areas.enclosed(ink).select("image_id", "ink_n", "box_n", "hole_n", share("ink_n").alias("fill"), share("hole_n").alias("holes"))
+
+
 def measurements_checked(spark: SparkSession, d: str) -> DataFrame:
     """What may be used of each landed measurement, and what was left out."""
     m = measurements.checked_measurements(landed_measurements(spark, d))

@@ -54,4 +54,16 @@ SELECT site_id, 'measurement in an unexpected shape: ' || error AS error, CASE W
        CASE WHEN error IS NULL THEN coalesce(problems, '') END AS problems, CASE WHEN error IS NULL THEN coalesce(kinds, '') END AS kinds,
        round(CASE WHEN error IS NULL THEN coalesce(width, 0) END, 2) AS width, CASE WHEN error IS NULL THEN CAST(raw ->> '$.samples.colors."#FFFFFF"' AS BIGINT) END AS white
 FROM judged LEFT JOIN es USING (site_id) LEFT JOIN fs USING (site_id) LEFT JOIN cs USING (site_id) LEFT JOIN told USING (site_id)""",
+    "drawing_holes": """
+WITH RECURSIVE ink AS (SELECT DISTINCT l_suppkey AS image_id, (l_orderkey * 7 + l_linenumber * 13) % 576 % 24 AS x, (l_orderkey * 7 + l_linenumber * 13) % 576 // 24 AS y FROM lineitem),
+box AS (SELECT image_id, min(x) AS l, max(x) AS r, min(y) AS t, max(y) AS b, count(*) AS ink_n FROM ink GROUP BY image_id),
+free AS (
+  SELECT box.image_id, xs.x, ys.y, xs.x IN (l, r) OR ys.y IN (t, b) AS edge
+  FROM box, range(24) AS xs(x), range(24) AS ys(y) WHERE xs.x BETWEEN l AND r AND ys.y BETWEEN t AND b AND NOT EXISTS (SELECT 1 FROM ink WHERE ink.image_id = box.image_id AND ink.x = xs.x AND ink.y = ys.y)),
+water AS (
+  SELECT image_id, x, y FROM free WHERE edge
+  UNION
+  SELECT f.image_id, f.x, f.y FROM water w JOIN free f ON f.image_id = w.image_id AND ((f.x = w.x AND abs(f.y - w.y) = 1) OR (f.y = w.y AND abs(f.x - w.x) = 1))),
+n AS (SELECT image_id, ink_n, (r - l + 1) * (b - t + 1) AS box_n, (SELECT count(*) FROM free f WHERE f.image_id = box.image_id) - (SELECT count(*) FROM water w WHERE w.image_id = box.image_id) AS hole_n FROM box)
+SELECT image_id, ink_n, box_n, hole_n, round(ink_n / box_n + 1e-9, 3) AS fill, round(hole_n / box_n + 1e-9, 3) AS holes FROM n""",
 }
