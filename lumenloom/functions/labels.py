@@ -72,9 +72,9 @@ def logo_address(url: Column) -> Column:
 
 
 def data_address(content: Column, kind: Column) -> Column:
-    """A file as a data address, null for kinds that no logo has."""
+    """A file as a data address, null for kinds that no logo has. Base64 comes in lines of 76 letters, which an address can't have."""
     media = F.element_at(F.create_map(*[F.lit(x) for kv in MEDIA_TYPES.items() for x in kv]), kind)
-    return F.concat(F.lit("data:"), media, F.lit(";base64,"), F.base64(content))
+    return F.concat(F.lit("data:"), media, F.lit(";base64,"), F.replace(F.base64(content), F.lit("\r\n"), F.lit("")))
 
 
 def on_page(current: Column, wanted: Column) -> Column:

@@ -87,6 +87,9 @@ NAMES = [
     "token_contrast",
     "measurements_checked",
     "drawing_holes",
+    "sites_in_turn",
+    "pages_in_turn",
+    "portable_logos",
 ]
 ORACLES = {**ORACLES, **MORE, **PAGES, **STEPS}
 QUERIES = {name: getattr(q, name) for name in NAMES}

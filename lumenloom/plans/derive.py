@@ -133,3 +133,44 @@ def landed_measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = put("{", url, view, back, '"elements":[', F.coalesce("items", F.lit("")), "],", rest)
     raw = F.when(k % 37 == 0, F.substring(raw, 1, 40)).when(k % 41 == 0, F.lit("[1,2]")).otherwise(raw)
     return table(spark, sf_dir, "orders").join(of_order, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(k.alias("site_id"), raw.alias("raw"))
+
+
+def searches_in_turn(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Names of suppliers, one in four a platform's; results on the platform for some of these, and seven results of the web for each."""
+    k = F.col("s_suppkey")
+    s = table(spark, sf_dir, "supplier").select(k.alias("query_id"), F.when(k % 4 == 0, pick(["Wikipedia", "Reddit", "X"], F.floor(k / 4) % 3)).otherwise(F.concat(F.lit("Bränd "), (k % 40).cast("string"), F.lit(" Inc"))).alias("name"))
+    q = F.col("query_id")
+    host = pick(["en.wikipedia.org", "www.reddit.com", "x.com"], F.floor(q / 4) % 3)
+    own = s.where((q % 4 == 0) & (q % 5 > 1)).select("query_id", F.explode(F.sequence(F.lit(1), (q % 3).cast("int") + 1)).alias("position"))
+    own = own.select("query_id", "position", F.concat(F.lit("https://"), F.when((q % 5 == 2) & (F.col("position") == 1), F.lit("a.example.org")).otherwise(host), F.lit("/w/"), F.col("position").cast("string")).alias("url"))
+    web = s.select("query_id", F.explode(F.sequence(F.lit(1), F.lit(7))).alias("position"))
+    m = ((q + F.col("position") * 13) % 40).cast("string")
+    lead = F.when(F.col("position") % 3 == 0, F.lit("shop.")).otherwise("www.")
+    web = web.select("query_id", "position", F.concat(F.lit("https://"), lead, F.lit("brand"), F.when(F.col("position") == 5, (q % 40).cast("string")).otherwise(m), F.lit(".com"), F.when(F.col("position") % 2 == 0, F.lit("/a/b")).otherwise("/")).alias("url"))
+    return s, own, web
+
+
+def site_searches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links of homepages, outcomes of two searches for each site and what they found, from the candidate links of `pages`."""
+    all_ = links(spark, sf_dir)
+    linked = all_.where("origin = 'link'").select("site_id", "pos", "url", "text", "place")
+    found = all_.where("origin = 'search'").select("site_id", F.when(F.col("pos") % 2 == 0, 2).otherwise(1).alias("search"), F.col("pos").alias("position"), "url", F.col("text").alias("title"))
+    each = homes(spark, sf_dir).select("site_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("search"))
+    luck = F.substring(F.md5(F.concat("site_id", F.col("search").cast("string")).cast("binary")), 1, 1)
+    status = F.when(luck.isin("0", "1", "2"), F.lit("rate_limited")).when(luck == "3", F.lit("unavailable")).when(luck == "4", F.lit("no_allowance")).otherwise("ok")
+    return linked, each.select("site_id", "search", status.alias("status")), found
+
+
+def copied_logos(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Documents of pages, three in four with a copied logo, and the files of some: the pages' html as drawings, some as pictures that are none."""
+    p = table(spark, sf_dir, "pages")
+    n = F.col("page_id")
+    ext = F.when(n % 7 == 0, F.lit("png")).otherwise("svg")
+    copied = F.concat(F.lit("/api/v1/guides/bg_"), n.cast("string"), F.lit("/logos/"), (n % 5 + 1).cast("string"), F.lit("."), ext)
+    primary = F.when(n % 11 == 0, F.lit(None).cast("string")).when(n % 4 == 0, F.col("url")).otherwise(copied)
+    one = lambda method, url: F.struct(F.lit(method).alias("method"), url.alias("url"))
+    alternates = F.when(n % 6 == 0, F.array(one("og-image", F.lit("https://a.org/p.png")))).when(n % 6 == 1, F.array(one("header", F.lit("data:image/png;base64,aa")), one("header", F.lit("https://a.org/h.png")))).otherwise(F.array().cast("array<struct<method:string,url:string>>"))
+    guides = p.select("page_id", primary.alias("primary"), alternates.alias("alternates"), F.when(n % 2 == 0, F.lit("https://a.org/favicon.ico")).alias("favicon"))
+    content = F.when(n % 14 == 0, F.concat(F.unhex(F.lit("89504E470D0A1A0A")), F.col("url").cast("binary"))).otherwise(F.col("html").cast("binary"))
+    files = p.where((n % 3 != 0) & F.col("html").isNotNull()).select(F.concat(F.lit("bg_"), n.cast("string")).alias("job_id"), (n % 5 + 1).cast("int").alias("number"), ext.alias("extension"), content.alias("content"))
+    return guides, files.withColumn("length", F.octet_length("content").cast("long"))

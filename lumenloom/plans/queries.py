@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenloom.functions import color, labels, text, urls
-from lumenloom.operators import areas, colours, discover, excerpts, exports, guides, head, homepage, jobs, logos, pages, quotes, reading, svg, tree, typography
-from lumenloom.plans.derive import branded_pages, elements, hex_of, homes, landed_measurements, links, pick, searches, styled_drawings, table
-from lumenloom.sources import measurements
+from lumenloom.operators import areas, colours, discover, excerpts, exports, guides, head, homepage, jobs, logos, pages, quotes, reading, svg, tree, turns, typography
+from lumenloom.plans.derive import branded_pages, copied_logos, elements, hex_of, homes, landed_measurements, links, pick, searches, searches_in_turn, site_searches, styled_drawings, table
+from lumenloom.sources import measurements, saved
 from lumenloom.streaming import limits
 
 
@@ -522,6 +522,26 @@ def drawing_holes(spark: SparkSession, d: str) -> DataFrame:
     return areas.enclosed(ink).select("image_id", "ink_n", "box_n", "hole_n", share("ink_n").alias("fill"), share("hole_n").alias("holes"))
 
 
+def sites_in_turn(spark: SparkSession, d: str) -> DataFrame:
+    """Official sites by a search on the platform of that name, then by one over the web for names that are still open."""
+    s = turns.official_sites_in_turn(*searches_in_turn(spark, d))
+    return s.select("query_id", "url", "host", F.round("score", 4).alias("score"), "name_matches", F.col("search").cast("long").alias("search"))
+
+
+def pages_in_turn(spark: SparkSession, d: str) -> DataFrame:
+    """What each site's searches came to, and its pages in their order."""
+    pages_, sites = turns.pages_in_turn(homes(spark, d), *site_searches(spark, d))
+    told = F.array_sort(F.collect_list(F.struct("rank", F.concat_ws(" ", "kind", "origin", "url").alias("page"))))
+    of_site = pages_.groupBy("site_id").agg(F.array_join(F.transform(told, lambda p: p["page"]), "; ").alias("pages"))
+    return sites.join(of_site, "site_id", "left").withColumn("pages", F.coalesce("pages", F.lit("")))
+
+
+def portable_logos(spark: SparkSession, d: str) -> DataFrame:
+    """Main logos at addresses that work anywhere; copies below 600 bytes are put into the address."""
+    p = saved.portable_logos(*copied_logos(spark, d), most=600)
+    return p.select("page_id", "primary", "logo_url")
+
+
 def measurements_checked(spark: SparkSession, d: str) -> DataFrame:
     """What may be used of each landed measurement, and what was left out."""
     m = measurements.checked_measurements(landed_measurements(spark, d))

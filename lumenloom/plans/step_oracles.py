@@ -1,5 +1,7 @@
 """DuckDB SQL for checked measurements, enclosed areas and second searches; landed texts are read by its own JSON functions."""
 
+from lumenloom.plans.oracles import ORACLES
+
 _ITEM = """CASE l_partkey % 16
   WHEN 0 THEN '{"kind":"box","color":"red"}' WHEN 1 THEN '{"weight":400.5,"w":1}' WHEN 2 THEN '{"kind":"blob","color":"red"}' WHEN 3 THEN '7' WHEN 4 THEN '{"w":"wide"}'
   WHEN 5 THEN '{"w":" 12.5 ","weight":"700"}' WHEN 6 THEN '{"region":null}' WHEN 7 THEN '{"on_image":"perhaps"}'
@@ -27,6 +29,10 @@ _PROBLEM = f"""CASE
   WHEN {_BAD.format("weight", _NUMBER.format("weight"))} OR try_cast(trim(e ->> '$.weight') AS DOUBLE) % 1 <> 0 THEN 'weight: not a whole number' END"""
 _FONT = """CASE WHEN json_type(e, '$.family') IS NULL THEN 'family: missing' WHEN json_type(e, '$.family') <> 'VARCHAR' OR len(e ->> '$.family') > 100 THEN 'family: not a text of at most 100 characters' END"""
 
+#: The candidates of chosen pages with their scores, a search result's place counting half a point; each site's links tell whether it is thin.
+_CANDIDATES = ORACLES["choose_pages_topk"].split("o AS (")[0].replace("CASE WHEN top THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END", "CASE WHEN top AND link THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END")
+_LUCK = "md5(site_id || CAST(search AS VARCHAR))[1:1]"
+
 STEPS = {
     "measurements_checked": f"""
 WITH {_RAW},
@@ -66,4 +72,51 @@ water AS (
   SELECT f.image_id, f.x, f.y FROM water w JOIN free f ON f.image_id = w.image_id AND ((f.x = w.x AND abs(f.y - w.y) = 1) OR (f.y = w.y AND abs(f.x - w.x) = 1))),
 n AS (SELECT image_id, ink_n, (r - l + 1) * (b - t + 1) AS box_n, (SELECT count(*) FROM free f WHERE f.image_id = box.image_id) - (SELECT count(*) FROM water w WHERE w.image_id = box.image_id) AS hole_n FROM box)
 SELECT image_id, ink_n, box_n, hole_n, round(ink_n / box_n + 1e-9, 3) AS fill, round(hole_n / box_n + 1e-9, 3) AS holes FROM n""",
+    "sites_in_turn": """
+WITH asked AS (SELECT s_suppkey AS q, s_suppkey % 4 = 0 AS named, s_suppkey // 4 % 3 AS p FROM supplier),
+own AS (
+  SELECT q, i, CASE WHEN p = 0 THEN 'en.wikipedia.org' WHEN p = 1 THEN 'www.reddit.com' ELSE 'x.com' END AS host,
+         10 - 0.3::DOUBLE * i - CASE WHEN p = 0 THEN 1.5::DOUBLE ELSE 0 END AS score
+  FROM asked, range(1, 4) AS r(i) WHERE named AND q % 5 > 1 AND i <= q % 3 + 1 AND NOT (q % 5 = 2 AND i = 1)),
+first AS (SELECT *, 1 AS search FROM own QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, i) = 1),
+web AS (
+  SELECT q, i, CASE WHEN i = 5 THEN q % 40 ELSE (q + i * 13) % 40 END AS m, named, q % 40 AS n FROM asked, range(1, 8) AS r(i) WHERE q NOT IN (SELECT q FROM first)),
+judged AS (
+  SELECT *, CASE WHEN named THEN 0.0::DOUBLE WHEN n = m THEN 1.0::DOUBLE WHEN contains('brand' || m, 'brand' || n) OR contains('brand' || n, 'brand' || m) THEN 0.8::DOUBLE ELSE 0.4::DOUBLE END AS x FROM web),
+scored AS (
+  SELECT q, i, CASE WHEN i % 3 = 0 THEN 'shop.' ELSE 'www.' END || 'brand' || m || '.com' AS host,
+         10 * x - 0.3::DOUBLE * i - CASE WHEN i % 3 = 0 THEN 1.5::DOUBLE ELSE 0 END + CASE WHEN i % 2 = 0 THEN 0 ELSE 0.5::DOUBLE END AS score, x FROM judged),
+second AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, i) = 1)
+SELECT q AS query_id, 'https://' || host || '/' AS url, host, round(score, 4) AS score, true AS name_matches, CAST(1 AS BIGINT) AS search FROM first
+UNION ALL SELECT q, 'https://' || host || '/', host, round(score, 4), x >= 0.7, 2 FROM second""",
+    "pages_in_turn": rf"""{_CANDIDATES}
+kinds_held AS (
+  SELECT site_id, count(DISTINCT CASE WHEN kind IN ('about', 'mission', 'careers', 'press') THEN kind END) AS n
+  FROM (SELECT site_id, kind, points, i, pos FROM e WHERE link AND points > 0 QUALIFY row_number() OVER (PARTITION BY pos ORDER BY points DESC, i) = 1) GROUP BY site_id),
+site AS (SELECT site_id, coalesce(n, 0) < 3 AS thin FROM (SELECT DISTINCT site_id FROM k) LEFT JOIN kinds_held USING (site_id)),
+out AS (
+  SELECT site_id, search, CASE WHEN {_LUCK} IN ('0', '1', '2') THEN 'rate_limited' WHEN {_LUCK} = '3' THEN 'unavailable' WHEN {_LUCK} = '4' THEN 'no_allowance' ELSE 'ok' END AS status
+  FROM site, (VALUES (1), (2)) AS v(search) WHERE search = 1 OR thin),
+st AS (SELECT site_id, count(*) FILTER (status IN ('rate_limited', 'unavailable')) AS searches_failed, min_by(status, search) FILTER (status = 'no_allowance') AS stopped FROM out GROUP BY site_id),
+used AS (
+  SELECT s.* FROM s JOIN st USING (site_id) WHERE stopped IS NULL AND (link OR EXISTS (SELECT 1 FROM out WHERE out.site_id = s.site_id AND status = 'ok' AND search = CASE WHEN pos % 2 = 0 THEN 2 ELSE 1 END))),
+placed AS (SELECT *, CASE WHEN link THEN 0 WHEN pos % 2 = 0 THEN 2 ELSE 1 END AS turn FROM used),
+ordered AS (SELECT *, row_number() OVER (ORDER BY turn, pos) AS ord FROM placed),
+o AS (SELECT *, row_number() OVER (PARTITION BY site_id, key ORDER BY score DESC, ord) AS n, min(ord) OVER (PARTITION BY site_id, key) AS first_at, bool_or(link) OVER (PARTITION BY site_id, key) AS any_link FROM ordered),
+c AS (SELECT * FROM o WHERE n = 1 QUALIFY row_number() OVER (PARTITION BY site_id, kind ORDER BY score DESC, first_at) <= CASE WHEN kind IN ('about', 'mission') THEN 2 ELSE 1 END),
+r AS (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY score DESC, first_at) AS rank FROM c),
+p AS (
+  SELECT site_id, string_agg(concat_ws(' ', kind, CASE WHEN any_link THEN 'link' ELSE 'search' END, 'https://' || host || path), '; ' ORDER BY rank) AS pages, count(*) FILTER (NOT any_link) AS found_by_search
+  FROM r WHERE rank <= 9 GROUP BY site_id)
+SELECT site_id, thin, CAST(CASE WHEN thin THEN 2 ELSE 1 END AS BIGINT) AS search_calls, searches_failed, coalesce(found_by_search, 0) AS found_by_search, stopped, coalesce(pages, '') AS pages
+FROM site JOIN st USING (site_id) LEFT JOIN p USING (site_id)""",
+    "portable_logos": """
+WITH g AS (
+  SELECT page_id, url, CASE WHEN page_id % 7 = 0 THEN 'png' ELSE 'svg' END AS ext,
+         CASE WHEN page_id % 3 <> 0 AND html IS NOT NULL THEN CASE WHEN page_id % 14 = 0 THEN from_hex('89504E470D0A1A0A') || encode(url) ELSE encode(html) END END AS content,
+         CASE WHEN page_id % 6 = 1 THEN 'https://a.org/h.png' WHEN page_id % 2 = 0 THEN 'https://a.org/favicon.ico' END AS next FROM pages)
+SELECT page_id, CASE WHEN page_id % 11 = 0 THEN NULL WHEN page_id % 4 = 0 THEN url ELSE concat('/api/v1/guides/bg_', page_id, '/logos/', page_id % 5 + 1, '.', ext) END AS primary,
+       CASE WHEN page_id % 11 = 0 THEN NULL WHEN page_id % 4 = 0 THEN url
+            WHEN octet_length(content) < 600 AND (ext = 'svg' OR page_id % 14 = 0) THEN concat('data:image/', CASE ext WHEN 'svg' THEN 'svg+xml' ELSE ext END, ';base64,', to_base64(content)) ELSE next END AS logo_url
+FROM g""",
 }
