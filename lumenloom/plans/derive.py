@@ -63,16 +63,14 @@ def homes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("site_id", F.col("site_id").alias("domain"), F.concat(F.lit("https://"), "site_id", F.lit("/")).alias("home_url"), F.concat(F.lit("https://www."), "site_id", F.lit("/en/about")).alias("requested_url"), F.lit("en").alias("language"))
 
 
-def searches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Search results: each supplier's name against the hosts of suppliers of its nation."""
+def searches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Searches for each supplier's name, and the results that those of one nation share: the hosts of its suppliers."""
+    k = F.col("s_suppkey")
     s = table(spark, sf_dir, "supplier")
-    other = s.select("s_nationkey", F.col("s_suppkey").alias("o"), F.concat(F.lit("brand"), (F.col("s_suppkey") % 40).cast("string")).alias("label"))
-    host = F.when(F.col("o") % 6 == 0, F.lit("www.wikipedia.org")).otherwise(F.concat(F.when(F.col("o") % 4 == 0, F.lit("shop.")).otherwise("www."), F.col("label"), F.lit(".com")))
-    both = s.select("s_nationkey", "s_suppkey").join(other, "s_nationkey")
-    return both.select(
-        F.col("s_suppkey").alias("query_id"), F.when(F.col("s_suppkey") % 15 == 0, F.lit("Wikipedia")).otherwise(F.concat(F.lit("Bränd "), (F.col("s_suppkey") % 40).cast("string"), F.lit(" Inc"))).alias("name"),
-        (F.col("o") + 1).alias("position"), F.concat(F.lit("https://"), host, F.when(F.col("o") % 2 == 0, F.lit("/a/b")).otherwise("/")).alias("url"),
-    )
+    host = F.when(k % 6 == 0, F.lit("www.wikipedia.org")).otherwise(F.concat(F.when(k % 4 == 0, F.lit("shop.")).otherwise("www."), F.lit("brand"), (k % 40).cast("string"), F.lit(".com")))
+    name = F.when(k % 15 == 0, F.lit("Wikipedia")).otherwise(F.concat(F.lit("Bränd "), (k % 40).cast("string"), F.lit(" Inc")))
+    url = F.concat(F.lit("https://"), host, F.when(k % 2 == 0, F.lit("/a/b")).otherwise("/"))
+    return s.select(k.alias("query_id"), F.col("s_nationkey").alias("list_id"), name.alias("name")), s.select(F.col("s_nationkey").alias("list_id"), (k + 1).alias("position"), url.alias("url"))
 
 
 def branded_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -190,7 +190,7 @@ def choose_pages_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def official_site_rank(spark: SparkSession, d: str) -> DataFrame:
-    return discover.official_sites(searches(spark, d)).select("query_id", "url", "host", F.round("score", 4).alias("score"), "name_matches")
+    return discover.official_sites_of_lists(*searches(spark, d)).select("query_id", "url", "host", F.round("score", 4).alias("score"), "name_matches")
 
 
 def line_dedupe(spark: SparkSession, d: str) -> DataFrame:
