@@ -10,7 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenloom.functions import color
+from lumenloom.functions import color, text
+from lumenloom.sources.scratch import written
 
 # Fixed values of the weights and thresholds.
 TEXT_CAP, MIN_BUTTON, SAME, COLOURFUL, DISTINCT = 150.0, 40, 3.0, 20.0, 15.0
@@ -278,26 +279,39 @@ def logo_uses(held: DataFrame, logo_colours: DataFrame, same: float = SAME) -> D
     return found.groupBy("site_id", F.coalesce("twin", "hex").alias("hex"), F.col("twin").isNull().alias("only_in_logo")).agg(F.count("*").alias("times"))
 
 
-#: Radii, in units of Lab, that the search for a nearest colour grows through; the last one spans the space.
-RADII = (6, 18, 54, 400)
+#: What "#RRGGBB" fills of Lab space (cubic units, roughly), how a radius grows, the one that spans the space, held
+#: colours in one array, and how many may be broadcast.
+VOLUME, WIDER, SPAN, TOGETHER, BROADCAST_HELD = 8.3e5, 3.0, 400.0, 2000, 50_000
 
 
 def nearest(wanted: DataFrame, held: DataFrame) -> DataFrame:
     """hex, near, de: for each colour (hex) the closest one of `held` (near), the smaller code on ties.
 
-    Lab space is cut into cubes as wide as a radius. A colour looks into the cubes around its own, by an
-    equi-join; a colour that has one within the radius is settled, as nothing outside those cubes is
-    closer. The rest goes on with a larger radius, so work follows how many colours lie near each other.
+    Lab space is cut into cubes as wide as a radius, the first one so that a cube has one held colour on average.
+    Held colours are entered in the cubes around their own, as arrays of at most TOGETHER; a colour meets the arrays
+    of its cube and is compared inside its row, so pairs are never written. A colour that has one within the
+    radius is settled, as nothing outside those cubes is closer. The rest is written and goes on with a larger radius.
     """
     cube = lambda lab, r, by=(0, 0, 0): F.struct(*[(F.floor(lab[c] / r) + d).alias(c) for c, d in zip("lab", by)])
-    left = wanted.select("hex").distinct().withColumn("p", color.lab(F.col("hex"))).where("p.l is not null")
-    held = held.select("near").distinct().withColumn("q", color.lab(F.col("near"))).where("q.l is not null")
+    left = written(wanted.select("hex").distinct().withColumn("p", color.lab(F.col("hex"))).where("p.l is not null"), "wanted")
+    held = written(held.select("near").distinct().withColumn("q", color.lab(F.col("near"))).where("q.l is not null"), "held")
     around = [(x, y, z) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1)]
-    out = None
-    for r in RADII:
-        asked = left.select("hex", "p", F.explode(F.array(*[cube(F.col("p"), r, by) for by in around])).alias("cube"))
-        both = asked.join(held.withColumn("cube", cube(F.col("q"), r)), "cube").select("hex", "near", color.distance(F.col("p"), F.col("q")).alias("de"))
-        best = both.groupBy("hex").agg(F.min(F.struct(F.round("de", 9).alias("de"), "near")).alias("b")).where(F.col("b.de") <= r).select("hex", "b.near", "b.de")
-        out = best if out is None else out.union(best)
-        left = left.join(best, "hex", "left_anti")
+    n = held.count()
+    r, out = min(SPAN, (VOLUME / max(n, 1)) ** (1 / 3)), None
+    while out is None or (r < SPAN and not left.isEmpty()):
+        r = r if out is None else min(SPAN, WIDER * r)
+        entered = held.select("near", "q", F.explode(F.array(*[cube(F.col("q"), r, by) for by in around])).alias("cube"))
+        part = F.floor((F.row_number().over(Window.partitionBy("cube").orderBy("near")) - 1) / TOGETHER)
+        packed = entered.withColumn("part", part).groupBy("cube", "part").agg(F.collect_list(F.struct("near", "q")).alias("held")).drop("part")
+        packed = F.broadcast(packed) if n * len(around) <= BROADCAST_HELD else packed.hint("merge")
+        best = text.let(
+            F.transform("held", lambda h: F.struct(color.distance(F.col("p"), h["q"]).alias("de"), h["near"].alias("near"))),
+            lambda all_: text.let(F.array_min(all_)["de"], lambda least: F.array_min(F.transform(F.filter(all_, lambda x: x["de"] <= least + 1e-8), lambda x: F.struct(F.round(x["de"], 9).alias("de"), x["near"].alias("near"))))),
+        )
+        met = left.withColumn("cube", cube(F.col("p"), r)).join(packed, "cube", "left").select("hex", "p", best.alias("b"))
+        met = written(met.groupBy("hex").agg(F.first("p").alias("p"), F.min("b").alias("b")), "met")
+        settled = F.coalesce(F.col("b.de") < r * 0.999, F.lit(False))
+        found = met.where(settled).select("hex", "b.near", "b.de")
+        out = found if out is None else out.union(found)
+        left = met.where(~settled).select("hex", "p")
     return out

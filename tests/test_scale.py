@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from lumenloom.operators import discover
+from lumenloom.functions import color
+from lumenloom.operators import colours, discover
 from lumenloom.plans import derive
 
 FOLDER = "/root/testdata/sf0.001"
@@ -21,3 +22,18 @@ def test_searches_grow_with_suppliers(spark):
     queries, results = derive.searches(spark, FOLDER)
     n = derive.table(spark, FOLDER, "supplier").count()
     assert queries.count() == results.count() == n  # not the number of pairs
+
+
+def test_nearest_starts_by_density_and_finds_far_ones(spark, monkeypatch):
+    monkeypatch.setattr(colours, "TOGETHER", 3)  # arrays in parts
+    monkeypatch.setattr(colours, "BROADCAST_HELD", 0)
+    code = lambda df, n: df.select(F.concat(F.lit("#"), F.upper(F.substring(F.md5(F.col("id").cast("string").cast("binary")), 1, 6))).alias(n))
+    wanted = code(spark.range(60), "hex").union(spark.createDataFrame([("#FFFFFF",), ("#nope",)], "hex string"))
+    for held in (code(spark.range(100, 300), "near"), spark.createDataFrame([("#000000",), ("#000001",)], "near string")):
+        lab = lambda df: {r[0]: r.p for r in df.distinct().select("*", color.lab(F.col(df.columns[0])).alias("p")).collect() if r.p and r.p.l is not None}
+        w, h = lab(wanted), lab(held)
+        want = {x: min((round(sum((a - b) ** 2 for a, b in zip(p, q)) ** 0.5, 9), y) for y, q in h.items()) for x, p in w.items()}
+        got = {r.hex: (r.de, r.near) for r in colours.nearest(wanted, held).collect()}
+        assert {x: y for x, (_, y) in got.items()} == {x: y for x, (_, y) in want.items()}
+        assert all(abs(got[x][0] - want[x][0]) < 1e-8 for x in want)
+
