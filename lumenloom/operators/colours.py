@@ -16,6 +16,8 @@ from lumenloom.sources.scratch import written
 # Fixed values of the weights and thresholds.
 TEXT_CAP, MIN_BUTTON, SAME, COLOURFUL, DISTINCT = 150.0, 40, 3.0, 20.0, 15.0
 MIN_BRAND, BRAND_SHARE, TEXT_SHARE, MUTED_SHARE = 40.0, 0.10, 0.05, 0.10
+#: Held colours in one array, and those of a site that are compared without cubes.
+TOGETHER, CROWDED = 2000, 500
 BROWSER_LINKS = ["#0000EE", "#551A8B", "#EE0000"]
 
 
@@ -239,24 +241,30 @@ def twins(held: DataFrame, asked: DataFrame, same: float = SAME, grow: bool = Tr
     """site_id, hex and twin: the held colour that each asked colour counts under.
 
     held: site_id, hex and place (the order in which they were first seen), asked: site_id, hex and at (their order); a colour once in a site. A colour that is held itself is its own
-    twin; else the first seen one closer than `same` is, found in cubes of Lab space as wide as that. The rest (`grow`) become held colours
+    twin; else the first seen one closer than `same` is. A site's held colours lie together as arrays of at most TOGETHER, those of a site with more than CROWDED
+    by cubes of Lab space as wide as `same`, and an asked colour is compared inside its row; both sides are shuffled. The rest (`grow`) become held colours
     themselves, one after the other, so a later one counts under the first earlier one that is close; without `grow` their twin is null.
     """
-    cube = lambda p, by=(0, 0, 0): F.struct(*[(F.floor(p[c] / same) + d).alias(c) for c, d in zip("lab", by)])
-    h = held.select("site_id", F.col("hex").alias("twin"), "place", color.lab(F.col("hex")).alias("q"))
-    a = asked.select("site_id", "hex", "at")
-    exact = a.join(h.select("site_id", F.col("twin").alias("hex")), ["site_id", "hex"], "left_semi").select("site_id", "hex", F.col("hex").alias("twin"))
-    rest = a.join(h.select("site_id", F.col("twin").alias("hex")), ["site_id", "hex"], "left_anti").withColumn("p", color.lab(F.col("hex")))
-    around = F.array(*[cube(F.col("p"), (x, y, z)) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1)])
-    met = rest.withColumn("cube", F.explode(around)).join(h.withColumn("cube", cube(F.col("q"))), ["site_id", "cube"]).where(color.distance(F.col("p"), F.col("q")) < same)
-    close = met.groupBy("site_id", "hex").agg(F.min_by("twin", F.struct("place", "twin")).alias("twin"))
-    left = rest.join(close.select("site_id", "hex"), ["site_id", "hex"], "left_anti")
+    cube = lambda p, by=(0, 0, 0): F.concat_ws(" ", *[(F.floor(p[c] / same) + d).cast("string") for c, d in zip("lab", by)])
+    crowded = held.groupBy("site_id").count().where(F.col("count") > CROWDED).select("site_id", F.lit(True).alias("crowded"))
+    h = held.select("site_id", F.col("hex").alias("twin"), "place", color.lab(F.col("hex")).alias("q")).join(crowded.hint("merge"), "site_id", "left")
+    a = asked.select("site_id", "hex", "at", color.lab(F.col("hex")).alias("p")).join(crowded.hint("merge"), "site_id", "left")
+    around = F.array_distinct(F.array(*[cube(F.col("q"), (x, y, z)) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1)]))
+    entered = h.select("site_id", "twin", "place", "q", F.explode(F.when(F.col("crowded"), around).otherwise(F.array(F.lit("")))).alias("cell"))
+    part = F.floor((F.row_number().over(Window.partitionBy("site_id", "cell").orderBy("place", "twin")) - 1) / TOGETHER)
+    packed = entered.withColumn("part", part).groupBy("site_id", "cell", "part").agg(F.collect_list(F.struct("twin", "place", "q")).alias("held")).drop("part")
+    fits = F.filter("held", lambda x: (x["twin"] == F.col("hex")) | (color.distance(F.col("p"), x["q"]) < same))
+    first = F.array_min(F.transform(fits, lambda x: F.struct((x["twin"] != F.col("hex")).alias("other"), x["place"].alias("place"), x["twin"].alias("twin"))))
+    met = a.withColumn("cell", F.when(F.col("crowded"), cube(F.col("p"))).otherwise("")).join(packed.hint("merge"), ["site_id", "cell"], "left").select("site_id", "hex", "at", first.alias("b"))
+    met = met.groupBy("site_id", "hex").agg(F.min("at").alias("at"), F.min("b").alias("b"))
+    if grow:
+        met = written(met, "met")
+    close, left = met.where("b is not null").select("site_id", "hex", "b.twin"), met.where("b is null")
     if grow:
         new = merge_lookalikes(left.select("site_id", "hex", (-F.col("at")).cast("double").alias("weight"), F.col("at").alias("first_pos"), F.lit(False).alias("is_background")), same)
         own = new.select("site_id", "hex", F.col("kept").alias("twin"))
-    else:
-        own = left.select("site_id", "hex", F.lit(None).cast("string").alias("twin"))
-    return exact.unionByName(close).unionByName(own)
+        return close.unionByName(own)
+    return met.select("site_id", "hex", "b.twin")
 
 
 def with_points(held: DataFrame, points: DataFrame, same: float = SAME) -> DataFrame:
@@ -279,9 +287,9 @@ def logo_uses(held: DataFrame, logo_colours: DataFrame, same: float = SAME) -> D
     return found.groupBy("site_id", F.coalesce("twin", "hex").alias("hex"), F.col("twin").isNull().alias("only_in_logo")).agg(F.count("*").alias("times"))
 
 
-#: What "#RRGGBB" fills of Lab space (cubic units, roughly), how a radius grows, the one that spans the space, held
-#: colours in one array, and how many may be broadcast.
-VOLUME, WIDER, SPAN, TOGETHER, BROADCAST_HELD = 8.3e5, 3.0, 400.0, 2000, 50_000
+#: What "#RRGGBB" fills of Lab space (cubic units, roughly), how a radius grows, the one that spans the space, and how
+#: many entries of held colours may be broadcast.
+VOLUME, WIDER, SPAN, BROADCAST_HELD = 8.3e5, 3.0, 400.0, 50_000
 
 
 def nearest(wanted: DataFrame, held: DataFrame) -> DataFrame:

@@ -37,3 +37,20 @@ def test_nearest_starts_by_density_and_finds_far_ones(spark, monkeypatch):
         assert {x: y for x, (_, y) in got.items()} == {x: y for x, (_, y) in want.items()}
         assert all(abs(got[x][0] - want[x][0]) < 1e-8 for x in want)
 
+
+def test_held_colours_are_never_broadcast(spark):
+    """By their size on disk they look small; exploded and hashed they filled the driver."""
+    held = spark.createDataFrame([(1, "#102030", 1)], "site_id int, hex string, place int")
+    asked = spark.createDataFrame([(1, "#102031", 1)], "site_id int, hex string, at int")
+    plan = colours.twins(held, asked, 14.0, grow=False)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
+
+
+def test_twins_of_crowded_sites(spark, monkeypatch):
+    rows = lambda at, n: [(s, f"#{(i * 7919 + at * 31) % 0xFFFFFF:06X}", i) for s in (1, 2) for i in range(n * s)]
+    held = spark.createDataFrame(rows(1, 40), "site_id int, hex string, place int")
+    asked = spark.createDataFrame([*rows(2, 30), *rows(1, 3), (1, "odd", 900), (3, "#000000", 1)], "site_id int, hex string, at int")
+    whole = colours.twins(held, asked, 14.0).collect()
+    monkeypatch.setattr(colours, "CROWDED", 50)
+    monkeypatch.setattr(colours, "TOGETHER", 4)
+    assert sorted(colours.twins(held, asked, 14.0).collect()) == sorted(whole) and len(whole) == asked.count()
