@@ -113,22 +113,17 @@ def merge_lookalikes(colours: DataFrame, same: float = SAME) -> DataFrame:
     """site_id, hex, kept: each colour and the heavier one it counts under, by greedy distance below `same`.
 
     The page background (is_background) leads, then weight falling, ties by first sight. Greedy order is a
-    fold, so one site's few colours go through one call; sites are spread over tasks.
+    fold, over one site's few colours inside its row. A colour becomes a head unless an earlier head is close; then each counts
+    under the first head that is close, which for a head is itself.
     """
-    ranked = colours.select("site_id", "hex", "weight", "first_pos", "is_background", color.lab(F.col("hex")).alias("p")).select("site_id", "hex", "weight", "first_pos", "is_background", "p.l", "p.a", "p.b")
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["is_background", "weight", "first_pos", "hex"], ascending=[False, False, True, True])
-        heads, out = [], []
-        for r in rows.itertuples():
-            twin = next((h for h in heads if ((h.l - r.l) ** 2 + (h.a - r.a) ** 2 + (h.b - r.b) ** 2) ** 0.5 < same), None)
-            if twin is None:
-                heads.append(r)
-            out.append((r.site_id, r.hex, (twin or r).hex))
-        return pd.DataFrame(out, columns=["site_id", "hex", "kept"])
-
-    site = colours.schema["site_id"].dataType.simpleString()
-    return ranked.groupBy("site_id").applyInPandas(fold, f"site_id {site}, hex string, kept string")
+    close = lambda heads, r: F.filter(heads, lambda h: color.distance(h["p"], r["p"]) < same)
+    order = F.struct((~F.coalesce("is_background", F.lit(False))).alias("n"), F.col("weight").isNull().alias("w"), (-F.col("weight")).alias("weight"), F.col("first_pos").isNull().alias("f"), F.col("first_pos"), "hex", color.lab(F.col("hex")).alias("p"))
+    rows = colours.groupBy("site_id").agg(F.array_sort(F.collect_list(order)).alias("rows"))
+    rows = rows.withColumn("rows", F.transform("rows", lambda r: F.struct(r["hex"].alias("hex"), r["p"].alias("p"))))
+    none = F.slice("rows", 1, 0)
+    heads = F.aggregate("rows", none, lambda held, r: F.when(F.exists(held, lambda h: F.coalesce(color.distance(h["p"], r["p"]) < same, F.lit(False))), held).otherwise(F.concat(held, F.array(r))))
+    kept = text.let(heads, lambda held: F.transform("rows", lambda r: F.struct(r["hex"].alias("hex"), F.coalesce(F.get(close(held, r), F.lit(0))["hex"], r["hex"]).alias("kept"))))
+    return rows.select("site_id", F.explode_outer(kept).alias("r")).select("site_id", "r.hex", "r.kept")
 
 
 def absorbed(colours: DataFrame, merged: DataFrame) -> DataFrame:
