@@ -82,6 +82,10 @@ AUTOLINK, ELEMENT = r"<(?:[a-z]{4,6}:)[^<>\s]*>", r"<[/a-zA-Z][^<>]*>"
 STRONG_MARK = r"(?<!\\)(?:\*\*|__)(?=\S)|(?<=[^\s\\])(?:\*\*|__)"
 LIGHT_MARK = r"(?<![\p{L}\p{N}\\])[*_](?=[^\s*_])|(?<=[^\s\\])[*_](?![\p{L}\p{N}])"
 ESCAPED = r"\\(\p{Punct})"
+#: What every inline mark and entity has one of; most lines have none.
+MARKED = r"[\[<*_`\\&]"
+#: White space that squeezing changes, and characters that compared texts don't have.
+LOOSE, UNLIKE = r"(?U)\s\s|[\s&&[^ ]]", f"[{QUOTES_FROM}{INVISIBLE}]"
 #: Lines that draw something: rules, and what parts a table's head from its rows.
 DRAWN = r"^(?=.*[-*_].*[-*_])[\s|:*_-]+$"
 #: The entities that web pages use most; the rest stay as written.
@@ -96,18 +100,26 @@ def decoded(text: Column) -> Column:
 
 def _seen(line: Column) -> Column:
     """What a reader sees of one line of Markdown."""
-    shown = F.regexp_replace(F.regexp_replace(F.regexp_replace(line, LEADING, ""), PICTURE, ""), LINKED, "$1")
+    bare = F.regexp_replace(line, LEADING, "")
+    shown = F.regexp_replace(F.regexp_replace(bare, PICTURE, ""), LINKED, "$1")
     shown = F.regexp_replace(F.regexp_replace(shown, AUTOLINK, ""), ELEMENT, " ")
     shown = F.regexp_replace(F.regexp_replace(shown, STRONG_MARK, ""), LIGHT_MARK, "")
-    return decoded(F.regexp_replace(F.replace(shown, F.lit("`"), F.lit("")), ESCAPED, "$1"))
+    shown = decoded(F.regexp_replace(F.replace(shown, F.lit("`"), F.lit("")), ESCAPED, "$1"))
+    return F.when(line.rlike(MARKED), shown).otherwise(bare)
 
 
 def plain_lines(markdown: Column) -> Column:
     """array<string>: the visible lines of Markdown, table cells apart, nothing empty."""
-    lines = F.split(F.translate(markdown, INVISIBLE, ""), r"\r\n|[\n\r\x0B\f\x{85}\x{2028}\x{2029}]")
+    lines = F.split(F.regexp_replace(markdown, f"[{INVISIBLE}]", ""), r"\r\n|[\n\r\x0B\f\x{85}\x{2028}\x{2029}]")
     cells = lambda x: F.when(x.rlike(r"^\s*\|"), F.split(F.trim(x, F.lit("| ")), r"\|")).otherwise(F.array(x))
-    told = F.transform(F.filter(lines, lambda x: ~x.rlike(DRAWN)), lambda x: cells(_seen(x)))
-    return F.filter(F.transform(F.flatten(told), squeeze), lambda x: x != "")
+    told = F.transform(F.filter(lines, lambda x: ~(x.rlike(r"^[\s|:*_-]") & x.rlike(DRAWN))), lambda x: cells(_seen(x)))
+    tight = lambda x: F.when(x.rlike(LOOSE), squeeze(x)).otherwise(F.trim(x))
+    return F.filter(F.transform(F.flatten(told), tight), lambda x: x != "")
+
+
+def compared_lines(markdown: Column) -> Column:
+    """plain_lines() as composed quotes are compared; lines that have nothing to change, as most, are left alone."""
+    return F.transform(plain_lines(markdown), lambda x: F.when(x.rlike(UNLIKE), as_compared(x)).otherwise(x))
 
 
 def plain_text(markdown: Column) -> Column:

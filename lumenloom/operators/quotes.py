@@ -11,7 +11,7 @@ MIN_WORDS = 3
 KEY_WORDS = 3
 
 
-#: Keys of one site's quotes that are compared inside a line's row; with more of them, ids meet ids.
+#: Keys of one site's quotes that are broadcast; with more of them, ids meet ids.
 FEW_KEYS = 1000
 
 
@@ -24,23 +24,21 @@ def page_lines(pages: DataFrame) -> DataFrame:
     keyed = pages.withColumn("key", urls.page_key(F.col("url")))
     first = keyed.groupBy("site_id", "key").agg(F.min("ord").alias("ord"))
     once = keyed.join(first, ["site_id", "key", "ord"], "left_semi").withColumn("text", text.composed(F.col("text")))
-    return once.select("site_id", "ord", "url", "key", F.posexplode(F.transform(text.plain_lines(F.col("text")), text.as_compared)).alias("line_no", "line"))
+    return once.select("site_id", "ord", "url", "key", F.posexplode(text.compared_lines(F.col("text"))).alias("line_no", "line"))
 
 
 def lines_with(lines: DataFrame, wanted: DataFrame, keys: Column, place: list[str]) -> DataFrame:
     """lines (site_id, line, `place`) with `gram`: one row for each key of a line that is wanted on its site.
 
-    wanted: site_id, gram. `keys`: the keys of a line. Few wanted keys go along with their site and meet the
-    line's keys inside its row, so nothing but hits is exploded; many meet the exploded keys, which
-    carry the line's place, not the line.
+    wanted: site_id, gram. `keys`: the distinct keys of a line. Few wanted keys are broadcast and looked up by each key
+    of a line as it is exploded, so only hits go on and a line's work doesn't follow how many are wanted; many
+    meet the exploded keys by a shuffle, which carry the line's place, not the line.
     """
     wanted = wanted.select("site_id", "gram").where("gram is not null").distinct()
     sizes = wanted.groupBy("site_id").agg(F.count("*").alias("n")).agg(F.max("n"), F.sum("n")).first()
     if (sizes[0] or 0) <= FEW_KEYS and (sizes[1] or 0) <= 100 * FEW_KEYS:
-        held = wanted.groupBy("site_id").agg(F.collect_list("gram").alias("grams"))
-        hits = F.array_intersect(keys, F.col("grams"))
-        # an outer explode, as Spark adds a filter to a plain one that would find the hits twice
-        return lines.join(F.broadcast(held), "site_id").withColumn("gram", F.explode_outer(hits)).where("gram is not null").drop("grams")
+        # an outer explode, as Spark adds a filter to a plain one that would find the keys twice
+        return lines.withColumn("gram", F.explode_outer(keys)).join(F.broadcast(wanted), ["site_id", "gram"])
     placed = lines.select("site_id", *place, F.explode(keys).alias("gram")).join(wanted, ["site_id", "gram"])
     return lines.join(placed, ["site_id", *place])
 

@@ -2,8 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from lumenloom.functions import color
-from lumenloom.operators import colours, discover
+from lumenloom.functions import color, text
+from lumenloom.operators import colours, discover, quotes
 from lumenloom.plans import derive
 
 FOLDER = "/root/testdata/sf0.001"
@@ -54,3 +54,36 @@ def test_twins_of_crowded_sites(spark, monkeypatch):
     monkeypatch.setattr(colours, "CROWDED", 50)
     monkeypatch.setattr(colours, "TOGETHER", 4)
     assert sorted(colours.twins(held, asked, 14.0).collect()) == sorted(whole) and len(whole) == asked.count()
+
+
+def test_lines_without_marks_are_read_the_same(spark):
+    """Shortcuts for plain lines give what all steps would."""
+    import random
+
+    rng = random.Random(5)
+    parts = ["a", "B", "word", " ", "  ", "\t", "\u00a0", "\u3000", "\u200b", "’", "“", "*", "__", "_", "`", "[x](y)", "![p](q)", "<b>", "<http:", "&amp;", "\\", "# ", "- ", "> ", "1. ", "|", "---", ":", "\n", "\r\n", ".", "\x85"]
+    rows = [("".join(rng.choice(parts) for _ in range(rng.randint(0, 14))),) for _ in range(4000)]
+
+    def all_steps(markdown):
+        lines = F.split(F.translate(markdown, text.INVISIBLE, ""), r"\r\n|[\n\r\x0B\f\x{85}\x{2028}\x{2029}]")
+
+        def seen(line):
+            shown = F.regexp_replace(F.regexp_replace(F.regexp_replace(line, text.LEADING, ""), text.PICTURE, ""), text.LINKED, "$1")
+            shown = F.regexp_replace(F.regexp_replace(shown, text.AUTOLINK, ""), text.ELEMENT, " ")
+            shown = F.regexp_replace(F.regexp_replace(shown, text.STRONG_MARK, ""), text.LIGHT_MARK, "")
+            return text.decoded(F.regexp_replace(F.replace(shown, F.lit("`"), F.lit("")), text.ESCAPED, "$1"))
+
+        cells = lambda x: F.when(x.rlike(r"^\s*\|"), F.split(F.trim(x, F.lit("| ")), r"\|")).otherwise(F.array(x))
+        told = F.transform(F.filter(lines, lambda x: ~x.rlike(text.DRAWN)), lambda x: cells(seen(x)))
+        return F.transform(F.filter(F.transform(F.flatten(told), text.squeeze), lambda x: x != ""), text.as_compared)
+
+    df = spark.createDataFrame(rows, "t string").repartition(4)
+    assert df.where(~text.compared_lines(F.col("t")).eqNullSafe(all_steps(F.col("t")))).limit(3).collect() == []
+
+
+def test_a_lines_work_does_not_follow_wanted_keys(spark):
+    lines = spark.createDataFrame([(1, 0, "one two three four"), (2, 0, "one two three")], "site_id int, ord int, line string")
+    wanted = spark.createDataFrame([(1, 7)], "site_id int, gram long").union(lines.where("site_id = 1").select("site_id", F.explode(quotes.shingle_keys(F.col("line")))))
+    found = quotes.lines_with(lines, wanted, quotes.shingle_keys(F.col("line")), ["ord"])
+    assert [(r.site_id, r.line) for r in found.collect()] == [(1, "one two three four")] * 2
+    assert "array_intersect" not in found._jdf.queryExecution().optimizedPlan().toString()
