@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenloom.functions import labels
 from lumenloom.operators.colours import place
+from lumenloom.sources.scratch import written
 
 MAX_WEIGHTS, MAX_SIZES, MAX_FALLBACKS, FOOTER = 4, 6, 6, 0.5
 ROLES = ["heading", "body", "ui", "mono"]
@@ -54,16 +55,19 @@ def typography(elements: DataFrame, loaded: DataFrame | None = None, screen: int
         "family", "after", F.col("weight").alias("font_weight"), (F.bround(F.col("size") * 2) / 2).alias("px"), amount.alias("amount"), (F.size("hits") > 0).alias("is_web"),
     )
     key = ["site_id", "role", "family"]
-    total = rows.groupBy(*key).agg(F.sum("amount").alias("amount"), F.count("*").alias("elements"), F.bool_or("is_web").alias("is_webfont"))
+    # stacks are read once for each element and added up, as four sums follow
+    each = rows.groupBy(*key, "after", "font_weight", "px").agg(F.sum("amount").alias("amount"), F.count("*").alias("elements"), F.bool_or("is_web").alias("is_web"))
+    each = written(each, "fonts")
+    total = each.groupBy(*key).agg(F.sum("amount").alias("amount"), F.sum("elements").alias("elements"), F.bool_or("is_web").alias("is_webfont"))
     best = Window.partitionBy("site_id", "role").orderBy(F.round("amount", 6).desc(), "family")
     winners = total.withColumn("__n", F.row_number().over(best)).where("__n = 1").drop("__n", "amount")
 
     def top(column: str, limit: int, out: str, ascending: bool) -> DataFrame:
-        each = rows.groupBy(*key, column).agg(F.sum("amount").alias("amount"))
+        by_value = each.groupBy(*key, column).agg(F.sum("amount").alias("amount"))
         order = Window.partitionBy(*key).orderBy(F.round("amount", 6).desc(), column)
-        kept = each.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= limit)
+        kept = by_value.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= limit)
         return kept.groupBy(*key).agg(F.sort_array(F.collect_list(column), ascending).alias(out))
 
     # the family's most frequent stack, the first by its letters on ties
-    stacks = rows.groupBy(*key, "after").agg(F.count("*").alias("n")).groupBy(*key).agg(F.min_by("after", F.struct(-F.col("n"), "after")).alias("fallbacks"))
+    stacks = each.groupBy(*key, "after").agg(F.sum("elements").alias("n")).groupBy(*key).agg(F.min_by("after", F.struct(-F.col("n"), "after")).alias("fallbacks"))
     return winners.join(stacks, key).join(top("font_weight", MAX_WEIGHTS, "weights", True), key).join(top("px", MAX_SIZES, "sizes", False), key)

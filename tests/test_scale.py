@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from lumenloom.functions import color, text
-from lumenloom.operators import colours, discover, quotes
+from lumenloom.operators import colours, discover, quotes, typography
 from lumenloom.plans import derive
 
 FOLDER = "/root/testdata/sf0.001"
@@ -87,3 +87,8 @@ def test_a_lines_work_does_not_follow_wanted_keys(spark):
     found = quotes.lines_with(lines, wanted, quotes.shingle_keys(F.col("line")), ["ord"])
     assert [(r.site_id, r.line) for r in found.collect()] == [(1, "one two three four")] * 2
     assert "array_intersect" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_font_stacks_are_read_once(spark):
+    t = typography.typography(derive.elements(spark, FOLDER))
+    assert "regexp_extract_all" not in t._jdf.queryExecution().optimizedPlan().toString()
