@@ -3,6 +3,7 @@
 A measurement that is wrong as a whole is refused with the path of the first thing wrong. In one that is used, each element, logo spot,
 font and colour of the first screen is checked on its own: those in a wrong shape are left out and counted, and the first three told.
 Everything stays in the measurement's row, as VARIANT, so nothing is shuffled; no schema makes a wrong part null without a word.
+One pass over a measurement opens its known parts, down to the fields of each element; a field that isn't there costs no look-up.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenloom.functions import text
+
 # The parts of a measurement (name, type, more). Types with ? may be null; ! must be there.
 KINDS = ["box", "button", "button-text", "input", "code", "heading", "link", "text"]
 REGIONS = ["page", "header", "nav", "footer", "main"]
@@ -43,26 +46,22 @@ def _kind(part: Column) -> Column:
     return F.schema_of_variant(part)
 
 
-def _is(kind: Column, wanted: str) -> Column:
-    return F.coalesce(kind.startswith(wanted), F.lit(False))
-
-
-def _numeric(kind: Column) -> Column:
-    return kind.isin("TINYINT", "SMALLINT", "INT", "BIGINT", "FLOAT", "DOUBLE") | kind.startswith("DECIMAL")
-
+def _shape(fields: list[tuple], *more: str) -> str:
+    """The type that opens an object into its fields, each still a variant; null for what is no object."""
+    return f"struct<{', '.join([*[f'{n}: variant' for n, _, _ in fields], *more])}>"
 
-def _part(whole: Column, name: str, type_: str = "variant") -> Column:
-    return F.try_variant_get(whole, f"$.{name}", type_)
 
+def _facts(opened: Column, fields: list[tuple]) -> Column:
+    """Kind, text and number of each field of an object opened by _shape(), null for one that isn't there. They are asked for many times, so they are made once."""
 
-def _facts(whole: Column, fields: list[tuple]) -> Column:
-    """Kind and text of each field of an object. They are asked for many times, so they are made once."""
-    return F.array(*[F.struct(_kind(_part(whole, n)).alias("kind"), _part(whole, n, "string").alias("said")) for n, _, _ in fields])
+    def fact(name: str, type_: str) -> Column:
+        part, plain = opened[name], type_.rstrip("?!")
+        kind = _kind(part) if plain in ("text", "choice", "code") else F.lit(None).cast("string")  # texts only: no object or list reads as a number or a flag
+        said = F.try_variant_get(part, "$", "string") if plain != "number" else F.lit(None).cast("string")
+        number = F.try_variant_get(part, "$", "double") if plain in ("number", "whole") else F.lit(None).cast("double")
+        return F.when(part.isNotNull(), F.struct(kind.alias("kind"), said.alias("said"), number.alias("number")))
 
-
-def _number(fact: Column) -> Column:
-    truth = fact["kind"] == "BOOLEAN"
-    return F.when(truth, (fact["said"] == "true").cast("int").cast("double")).otherwise(F.trim(fact["said"]).try_cast("double"))
+    return F.array(*[fact(n, t) for n, t, _ in fields])
 
 
 def _wrong(fact: Column, name: str, type_: str, more) -> Column:
@@ -77,27 +76,22 @@ def _wrong(fact: Column, name: str, type_: str, more) -> Column:
         elif more:
             good, wanted = good & (F.length(said) <= more), f"not a text of at most {more} characters"
     elif plain == "flag":
-        good, wanted = (kind == "BOOLEAN") | ((_numeric(kind) | (kind == "STRING")) & F.lower(said).isin(YES + NO)), "neither yes nor no"
+        good, wanted = F.lower(said).isin(YES + NO), "neither yes nor no"
     else:
-        value = _number(fact)
-        good, wanted = ((kind == "BOOLEAN") | (kind == "STRING") | _numeric(kind)) & value.isNotNull() & ~F.isnan(value), "not a number"
+        value = fact["number"]
+        good, wanted = value.isNotNull() & ~F.isnan(value), "not a number"
         if plain == "whole":
             good, wanted = good & (value == F.floor(value)) & (F.abs(value) < 2.0**63), "not a whole number"
     if type_.endswith("?"):
         good = (kind == "VOID") | good
     missing = F.lit(f"{name}: missing") if type_.endswith("!") else F.lit(None).cast("string")
-    return F.when(kind.isNull(), missing).when(F.coalesce(good, F.lit(False)), F.lit(None).cast("string")).otherwise(F.lit(f"{name}: {wanted}"))
+    return F.when(fact.isNull(), missing).when(F.coalesce(good, F.lit(False)), F.lit(None).cast("string")).otherwise(F.lit(f"{name}: {wanted}"))
 
 
 def _first_wrong(facts: Column, fields: list[tuple]) -> Column:
     return F.coalesce(*[_wrong(facts[i], *f) for i, f in enumerate(fields)])
 
 
-def first_problem(whole: Column, fields: list[tuple]) -> Column:
-    """The first thing wrong with an object by its fields; null if it may be used. Fields beyond these don't matter."""
-    return F.when(~_is(_kind(whole), "OBJECT"), F.lit("not an object")).otherwise(_first_wrong(_facts(whole, fields), fields))
-
-
 def _typed(facts: Column, fields: list[tuple], defaults: dict) -> Column:
     """The facts of an object that may be used as a struct; parts that aren't there have their defaults."""
     out = []
@@ -106,21 +100,24 @@ def _typed(facts: Column, fields: list[tuple], defaults: dict) -> Column:
         if plain == "flag":
             value = F.coalesce(F.lower(said).isin(YES), F.lit(False))
         elif plain in ("number", "whole"):
-            value = F.coalesce(_number(facts[i]), F.lit(float(defaults.get(name, 0)))).cast(_SQL[plain])
+            value = F.coalesce(facts[i]["number"], F.lit(float(defaults.get(name, 0)))).cast(_SQL[plain])
         else:
             value = said if type_.endswith("?") else F.coalesce(said, F.lit(defaults.get(name, "")))
         out.append(value.alias(name))
     return F.struct(*out)
 
 
-def _all_typed(checked: Column, fields: list[tuple], defaults: dict) -> Column:
-    return F.coalesce(F.transform(checked, lambda c: _typed(c["facts"], fields, defaults)), F.array())
+def _checked(items: Column, fields: list[tuple], defaults: dict) -> Column:
+    """Each item of a list with its problem or, if it has none, what may be used: array<struct<at, problem, item>>. Facts never leave the item's own step."""
 
+    def one(x: Column, at: Column) -> Column:
+        told = lambda facts: text.let(
+            F.when(x.isNull(), F.lit("not an object")).otherwise(_first_wrong(facts, fields)),
+            lambda problem: F.struct(at.alias("at"), problem.alias("problem"), F.when(problem.isNull(), _typed(facts, fields, defaults)).alias("item")),
+        )
+        return text.let(_facts(x, fields), told)
 
-def _checked(items: Column, fields: list[tuple]) -> Column:
-    """Each item of a list with its facts and its problem: array<struct<at, facts, problem>>."""
-    opened = F.transform(items, lambda x, i: F.struct(i.alias("at"), _is(_kind(x), "OBJECT").alias("object"), _facts(x, fields).alias("facts")))
-    return F.transform(opened, lambda o: F.struct(o["at"].alias("at"), o["facts"].alias("facts"), F.when(~o["object"], F.lit("not an object")).otherwise(_first_wrong(o["facts"], fields)).alias("problem")))
+    return F.transform(items, one)
 
 
 def _told(checked: Column, key: str) -> Column:
@@ -140,37 +137,42 @@ def checked_measurements(landed: DataFrame, raw: str = "raw") -> DataFrame:
     Of an object that names a key twice the reader of JSON keeps none, so it is refused as no JSON.
     """
     kept = [c for c in landed.columns if c != raw]
-    v, lists = F.col("__v"), {"elements": ELEMENT, "logos": LOGO, "fonts": FONT}
-    samples, colors = _part(v, "samples"), F.try_variant_get(v, "$.samples.colors", "variant")
-    opened = landed.withColumn("__v", F.try_parse_json(raw))
+    lists = {"elements": ELEMENT, "logos": LOGO, "fonts": FONT}
+    # A part in a wrong shape becomes null on its own; the landed text then tells whether it was there.
+    shape = _shape(
+        HEAD + REST + TEXTS, f"viewport: {_shape(SIZES)}", f"samples: {_shape(COUNTS, 'colors: map<string, variant>')}", "links: array<variant>",
+        *[f"{k}: array<{_shape(f)}>" for k, f in lists.items()],
+    )
+    v, o = F.col("__v"), F.col("__o")
+    there = lambda part, path: part.isNull() & F.try_variant_get(v, f"$.{path}", "variant").isNotNull()
+    opened = landed.withColumn("__v", F.try_parse_json(raw)).withColumn("__o", F.try_variant_get(v, "$", shape))
     items = opened.withColumns({
-        **{f"__{k}": F.when(_is(_kind(_part(v, k)), "ARRAY"), _checked(_part(v, k, "array<variant>"), f)) for k, f in lists.items()},
-        "__colors": F.when(_is(_kind(colors), "OBJECT"), F.try_variant_get(v, "$.samples.colors", "map<string,variant>")),
-        "__head": _facts(v, HEAD + REST + TEXTS), "__size": _facts(_part(v, "viewport"), SIZES),
+        **{f"__{k}": _checked(o[k], f, FONT_DEFAULTS if k == "fonts" else DEFAULTS) for k, f in lists.items()}, "__colors": o["samples"]["colors"],
+        "__head": F.when(o.isNotNull(), _facts(o, HEAD + REST + TEXTS)), "__size": F.when(o["viewport"].isNotNull(), _facts(o["viewport"], SIZES)),
+        "__counts": F.when(o["samples"].isNotNull(), _facts(o["samples"], COUNTS)),
     })
     good_colors = F.map_filter(F.col("__colors"), lambda c, n: F.coalesce(c.rlike(CODE) & F.schema_of_variant(n).isin("TINYINT", "SMALLINT", "INT", "BIGINT", "BOOLEAN"), F.lit(False)))
-    items = items.withColumns({**{f"__good_{k}": F.filter(f"__{k}", lambda c: c["problem"].isNull()) for k in lists}, "__good_colors": good_colors})
+    items = items.withColumns({**{f"__good_{k}": F.filter(f"__{k}", lambda c: c["problem"].isNull())["item"] for k in lists}, "__good_colors": good_colors})
 
     def list_error(key: str) -> Column:
-        kind = _kind(_part(v, key))
-        return F.when(kind.isNotNull() & ~_is(kind, "ARRAY"), F.lit(f"{key}: not a list")).when(F.size(f"__good_{key}") > MOST[key], F.lit(f"{key}: more than {MOST[key]}"))
+        return F.when(there(o[key], key), F.lit(f"{key}: not a list")).when(F.size(f"__good_{key}") > MOST[key], F.lit(f"{key}: more than {MOST[key]}"))
 
     samples_error = (
-        F.when(samples.isNull(), F.lit(None).cast("string")).when(~_is(_kind(samples), "OBJECT"), F.lit("samples: not an object"))
-        .when(colors.isNotNull() & ~_is(_kind(colors), "OBJECT"), F.lit("samples.colors: not an object")).otherwise(F.concat(F.lit("samples."), first_problem(samples, COUNTS)))
+        F.when(there(o["samples"], "samples"), F.lit("samples: not an object")).when(o["samples"].isNull(), F.lit(None).cast("string"))
+        .when(there(o["samples"]["colors"], "samples.colors"), F.lit("samples.colors: not an object")).otherwise(F.concat(F.lit("samples."), _first_wrong(F.col("__counts"), COUNTS)))
     )
-    links, link_kind = _part(v, "links", "array<variant>"), _kind(_part(v, "links"))
+    links = o["links"]
     link_error = (
-        F.when(link_kind.isNotNull() & ~_is(link_kind, "ARRAY"), F.lit("links: not a list")).when(F.size(links) > MOST["links"], F.lit(f"links: more than {MOST['links']}"))
+        F.when(there(links, "links"), F.lit("links: not a list")).when(F.size(links) > MOST["links"], F.lit(f"links: more than {MOST['links']}"))
         .when(F.exists(links, lambda x: F.coalesce(F.schema_of_variant(x), F.lit("")) != "STRING"), F.lit("links: not a list of texts"))
     )
     place = {f[0]: i for i, f in enumerate(HEAD + REST + TEXTS)}
     told_of = lambda fields: [_wrong(F.col("__head")[place[f[0]]], *f) for f in fields]
-    sized = F.when(_part(v, "viewport").isNull(), F.lit("viewport: missing")).when(~_is(_kind(_part(v, "viewport")), "OBJECT"), F.lit("viewport: not an object")).otherwise(
+    sized = F.when(there(o["viewport"], "viewport"), F.lit("viewport: not an object")).when(o["viewport"].isNull(), F.lit("viewport: missing")).otherwise(
         F.concat(F.lit("viewport."), _first_wrong(F.col("__size"), SIZES))
     )
     parts = [*told_of(HEAD), sized, *told_of(REST), list_error("elements"), samples_error, list_error("fonts"), *told_of(TEXTS[:1]), list_error("logos"), *told_of(TEXTS[1:]), link_error]
-    whole = F.when(~_is(_kind(v), "OBJECT"), F.lit("not an object")).otherwise(F.coalesce(*parts))
+    whole = F.when(o.isNull(), F.lit("not an object")).otherwise(F.coalesce(*parts))
     told = items.withColumn("error", F.concat(F.lit("measurement in an unexpected shape: "), whole))
 
     lost = lambda key: F.coalesce(F.size(f"__{key}") - F.size(f"__good_{key}"), F.lit(0)).cast("bigint")
@@ -183,8 +185,8 @@ def checked_measurements(landed: DataFrame, raw: str = "raw") -> DataFrame:
         "problems": F.slice(F.concat(*[_told(F.col(f"__{k}"), k) for k in lists]), 1, TOLD),
         "url": said("url"), "title": F.coalesce(said("title"), F.lit("")), "lang": F.coalesce(said("lang"), F.lit("")), "viewport": _typed(F.col("__size"), SIZES, {}),
         "page_height": F.coalesce(said("page_height").try_cast("double").cast("bigint"), F.lit(0).cast("bigint")), "page_background": said("page_background"),
-        "text": F.coalesce(said("text"), F.lit("")), "links": F.coalesce(_part(v, "links", "array<string>"), F.array().cast("array<string>")),
-        **{k: _all_typed(F.col(f"__good_{k}"), f, FONT_DEFAULTS if k == "fonts" else DEFAULTS) for k, f in lists.items()},
+        "text": F.coalesce(said("text"), F.lit("")), "links": F.coalesce(F.transform(links, lambda x: F.try_variant_get(x, "$", "string")), F.array().cast("array<string>")),
+        **{k: F.coalesce(f"__good_{k}", F.array()) for k in lists},
         "colors": F.coalesce(points, F.map_from_entries(F.array().cast("array<struct<key:string,value:bigint>>"))),
     }
     return told.select(*kept, "error", *[F.when(F.col("error").isNull(), c).alias(n) for n, c in out.items()])

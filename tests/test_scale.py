@@ -92,3 +92,26 @@ def test_a_lines_work_does_not_follow_wanted_keys(spark):
 def test_font_stacks_are_read_once(spark):
     t = typography.typography(derive.elements(spark, FOLDER))
     assert "regexp_extract_all" not in t._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_measurement_is_opened_once(spark):
+    """Two look-ups for each possible field of each element, and its facts written for later, took most of the time."""
+    from lumenloom.sources import measurements
+
+    m = measurements.checked_measurements(spark.createDataFrame([("{}",)], "raw string"))
+    plan = m._jdf.queryExecution().optimizedPlan().toString()
+    assert "$.promo" not in plan and "facts:array" not in m.select("elements")._jdf.queryExecution().analyzed().toString()
+    assert plan.count("STRUCT<tag: VARIANT") <= 2
+
+
+def test_odd_types_are_told_as_before(spark):
+    import json
+
+    from lumenloom.sources import measurements
+
+    odd = [{"w": {}}, {"w": []}, {"w": None}, {"w": True}, {"w": "NaN"}, {"w": "1e3"}, {"on_image": {}}, {"on_image": "YES"}, {"on_image": 1.0}, {"on_image": 2}, {"weight": True}, {"weight": 1e30}, {"color": 5}, {"bg": {}}, {"text": None}, {"heading": 9}, {"region": []}, None, [], "x"]
+    whole = {"url": "u", "viewport": {"width": 1, "height": 2}, "page_height": True, "elements": odd}
+    got = measurements.checked_measurements(spark.createDataFrame([(json.dumps(whole),), (json.dumps({**whole, "samples": None}),), (json.dumps({**whole, "elements": None}),), (json.dumps({**whole, "viewport": None}),)], "raw string")).collect()
+    assert [r.error and r.error.split("shape: ")[1] for r in got] == [None, "samples: not an object", "elements: not a list", "viewport: not an object"]
+    assert [(e.w, e.on_image, e.weight) for e in got[0].elements] == [(1.0, False, 400), (1000.0, False, 400), (0.0, True, 400), (0.0, True, 400), (0.0, False, 1), (0.0, False, 400)]
+    assert got[0].left_out == {"elements": len(odd) - 6} and got[0].page_height == 0
