@@ -82,7 +82,10 @@ def class_rules(sheets: DataFrame, key: str) -> DataFrame:
 
 def elements(drawings: DataFrame, key: str = "drawing_id", markup: str = "svg") -> DataFrame:
     """key, n, at, end, depth, path, name, attributes of the elements of the first <svg> of each drawing that may stay, and the texts of all <style> and <text>: written."""
-    one = tree.parsed(drawings.select(key, F.col(markup).alias("html")).where(F.length("html") <= LONGEST * 3 // 2))
+    given = drawings.select(key, F.col(markup).alias("html")).where(F.length("html") <= LONGEST * 3 // 2)
+    # Parsing is most of the work, and a small file of many drawings is read by one or two tasks.
+    # The number is given, as Spark would join small partitions again by their bytes.
+    one = tree.parsed(given.repartition(int(drawings.sparkSession.conf.get("spark.sql.shuffle.partitions")), key))
     nodes = F.col("nodes")
     root = F.get(F.filter(nodes, lambda n: n["tag"] == "svg"), F.lit(0))["n"]
     names = [e.lower() for e in ELEMENTS]

@@ -115,3 +115,12 @@ def test_odd_types_are_told_as_before(spark):
     assert [r.error and r.error.split("shape: ")[1] for r in got] == [None, "samples: not an object", "elements: not a list", "viewport: not an object"]
     assert [(e.w, e.on_image, e.weight) for e in got[0].elements] == [(1.0, False, 400), (1000.0, False, 400), (0.0, True, 400), (0.0, True, 400), (0.0, False, 1), (0.0, False, 400)]
     assert got[0].left_out == {"elements": len(odd) - 6} and got[0].page_height == 0
+
+
+def test_drawings_of_one_file_are_parsed_by_all_tasks(spark):
+    """Many small drawings are few bytes: read as one or two partitions, they were parsed by one or two tasks."""
+    from lumenloom.operators import svg
+
+    drawings = spark.range(0, 64, 1, 1).select(F.col("id").alias("drawing_id"), F.lit('<svg><path d="M0"/></svg>').alias("svg"))
+    found = svg.elements(drawings)
+    assert len(found.inputFiles()) > 1 and found.count() == 128
