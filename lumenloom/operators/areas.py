@@ -2,18 +2,20 @@
 
 A row of a picture becomes a few runs of see-through pixels, found from the ink alone, so an empty or a plain picture costs a row for each
 line, whatever its width. Runs of neighbouring lines that overlap are linked by one window over both lines; areas are the components of
-these links, made by stars that shrink in rounds, each round written. Nothing walks over pixels.
+these links, made by stars that shrink in rounds, each round written. All runs that touch the box's edge are one node, as what they reach
+is never enclosed. Nothing walks over pixels.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenloom.sources.scratch import written
 
 #: A run's number: its line times this plus where it starts. Pictures are narrower.
 WIDEST = 1 << 31
+EDGE = -1
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -54,16 +56,20 @@ def see_through_runs(ink: DataFrame, box: DataFrame) -> DataFrame:
     return runs.select("image_id", "y", "start", "end", edge.alias("edge"))
 
 
+def _node() -> Column:
+    """A run's number; that of all runs at the box's edge is EDGE, the smallest."""
+    return F.when(F.col("edge"), F.lit(EDGE)).otherwise(F.col("y") * WIDEST + F.col("start"))
+
+
 def _links(runs: DataFrame) -> DataFrame:
     """Runs of neighbouring lines that share a column. One of two such runs starts inside the other, so each run only needs the last one
     of the other line that started before it: a sort for each pair of lines, no product."""
-    number = F.col("y") * WIDEST + F.col("start")
-    side = lambda up: runs.select("image_id", (F.col("y") - up).alias("pair"), F.lit(up).alias("side"), "start", "end", number.alias("node"))
+    side = lambda up: runs.select("image_id", (F.col("y") - up).alias("pair"), F.lit(up).alias("side"), "start", "end", _node().alias("node"))
     upto = Window.partitionBy("image_id", "pair").orderBy("start", "side").rowsBetween(Window.unboundedPreceding, 0)
     seen = lambda s: F.last(F.when(F.col("side") == s, F.struct("end", "node")), ignorenulls=True).over(upto)
     both = side(0).unionByName(side(1)).withColumns({"one": seen(0), "two": seen(1)})
     other = F.when(F.col("side") == 0, F.col("two")).otherwise(F.col("one"))
-    return both.withColumn("other", other).where(F.col("other.end") >= F.col("start")).select(F.col("image_id").alias("scope"), F.col("node").alias("a"), F.col("other.node").alias("b"))
+    return both.withColumn("other", other).where((F.col("other.end") >= F.col("start")) & (F.col("other.node") != F.col("node"))).select(F.col("image_id").alias("scope"), F.col("node").alias("a"), F.col("other.node").alias("b"))
 
 
 def enclosed(ink: DataFrame) -> DataFrame:
@@ -77,7 +83,7 @@ def enclosed(ink: DataFrame) -> DataFrame:
     box = written(box, "boxes")
     runs = written(see_through_runs(ink, box.drop("ink_n")), "runs")
     roots = components(_links(runs))
-    numbered = runs.select(F.col("image_id").alias("scope"), (F.col("y") * WIDEST + F.col("start")).alias("node"), (F.col("end") - F.col("start") + 1).alias("n"), "edge")
+    numbered = runs.select(F.col("image_id").alias("scope"), _node().alias("node"), (F.col("end") - F.col("start") + 1).alias("n"), "edge")
     areas = numbered.join(roots, ["scope", "node"], "left").groupBy("scope", F.coalesce("root", "node").alias("root")).agg(F.sum("n").alias("n"), F.max("edge").alias("edge"))
     holes = areas.where("NOT edge").groupBy(F.col("scope").alias("image_id")).agg(F.sum("n").alias("hole_n"))
     size = (F.col("right") - F.col("left") + 1) * (F.col("bottom") - F.col("top") + 1)

@@ -67,3 +67,11 @@ def test_random_pictures_and_none(spark):
     pixels = [(i, x + i, y) for i in range(12) for x in range(5 + 3 * i) for y in range(30 - 2 * i) if rng.random() < 0.3 + 0.05 * i]
     assert _found(spark, pixels) == _brute(pixels)
     assert _found(spark, []) == {}
+
+
+def test_runs_at_the_edge_are_one_node(spark):
+    """Their links with one another can't change what is enclosed, but took their share of every round."""
+    rows = [(1, y, x, x + 1, x in (0, 8) or y in (0, 5)) for y in range(6) for x in (0, 4, 8)]
+    links = areas._links(spark.createDataFrame(rows, "image_id int, y long, start long, end long, edge boolean")).collect()
+    at = lambda y: y * areas.WIDEST + 4
+    assert sorted(sorted((r.a, r.b)) for r in links) == sorted([[areas.EDGE, at(1)], [at(1), at(2)], [at(2), at(3)], [at(3), at(4)], [areas.EDGE, at(4)]])
