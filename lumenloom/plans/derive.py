@@ -130,7 +130,8 @@ def landed_measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
     rest = put('"fonts":[{"family":"A"},{"weight":"700"},{"family":', (k % 3).cast("string"), '}],"samples":{"colors":{"#FFFFFF":', (k % 90).cast("string"), ',"#12345":4,"#000000":"x"},"total":90}}')
     raw = put("{", url, view, back, '"elements":[', F.coalesce("items", F.lit("")), "],", rest)
     raw = F.when(k % 37 == 0, F.substring(raw, 1, 40)).when(k % 41 == 0, F.lit("[1,2]")).otherwise(raw)
-    return table(spark, sf_dir, "orders").join(of_order, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(k.alias("site_id"), raw.alias("raw"))
+    # A broadcast would leave all measurements to the tasks that read orders, one for a small file; checking them is most of the work.
+    return table(spark, sf_dir, "orders").join(of_order.hint("merge"), F.col("o_orderkey") == F.col("l_orderkey"), "left").select(k.alias("site_id"), raw.alias("raw"))
 
 
 def searches_in_turn(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:

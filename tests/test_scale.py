@@ -124,3 +124,9 @@ def test_drawings_of_one_file_are_parsed_by_all_tasks(spark):
     drawings = spark.range(0, 64, 1, 1).select(F.col("id").alias("drawing_id"), F.lit('<svg><path d="M0"/></svg>').alias("svg"))
     found = svg.elements(drawings)
     assert len(found.inputFiles()) > 1 and found.count() == 128
+
+
+def test_measurements_are_spread_over_tasks(spark):
+    """With the items broadcast, all measurements of a small file of orders were checked by the one task that read it."""
+    plan = derive.landed_measurements(spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
